@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelweave.llm import packing, secrets, simhash, toxicity
+from labelweave.llm import lines, packing, secrets, simhash, toxicity
 
 QUERIES = {
+    "op5_line_dedup": lines.op5_line_dedup,
     "op2_secrets": secrets.op2_secrets,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_simhash": simhash.op9_simhash,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from labelweave.llm import lines, packing, secrets, simhash, toxicity
+from labelweave.llm import ann, forest, lines, packing, secrets, simhash, toxicity
 
 QUERIES = {
+    "op3_nearest": ann.op3_nearest,
+    "op4_forest": forest.op4_forest,
     "op5_line_dedup": lines.op5_line_dedup,
     "op2_secrets": secrets.op2_secrets,
     "op7_toxicity": toxicity.op7_toxicity,

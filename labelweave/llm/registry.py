@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelweave.llm import ann, forest, lines, packing, secrets, simhash, toxicity
+from labelweave.llm import ann, forest, lines, packing, pieces, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_nearest": ann.op3_nearest,
     "op4_forest": forest.op4_forest,
     "op5_line_dedup": lines.op5_line_dedup,

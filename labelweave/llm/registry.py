@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from labelweave.llm import ann, forest, lines, packing, pieces, secrets, simhash, toxicity
+from labelweave.llm import ann, chat, forest, lines, packing, pieces, secrets, simhash, toxicity, urls
 
 QUERIES = {
+    "op6_chat": chat.op6_chat,
+    "op8_urls": urls.op8_urls,
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_nearest": ann.op3_nearest,
     "op4_forest": forest.op4_forest,

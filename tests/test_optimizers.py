@@ -62,9 +62,15 @@ def test_frank_wolfe_near_the_closed_form(data):
     assert found.predict(eta, seed=1).groupBy("instance_id").count().where("count <> 2").isEmpty()
 
 
-def test_coverage_step(data):
+def test_coverage_step_against_the_formula(data):
     grid, inst, lab = data
     eta = grid.select("instance_id", "label_id", "eta")
-    top = select.top_k(eta, 1)
-    found = B.coverage_step(eta, top, 300, 8, 1, alpha=1.0)
-    assert found.select("label_id").distinct().count() >= top.select("label_id").distinct().count()
+    x = np.zeros((300, 8))
+    for r in eta.collect():
+        x[r.instance_id, r.label_id] = r.eta
+    chosen = np.zeros(x.shape, bool)
+    chosen[np.arange(300), x.argmax(axis=1)] = True
+    fail = np.prod(np.where(chosen, 1 - x, 1.0), axis=0)
+    gain = 0.7 / 8 * x * fail / np.where(chosen, 1 - x, 1.0) + 0.3 * x / (300 * 1)
+    found = {r.instance_id: r.label_id for r in B.coverage_step(eta, select.top_k(eta, 1), 300, 8, 1, alpha=0.7).collect()}
+    assert [found[i] for i in range(300)] == gain.argmax(axis=1).tolist()

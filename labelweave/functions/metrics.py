@@ -194,3 +194,10 @@ def per_row(conf: DataFrame, psi: Callable, **options) -> DataFrame:
 def hits(conf: DataFrame) -> DataFrame:
     """Share of rows with a true positive: coverage of labels, or of instances (abandonment)."""
     return conf.agg(F.avg((F.col("tp") > 0).cast("double")).alias("value"))
+
+
+def across_labels(conf: DataFrame, kind: str, epsilon: float = EPSILON) -> DataFrame:
+    """One row with `value`, of the labels' recalls r: hmean (m / sum(1 / r)), gmean (exp of the mean logarithm), log_gmean, qmean (1 - root of the mean squared 1 - r)."""
+    r = (F.col("tp") + epsilon) / (F.col("tp") + F.col("fn") + epsilon)
+    value = {"hmean": F.count("*") / F.sum(1 / r), "gmean": F.exp(F.avg(F.log(r))), "log_gmean": F.avg(F.log(r)), "qmean": 1 - F.sqrt(F.avg(F.pow(1 - r, 2)))}[kind]
+    return conf.agg(value.alias("value"))

@@ -73,3 +73,19 @@ class ConfusionMatrix:
 
     def equals(self, other: ConfusionMatrix) -> bool:
         return self.df.exceptAll(other.df).isEmpty() and other.df.exceptAll(self.df).isEmpty()
+
+
+def log_product(cells: DataFrame, by: str, value: Column) -> DataFrame:
+    """(by, log_product): logarithm of the product of 1 - value over each group; a value of 1 counts as 1 - 1e-12."""
+    return cells.groupBy(by).agg(F.sum(F.log1p(-F.least(value, F.lit(1 - 1e-12)))).alias("log_product"))
+
+
+def stack(first: DataFrame, second: DataFrame, offset: int) -> DataFrame:
+    """Rows of both matrices; instances of the second are numbered from `offset` on."""
+    return first.unionByName(second.withColumn("instance_id", F.col("instance_id") + offset))
+
+
+def split(rows: DataFrame, share: float, seed: int = 0, draw: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of about `share` of all instances, and the rest, by a hash of the instance."""
+    u = F.pmod(F.xxhash64("instance_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) if draw is None else draw
+    return rows.where(u < share), rows.where(u >= share)

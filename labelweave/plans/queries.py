@@ -354,12 +354,30 @@ def summarize(results: DataFrame) -> DataFrame:
     return stats.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("mean"))))
 
 
+R_SQL = f"((tp + {EPS}) / (tp + fn + {EPS}))"
+for _name, _sql in {"hmean": f"count(*) / sum(1 / {R_SQL})", "gmean": f"exp(avg(ln({R_SQL})))", "log_gmean": f"avg(ln({R_SQL}))", "qmean": f"1 - sqrt(avg(pow(1 - {R_SQL}, 2)))"}.items():
+    query(f"across_labels_{_name}", f"SELECT round({_sql}, 9) AS value FROM rates")(lambda b, name=_name: rounded(M.across_labels(b.rates, name)))
+for _name in ("label", "instance"):
+    query(f"log_product_{_name}", f"SELECT {_name}_id, round(sum(ln(1 - eta * p)), 6) AS log_product FROM cells GROUP BY {_name}_id")(lambda b, name=_name: rounded(confusion.log_product(_chosen(b), f"{name}_id", F.col("eta") * F.col("p")), 6))
+query("split_and_stack", "SELECT label_id, count(*) AS n, CAST(sum(instance_id) AS BIGINT) AS ids FROM (SELECT label_id, instance_id FROM y_true WHERE instance_id % 10 >= 3 UNION ALL SELECT label_id, instance_id + 1000000 FROM y_true WHERE instance_id % 10 < 3) GROUP BY label_id")(lambda b: _stacked(b))
+
+
+def _chosen(b: Base) -> DataFrame:
+    return b.eta.join(b.pred.withColumnRenamed("value", "p"), ["instance_id", "label_id"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+
+
+def _stacked(b: Base) -> DataFrame:
+    test, train = confusion.split(b.y_true, 0.3, draw=(F.col("instance_id") % 10).cast("double") / 10)
+    return confusion.stack(train, test, 1_000_000).groupBy("label_id").agg(F.count("*").alias("n"), F.sum("instance_id").alias("ids"))
+
+
 # iterated algorithms: no SQL
 query("fw_full_f1")(lambda b: frank_wolfe.find_classifier(b.y_true, b.eta, b.instances, b.labels, M.Metric("f1"), K, max_iters=3).weights(b.spark))
 query("bc_minibatch_f1")(lambda b: block_coordinate.minibatch(b.eta, b.instances, b.labels, M.Metric("f1"), K, slices=4, max_iters=1)[0])
 query("bc_exact_f1")(lambda b: block_coordinate.exact(b.eta, b.labels, M.Metric("f1"), K, max_iters=2))
 for _name in ("default", "greedy", "gradient"):
     query(f"online_{_name}")(lambda b, kind=_name: online.replay(b.grid, b.labels, kind, M.Metric("f1"), K))
+query("online_retuned_thresholds")(lambda b: online.replay_retuned(b.grid, b.labels, "thresholds", M.Metric("f1"), 0, first=500, growth=3.0))
 query("online_thresholds")(lambda b: online.replay(b.grid, b.labels, "thresholds", M.Metric("f1"), 0))
 
 

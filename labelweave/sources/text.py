@@ -71,3 +71,12 @@ def pack(cells: DataFrame, column: str = "value") -> DataFrame:
 
 def unpack(rows: DataFrame) -> DataFrame:
     return rows.select("instance_id", F.inline("cells"))
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """One JSON object a line."""
+    results.write.json(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

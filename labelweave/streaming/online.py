@@ -129,3 +129,29 @@ def prequential(rows: DataFrame, by: str = "instance_id", every: int = 100) -> D
     run = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = blocks.select("block", F.sum("hit").over(run).alias("hits"), F.sum("n").over(run).alias("n"))
     return total.select(F.col("block").alias("position"), "hits", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).alias("precision"))
+
+
+def replay_retuned(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, first: int = 100, growth: float = 1.5) -> DataFrame:
+    """Predictions by parameters that are learned again on all earlier rows each time their number has grown by `growth`.
+
+    kind: thresholds (a threshold for each label, at first 0.5) or frank_wolfe (a randomized classifier, at
+    first top k). Arrival order is instance_id. The loop runs once for each period, a logarithm of the rows.
+    """
+    from labelweave.operators import frank_wolfe, select
+
+    low, high = rows.agg(F.min("instance_id"), F.max("instance_id")).first()
+    out, start, size = None, low, first
+    while low is not None and start <= high:
+        stop = max(start + 1, low + int(size))
+        block, past = rows.where((F.col("instance_id") >= start) & (F.col("instance_id") < stop)), rows.where(F.col("instance_id") < start)
+        eta = block.select("instance_id", "label_id", "eta")
+        if kind == "thresholds":
+            found = select.predict(eta, 0, th=0.5) if start == low else select.predict(eta, 0, th=select.tune_thresholds(past))
+        elif start == low:
+            found = select.predict(eta, k, th=0.5)
+        else:
+            y = past.where("y > 0").select("instance_id", "label_id", F.col("y").cast("double").alias("value"))
+            found = frank_wolfe.find_classifier(y, past.select("instance_id", "label_id", "eta"), past.select("instance_id").distinct(), labels, metric, k, max_iters=5).predict(eta)
+        out = found if out is None else out.unionByName(found)
+        start, size = stop, size * growth
+    return out if out is not None else rows.select("instance_id", "label_id", F.lit(1.0).alias("value"))

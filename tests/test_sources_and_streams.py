@@ -67,3 +67,16 @@ def test_stream_of_one_batch_uses_the_start_weights(spark, cells, tmp_path):
     query, state = online.start(stream, labels, M.Metric("f1"), 2, lambda d, n: seen.append(d.count()), os.path.join(tmp_path, "state"))
     query.awaitTermination()
     assert seen == [400] and state.n == 200 and np.allclose(state.c.sum(axis=0), 200, atol=1e-4)
+
+
+def test_retuned_predictions_and_results(spark, cells, tmp_path):
+    df, labels, eta, _ = cells
+    found = online.replay_retuned(df, labels, "thresholds", M.Metric("f1"), 0, first=80, growth=2.0).collect()
+    early = {(r.instance_id, r.label_id) for r in found if r.instance_id < 80}
+    assert early == {(i, j) for i in range(80) for j in range(5) if eta[i, j] >= 0.5}
+    assert any(r.instance_id >= 160 for r in found)
+    both = online.replay_retuned(df, labels, "frank_wolfe", M.Metric("recall"), 2, first=120, growth=2.0)
+    assert both.groupBy("instance_id").count().where("count <> 2").isEmpty()
+    path = str(tmp_path / "results")
+    text.write_results(spark.createDataFrame([(1, 0.5)], "seed int, v double"), path)
+    assert text.read_results(spark, path, "seed int, v double").first().v == 0.5

@@ -28,22 +28,32 @@ class CachedEncoder:
 
     The vocabulary's pre-tokenizer never joins text across white space, so chunks can be encoded apart;
     each distinct chunk goes through the tokenizer once and the rest is array arithmetic. `cache` bounds
-    the remembered chunks (the memory is emptied beyond it); results do not depend on it.
+    the remembered chunks: beyond it, those that a single batch had are forgotten, or all if too many
+    are left. Results do not depend on the memory.
     """
 
     #: Control characters that Arrow takes for white space and the tokenizer does not.
     ODD = "[\x1c-\x1f]"
 
-    def __init__(self, path: str, cache: int = 800_000, longest: int = 48):
+    def __init__(self, path: str, cache: int = 1_100_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.longest = Tokenizer.from_file(path), cache, longest
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        keep = np.flatnonzero(self.seen[: len(self.known)] > 1)
+        keep = keep if 2 * len(keep) <= self.cache else keep[:0]
+        names = list(self.known)  # in the order of their numbers
+        length = self.length[keep]
+        ids = self.ids[ragged(self.start[keep], length)]
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.used = len(ids)
+        self.ids[: self.used] = ids
+        self.start[: len(keep)], self.length[: len(keep)] = np.cumsum(length) - length, length
+        self.seen[:] = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,7 +67,7 @@ class CachedEncoder:
             while self.used + new > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while n + len(part) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+                self.start, self.length, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.seen))
             self.ids[self.used : self.used + new] = np.fromiter((i for x in found for i in x), np.uint32, new)
             self.start[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
             self.length[n : n + len(part)] = lengths
@@ -76,6 +86,7 @@ class CachedEncoder:
         of = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
         start, length, ids = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.ids[: self.used]
         start[of >= 0], length[of >= 0] = self.start[of[of >= 0]], self.length[of[of >= 0]]
+        self.seen[of[of >= 0]] += 1
         if len(long := [k for k in np.flatnonzero(of < 0) if distinct[k]]):
             found = self._encode([distinct[k] for k in long])
             length[long] = [len(x) for x in found]

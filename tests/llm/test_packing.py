@@ -56,3 +56,19 @@ def test_query(spark, small):
         own = found[found.doc_id == x.doc_id].sort_values("start")
         assert own.length.sum() == len(ids) == own.doc_tokens.iloc[0]
         assert [zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in own.itertuples()] == own.ids_crc32.tolist()
+
+
+def test_memory_does_not_change_ids():
+    import random
+
+    import pyarrow as pa
+
+    from labelweave.llm.packing import CachedEncoder
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", f"w{rng.randrange(4000)}x", "it's", "ÜBER"]) for _ in range(60)) for _ in range(300)]
+    small, large = CachedEncoder(tokenizer_path("word_bpe_49k.json"), cache=150), CachedEncoder(tokenizer_path("word_bpe_49k.json"))
+    for at in range(0, 300, 10):
+        a, b = small(pa.array(texts[at : at + 10])), large(pa.array(texts[at : at + 10]))
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    assert len(small.known) < len(large.known)

@@ -1,11 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared line hashes: a hash proposes one pair for each document
-that holds it, namely with the earliest document that does, so that a line in a third of all documents
-proposes as many pairs as it has holders and needs no ceiling on its frequency. The k-th occurrence of
-a line in a document has a key of its own, hence keys are unique in either document of a pair and every
-shared key is an anchor. Each pair is aligned by patience (the longest increasing run of anchors), and
-blocks of lines that follow one another in both documents are deleted from the later one.
+A document loses every block of lines that the alignment with any earlier document finds. The k-th
+occurrence of a line in a document has a key of its own, hence keys are unique in either document of a
+pair and every shared key is an anchor. A pair is aligned by patience (the longest increasing run of
+anchors), over all lines that the two share, and blocks of lines that follow one another in both
+documents are deleted from the later one.
+
+A line of a block always lies in a shortest run of lines with enough words that the earlier document
+holds too. So these runs propose the pairs: first each with its earliest holder, and a run that still
+has a line left with its next holders, one round after the other, until no holder is left. A line in a
+third of all documents thus proposes as many pairs as it has holders, and needs no ceiling on its
+frequency, unless its alignments fail.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from labelweave.llm.common import Scratch, slices, table
 
 #: Words that a block has at least. Shorter ones are common phrases.
 LEAST_WORDS = 5
+#: Rounds in which a run of lines meets one more holder; the round after them takes all that are left.
+SINGLE = 4
 
 
 def line_rows(text: str) -> list[tuple[int, int, bytes, int]]:
@@ -37,22 +44,38 @@ def line_rows(text: str) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, version, line, nth, k1, k2, words) for the lines of all documents with an id; k1 and k2 are the key's 128 bits."""
+def runs(own: list[tuple[int, int, bytes, int]], least_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs of lines with `least_words` words that start or end at a line."""
+    sums = np.concatenate([[0], np.cumsum([x[3] for x in own], dtype=np.int64)])
+    ends = np.searchsorted(sums, sums[:-1] + least_words) - 1
+    starts = np.searchsorted(sums, sums[1:] - least_words, "right") - 1
+    return sorted({(k, b) for k, b in enumerate(ends.tolist()) if b < len(own)} | {(a, k) for k, a in enumerate(starts.tolist()) if a >= 0})
+
+
+def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """(doc, version, line, nth, last, k1, k2, words) for the lines of all documents with an id; k1 and k2 are the key's 128 bits.
+
+    last is -1 for a line, and the last line's number for a run of several lines, which has line -1; a
+    line with enough words is a run by itself.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            found = [line_rows(t) for t in batch.column("text").to_pylist()]
+            found = []
+            for t in batch.column("text").to_pylist():
+                own = line_rows(t)
+                several = [(a, b) for a, b in runs(own, least_words) if a < b]
+                found.append([(at, nth, -1, key, words) for at, nth, key, words in own] + [(-1, a, b, xxhash.xxh3_128_digest(b"".join(x[2] for x in own[a : b + 1])), 0) for a, b in several])
             row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             flat = [x for rows in found for x in rows]
-            keys = np.frombuffer(b"".join(x[2] for x in flat), "<i8").reshape(-1, 2)
-            number = lambda i, kind: pa.array([x[i] for x in flat], kind)
-            columns = [batch.column("doc").take(row), batch.column("version").take(row), number(0, pa.int32()), number(1, pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), number(3, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "version", "line", "nth", "k1", "k2", "words"])
+            keys = np.frombuffer(b"".join(x[3] for x in flat), "<i8").reshape(-1, 2)
+            number = lambda i: pa.array([x[i] for x in flat], pa.int32())
+            columns = [batch.column("doc").take(row), batch.column("version").take(row), number(0), number(1), number(2), pa.array(keys[:, 0]), pa.array(keys[:, 1]), number(4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "version", "line", "nth", "last", "k1", "k2", "words"])
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), version(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, f"doc {kind}, version bigint, line int, nth int, k1 bigint, k2 bigint, words int")
+    return texts.mapInArrow(run, f"doc {kind}, version bigint, line int, nth int, last int, k1 bigint, k2 bigint, words int")
 
 
 def version(text: Column) -> Column:
@@ -80,7 +103,7 @@ def patience(anchors: list[tuple[int, int]]) -> list[int]:
 
 
 def blocks(shared: list[dict], least_words: int) -> list[int]:
-    """Lines to delete from a document; shared: its lines that an earlier document holds, as (doc, nth, nth_there, line, words), sorted."""
+    """Lines to delete from a document; shared: its lines that earlier documents hold, as (doc, nth, nth_there, line, words), sorted by doc."""
     gone: set[int] = set()
     at = 0
     while at < len(shared):
@@ -100,31 +123,69 @@ def blocks(shared: list[dict], least_words: int) -> list[int]:
     return sorted(gone)
 
 
+def aligned(rows: DataFrame, pairs: DataFrame, least_words: int) -> DataFrame:
+    """(doc, version, gone): for each pair (doc, version, there, at_version) that loses lines, the numbers of those lines in the text."""
+    own = rows.where("last < 0")
+    there = own.select(F.col("doc").alias("there"), F.col("version").alias("at_version"), "k1", "k2", F.col("nth").alias("nth_there"))
+    both = own.select("doc", "version", "line", "nth", "k1", "k2", "words").join(pairs, ["doc", "version"]).join(there, ["there", "at_version", "k1", "k2"])
+    listed = both.groupBy("doc", "version", "there", "at_version").agg(F.collect_list(F.struct("nth", "nth_there", "line", "words")).alias("shared"))
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks([x | {"doc": 0} for x in shared.as_py()], least_words) for shared in batch.column("shared")]
+            full = pa.array([len(x) > 0 for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("version"), pa.array(found, pa.list_(pa.int32()))], names=["doc", "version", "gone"]).filter(full)
+
+    return listed.mapInArrow(run, f"doc {kind}, version bigint, gone array<int>")
+
+
 def removals(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc, version, gone): for documents that lose lines, whether each line goes, up to the last that does."""
-    rows = scratch.save(lines(docs, id_col, text_col))
-    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "nth")).alias("first"), F.max("doc").alias("last")).where("last > first.doc")
-    first = scratch.save(first.select("k1", "k2", F.col("first.doc").alias("there"), F.col("first.nth").alias("nth_there")))
-    shared = rows.join(first, ["k1", "k2"]).where("doc > there")
-    listed = shared.groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct(F.col("there").alias("doc"), "nth", "nth_there", "line", "words"))).alias("shared"))
+    least_words = max(1, least_words)
+    rows = scratch.save(lines(docs, id_col, text_col, least_words))
+    spans = rows.where(f"last >= 0 or words >= {least_words}").select("doc", "version", "nth", F.greatest("nth", "last").alias("last"), "k1", "k2")
+    holder = F.struct("doc", "version")
+    first = spans.groupBy("k1", "k2").agg(F.min(holder).alias("tried"), F.max("doc").alias("latest")).where("latest > tried.doc").select("k1", "k2", "tried")
+    open_ = scratch.save(spans.join(scratch.save(first), ["k1", "k2"]).where("doc > tried.doc"))
+    before, gone, turn = None, None, 0
+    while turn == 0 or not open_.isEmpty():
+        pairs = open_.select("doc", "version", F.col("tried.doc").alias("there"), F.col("tried.version").alias("at_version")).distinct()
+        pairs = scratch.save(pairs if before is None else pairs.join(before, pairs.columns, "left_anti"))
+        before = pairs if before is None else before.unionByName(pairs)
+        found = scratch.save(aligned(rows, pairs, least_words))
+        gone = found if gone is None else gone.unionByName(found)
+        if turn > SINGLE:
+            break
+        # runs that have a line left
+        numbers = rows.where("last < 0").select("doc", "version", "line", "nth")
+        done = gone.select("doc", "version", F.explode("gone").alias("line")).join(numbers, ["doc", "version", "line"]).select("doc", "version", F.col("nth").alias("at"))
+        each = open_.withColumn("at", F.explode(F.sequence("nth", "last"))).join(done, ["doc", "version", "at"], "left_anti")
+        left = scratch.save(each.select(*open_.columns).distinct())
+        if left.isEmpty():
+            break
+        keys = left.select("k1", "k2", "tried").distinct()
+        later = spans.select("k1", "k2", holder.alias("next")).join(keys, ["k1", "k2"]).where("next > tried")
+        turn += 1
+        later = later.groupBy("k1", "k2").agg(F.min("next").alias("next")) if turn <= SINGLE else later.select("k1", "k2", "next").distinct()
+        open_ = scratch.save(left.drop("tried").join(later, ["k1", "k2"]).where("doc > next.doc").withColumnRenamed("next", "tried"))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for k in range(batch.num_rows):
-                gone = blocks(batch.column("shared")[k].as_py(), least_words)
-                mask = np.zeros(gone[-1] + 1 if gone else 0, bool)
-                mask[gone] = True
+            for numbers in batch.column("gone"):
+                mask = np.zeros(max(numbers.as_py()) + 1, bool)
+                mask[numbers.as_py()] = True
                 found.append(mask)
-            full = pa.array([len(x) > 0 for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("version"), pa.array(found, pa.list_(pa.bool_()))], names=["doc", "version", "gone"]).filter(full)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("version"), pa.array(found, pa.list_(pa.bool_()))], names=["doc", "version", "gone"])
 
-    return listed.mapInArrow(run, f"doc {kind}, version bigint, gone array<boolean>")
+    listed = gone.groupBy("doc", "version").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    return listed.mapInArrow(masks, f"doc {kind}, version bigint, gone array<boolean>")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, least_words: int = LEAST_WORDS, drop_emptied: bool = False, counts: bool = False) -> DataFrame:
-    """The rows of docs without the blocks of lines that a document with a smaller id holds as well.
+    """The rows of docs without the blocks of lines that any document with a smaller id holds as well.
 
     Rows that share an id are one document in several versions: they don't lose lines to one another, and
     equal rows get equal texts. Rows with a null id or a null text stay as they are; empty texts have no

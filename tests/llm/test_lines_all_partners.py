@@ -1,0 +1,65 @@
+import random
+from collections import Counter
+
+import pytest
+
+from labelweave.llm import lines
+from labelweave.llm.lines import dedup_lines, op5_line_dedup, patience
+
+
+def keyed(text):
+    seen, out = Counter(), []
+    for at, line in enumerate((text or "").split("\n")):
+        if line := line.strip():
+            out.append((at, (line, seen[line]), len(line.split())))
+            seen[line] += 1
+    return out
+
+
+def plain_all(docs, least=5):
+    """{doc_id: text}: each document aligned with every earlier one that shares a line with it."""
+    rows, holders, out = {i: keyed(t) for i, t in docs.items()}, {}, {}
+    place = {i: {k: n for n, (_, k, _) in enumerate(own)} for i, own in rows.items()}
+    for i in sorted(docs):
+        gone = set()
+        for there in {j for _, k, _ in rows[i] for j in holders.get(k, ())}:
+            pair = [(n, place[there][k], at, w) for n, (at, k, w) in enumerate(rows[i]) if k in place[there]]
+            block = []
+            for x in [*(pair[k] for k in patience([(a, b) for a, b, *_ in pair])), None]:
+                if block and (x is None or x[0] != block[-1][0] + 1 or x[1] != block[-1][1] + 1):
+                    gone |= {y[2] for y in block} if sum(y[3] for y in block) >= least else set()
+                    block = []
+                block.append(x)
+        for _, k, _ in rows[i]:
+            holders.setdefault(k, []).append(i)
+        out[i] = None if docs[i] is None else "\n".join(x for at, x in enumerate(docs[i].split("\n")) if at not in gone)
+    return out
+
+
+def test_a_copy_is_emptied_though_others_held_its_short_lines_first(spark):
+    docs = {1: "title one\nquite another text of six words", 2: "title one\nshort line\nand the end", 3: "short line\nelsewhere", 4: "title one\nshort line\nand the end"}
+    found = dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()
+    assert {x.doc_id: x.text for x in found} == {**docs, 4: ""}
+
+
+@pytest.mark.parametrize("single", [0, 4])
+def test_random_texts_against_all_earlier_documents(spark, monkeypatch, single):
+    monkeypatch.setattr(lines, "SINGLE", single)
+    rng = random.Random(7)
+    pool = [f"line number {k} " + "word " * rng.randint(0, 6) for k in range(25)] + [f"s{k}" for k in range(8)] + ["", "  "]
+    docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for i in range(60)}
+    docs |= {60 + i: docs[rng.randrange(60)] for i in range(20)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(5)
+    for least in (5, 20):
+        assert {x.doc_id: x.text for x in dedup_lines(df, least_words=least).collect()} == plain_all(docs, least)
+
+
+def test_query_against_all_earlier_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs = {x.doc_id: x.text for x in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    found = {x.doc_id: x.text for x in op5_line_dedup(spark, d).collect()}
+    assert found == plain_all(docs)
+    first = {}
+    for i in sorted(docs):
+        if len((docs[i] or "").split()) >= 5:
+            assert first.setdefault(docs[i], i) == i or not found[i].strip()

@@ -26,12 +26,28 @@ BLOCK = 64
 WEIGHTS = 1 << 18
 RUN = re.compile(r"[^\W_]+")
 CHUNK = re.compile(r"\S+")
+#: Characters of a white-space separated token beyond which its runs of letters or digits are tokens of their own.
+LONG = 200
+
+
+def cuts(token: str) -> list[tuple[int, int]]:
+    """Where the tokens of the field stand in a white-space separated one: one, or one for each run if it is long."""
+    starts = [m.start() for m in RUN.finditer(token)] if len(token) > LONG else []
+    edges = [0, *starts[1:], len(token)]
+    return list(zip(edges, edges[1:]))
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Offsets of a text's tokens."""
+    for m in CHUNK.finditer(text):
+        for a, b in cuts(m.group()):
+            yield m.start() + a, m.start() + b
 
 
 def features(token: str) -> list[int]:
-    """Hashed features of a white-space separated token: of each run of letters or digits, the word, prefixes of 3 to 6 and suffixes of 3 and 4."""
+    """Hashed features of a token: of each run of letters or digits, the word, prefixes of 3 to 6 and suffixes of 3 and 4."""
     names = set()
-    for w in RUN.findall(token[:200].lower()):
+    for w in RUN.findall(token.lower()):
         names.add(f"w={w}")
         names.update(f"p{n}={w[:n]}" for n in (3, 4, 5, 6) if len(w) >= n)
         names.update(f"s{n}={w[-n:]}" for n in (3, 4) if len(w) > n)
@@ -160,9 +176,12 @@ class Tagger:
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.cache:
             self.known = {}
-        known, weights, values = self.known, self.weights, np.empty(len(distinct))
+        known, weights, values, long = self.known, self.weights, np.empty(len(distinct)), {}
         for k, x in enumerate(distinct):
             v = known.get(x)
+            if v is None and len(x) > LONG:
+                long[k] = np.array([weights[features(x[a:b])].sum() for a, b in cuts(x)], float)
+                v = 0.0
             if v is None:
                 v = float(weights[features(x)].sum()) if x else -np.inf
                 if len(x) <= 40:
@@ -173,7 +192,16 @@ class Tagger:
         found = values[codes]
         if (empty := np.isneginf(found)).any():  # splitting leaves an empty token at either end
             per = per - np.bincount(np.repeat(np.arange(len(per)), per)[empty], minlength=len(per))
-            found = found[~empty]
+            found, codes = found[~empty], codes[~empty]
+        if long:
+            count, first = np.ones(len(distinct), np.int64), np.arange(len(distinct))
+            for k, x in long.items():
+                count[k], first[k] = len(x), len(values)
+                values = np.concatenate([values, x])
+            sums = np.concatenate([[0], np.cumsum(count[codes])])
+            ends = np.cumsum(per)
+            per = sums[ends] - sums[ends - per]
+            found = values[ragged(first[codes], count[codes])]
         return found, per
 
     def marginals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +216,11 @@ class Tagger:
         out: list[dict] = []
         if (marginal >= 0.5).any():
             before = False
-            for m, p in zip(CHUNK.finditer(text), marginal, strict=True):
+            for (start, end), p in zip(tokens(text), marginal, strict=True):
                 if p >= 0.5 and before:
-                    out[-1]["end"], out[-1]["p"] = m.end(), max(out[-1]["p"], float(p))
+                    out[-1]["end"], out[-1]["p"] = end, max(out[-1]["p"], float(p))
                 elif p >= 0.5:
-                    out.append({"start": m.start(), "end": m.end(), "p": float(p)})
+                    out.append({"start": start, "end": end, "p": float(p)})
                 before = p >= 0.5
         return out
 
@@ -202,7 +230,7 @@ class Corpus:
 
     def __init__(self, texts: list[str | None]):
         index: dict[str, int] = {}
-        codes = [np.array([index.setdefault(w, len(index)) for w in CHUNK.findall(t or "")], np.int32) for t in texts]
+        codes = [np.array([index.setdefault(w, len(index)) for a, b in tokens(t or "") for w in [t[a:b]]], np.int32) for t in texts]
         self.lengths = np.array([len(c) for c in codes], np.int64)
         self.codes = np.concatenate(codes) if codes else np.zeros(0, np.int32)
         lists = [np.array(features(w), np.int32) for w in index]

@@ -8,8 +8,6 @@ blocks that chase the same labels overshoot.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from labelweave.functions.metrics import Metric
 from labelweave.operators.confusion import ENTRIES, confusion
 from labelweave.operators.select import best, predict
+from labelweave.shared import Scratch
 
 
 def gain(metric: Metric, tp: Column, fp: Column, fn: Column, tn: Column, eta: Column, n: Column, m: int) -> Column:
@@ -40,16 +39,6 @@ def slice_step(eta: DataFrame, y_pred: DataFrame, conf: DataFrame, n: int, m: in
     return (best(gains, k) if k > 0 else gains.where("gain >= 0")).select("instance_id", "label_id", F.lit(1.0).alias("value"))
 
 
-def _folder(df: DataFrame) -> str:
-    """A folder for intermediate tables: the one of spark.checkpoint.dir, else a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="labelweave-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def initial(eta: DataFrame, k: int, init: str | DataFrame, seed: int) -> DataFrame:
     if isinstance(init, DataFrame):
         return init
@@ -62,7 +51,8 @@ def initial(eta: DataFrame, k: int, init: str | DataFrame, seed: int) -> DataFra
 
 def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, slices: int = 10, max_iters: int = 5, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, maximize: bool = True) -> tuple[DataFrame, list[float]]:
     """(y_pred, utilities): sweeps over hash slices until the expected metric improves by less than tolerance."""
-    spark, folder = eta.sparkSession, _folder(eta)
+    spark = eta.sparkSession
+    folder = Scratch(spark).root
     n, m = instances.count(), labels.count()
     y_true = eta.select("instance_id", "label_id", F.col("eta").alias("value"))
     part = F.pmod(F.xxhash64("instance_id", F.lit(seed)), F.lit(slices))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from labelweave.shared import Scratch, shared_dir
+
+__all__ = ["Scratch", "held", "ragged", "shared_dir", "slices", "table", "tokenizer_path"]
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,38 +31,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables that driver and executors share.
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], T]) -> T:
+    """What `make` gives, kept from task to task in this Python worker for one operator at a time.
 
-    It is the one that spark.checkpoint.dir names; only where that is unset (tests, a laptop) a
-    temporary folder takes its place.
+    When another operator asks for its own, the former's memory is let go and given back, so a reused
+    worker never holds the remembered words of several stages.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="labelweave-"))
-    return context.getCheckpointDir()
-
-
-class Scratch:
-    """Intermediate tables in the shared folder: they cut the lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.kept = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", []
-
-    def save(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
-        path = f"{self.root}/{len(self.kept)}"
-        self.kept.append(path)
-        (df.coalesce(partitions) if partitions else df).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *, keep: int = 0) -> None:
-        """Delete all tables but the last `keep` ones."""
-        jvm = self.spark._jvm
-        for path in self.kept[: len(self.kept) - keep]:
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.kept = [None] * (len(self.kept) - keep) + self.kept[len(self.kept) - keep :]
+    if name not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _held[name] = make()
+    return _held[name]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import Scratch, slices, table
+from labelweave.llm.common import Scratch, held, slices, table
 
 #: Words that a block has at least. Shorter ones are common phrases.
 LEAST_WORDS = 5
@@ -61,6 +61,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> Data
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("lines", lambda: None)  # lets other operators' memory go
         for batch in (part for whole in batches for part in slices(whole, "text")):
             found = []
             for t in batch.column("text").to_pylist():

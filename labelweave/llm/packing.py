@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import ragged, slices, table, tokenizer_path
+from labelweave.llm.common import held, ragged, slices, table, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -106,16 +106,6 @@ class CachedEncoder:
         return flat, counts
 
 
-_encoders: dict[str, CachedEncoder] = {}
-
-
-def encoder(path: str) -> CachedEncoder:
-    """One encoder per vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
-
-
 def piece_lengths(n: int, max_length: int) -> list[int]:
     """n as a sum of powers of two of max_length at most, longest first."""
     return [max_length] * (n // max_length) + [1 << b for b in range(max_length.bit_length() - 2, -1, -1) if n % max_length >> b & 1]
@@ -134,7 +124,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = held(f"packing {path}", lambda: CachedEncoder(path))
         for batch in (part for whole in batches for part in slices(whole, "text")):
             flat, counts = encode(pc.fill_null(batch.column("text"), ""))
             ends = np.cumsum(counts)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import ragged, slices, table, tokenizer_path
+from labelweave.llm.common import held, ragged, slices, table, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -386,15 +386,14 @@ def decode_ids(model: Model, ids: np.ndarray) -> str:
     return text[1:] if strip else text
 
 
-_models: dict[str, Model] = {}
-_encoders: dict[str, Encoder] = {}
+def encoder(path: str) -> Encoder:
+    """The encoder of a model file in this Python worker."""
 
-
-def model_at(path: str) -> Model:
-    if path not in _models:
+    def load() -> Encoder:
         with open(path, "rb") as f:
-            _models[path] = Model(f.read())
-    return _models[path]
+            return Encoder(Model(f.read()))
+
+    return held(f"pieces {path}", load)
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -406,10 +405,9 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(model_at(path))
+        encode = encoder(path)
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            flat, counts = _encoders[path](pc.fill_null(batch.column("text"), ""))
+            flat, counts = encode(pc.fill_null(batch.column("text"), ""))
             data, ends = flat.astype("<u4").tobytes(), np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array([data[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())], names=["id", "n_ids", "ids"])
 
@@ -423,7 +421,7 @@ def decode(coded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "ids", 16 << 20)):
-            texts = [None if x is None else decode_ids(model_at(path), np.frombuffer(x, "<u4").astype(np.int64)) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else decode_ids(encoder(path).model, np.frombuffer(x, "<u4").astype(np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     kind = coded.schema[id_col].dataType.simpleString()

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import Scratch, slices, table
+from labelweave.llm.common import Scratch, held, slices, table
 from labelweave.llm.components import components
 
 SHINGLE = 3
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(id, fp bigint) for each row; a null text has no words and so fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash", lambda: None)  # lets other operators' memory go
         for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fingerprint(t or b"", words) for t in texts], pa.int64())], names=["id", "fp"])

@@ -19,10 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import ragged, slices, table
+from labelweave.llm.common import held, ragged, slices, table
 
 #: Tokens that one step of the block-wise scan advances by.
 BLOCK = 64
+#: Tokens that one forward-backward pass holds; it needs a few dozen numbers for each.
+PIECE = 50_000
 WEIGHTS = 1 << 18
 RUN = re.compile(r"[^\W_]+")
 CHUNK = re.compile(r"\S+")
@@ -143,6 +145,15 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, transition: np.n
     return marginal, np.array([float((x / total).sum()) for x in pair]).reshape(2, 2)
 
 
+def parts(lengths: np.ndarray, most: int) -> Iterator[tuple[slice, slice]]:
+    """Documents and their tokens, at most `most` tokens at a time unless one document has more."""
+    ends, start, done = np.cumsum(lengths), 0, 0
+    while start < len(lengths):
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield slice(start, stop), slice(done, int(ends[stop - 1]))
+        start, done = stop, int(ends[stop - 1])
+
+
 def summary(marginal: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each document: 1, the log-odds of its largest marginal, log(1 + expected toxic tokens)."""
     out = np.zeros((len(lengths), 3))
@@ -164,7 +175,7 @@ class Tagger:
     transition: np.ndarray
     start: float
     document: np.ndarray
-    cache: int = 600_000
+    cache: int = 300_000
     known: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -205,8 +216,11 @@ class Tagger:
         return found, per
 
     def marginals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's marginal and each text's number of tokens; PIECE tokens at a time, or one longer text."""
         found, per = self.emissions(texts)
-        return forward_backward(found, per, self.transition, self.start)[0], per
+        for d, t in parts(per, PIECE):
+            found[t] = forward_backward(found[t], per[d], self.transition, self.start)[0]
+        return found, per
 
     def scores(self, marginal: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summary(marginal, lengths) @ self.document, -50, 50)))
@@ -238,17 +252,9 @@ class Corpus:
         self.flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         self.row = np.repeat(np.arange(self.size, dtype=np.int32), [len(x) for x in lists])
 
-    def parts(self, most: int = 100_000) -> Iterator[tuple[slice, slice]]:
-        """Documents and their tokens, about `most` tokens at a time."""
-        ends, start, done = np.cumsum(self.lengths), 0, 0
-        while start < len(self.lengths):
-            stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
-            yield slice(start, stop), slice(done, int(ends[stop - 1]))
-            start, done = stop, int(ends[stop - 1])
-
     def marginals(self, weights: np.ndarray, transition: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
         u = np.bincount(self.row, weights[self.flat], minlength=self.size)
-        found = [forward_backward(u[self.codes[t]], self.lengths[d], transition, start) for d, t in self.parts()]
+        found = [forward_backward(u[self.codes[t]], self.lengths[d], transition, start) for d, t in parts(self.lengths, PIECE)]
         return np.concatenate([p for p, _ in found]), sum(x for _, x in found)
 
 
@@ -347,6 +353,7 @@ def score(docs: DataFrame, tagger: Tagger, *, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(tagger)  # WEIGHTS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity", lambda: None)  # lets other operators' memory go
         for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = pc.fill_null(batch.column("text"), "")
             marginal, lengths = model.value.marginals(texts)
@@ -368,6 +375,7 @@ def drop_toxic(docs: DataFrame, tagger: Tagger, *, text_col: str = "text") -> Da
     model = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity", lambda: None)
         for batch in (part for whole in batches for part in slices(whole, text_col)):
             keep = model.value.scores(*model.value.marginals(pc.fill_null(batch.column(text_col), ""))) < 0.5
             yield batch.filter(pa.array(keep))

@@ -1,16 +1,13 @@
 """Line dedup by pairwise alignment.
 
-A document loses every block of lines that the alignment with any earlier document finds. The k-th
-occurrence of a line in a document has a key of its own, hence keys are unique in either document of a
-pair and every shared key is an anchor. A pair is aligned by patience (the longest increasing run of
-anchors), over all lines that the two share, and blocks of lines that follow one another in both
-documents are deleted from the later one.
-
-A line of a block always lies in a shortest run of lines with enough words that the earlier document
-holds too. So these runs propose the pairs: first each with its earliest holder, and a run that still
-has a line left with its next holders, one round after the other, until no holder is left. A line in a
-third of all documents thus proposes as many pairs as it has holders, and needs no ceiling on its
-frequency, unless its alignments fail.
+A document loses every run of consecutive lines with enough words that an earlier document holds as
+consecutive lines too. Pairs of documents are found through hashes of the shortest runs of lines with
+enough words: each such run of a later document proposes the earliest holder, so a line that a third of
+all documents share proposes one partner for each of them and not all pairs. A pair is aligned by
+patience diff over the lines that both hold (lines that are unique in both are anchors, the longest
+increasing sequence of anchors stays, stretches between anchors are aligned in turn, and matches extend
+over equal neighbours); common blocks of the alignment are deleted from the later document. A block that
+stands in another order there is not part of the alignment; it goes in a last step, by its runs.
 """
 
 from __future__ import annotations
@@ -29,73 +26,76 @@ from labelweave.llm.common import Scratch, held, slices, table
 
 #: Words that a block has at least. Shorter ones are common phrases.
 LEAST_WORDS = 5
-#: Rounds in which a run of lines meets one more holder; the round after them takes all that are left.
-SINGLE = 4
 
 
-def line_rows(text: str) -> list[tuple[int, int, bytes, int]]:
-    """(line, number among the lines with words, key, words) for each line with words; outer white space doesn't count."""
-    out, seen = [], Counter()
-    for at, line in enumerate(text.split("\n")):
-        if line := line.strip():
-            nth = seen[line]
-            seen[line] += 1
-            out.append((at, len(out), xxhash.xxh3_128_digest(line.encode("utf-8", "replace"), nth), len(line.split())))
-    return out
+def line_rows(text: str) -> list[tuple[int, bytes, int]]:
+    """(line, key, words) for each line with words; outer white space doesn't count."""
+    stripped = ((at, line.strip()) for at, line in enumerate(text.split("\n")))
+    return [(at, xxhash.xxh3_128_digest(line.encode("utf-8", "replace")), len(line.split())) for at, line in stripped if line]
 
 
-def runs(own: list[tuple[int, int, bytes, int]], least_words: int) -> list[tuple[int, int]]:
+def runs(words: list[int], least_words: int) -> list[tuple[int, int]]:
     """(first, last) of the shortest runs of lines with `least_words` words that start or end at a line."""
-    sums = np.concatenate([[0], np.cumsum([x[3] for x in own], dtype=np.int64)])
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     ends = np.searchsorted(sums, sums[:-1] + least_words) - 1
     starts = np.searchsorted(sums, sums[1:] - least_words, "right") - 1
-    return sorted({(k, b) for k, b in enumerate(ends.tolist()) if b < len(own)} | {(a, k) for k, a in enumerate(starts.tolist()) if a >= 0})
+    return sorted({(k, b) for k, b in enumerate(ends.tolist()) if b < len(words)} | {(a, k) for k, a in enumerate(starts.tolist()) if a >= 0})
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """(doc, version, line, nth, last, k1, k2, words) for the lines of all documents with an id; k1 and k2 are the key's 128 bits.
+def version(text: Column) -> Column:
+    """Tells rows with one id and different texts apart."""
+    return F.xxhash64(text)
 
-    last is -1 for a line, and the last line's number for a run of several lines, which has line -1; a
-    line with enough words is a run by itself.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held("lines", lambda: None)  # lets other operators' memory go
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            found = []
-            for t in batch.column("text").to_pylist():
-                own = line_rows(t)
-                several = [(a, b) for a, b in runs(own, least_words) if a < b]
-                found.append([(at, nth, -1, key, words) for at, nth, key, words in own] + [(-1, a, b, xxhash.xxh3_128_digest(b"".join(x[2] for x in own[a : b + 1])), 0) for a, b in several])
-            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            flat = [x for rows in found for x in rows]
-            keys = np.frombuffer(b"".join(x[3] for x in flat), "<i8").reshape(-1, 2)
-            number = lambda i: pa.array([x[i] for x in flat], pa.int32())
-            columns = [batch.column("doc").take(row), batch.column("version").take(row), number(0), number(1), number(2), pa.array(keys[:, 0]), pa.array(keys[:, 1]), number(4)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "version", "line", "nth", "last", "k1", "k2", "words"])
 
+def single_texts(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(doc, version, text) of the rows with an id and a text, each once; only rows that are repeated are shuffled."""
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), version(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, f"doc {kind}, version bigint, line int, nth int, last int, k1 bigint, k2 bigint, words int")
+    again = scratch.save(texts.groupBy("doc", "version").count().where("count > 1").select("doc", "version"))
+    if again.isEmpty():
+        return texts
+    key = ["doc", "version"]
+    return texts.join(again, key, "left_anti").unionByName(texts.join(again, key, "left_semi").dropDuplicates(key))
 
 
-def version(text: Column) -> Column:
-    """Tells rows with one id and different texts apart."""
-    return F.xxhash64(text)
+def keyed_lines(texts: DataFrame, least_words: int) -> DataFrame:
+    """(doc, version, run, k1, k2, at, lines, words) of texts (doc, version, text).
 
+    A row with run = false is a distinct line of the document: k1 and k2 are its hash's 128 bits, `at` lists
+    its places among the lines with words and `lines` those in the text. A row with run = true is a distinct
+    shortest run, with the hash of its lines.
+    """
+    kind = texts.schema["doc"].dataType.simpleString()
 
-def patience(anchors: list[tuple[int, int]]) -> list[int]:
-    """Indices of a longest run of anchors (sorted by their first number) whose second numbers increase."""
-    tops: list[int] = []
-    piles: list[int] = []
-    back: list[int] = []
-    for k, (_, b) in enumerate(anchors):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("lines", lambda: None)  # lets other operators' memory go
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            row, is_run, keys, at, lines, words = [], [], [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                own, places = line_rows(text), {}
+                for n, (_, key, _) in enumerate(own):
+                    places.setdefault(key, []).append(n)
+                spans = {b"".join(x[1] for x in own[a : b + 1]) for a, b in runs([x[2] for x in own], least_words)}
+                row += [k] * (len(places) + len(spans))
+                is_run += [False] * len(places) + [True] * len(spans)
+                keys += [*places, *map(xxhash.xxh3_128_digest, spans)]
+                at += [*places.values(), *([] for _ in spans)]
+                lines += [*([own[n][0] for n in p] for p in places.values()), *([] for _ in spans)]
+                words += [*(own[p[0]][2] for p in places.values()), *(0 for _ in spans)]
+            bits, take = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2), pa.array(row, pa.int64())
+            columns = [batch.column("doc").take(take), batch.column("version").take(take), pa.array(is_run, pa.bool_()), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+            numbers = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at, numbers), pa.array(lines, numbers), pa.array(words, pa.int32())], names=["doc", "version", "run", "k1", "k2", "at", "lines", "words"])
+
+    return texts.mapInArrow(run, f"doc {kind}, version bigint, run boolean, k1 bigint, k2 bigint, at array<int>, lines array<int>, words int")
+
+
+def increasing(second: list[int]) -> list[int]:
+    """Indices of a longest increasing sequence, by patience sorting."""
+    tops, piles, back = [], [], []
+    for k, b in enumerate(second):
         at = bisect_left(tops, b)
         back.append(piles[at - 1] if at else -1)
-        if at == len(tops):
-            tops.append(b), piles.append(k)
-        else:
-            tops[at], piles[at] = b, k
+        tops[at : at + 1], piles[at : at + 1] = [b], [k]
     out, k = [], piles[-1] if piles else -1
     while k >= 0:
         out.append(k)
@@ -103,90 +103,95 @@ def patience(anchors: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
-def blocks(shared: list[dict], least_words: int) -> list[int]:
-    """Lines to delete from a document; shared: its lines that earlier documents hold, as (doc, nth, nth_there, line, words), sorted by doc."""
-    gone: set[int] = set()
-    at = 0
-    while at < len(shared):
-        end = at
-        while end < len(shared) and shared[end]["doc"] == shared[at]["doc"]:
-            end += 1
-        pair = sorted({(x["nth"], x["nth_there"], x["line"], x["words"]) for x in shared[at:end]})
-        chosen = [pair[k] for k in patience([(x[0], x[1]) for x in pair])]
-        block: list[tuple] = []
-        for x in [*chosen, None]:
-            if block and (x is None or x[0] != block[-1][0] + 1 or x[1] != block[-1][1] + 1):
-                if sum(y[3] for y in block) >= least_words:
-                    gone.update(y[2] for y in block)
-                block = []
-            block.append(x)
-        at = end
-    return sorted(gone)
-
-
-def aligned(rows: DataFrame, pairs: DataFrame, least_words: int) -> DataFrame:
-    """(doc, version, gone): for each pair (doc, version, there, at_version) that loses lines, the numbers of those lines in the text."""
-    own = rows.where("last < 0")
-    there = own.select(F.col("doc").alias("there"), F.col("version").alias("at_version"), "k1", "k2", F.col("nth").alias("nth_there"))
-    both = own.select("doc", "version", "line", "nth", "k1", "k2", "words").join(pairs, ["doc", "version"]).join(there, ["there", "at_version", "k1", "k2"])
-    listed = both.groupBy("doc", "version", "there", "at_version").agg(F.collect_list(F.struct("nth", "nth_there", "line", "words")).alias("shared"))
-    kind = rows.schema["doc"].dataType.simpleString()
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Matched places (i, j) of two sequences, both increasing: anchors are values that are unique in both."""
+    out, stretches = [], [(0, len(a), 0, len(b))]
+    while stretches:
+        i, i_end, j, j_end = stretches.pop()
+        while i < i_end and j < j_end and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
+            i_end, j_end = i_end - 1, j_end - 1
+            out.append((i_end, j_end))
+        if i == i_end or j == j_end:
+            continue
+        once_a, once_b = Counter(a[i:i_end]), Counter(b[j:j_end])
+        place = {b[q]: q for q in range(j, j_end) if once_b[b[q]] == 1}
+        both = [(p, place[a[p]]) for p in range(i, i_end) if once_a[a[p]] == 1 and a[p] in place]
+        chosen = [both[k] for k in increasing([q for _, q in both])]
+        for p, q in chosen:
+            out.append((p, q))
+            stretches.append((i, p, j, q))
+            i, j = p + 1, q + 1
+        if chosen:
+            stretches.append((i, i_end, j, j_end))
+    return sorted(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [blocks([x | {"doc": 0} for x in shared.as_py()], least_words) for shared in batch.column("shared")]
-            full = pa.array([len(x) > 0 for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("version"), pa.array(found, pa.list_(pa.int32()))], names=["doc", "version", "gone"]).filter(full)
 
-    return listed.mapInArrow(run, f"doc {kind}, version bigint, gone array<int>")
+def blocks(shared: list[dict], least_words: int) -> list[int]:
+    """Lines of the text that a document loses to an earlier one.
+
+    shared: the distinct lines of both, as (at, there, lines, words): the places in either document, in order.
+    """
+    own = sorted((n, k, line) for k, x in enumerate(shared) for n, line in zip(x["at"], x["lines"], strict=True))
+    other = sorted((n, k) for k, x in enumerate(shared) for n in x["there"])
+    words, gone, block = [shared[k]["words"] for _, k, _ in own], set(), []
+    for i, j in [*patience([x[1] for x in own], [x[1] for x in other]), (-1, -1)]:
+        if block and (i < 0 or own[i][0] != own[block[-1][0]][0] + 1 or other[j][0] != other[block[-1][1]][0] + 1):
+            if sum(words[p] for p, _ in block) >= least_words:
+                gone.update(p for p, _ in block)
+            block = []
+        block.append((i, j))
+    if len(gone) < len(own):  # blocks in another order
+
+        def spans(places: list[int], codes: list[int]) -> list[tuple[int, int]]:
+            cut = [0, *(p for p in range(1, len(places)) if places[p] != places[p - 1] + 1), len(places)]
+            return [(s + a, s + b) for s, e in zip(cut, cut[1:]) for a, b in runs([shared[c]["words"] for c in codes[s:e]], least_words)]
+
+        codes = [x[1] for x in other]
+        there = {tuple(codes[a : b + 1]) for a, b in spans([x[0] for x in other], codes)}
+        codes = [x[1] for x in own]
+        for a, b in spans([x[0] for x in own], codes):
+            if tuple(codes[a : b + 1]) in there:
+                gone.update(range(a, b + 1))
+    return sorted(own[p][2] for p in gone)
 
 
 def removals(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc, version, gone): for documents that lose lines, whether each line goes, up to the last that does."""
     least_words = max(1, least_words)
-    rows = scratch.save(lines(docs, id_col, text_col, least_words))
-    spans = rows.where(f"last >= 0 or words >= {least_words}").select("doc", "version", "nth", F.greatest("nth", "last").alias("last"), "k1", "k2")
-    holder = F.struct("doc", "version")
-    first = spans.groupBy("k1", "k2").agg(F.min(holder).alias("tried"), F.max("doc").alias("latest")).where("latest > tried.doc").select("k1", "k2", "tried")
-    open_ = scratch.save(spans.join(scratch.save(first), ["k1", "k2"]).where("doc > tried.doc"))
-    before, gone, turn = None, None, 0
-    while turn == 0 or not open_.isEmpty():
-        pairs = open_.select("doc", "version", F.col("tried.doc").alias("there"), F.col("tried.version").alias("at_version")).distinct()
-        pairs = scratch.save(pairs if before is None else pairs.join(before, pairs.columns, "left_anti"))
-        before = pairs if before is None else before.unionByName(pairs)
-        found = scratch.save(aligned(rows, pairs, least_words))
-        gone = found if gone is None else gone.unionByName(found)
-        if turn > SINGLE:
-            break
-        # runs that have a line left
-        numbers = rows.where("last < 0").select("doc", "version", "line", "nth")
-        done = gone.select("doc", "version", F.explode("gone").alias("line")).join(numbers, ["doc", "version", "line"]).select("doc", "version", F.col("nth").alias("at"))
-        each = open_.withColumn("at", F.explode(F.sequence("nth", "last"))).join(done, ["doc", "version", "at"], "left_anti")
-        left = scratch.save(each.select(*open_.columns).distinct())
-        if left.isEmpty():
-            break
-        keys = left.select("k1", "k2", "tried").distinct()
-        later = spans.select("k1", "k2", holder.alias("next")).join(keys, ["k1", "k2"]).where("next > tried")
-        turn += 1
-        later = later.groupBy("k1", "k2").agg(F.min("next").alias("next")) if turn <= SINGLE else later.select("k1", "k2", "next").distinct()
-        open_ = scratch.save(left.drop("tried").join(later, ["k1", "k2"]).where("doc > next.doc").withColumnRenamed("next", "tried"))
+    rows = scratch.save(keyed_lines(single_texts(docs, id_col, text_col, scratch), least_words))
+    spans = rows.where("run").select("doc", "version", "k1", "k2")
+    first = spans.groupBy("k1", "k2").agg(F.min(F.struct("doc", "version")).alias("tried"), F.max("doc").alias("latest")).where("latest > tried.doc").select("k1", "k2", "tried")
+    pairs = spans.join(first, ["k1", "k2"]).where("doc > tried.doc").select("doc", "version", F.col("tried.doc").alias("there"), F.col("tried.version").alias("at_version")).distinct()
+    own = rows.where("not run")
+    there = own.select(F.col("doc").alias("there"), F.col("version").alias("at_version"), "k1", "k2", F.col("at").alias("places"))
+    both = own.join(scratch.save(pairs), ["doc", "version"]).join(there, ["there", "at_version", "k1", "k2"])
+    listed = both.groupBy("doc", "version", "there", "at_version").agg(F.collect_list(F.struct("at", F.col("places").alias("there"), "lines", "words")).alias("shared"))
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks(shared.as_py(), least_words) for shared in batch.column("shared")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("version"), pa.array(found, pa.list_(pa.int32()))], names=["doc", "version", "gone"])
+
     def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for numbers in batch.column("gone"):
-                mask = np.zeros(max(numbers.as_py()) + 1, bool)
-                mask[numbers.as_py()] = True
+            for numbers in batch.column("gone").to_pylist():
+                mask = np.zeros(max(numbers) + 1, bool)
+                mask[numbers] = True
                 found.append(mask)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("version"), pa.array(found, pa.list_(pa.bool_()))], names=["doc", "version", "gone"])
 
-    listed = gone.groupBy("doc", "version").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-    return listed.mapInArrow(masks, f"doc {kind}, version bigint, gone array<boolean>")
+    aligned = listed.mapInArrow(align, f"doc {kind}, version bigint, gone array<int>").where("size(gone) > 0")
+    merged = aligned.groupBy("doc", "version").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return merged.mapInArrow(masks, f"doc {kind}, version bigint, gone array<boolean>")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, least_words: int = LEAST_WORDS, drop_emptied: bool = False, counts: bool = False) -> DataFrame:
-    """The rows of docs without the blocks of lines that any document with a smaller id holds as well.
+    """The rows of docs without the runs of lines that any document with a smaller id holds as well.
 
     Rows that share an id are one document in several versions: they don't lose lines to one another, and
     equal rows get equal texts. Rows with a null id or a null text stay as they are; empty texts have no

@@ -1,7 +1,31 @@
 import random
-from collections import Counter
 
-from labelweave.llm.lines import dedup_lines, op5_line_dedup, patience
+from labelweave.llm.lines import LEAST_WORDS, dedup_lines, increasing, op5_line_dedup, patience
+
+
+def plain(docs, least=LEAST_WORDS):
+    """{doc_id: text} by the definition: every pair of documents, every run of lines that both hold; nothing of the operator's own is used."""
+    rows = {i: [(at, line.strip(), len(line.split())) for at, line in enumerate((t or "").split("\n")) if line.strip()] for i, t in docs.items()}
+    out = {}
+    for i in sorted(docs):
+        gone, own = set(), rows[i]
+        for j in sorted(docs):
+            if j >= i:
+                break
+            places = {}
+            for q, x in enumerate(rows[j]):
+                places.setdefault(x[1], []).append(q)
+            for p in range(len(own)):
+                for q in places.get(own[p][1], ()):
+                    if p and q and own[p - 1][1] == rows[j][q - 1][1]:
+                        continue  # not the start of a common run
+                    n = 0
+                    while p + n < len(own) and q + n < len(rows[j]) and own[p + n][1] == rows[j][q + n][1]:
+                        n += 1
+                    if sum(x[2] for x in own[p : p + n]) >= least:
+                        gone |= {x[0] for x in own[p : p + n]}
+        out[i] = None if docs[i] is None else "\n".join(x for at, x in enumerate(docs[i].split("\n")) if at not in gone)
+    return out
 
 
 def longest(values):
@@ -12,43 +36,25 @@ def longest(values):
     return max(best, default=0)
 
 
-def plain(docs, least=5):
-    """{doc_id: text} by the definition, one document after the other."""
-    first, rows = {}, {}
-    for i in sorted(docs):
-        seen, rows[i] = Counter(), []
-        for at, line in enumerate((docs[i] or "").split("\n")):
-            if line.strip():
-                key = line.strip(), seen[line.strip()]
-                seen[line.strip()] += 1
-                rows[i].append((at, key, len(line.split())))
-                first.setdefault(key, (i, len(rows[i]) - 1))
-    out = {}
-    for i, own in rows.items():
-        gone = set()
-        for there in {first[k][0] for _, k, _ in own} - {i}:
-            pair = [(n, first[k][1], at, w) for n, (at, k, w) in enumerate(own) if first[k][0] == there]
-            chosen = [pair[k] for k in patience([(a, b) for a, b, *_ in pair])]
-            assert len(chosen) == longest([b for _, b, *_ in pair])
-            runs = []
-            for x in chosen:
-                if runs and x[0] == runs[-1][-1][0] + 1 and x[1] == runs[-1][-1][1] + 1:
-                    runs[-1].append(x)
-                else:
-                    runs.append([x])
-            gone |= {x[2] for run in runs if sum(x[3] for x in run) >= least for x in run}
-        out[i] = None if docs[i] is None else "\n".join(x for at, x in enumerate(docs[i].split("\n")) if at not in gone)
-    return out
-
-
-def test_patience():
+def test_increasing():
     rng = random.Random(5)
     for _ in range(200):
         v = rng.sample(range(50), rng.randint(0, 20))
-        found = [v[k] for k in patience(list(enumerate(v)))]
+        found = [v[k] for k in increasing(v)]
         assert found == sorted(found) and len(found) == longest(v)
 
 
+def test_patience():
+    assert patience([1, 9, 2], [1, 3, 1, 9, 9, 2]) == [(0, 0), (1, 4), (2, 5)]
+    assert patience([5, 6, 7], [6, 7, 5]) == [(1, 0), (2, 1)]
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randrange(9) for _ in range(rng.randint(0, 14))] for _ in "ab")
+        found = patience(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(x < y for pair in zip(found, found[1:]) for x, y in zip(*pair))
+
+
 def test_query(spark, small):
     docs = {x.doc_id: x.text for x in spark.read.parquet(f"{small}/documents.parquet").collect()}
     found = op5_line_dedup(spark, small).collect()
@@ -67,6 +73,15 @@ def test_random_texts_against_the_definition(spark):
         assert {x.doc_id: x.text for x in dedup_lines(df, least_words=least).collect()} == plain(docs, least)
 
 
+def test_copies_whose_lines_others_held_first(spark):
+    """Lines of a copy that stand in different earlier documents, alone too short to go."""
+    lines = ["one two three", "four five six", "seven eight nine"]
+    docs = {1: lines[0] + "\nquite another text of six words", 2: lines[1] + "\nelsewhere", 3: "a b\n" + lines[2], 4: "\n".join(lines), 5: "\n".join(lines), 6: "\n".join(reversed(lines))}
+    docs |= {7: "hdr\nfoo bar baz\nhdr\nbody text that is long enough here", 8: "hdr\nbody text that is long enough here", 9: "a line of five words\nanother line of five words", 10: "another line of five words\na line of five words"}
+    found = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert found == {**docs, 5: "", 8: "", 10: ""} == plain(docs)
+
+
 def test_edge_cases(spark):
     a = "one two three four five six\nseven eight nine ten eleven"
     long = "\n".join(f"a line with the number {k}" for k in range(20_000))

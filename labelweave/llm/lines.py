@@ -164,7 +164,7 @@ def removals(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_
     rows = scratch.save(keyed_lines(single_texts(docs, id_col, text_col, scratch), least_words))
     spans = rows.where("run").select("doc", "version", "k1", "k2")
     first = spans.groupBy("k1", "k2").agg(F.min(F.struct("doc", "version")).alias("tried"), F.max("doc").alias("latest")).where("latest > tried.doc").select("k1", "k2", "tried")
-    pairs = spans.join(first, ["k1", "k2"]).where("doc > tried.doc").select("doc", "version", F.col("tried.doc").alias("there"), F.col("tried.version").alias("at_version")).distinct()
+    pairs = spans.join(scratch.save(first), ["k1", "k2"]).where("doc > tried.doc").select("doc", "version", F.col("tried.doc").alias("there"), F.col("tried.version").alias("at_version")).distinct()
     own = rows.where("not run")
     there = own.select(F.col("doc").alias("there"), F.col("version").alias("at_version"), "k1", "k2", F.col("at").alias("places"))
     both = own.join(scratch.save(pairs), ["doc", "version"]).join(there, ["there", "at_version", "k1", "k2"])

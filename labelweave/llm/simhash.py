@@ -1,14 +1,21 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A 64-bit fingerprint is cut into two halves. Fingerprints that differ in at most three bits differ in
-at most one bit of one half, so they share one of that half's 32 variants in which one bit is deleted.
-Distinct fingerprints are indexed under all 64 variants, equal variants meet in a bucket, and every
-pair of a bucket is verified; a bucket returns the pairs' spanning forest and not the pairs.
+A fingerprint is cut into few segments, so that one of them differs by at most one bit between near
+duplicates: it is then equal in one of its variants, in which one bit is deleted. Distinct fingerprints
+are indexed under all variants of all segments, equal variants meet in a bucket, and every pair of a
+bucket is verified by the distance of the whole fingerprints. A bucket returns a spanning forest of its
+links, nearest links first, and not all pairs.
+
+Two scales are in use. FINE has 64 bits in two segments of 32 and links up to three differing bits, for
+which no link is missed. WIDE has 128 bits in six segments of 21 and links up to 28 differing bits, which
+is what texts with a similarity of 0.8 have; there a candidate is found with a probability (about 0.6 at
+0.8, 0.8 at 0.85, 0.9 at 0.9, 1 at 1) and links are verified by the shingles themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,107 +26,161 @@ from pyspark.sql import functions as F
 from labelweave.llm.common import Scratch, held, slices, table
 from labelweave.llm.components import components
 
-SHINGLE = 3
-DISTANCE = 3
 SEED = 42
-#: Fingerprints of a bucket that one task compares at once; larger buckets are compared block against block.
-BLOCK = 8192
+#: Fingerprints of a bucket that are compared at once; larger buckets are compared block against block.
+BLOCK = 2048
+#: Large buckets are found from one fingerprint in so many; this deals work out and does not change results.
+PROBE = 16
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Words of a shingle, 64-bit words of a fingerprint, segments in each of these words, bits of a segment, and the largest distance that links."""
+
+    shingle: int
+    words: int
+    segments: int
+    bits: int
+    distance: int
 
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{k}" for k in range(self.words)]
 
-def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash over the word shingles of a UTF-8 text, as a signed 64-bit integer; 0 if it has no word."""
+
+FINE = Scale(3, 1, 2, 32, 3)
+WIDE = Scale(5, 2, 3, 21, 28)
+SIMILARITY = 0.8
+
+
+def shingles(text: bytes, words: int) -> list[bytes]:
+    """Word shingles of a UTF-8 text with A-Z in lower case, repeats included; the whole sequence if it has fewer words."""
     tokens = text.lower().split()  # of bytes: ASCII letters and ASCII white space only
     if not tokens:
-        return 0
+        return []
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     n = min(words, len(tokens))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(tokens) - n + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], dtype=">u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
+    return [joined[a:b] for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)]
+
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits that are set in over half of the rows of big-endian words, as such words."""
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(">i8")
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """(id, fp bigint) for each row; a null text has no words and so fingerprint 0."""
+
+def fingerprint(text: bytes, scale: Scale = FINE, seed: int = SEED) -> list[int]:
+    """SimHash of a text as signed 64-bit integers; 0 if it has no word. One word: over all shingles; two: over distinct ones."""
+    found = shingles(text, scale.shingle)
+    if not found:
+        return [0] * scale.words
+    if scale.words == 1:
+        digest = xxhash.xxh64_intdigest
+        return majority(np.array([digest(x, seed) for x in found], ">u8").reshape(-1, 1)).tolist()
+    digest = xxhash.xxh3_128_digest
+    return majority(np.frombuffer(b"".join(digest(x, seed) for x in set(found)), ">u8").reshape(-1, 2)).tolist()
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scale: Scale = FINE) -> DataFrame:
+    """(id, f0, ...) for each row, and the text's hash as version; a null text has no words and so fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("simhash", lambda: None)  # lets other operators' memory go
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fingerprint(t or b"", words) for t in texts], pa.int64())], names=["id", "fp"])
+            found = np.array([fingerprint(t or b"", scale) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.int64).reshape(-1, scale.words)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), *(pa.array(np.ascontiguousarray(x)) for x in found.T)], names=["id", "version", *scale.columns])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, version bigint, " + ", ".join(f"{c} bigint" for c in scale.columns))
 
 
-def variants(fp: Column) -> Column:
-    """The 64 keys of a fingerprint: half (high 0, low 1), deleted bit, and the half without that bit."""
-    keys = []
-    for half in (0, 1):
-        value = F.shiftrightunsigned(fp, 32) if half == 0 else fp.bitwiseAND(F.lit((1 << 32) - 1))
-        keys += [value.bitwiseAND(F.lit(((1 << 32) - 1) & ~(1 << bit))).bitwiseOR(F.lit(half << 37 | bit << 32)) for bit in range(32)]
+def variants(scale: Scale) -> Column:
+    """The keys of a fingerprint: number of the segment, deleted bit, and the segment without that bit in the low 32 bits."""
+    keys, mask = [], (1 << scale.bits) - 1
+    for k in range(scale.words * scale.segments):
+        shift = 64 - scale.bits * (k % scale.segments + 1)
+        value = F.shiftrightunsigned(F.col(f"f{k // scale.segments}"), shift).bitwiseAND(F.lit(mask))
+        keys += [value.bitwiseAND(F.lit(mask & ~(1 << bit))).bitwiseOR(F.lit((k << 6 | bit) << 32)) for bit in range(scale.bits)]
     return F.array(*keys)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, side: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, node) that span the links within runs of equal keys; fps are sorted within a run.
+def segment(f: np.ndarray, k: int, scale: Scale) -> np.ndarray:
+    return f[:, k // scale.segments] >> np.uint64(64 - scale.bits * (k % scale.segments + 1)) & np.uint64((1 << scale.bits) - 1)
+
+
+def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Positions of edges that span what the edges a, b connect; edges with a small `far` come first."""
+    root, out = np.arange(n), []
+    for level in np.unique(far):
+        left = np.flatnonzero(far == level)
+        while True:
+            x, y = root[a[left]], root[b[left]]
+            left, x, y = left[x != y], x[x != y], y[x != y]
+            if not len(left):
+                break
+            high, first = np.unique(np.maximum(x, y), return_index=True)  # one edge for each root, to a smaller one
+            root[high] = np.minimum(x, y)[first]
+            out.append(left[first])
+            while (root[root] != root).any():
+                root = root[root]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links that span all links within runs of equal `group`; f: fingerprints, a row for each.
 
     A pair counts only in the first bucket that it shares, and between sides only if they differ (side 0
     and 1 are two blocks of a large bucket, 2 a whole one).
     """
-    n = len(keys)
-    half, bit, u = keys >> 37 & 1, (keys >> 32 & 31).astype(np.uint64), fps.astype(np.uint64)
-    one, left, right = np.uint64(1) << bit, [], []
+    n, u = len(group), f.astype(np.uint64)
+    own, bit, left, right, far = keys >> 38, (keys >> 32 & 63).astype(np.uint64), [], [], []
     at, shift = np.arange(n), 1
     while True:
         at = at[at + shift < n]
-        at = at[keys[at] == keys[at + shift]]
+        at = at[group[at] == group[at + shift]]
         if not len(at):
             break
         pair = at[(side[at] == 2) | (side[at] != side[at + shift])]
         x = u[pair] ^ u[pair + shift]
-        pair, x = pair[(near := np.bitwise_count(x) <= distance)], x[near]
-        high, low = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF)
-        own = np.where(half[pair] == 0, high, low)
-        first = ((own == 0) & (bit[pair] == 0)) | (own == one[pair])
-        first &= (half[pair] == 0) | (np.bitwise_count(high) > 1)
-        left.append(pair[first]), right.append(pair[first] + shift)
+        d = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        pair, x, d = pair[d <= scale.distance], x[d <= scale.distance], d[d <= scale.distance]
+        if len(pair):
+            first = np.ones(len(pair), bool)
+            for k in range(scale.words * scale.segments):
+                y = segment(x, k, scale)
+                first &= (own[pair] <= k) | (np.bitwise_count(y) > 1)
+                mine = own[pair] == k
+                first[mine] &= (y[mine] == np.uint64(1) << bit[pair[mine]]) | ((y[mine] == 0) & (bit[pair[mine]] == 0))
+            left.append(pair[first]), right.append(pair[first] + shift), far.append(d[first])
         shift += 1
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
-    root = np.arange(n)  # smallest position of the local component
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low), np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    while (root[root] != root).any():
-        root = root[root]
-    linked = np.flatnonzero(root != np.arange(n))
-    return nodes[linked], nodes[root[linked]]
+    chosen = forest(a, b, np.concatenate(far), n)
+    return a[chosen], b[chosen]
 
 
-def links(reps: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between the nodes of reps (fp, node), enough to connect what DISTANCE bits link.
+def links(reps: DataFrame, scale: Scale, *, block: int = BLOCK) -> DataFrame:
+    """Edges (a0, ..., b0, ...) between distinct fingerprints (f0, ...), enough to connect what the distance links.
 
-    reps has one row for each fingerprint. Buckets of more than `block` fingerprints are dealt out as
-    pairs of blocks, so no task holds more than two blocks at once.
+    Buckets of more than about `block` fingerprints are dealt out as pairs of blocks, so no task compares
+    more than two blocks at once.
     """
-    keyed = reps.select(F.explode(variants(F.col("fp"))).alias("key"), "fp", "node")
-    large = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    words, f = scale.columns, F.xxhash64(*scale.columns)
+    keyed = lambda df: df.select(F.explode(variants(scale)).alias("key"), *words)
+    probe = keyed(reps.where(F.pmod(F.xxhash64(*words, F.lit(1)), F.lit(PROBE)) == 0)).groupBy("key").count()
+    large = probe.where(F.col("count") * PROBE > block).select("key", F.ceil(F.col("count") * PROBE / block).cast("int").alias("blocks"))
+    own = F.pmod(f, F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = keyed.join(large, "key", "left").select("key", "fp", "node", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", F.coalesce(F.least("own", "other"), F.lit(-1)).alias("i"), F.coalesce(F.greatest("own", "other"), F.lit(-1)).alias("j"), "fp", "node", F.when(F.col("other") < 0, 2).when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    kind = reps.schema["node"].dataType.simpleString()
+    dealt = keyed(reps).join(large, "key", "left").select("key", *words, F.coalesce(own, F.lit(-1)).alias("own"), other.alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    low, high = F.least("own", "other").cast("bigint") + 1, F.greatest("own", "other").cast("bigint") + 1
+    dealt = dealt.select("key", (F.shiftleft(low, 32) + F.shiftleft(high, 2) + side).alias("deal"), *words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -134,42 +195,99 @@ def links(reps: DataFrame, *, block: int = BLOCK) -> DataFrame:
             yield from found(rest, group_of(rest))
 
     def group_of(t: pa.Table) -> np.ndarray:
-        """Number of the run of equal (key, i, j)."""
-        new = np.zeros(len(t), bool)
-        for name in ("key", "i", "j"):
-            x = t[name].to_numpy()
-            new[1:] |= x[1:] != x[:-1]
+        """Number of the run of equal key and pair of blocks."""
+        key, pair, new = t["key"].to_numpy(), t["deal"].to_numpy() >> 2, np.zeros(len(t), bool)
+        new[1:] = (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
         return np.cumsum(new)
 
     def found(t: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size = np.bincount(group)
-        t = t.filter(pa.array(size[group] > 1))
-        group = group[size[group] > 1]
-        if not len(t):
-            return
-        # the run's number stands above the 38 bits of the key, which keeps blocks of one key apart
-        a, b = bucket_links(t["key"].to_numpy() | group.astype(np.int64) << 38, t["fp"].to_numpy(), np.arange(len(t)), t["side"].to_numpy())
-        node = t["node"].combine_chunks()
-        yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+        several = np.bincount(group)[group] > 1
+        t, group = t.filter(pa.array(several)), group[several]
+        if len(t):
+            f = np.stack([t[c].to_numpy() for c in words], axis=1)
+            a, b = bucket_links(group, t["key"].to_numpy(), f, t["deal"].to_numpy() & 3, scale)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(f[x, k])) for x in (a, b) for k in range(scale.words)], names=[f"{s}{k}" for s in "ab" for k in range(scale.words)])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(run, f"a {kind}, b {kind}")
+    pair = F.shiftright("deal", 2)
+    sorted_ = dealt.repartition(F.col("key"), pair).sortWithinPartitions("key", "deal", *words)
+    return sorted_.mapInArrow(run, ", ".join(f"{s}{k} bigint" for s in "ab" for k in range(scale.words)))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(id, fp, component_id) for each row of docs; component_id is the smallest id reachable by links.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(id, fp, component_id) for each row of docs on the FINE scale; component_id is the smallest id reachable by links.
 
     Null and empty texts have fingerprint 0 and link with one another; equal rows share a component;
     rows with a null id get their fingerprint's component, and null if no row with an id has it; an
     empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
-    reps = Scratch(docs.sparkSession).save(rows.groupBy("fp").agg(F.min("id").alias("node")))
-    found = components(links(reps.where("node is not null"), block=block), Scratch(docs.sparkSession))
-    of = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    rows = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col).select("id", F.col("f0").alias("fp")))
+    reps = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"))
+    edges = links(reps.select(F.col("fp").alias("f0")), FINE, block=block).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
+    found = components(edges, Scratch(docs.sparkSession))
+    linked = scratch.save(reps.join(found, reps.fp == found.node).select("fp", "component", reps.node))
+    least = linked.groupBy("component").agg(F.min("node").alias("least"))
+    of = reps.join(linked.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "node").alias("component_id"))
     return rows.join(of, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def similar(edges: DataFrame, rows: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, scale: Scale, similarity: float) -> DataFrame:
+    """The edges whose texts have at least `similarity`: shared distinct shingles over all distinct shingles of both.
+
+    Each fingerprint stands for the text with the smallest (id, version) that has it; only texts of
+    fingerprints with an edge are read again.
+    """
+    words = scale.columns
+    ends = edges.select(*[F.col(f"a{k}").alias(c) for k, c in enumerate(words)]).unionByName(edges.select(*[F.col(f"b{k}").alias(c) for k, c in enumerate(words)])).distinct()
+    at = rows.join(ends, words, "left_semi").groupBy(*words).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "version")).alias("at"))
+    at = at.select(*words, F.col("at.id").alias("_id"), F.col("at.version").alias("_version"))
+    own = docs.select(F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
+    texts = own.join(at, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_version"))).groupBy(*words).agg(F.min("text").alias("text"))
+    side = lambda s: texts.select(*[F.col(c).alias(f"{s}{k}") for k, c in enumerate(words)], F.col("text").alias(f"{s}_text"))
+    both = edges.join(side("a"), [f"a{k}" for k in range(scale.words)]).join(side("b"), [f"b{k}" for k in range(scale.words)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(*(batch.column(f"{s}_text").cast(pa.binary()) for s in "ab"), strict=True):
+                a, b = (set(shingles(t.as_py() or b"", scale.shingle)) for t in (x, y))
+                keep.append(len(a & b) >= similarity * len(a | b) if a or b else True)
+            yield batch.drop_columns(["a_text", "b_text"]).filter(pa.array(keep, pa.bool_()))
+
+    kept = both.select(*edges.columns, "a_text", "b_text")
+    return kept.mapInArrow(run, ", ".join(f"{c} bigint" for c in edges.columns))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, scale: Scale = WIDE) -> DataFrame:
+    """The rows of docs, with all their columns, without near duplicates of rows that stay.
+
+    Rows are linked if their fingerprints are within the scale's distance and their texts have at least
+    `similarity` on distinct five-word shingles. Of each group that links connect one row stays: the one
+    with the smallest id, then the smallest text hash; rows with a null id come last. Equal rows are one
+    and stay once. Null and empty texts are equal texts. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    scratch, words = Scratch(spark), scale.columns
+    rows = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col, scale=scale))
+    reps = rows.select(*words).distinct()
+    edges = scratch.save(links(reps, scale).distinct())
+    edges = similar(edges, rows, docs, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
+    name = lambda s: F.concat(*[F.lpad(F.hex(f"{s}{k}"), 16, "0") for k in range(scale.words)])
+    found = scratch.save(components(edges.select(name("a").alias("a"), name("b").alias("b")), Scratch(spark)))
+    named = rows.withColumn("node", name("f")).join(found, "node", "left").select("id", "version", F.coalesce("component", "node").alias("component"))
+    named = scratch.save(named.groupBy("id", "version", "component").agg(F.count("*").alias("n")))
+    # of a group's rows the first by id and version; min() is summed up before the shuffle, so a large group is no burden
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "version")
+    first = scratch.save(named.groupBy("component").agg(F.min(place).alias("stays"), F.count("*").alias("size")).where("size > 1").select("component", "stays"))
+    goes = scratch.save(named.join(first, "component").where(place != F.col("stays")).select(F.col("id").alias("_id"), F.col("version").alias("_version")))
+    own = docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)])
+    of = lambda c: F.col(f"own_{docs.columns.index(c)}")
+    kept = own.withColumn("_hash", F.xxhash64(of(text_col))).join(goes, of(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_version")), "left_anti")
+    if not named.where("n > 1").isEmpty():  # rows that share id and text
+        kept = kept.dropDuplicates([f"own_{docs.columns.index(id_col)}", "_hash"])
+    return kept.select(*[of(c).alias(c) for c in docs.columns])
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_duplicates(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from labelweave.llm import secrets, toxicity
 from tests.llm.test_lines import plain as plain_lines
 from tests.llm.test_packing import ids_of
 from tests.llm.test_secrets import plain as plain_secrets
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_similar
 
 
 def columns_kept(spark, stage, docs, sf_dir):
@@ -17,7 +17,7 @@ def columns_kept(spark, stage, docs, sf_dir):
 
 
 def test_run_equals_the_stages_one_by_one(spark):
-    """A brute-force version of every stage but the classifier, whose decisions are taken over."""
+    """A brute-force version of every stage; the classifier's decisions are taken over, and those on near duplicates are checked against all pairs."""
     small = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{small}/documents.parquet")
     tagger = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
@@ -26,11 +26,12 @@ def test_run_equals_the_stages_one_by_one(spark):
     assert 0 < len(bad) < docs.count()
     had = {i for i, t in texts.items() if (t or "").strip()}
     texts = {i: t for i, t in plain_lines(texts).items() if i not in had or t.strip()}
-    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
-    root, least = plain_components(sorted(set(fps.values()))), {}
-    for i, f in fps.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    texts = {i: texts[i] for i in least.values()}
+    third = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    stay = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, third, small).collect()}
+    group = plain_similar(texts)
+    assert {i for i in texts if group[i] == i} <= stay
+    assert sum(group[i] != i for i in stay) <= 2  # near duplicates that the fingerprints miss
+    texts = {i: texts[i] for i in stay}
     frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     found = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(frame).collect()}
     clean = {}
@@ -58,6 +59,6 @@ def test_stages_keep_columns_and_bear_anything(spark, small):
             frame = columns_kept(spark, stage, frame, small)
         corpus_pipeline.STAGES[-1][1](spark, frame, small).collect()
     near = corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()
-    assert sorted(r.doc_id or 0 for r in near) == [0, 1, 2, 4, 5]
+    assert sorted(r.doc_id or 0 for r in near) == [0, 1, 2, 4, 5], near
     redacted = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs, small).collect()}
     assert redacted[4].text == "[REDACTED]" and redacted[4].n_chars == 10 and redacted[2].text is None

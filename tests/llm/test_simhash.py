@@ -5,7 +5,7 @@ import xxhash
 
 from labelweave.llm.common import Scratch
 from labelweave.llm.components import components
-from labelweave.llm.simhash import fingerprint, links, near_duplicates, op9_simhash
+from labelweave.llm.simhash import FINE, WIDE, drop_near_duplicates, fingerprint, links, near_duplicates, op9_simhash
 
 
 def plain_fingerprint(text, words=3):
@@ -43,7 +43,7 @@ def plain_components(fps):
 
 def test_fingerprint():
     for text in [None, "", "  \n", "One", "one TWO", "a b c", "É é x \x0b y\x1cz w", "the cat sat on the mat " * 50]:
-        assert fingerprint((text or "").encode()) & (2**64 - 1) == plain_fingerprint(text), text
+        assert fingerprint((text or "").encode())[0] & (2**64 - 1) == plain_fingerprint(text), text
 
 
 def test_components(spark):
@@ -71,9 +71,9 @@ def families(seed=1):
 def test_links_span_all_pairs_with_any_block(spark):
     fps = families()
     want = plain_components(fps)
-    reps = spark.createDataFrame([(f, f) for f in fps], "fp bigint, node bigint")
+    reps = spark.createDataFrame([(f,) for f in fps], "f0 bigint")
     for block in (5, 50, 10_000):
-        edges = [(x.a, x.b) for x in links(reps, block=block).collect()]
+        edges = [(x.a0, x.b0) for x in links(reps, FINE, block=block).collect()]
         assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 3 or want[a] == want[b] for a, b in edges)
         found = {x.node: x.component for x in components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
         assert {f: found.get(f, f) for f in fps} == want
@@ -98,3 +98,69 @@ def test_query(spark, small):
         least[root[v]] = min(k, least.get(root[v], k))
     assert {x.doc_id: x.component_id for x in found.itertuples()} == {k: least[root[v]] for k, v in fps.items()}
     assert np.unique(found.component_id).size < len(found)
+
+
+def plain_similar(texts, least=0.8):
+    """{id: smallest id of the group that pairs with a Jaccard similarity of `least` on five-word shingles connect}, over all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = [x.lower() for x in (t or "").split()]
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids, root = sorted(texts), {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= least * max(len(a), len(b)) and (not (a | b) or len(a & b) >= least * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def edited(rng, words, share):
+    return " ".join(f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in words)
+
+
+def test_wide_scale_finds_similar_texts_and_leaves_others(spark):
+    rng = random.Random(3)
+    texts, near = {}, {}
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        texts[10 * k] = " ".join(words)
+        texts[10 * k + 1] = texts[10 * k].upper()
+        texts[10 * k + 2] = near[10 * k + 2] = edited(rng, words, 0.01)
+        texts[10 * k + 3] = edited(rng, words, 0.2)  # no near duplicate
+    group = plain_similar(texts)
+    df = spark.createDataFrame([(t, i, 7) for i, t in texts.items()], "text string, doc_id bigint, component int").repartition(6)
+    found = drop_near_duplicates(df)
+    assert found.columns == df.columns
+    kept = {x.doc_id for x in found.collect()}
+    assert all(i in kept for i in texts if group[i] == i)  # none but near duplicates go
+    assert not any(10 * k + 1 in kept for k in range(60))  # all copies go
+    gone = [i for i in near if group[i] != i]
+    assert len(gone) > 40 and sum(i not in kept for i in gone) >= 0.9 * len(gone)
+
+
+def test_wide_scale_nulls_versions_and_repeats(spark):
+    a = "one two three four five six seven"
+    rows = [(1, a), (1, a), (1, "another text under the same id as the first row"), (None, a), (None, "no id at all but words enough"), (None, "no id at all but words enough"), (2, None), (3, ""), (4, "one two"), (5, "one two")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, version int")
+    found = drop_near_duplicates(docs).select("doc_id", "text").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, a), (1, rows[2][1]), (None, rows[4][1]), (2, None), (4, "one two")], key=str)
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_wide_scale_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    group = plain_similar(texts)
+    kept = {x.doc_id for x in drop_near_duplicates(docs).collect()}
+    want = {i for i in texts if group[i] != i}
+    assert {i for i in texts if group[i] == i} <= kept
+    assert len(want - kept) >= 0.9 * len(want) > 0
+    assert fingerprint(b"", WIDE) == [0, 0]

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import table
+from labelweave.llm.common import Scratch, table
 
 either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
@@ -25,6 +25,8 @@ ASSIGN = "(" + "|".join(either(w) for w in ("password", "passwd", "secret", "tok
 KINDS = ("assign", "access", "hex", "random")
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}"}
 LEAST_VALUE = 12
+#: Noncharacters of Unicode; the first that a text lacks stands for its hidden characters meanwhile.
+MARKS = "".join(map(chr, range(0xFDD0, 0xFDF0)))
 #: Tokens that the battery looks at.
 TOKEN = "[A-Za-z0-9+/_-]{20,}={0,2}"
 
@@ -96,31 +98,48 @@ def running(lengths: Column, block: int = 256) -> Column:
     return F.flatten(F.zip_with(blocks, scan(sums, F.lit(0).cast("bigint")), scan))
 
 
-def add_matches(df: DataFrame, name: str, pattern: str) -> DataFrame:
-    """Add column `name`: array of (start, end, value) of the leftmost non-overlapping matches in column text."""
-    found, gaps = f"{name}_found", f"{name}_gaps"
-    df = df.withColumn(found, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    df = df.withColumn(gaps, F.when(F.size(found) > 0, F.slice(F.split("text", pattern, -1), 1, F.size(found))))
-    lengths = F.zip_with(gaps, found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
-    df = df.withColumn(f"{name}_at", F.when(F.size(found) > 0, running(lengths)))
-    rows = F.arrays_zip(F.col(f"{name}_at").alias("at"), F.col(gaps).alias("gap"), F.col(found).alias("value"))
+SPANS = "array<struct<start: bigint, end: bigint, value: string>>"
+
+
+def add_matches(df: DataFrame, name: str, pattern: str, *, of: str = "text", where: Column | None = None) -> DataFrame:
+    """Add column `name`: array of (start, end, value) of the leftmost non-overlapping matches in column `of` (of rows `where`), and `name`_gaps: what stands before, between and after them."""
+    found, gaps, some = f"{name}_found", f"{name}_gaps", F.size(f"{name}_found") > 0
+    every = F.regexp_extract_all(of, F.lit(pattern), F.lit(0))
+    df = df.withColumn(found, every if where is None else F.when(where, every).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(gaps, F.when(some, F.split(of, pattern, -1)))
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
+    df = df.withColumn(f"{name}_at", F.when(some, running(lengths)))
+    rows = F.arrays_zip(F.col(f"{name}_at").alias("at"), F.slice(gaps, 1, F.size(found)).alias("gap"), F.col(found).alias("value"))
     span = lambda x: F.struct((x["at"] + F.length(x["gap"])).alias("start"), (x["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"))
-    empty = F.array().cast("array<struct<start: bigint, end: bigint, value: string>>")
-    return df.withColumn(name, F.when(F.size(found) > 0, F.transform(rows, span)).otherwise(empty)).drop(found, gaps, f"{name}_at")
+    return df.withColumn(name, F.when(some, F.transform(rows, span)).otherwise(F.array().cast(SPANS))).drop(found, f"{name}_at")
+
+
+def masked(gaps: str, spans: str, hide) -> Column:
+    """The text of `gaps` and `spans`, with the row's mark in place of every character of the spans that hide(span) holds for."""
+    parts = F.zip_with(F.slice(gaps, 1, F.size(spans)), spans, lambda g, x: F.concat(g, F.when(hide(x), F.repeat("mark", F.length(x["value"]))).otherwise(x["value"])))
+    return F.concat(F.array_join(parts, ""), F.element_at(gaps, -1))
 
 
 def add_base(df: DataFrame) -> DataFrame:
-    """Add columns assign, access and hex with the base spans of column text."""
+    """Add columns assign, access and hex with the base spans of column text; mark: a noncharacter that the text lacks; and rest: the text with marks in place of the base spans."""
+    mark = F.lit(MARKS[0])  # a text with all of them: its own noncharacters then count as marks
+    for c in MARKS[::-1]:
+        mark = F.when(F.instr("text", c) == 0, c).otherwise(mark)
+    df = df.withColumn("mark", mark)
     for kind, pattern in PATTERNS.items():
         df = add_matches(df, kind, pattern)
-    return df.withColumn("assign", F.filter("assign", lambda x: F.length(F.regexp_extract(x["value"], f"^{ASSIGN}$", 2)) >= LEAST_VALUE))
+    right = lambda x: F.length(F.regexp_extract(x["value"], f"^{ASSIGN}$", 2)) >= LEAST_VALUE
+    df = df.withColumn("rest", F.when(F.size("assign") > 0, masked("assign_gaps", "assign", right)).otherwise(F.col("text")))
+    df = df.withColumn("assign", F.filter("assign", right))
+    # keys and hex strings within assignments are gone already
+    df = add_matches(df, "both", f"{PATTERNS['access']}|{PATTERNS['hex']}", of="rest", where=F.size("access") + F.size("hex") > 0)
+    df = df.withColumn("rest", F.when(F.size("both") > 0, masked("both_gaps", "both", lambda x: F.lit(True))).otherwise(F.col("rest")))
+    return df.drop("assign_gaps", "access_gaps", "hex_gaps", "both", "both_gaps")
 
 
 def add_battery(df: DataFrame) -> DataFrame:
-    """Add column tokens: long tokens outside the base spans, with n, uniform (the battery's p-value) and bin (of -log10 p under natural text)."""
-    df = add_matches(df, "tokens", TOKEN)
-    base = F.concat("assign", "access", "hex")
-    df = df.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))))
+    """Add column tokens: long tokens in what base spans leave, with n, uniform (the battery's p-value) and bin (of -log10 p under natural text)."""
+    df = add_matches(df, "tokens", TOKEN, of="rest").drop("tokens_gaps")
 
     def pick(of: Column, what) -> Column:
         out = None
@@ -186,11 +205,13 @@ def length_class(n: Column) -> Column:
 
 
 def control(docs: DataFrame, *, text_col: str = "text", rate: float = 0.05, level: float = 0.001) -> Control:
-    """Step-up false-discovery control over all tokens of docs, apart for each class of lengths.
+    """Step-up false-discovery control over all tokens of docs, apart for each class of lengths."""
+    return _control(add_battery(add_base(_texts(docs, text_col))), rate, level)
 
-    Only counts for each class and bin come to the driver: len(CLASSES) * (BINS + 1) rows at most.
-    """
-    tokens = add_battery(add_base(_texts(docs, text_col))).select(F.explode("tokens").alias("t"))
+
+def _control(df: DataFrame, rate: float = 0.05, level: float = 0.001) -> Control:
+    """Only counts for each class and bin come to the driver: len(CLASSES) * (BINS + 1) rows at most."""
+    tokens = df.select(F.explode("tokens").alias("t"))
     counted = tokens.groupBy(length_class(F.col("t.n")).alias("class"), F.col("t.bin").alias("bin")).count().collect()
     bins = []
     for k in range(len(CLASSES)):
@@ -208,10 +229,14 @@ def _texts(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     return docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(more)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _random(t: Column, found: Control) -> Column:
+    bound = F.element_at(F.array(*[F.lit(b) for b in found.bins]), length_class(t["n"]) + 1)
+    return (t["bin"] >= bound) & (t["uniform"] >= found.level)
+
+
 def _spans(df: DataFrame, found: Control) -> DataFrame:
     """Add column spans: all (start, end, kind) by start, then kind in the order of KINDS."""
-    bound = lambda t: F.element_at(F.array(*[F.lit(b) for b in found.bins]), length_class(t["n"]) + 1)
-    df = df.withColumn("random", F.filter("tokens", lambda t: (t["bin"] >= bound(t)) & (t["uniform"] >= found.level)))
+    df = df.withColumn("random", F.filter("tokens", lambda t: _random(t, found)))
 
     def part(k: int, kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
@@ -225,23 +250,37 @@ def scan(docs: DataFrame, found: Control | None = None, *, id_col: str = "doc_id
     assign, access and hex are arrays of (start, end, value), spans one of (start, kind, end) with kind an
     index into KINDS; offsets are code points, ends exclusive. Null texts count as empty and have no
     spans; equal rows get equal results; null ids are kept; an empty table gives no rows; other columns
-    are not read. `found` holds thresholds from control(); by default those of docs themselves.
+    are not read. `found` holds thresholds from control(); by default those of docs themselves, for which
+    the spans and tested tokens (not the texts) are written once and read twice.
     """
-    found = found or control(docs, text_col=text_col)
-    df = _spans(add_battery(add_base(_texts(docs, text_col, id_col))), found)
-    return df.select(F.col("own_0").alias(id_col), "assign", "access", "hex", "spans")
+    df = add_battery(add_base(_texts(docs, text_col, id_col))).select("own_0", "assign", "access", "hex", "tokens")
+    if found is None:
+        df = Scratch(docs.sparkSession).save(df)
+        found = _control(df)
+    return _spans(df, found).select(F.col("own_0").alias(id_col), "assign", "access", "hex", "spans")
 
 
 def redact(docs: DataFrame, found: Control | None = None, *, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """The rows of docs with every secret in the text replaced by `mark`, overlapping ones by one; null texts stay null."""
-    found = found or control(docs, text_col=text_col)
+    """The rows of docs with every secret in the text replaced by `mark`, overlapping or touching ones by one.
+
+    Null texts stay null; an empty table gives no rows; all columns are carried along.
+    """
     columns = docs.columns
-    df = _spans(add_battery(add_base(_texts(docs, text_col, *columns))), found)
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-    clean = F.aggregate("spans", first, step, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.size("spans") > 0, clean).otherwise(F.col(f"own_{columns.index(text_col)}"))
-    return df.select(*[(text if c == text_col else F.col(f"own_{k}")).alias(c) for k, c in enumerate(columns)])
+    df = add_battery(add_base(_texts(docs, text_col, *columns)))
+    own, base = [f"own_{k}" for k in range(len(columns))], F.size("assign") + F.size("access") + F.size("hex") > 0
+    df = df.select(*own, "mark", base.alias("base"), "tokens", F.when(base | (F.size("tokens") > 0), F.col("rest")).alias("rest"))
+    if found is None:
+        df = Scratch(docs.sparkSession).save(df)
+        found = _control(df)
+    hit = F.exists("tokens", lambda t: _random(t, found))
+    df = add_matches(df.withColumn("hit", hit), "again", TOKEN, of="rest", where=F.col("hit"))
+    # the matches are those that were tested, in the same order
+    both = F.arrays_zip(F.col("again").alias("a"), F.col("tokens").alias("t"))
+    df = df.withColumn("again", F.transform(both, lambda x: F.struct(x["a"]["value"].alias("value"), x["t"]["n"].alias("n"), x["t"]["bin"].alias("bin"), x["t"]["uniform"].alias("uniform"))))
+    df = df.withColumn("rest", F.when(F.col("hit"), masked("again_gaps", "again", lambda x: _random(x, found))).otherwise(F.col("rest")))
+    clean = F.regexp_replace("rest", F.concat("mark", F.lit("+")), F.lit(mark.replace("\\", "\\\\").replace("$", "\\$")))
+    text = F.when(F.col("base") | F.col("hit"), clean).otherwise(F.col(own[columns.index(text_col)]))
+    return df.select(*[(text if c == text_col else F.col(own[k])).alias(c) for k, c in enumerate(columns)])
 
 
 def joined(spans: Column) -> Column:

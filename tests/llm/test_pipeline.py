@@ -7,6 +7,7 @@ from labelweave.llm import secrets, toxicity
 from tests.llm.test_lines import plain as plain_lines
 from tests.llm.test_packing import ids_of
 from tests.llm.test_secrets import plain as plain_secrets
+from tests.llm.test_secrets import redacted
 from tests.llm.test_simhash import plain_similar
 
 
@@ -37,11 +38,7 @@ def test_run_equals_the_stages_one_by_one(spark):
     clean = {}
     for i, t in texts.items():
         assert [s for s in found[i] if s[1] < 3] == plain_secrets(t)
-        clean[i], at = "", 0
-        for a, _, b in found[i]:
-            clean[i] += t[at:a] + "[REDACTED]" if a >= at else ""
-            at = max(at, b)
-        clean[i] += t[at:]
+        clean[i] = redacted(t, found[i])
     got = corpus_pipeline.run(spark, small).toPandas()
     assert set(got.doc_id) == set(clean) and got.sequence_id.is_unique
     for i, t in clean.items():

@@ -8,6 +8,7 @@ blocks of bounded size.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.llm.common import Scratch, table
-from labelweave.llm.vectors import cosines, hashed_sample, matrix, unit, usable
+from labelweave.llm.vectors import cosines, dimensions, hashed_sample, matrix, unit, usable
 
 #: Vectors in the sample that fits and calibrates the tree.
 SAMPLE = 16_000
@@ -115,14 +116,19 @@ def nearest(base: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vect
     """(query_id, rank, vec_id, score): the k rows of base with the largest cosine to each query, other than the query's own id.
 
     Ties go to the smaller vec_id; score is the cosine of the original vectors in double precision. Rows
-    with a null id, and vectors that are null, zero, hold null or non-finite components or aren't of the
-    commonest dimension take no part; equal rows count once; an empty table gives no rows; columns other
-    than the two named are not read. Of equal vectors only the k + 1 smallest ids are kept, which is all
-    that any answer can need.
+    with a null id, and vectors that are null, zero or hold null or non-finite components take no part;
+    vectors of each dimension are searched apart; equal rows count once; an empty table gives no rows;
+    columns other than the two named are not read. Of equal vectors only the k + 1 smallest ids are kept,
+    which is all that any answer can need.
     """
-    spark = base.sparkSession
-    scratch = Scratch(spark)
-    own = usable(base, id_col, vector_col).distinct()
+    scratch, own, asked = Scratch(base.sparkSession), usable(base, id_col, vector_col).distinct(), usable(queries, id_col, vector_col).distinct()
+    found = [_nearest(own.where(F.size("vector") == d), asked.where(F.size("vector") == d), scratch, k, recall, sample, leaf, block) for d in dimensions(asked) or [0]]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _nearest(own: DataFrame, queries: DataFrame, scratch: Scratch, k: int, recall: float, sample: int, leaf: int, block: int) -> DataFrame:
+    """nearest() of vectors of one dimension."""
+    spark = own.sparkSession
     order = Window.partitionBy("vector").orderBy("id")
     few = own.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
     index = scratch.save(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")))
@@ -139,28 +145,32 @@ def nearest(base: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vect
                 yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(unit(matrix(batch.column("vector"))))), batch.column("vector"), batch.column("ids")], names=["leaf", "vector", "ids"])
 
     placed = scratch.save(index.mapInArrow(place, "leaf bigint, vector array<double>, ids array<bigint>"))
-    size = dict(placed.groupBy("leaf").agg(F.count("*")).collect())  # a row for each leaf
-    asked = scratch.save(usable(queries, id_col, vector_col).distinct())
-    parts = -(-asked.count() // block)
-    share = spark.sparkContext.broadcast({leaf: -(-n // block) for leaf, n in size.items()})
+    held = dict(placed.groupBy("leaf").agg(F.count("*")).collect())  # a row for each leaf
+    sizes = spark.sparkContext.broadcast(held)
+    asked = scratch.save(queries)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = sizes.value
         for batch in batches:
-            row, leaves, parts = [], [], []
+            row, leaves = [], []
             for i, q in enumerate(unit(matrix(batch.column("vector"))) if batch.num_rows else ()):
-                seen = held = 0
+                seen = found = 0
                 for leaf in shared.value.order(q):
-                    if seen >= shared.value.visits and held > k:
+                    if seen >= shared.value.visits and found > k:
                         break
-                    seen, held = seen + 1, held + size.get(leaf, 0)
-                    for part in range(share.value.get(leaf, 0)):
-                        row.append(i), leaves.append(leaf), parts.append(part)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(parts, pa.int64()), batch.column("id").take(at), batch.column("vector").take(at)], names=["leaf", "part", "id", "vector"])
-
-    asks = asked.mapInArrow(visit, "leaf bigint, part bigint, id bigint, vector array<double>").withColumn("group", F.pmod(F.xxhash64("id"), F.lit(max(1, parts)).cast("bigint")))
-    blocks = F.create_map(*[x for leaf, n in sorted(size.items()) for x in (F.lit(leaf), F.lit(-(-n // block)))]) if size else F.create_map(F.lit(0), F.lit(1))
-    rows = placed.withColumn("part", F.pmod(F.xxhash64("vector"), blocks[F.col("leaf")].cast("bigint"))).withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, parts) - 1).cast("bigint"))))
+                    seen, found = seen + 1, found + size.get(leaf, 0)
+                    if leaf in size:
+                        row.append(i), leaves.append(leaf)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), batch.column("id").take(pa.array(row, pa.int64())), batch.column("vector").take(pa.array(row, pa.int64()))], names=["leaf", "id", "vector"])
+
+    asks = scratch.save(asked.mapInArrow(visit, "leaf bigint, id bigint, vector array<double>"))
+    # a leaf's rows and the queries that visit it are cut into as many parts and groups as the leaf itself needs;
+    # only these meet, so a query's vector goes to the leaves that it visits and a row to its own leaf's groups
+    shape = asks.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("groups")).join(placed.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("parts")), "leaf")
+    shape = scratch.save(shape)
+    below = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    rows = placed.join(shape, "leaf").withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts"))).withColumn("group", below("groups")).select("leaf", "part", "group", "vector", "ids")
+    asks = asks.join(shape, "leaf").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups"))).withColumn("part", below("parts")).select("leaf", "part", "group", "id", "vector")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]

@@ -8,6 +8,7 @@ counted without being listed. Leaves return counts and a spanning forest, which
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from labelweave.llm.common import Scratch, table
 from labelweave.llm.components import components
-from labelweave.llm.vectors import cosines, hashed_sample, matrix, unit, usable
+from labelweave.llm.vectors import cosines, dimensions, hashed_sample, matrix, unit, usable
 
 THRESHOLD = 0.9
 TREES = 6
@@ -119,21 +120,10 @@ def leaf_links(v: np.ndarray, node: np.ndarray, weight: np.ndarray, side: np.nda
     return rows[some], total[some], root[some]
 
 
-def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, spill: float = SPILL, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """(id, n_links, component_id, kept) for each row.
-
-    Equal vectors are compared once, with their number. Vectors that are null, zero, hold null or
-    non-finite components or aren't of the commonest dimension link with nothing and are kept, as is
-    every row with a null id (its component is null). Rows that share an id are one node: their vectors
-    link with one another's links, and the id's links are those of all its vectors. An empty table gives
-    no rows; other columns are not read.
-    """
-    spark = rows.sparkSession
-    scratch = Scratch(spark)
-    own = usable(rows, id_col, vector_col)
-    reps = scratch.save(own.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("weight")))
+def leaf_edges(reps: DataFrame, scratch: Scratch, threshold: float, trees: int, spill: float, sample: int, leaf: int, block: int) -> DataFrame:
+    """(node, links, root) from all leaves, for distinct vectors (vector, node, weight) of one dimension: the rows that a node links with there, and its local component."""
     x = hashed_sample(reps, sample, 2)
-    n = reps.count()
+    spark, n = reps.sparkSession, reps.count()
     forest = spark.sparkContext.broadcast(plant(unit(x), n, trees=trees, leaf=leaf, threshold=threshold, spill=spill) if len(x) else None)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +152,24 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
         at, total, root = leaf_links(matrix(t["vector"]), node, t["weight"].to_numpy(), t["side"].to_numpy(), own, key[0].as_py(), threshold)
         return pa.table([pa.array(node[at], pa.int64()), pa.array(total, pa.int64()), pa.array(root, pa.int64())], names=["node", "links", "root"])
 
-    found = scratch.save(dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "node bigint, links bigint, root bigint"))
-    graph = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), Scratch(spark))
+    return scratch.save(dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "node bigint, links bigint, root bigint"))
+
+
+def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, spill: float = SPILL, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """(id, n_links, component_id, kept) for each row.
+
+    Equal vectors are compared once, with their number. Vectors that are null, zero or hold null or
+    non-finite components link with nothing and are kept, as is every row with a null id (its component is
+    null). Vectors of each dimension have a forest of their own. Rows that share an id are one node: their vectors
+    link with one another's links, and the id's links are those of all its vectors. An empty table gives
+    no rows; other columns are not read.
+    """
+    scratch = Scratch(rows.sparkSession)
+    own = usable(rows, id_col, vector_col)
+    reps = scratch.save(own.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("weight")))
+    parts = [leaf_edges(reps.where(F.size("vector") == d), scratch, threshold, trees, spill, sample, leaf, block) for d in dimensions(reps) or [0]]
+    found = functools.reduce(DataFrame.unionByName, parts)
+    graph = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), Scratch(rows.sparkSession))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = reps.groupBy("node").agg(F.sum(F.col("weight")).alias("rows")).join(links, "node", "left").join(graph, "node", "left")
     nodes = nodes.select("node", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))

@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import table
+from labelweave.llm.common import Scratch, table
 
 
 @dataclass(frozen=True)
@@ -33,9 +33,13 @@ class Rule:
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 #: Labelled URLs that the trees are trained on, at most about.
 SAMPLE = 20_000
+#: Parts that suffix statistics are kept for apart.
+FOLDS = 5
 #: Counts towards the overall rate that a suffix's rate is shrunk by.
 SHRINK = 20.0
-FEATURES = ("length", "host_length", "depth", "host_depth", "digit_ratio", "entropy", "parameters", "query_length", "hyphens", "suffix_rate", "suffix_weight")
+#: Suffixes of a host that statistics are kept of: its last label, and its last two.
+LEVELS = (1, 2)
+FEATURES = ("length", "host_length", "depth", "host_depth", "digit_ratio", "entropy", "parameters", "query_length", "hyphens", *(f"suffix_{x}_{level}" for level in LEVELS for x in ("rate", "weight")))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -55,8 +59,9 @@ def matched(rules: tuple[Rule, ...], host: Column, path: Column) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix(host: Column, level: int) -> Column:
+    """The last `level` labels of a host."""
+    return F.substring_index(host, ".", -level)
 
 
 def lexical(df: DataFrame) -> DataFrame:
@@ -75,19 +80,26 @@ def lexical(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """Trees and suffix statistics (a suffix's share of blocked URLs and its count); without trees every verdict is `constant`."""
+    """Trees and suffix statistics (s, fold, n, b: labelled and blocked URLs of a suffix in each fold); without trees every verdict is `constant`."""
 
     trees: GBTClassificationModel | None
-    suffixes: dict[str, tuple[float, float]]
+    suffixes: DataFrame | None
     rate: float
     constant: str = "allow"
 
-    def features(self, df: DataFrame) -> DataFrame:
-        pairs = [x for k, (r, w) in sorted(self.suffixes.items()) for x in (F.lit(k), F.array(F.lit(r), F.lit(w)))]
-        known = (F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.array(F.lit(0.0), F.lit(0.0))))[suffix(F.col("host"))]
-        df = lexical(df).withColumn("_known", known)
-        df = df.withColumn("suffix_rate", F.coalesce(F.col("_known")[0], F.lit(self.rate))).withColumn("suffix_weight", F.coalesce(F.col("_known")[1], F.lit(0.0)))
-        return VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(df.drop("_known"))
+    def features(self, df: DataFrame, *, out_of_fold: bool = False) -> DataFrame:
+        """Add the vector of features. With out_of_fold, a suffix's statistics leave out the fold of the row itself, so no label tells of itself."""
+        df = lexical(df).withColumn("_fold", fold(F.col("url")))
+        total = self.suffixes.groupBy("s").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"))
+        for level in LEVELS:
+            df = df.withColumn("_s", suffix(F.col("host"), level)).join(total.withColumnRenamed("s", "_s"), "_s", "left")
+            n, b = F.coalesce("_n", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))
+            if out_of_fold:
+                mine = self.suffixes.select(F.col("s").alias("_s"), F.col("fold").alias("_fold"), F.col("n").alias("_mine"), F.col("b").alias("_blocked"))
+                df = df.join(mine, ["_s", "_fold"], "left")
+                n, b = n - F.coalesce("_mine", F.lit(0.0)), b - F.coalesce("_blocked", F.lit(0.0))
+            df = df.withColumn(f"suffix_rate_{level}", (b + SHRINK * self.rate) / (n + SHRINK)).withColumn(f"suffix_weight_{level}", F.log1p(n)).drop("_s", "_n", "_b", "_mine", "_blocked")
+        return VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(df)
 
     def verdicts(self, df: DataFrame) -> DataFrame:
         """Add column guess to df (url, host, path and others)."""
@@ -96,24 +108,34 @@ class Filter:
         return self.trees.transform(self.features(df)).withColumn("guess", F.when(F.col("prediction") == 1, "block").otherwise("allow"))
 
 
-def train(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, url_col: str = "url", sample: int = SAMPLE, suffixes: int = 200, rounds: int = 15, depth: int = 4) -> Filter:
-    """Fit on a sample of the URLs that rules cover, chosen by a hash of the URL.
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(2)), F.lit(FOLDS)).cast("int")
 
-    The `suffixes` commonest host suffixes of the sample keep statistics of their own. Without URLs of both
-    labels there are no trees and the verdict is the only label there is, or allow.
-    """
+
+def labelled(pages: DataFrame, rules: tuple[Rule, ...], url_col: str) -> DataFrame:
+    """(url, host, path, label) of the rows that a rule covers."""
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(url_col).alias("url"), host.alias("host"), path.alias("path")).withColumn("found", matched(rules, F.col("host"), F.col("path"))).where("found is not null")
-    rows = rows.select("url", "host", "path", (F.col("found.verdict") == "block").cast("double").alias("label"))
-    n, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    return rows.select("url", "host", "path", (F.col("found.verdict") == "block").cast("double").alias("label"))
+
+
+def train(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, url_col: str = "url", sample: int = SAMPLE, rounds: int = 15, depth: int = 4) -> Filter:
+    """Fit on a sample of about `sample` distinct URLs that rules cover, chosen by a hash of the URL.
+
+    Statistics of host suffixes are counted over all labelled rows. Pages are read twice: for these counts
+    and for the sample, which are written to the shared folder; fitting reads the sample alone. Without URLs
+    of both labels there are no trees and the verdict is the only label there is, or allow.
+    """
+    scratch, rows = Scratch(pages.sparkSession), labelled(pages, rules, url_col)
+    counts = scratch.save(rows.withColumn("s", F.explode(F.array_distinct(F.array(*[suffix(F.col("host"), x) for x in LEVELS])))).groupBy("s", fold(F.col("url")).alias("fold")).agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("b")))
+    # the shortest suffixes cover each row once
+    n, blocked = counts.where(~F.col("s").contains(".")).agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
     if not 0 < blocked < n:
-        return Filter(None, {}, 0.0, "block" if n and blocked else "allow")
-    share = min(1.0, sample / n)
-    rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
-    stats = rows.groupBy(suffix(F.col("host")).alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), "s").limit(suffixes).collect()
-    rate = blocked / n
-    found = Filter(None, {r.s: (float((r.b + SHRINK * rate) / (r.n + SHRINK)), float(r.n)) for r in stats}, float(rate))
-    found.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=5, cacheNodeIds=False).fit(found.features(rows).select("features", "label"))
+        return Filter(None, None, 0.0, "block" if n and blocked else "allow")
+    chosen = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)) + 1
+    found = Filter(None, counts, blocked / n)
+    data = scratch.save(found.features(rows.where(chosen).dropDuplicates(["url"]), out_of_fold=True).select("features", "label"))
+    found.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=5, cacheNodeIds=False).fit(data)
     return found
 
 

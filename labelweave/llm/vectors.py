@@ -15,13 +15,13 @@ def sound(vector: Column) -> Column:
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector array<double>) of the rows with an id and a direction, of the commonest dimension.
+    """(id, vector array<double>) of the rows with an id and a direction."""
+    return rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & sound(F.col("vector")))
 
-    Vectors of other dimensions have no cosine with these and take no part.
-    """
-    own = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & sound(F.col("vector")))
-    size = own.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return own.where(F.size("vector") == (size.d if size else 0))
+
+def dimensions(own: DataFrame) -> list[int]:
+    """The numbers of components that vectors have; vectors of different dimensions have no cosine and are worked on apart."""
+    return sorted(r.d for r in own.select(F.size("vector").alias("d")).distinct().collect())
 
 
 def hashed_sample(rows: DataFrame, most: int, seed: int) -> np.ndarray:

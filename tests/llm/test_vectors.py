@@ -1,7 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 
 from labelweave.llm import ann, forest
+from labelweave.llm.registry import ORACLE_SQL
 from labelweave.llm.vectors import unit
 
 SCHEMA = "vec_id bigint, embedding array<float>, score double, node int"
@@ -61,6 +63,9 @@ def test_nearest_edge_cases(spark):
         found.setdefault(r.query_id, []).append(r.vec_id)
     assert found[50][:3] == [1, 2, 3] and set(found[50][3:]) == {11, 12} and set(found) == {50, 100}
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    mixed = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (50, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(mixed, mixed.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 3), (0, 2, 1), (50, 1, 2)]
     copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id bigint, embedding array<float>")
     got = ann.nearest(copies, copies.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] + [0, 1, 2, 3, 4] * 3
@@ -81,6 +86,9 @@ def test_forest_finds_all_links(spark, small):
     ids, x = table_of(spark, small)
     found = {r.vec_id: (r.n_links, r.component_id) for r in forest.op4_forest(spark, small).collect()}
     assert found == plain_links(ids, x)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+    assert found == {r[0]: (r[1], r[2]) for r in con.execute(ORACLE_SQL["op4_forest"]).fetchall()}
 
 
 def test_forest_with_spill_and_blocks(spark):
@@ -99,5 +107,7 @@ def test_forest_edge_cases(spark):
     df = spark.createDataFrame(odd_rows(), SCHEMA)
     found = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in forest.near_duplicates(df).collect()), key=str)
     assert (0, 0, None, True) in found and (50, 4, 1, False) in found and (1, 4, 1, True) in found
+    mixed = spark.createDataFrame([(5, [1.0, 0.0]), (6, [1.0, 0.1]), (7, [1.0, 0.0, 0.0]), (8, [1.0, 0.0, 0.1]), (9, [0.0, 0.0, 1.0])], "vec_id bigint, embedding array<float>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(mixed).collect()} == {5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
     assert [x for x in found if x[0] in (4, 5, 6, 7, 8, 9, 10)] == sorted([(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10)], key=str)
     assert len(found) == len(odd_rows()) and forest.near_duplicates(df.limit(0)).count() == 0

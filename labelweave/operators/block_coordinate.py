@@ -8,138 +8,200 @@ blocks that chase the same labels overshoot.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.metrics import Metric
-from labelweave.operators.confusion import ENTRIES, confusion
-from labelweave.operators.select import best, predict
+from labelweave.operators.confusion import ENTRIES
+from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
+from labelweave.operators.select import best, predict, random_at_k
 from labelweave.shared import Scratch
 
 
-def gain(metric: Metric, tp: Column, fp: Column, fn: Column, tn: Column, eta: Column, n: Column, m: int) -> Column:
+def gain(metric: Metric, tp: Column, fp: Column, fn: Column, tn: Column, eta: Column, n: Column | float, m: int, label: Column | None = None) -> Column:
     """What choosing a label adds to the metric, for counts that exclude the row itself."""
     scale = lambda *c: [x / n for x in c]
-    value = metric.psi(*scale(tp + eta, fp + 1 - eta, fn, tn)) - metric.psi(*scale(tp, fp, fn + eta, tn + 1 - eta))
+    value = metric.at(*scale(tp + eta, fp + 1 - eta, fn, tn), label) - metric.at(*scale(tp, fp, fn + eta, tn + 1 - eta), label)
     if metric.mix != 1:
         return metric.mix / m * value + (1 - metric.mix) * eta / n / metric.k
     return value
 
 
-def slice_step(eta: DataFrame, y_pred: DataFrame, conf: DataFrame, n: int, m: int, metric: Metric, k: int) -> DataFrame:
-    """New labels of the rows in eta. conf holds counts over all n rows with y_pred; each row's own part is taken off first."""
+def slice_gains(eta: DataFrame, y_pred: DataFrame, conf: DataFrame, n: int, m: int, metric: Metric) -> DataFrame:
+    """eta with the gain of each cell. conf holds counts over all n rows with y_pred; each row's own part is taken off first."""
     rows = eta.join(y_pred.withColumnRenamed("value", "chosen"), ["instance_id", "label_id"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(0.0)))
     both = rows.join(F.broadcast(conf), "label_id")  # a row for each label
     e, c = F.col("eta"), F.col("chosen")
     own = {"tp": e * c, "fp": (1 - e) * c, "fn": e * (1 - c), "tn": (1 - e) * (1 - c)}
     rest = [F.greatest(F.lit(0.0), F.col(x) - own[x]) for x in ENTRIES]
-    gains = both.withColumn("gain", gain(metric, *rest, e, F.lit(float(n)), m))
+    return both.withColumn("gain", gain(metric, *rest, e, F.lit(float(n)), m, F.col("label_id")))
+
+
+def slice_step(eta: DataFrame, y_pred: DataFrame, conf: DataFrame, n: int, m: int, metric: Metric, k: int) -> DataFrame:
+    """New labels of the rows in eta, each against the rest."""
+    gains = slice_gains(eta, y_pred, conf, n, m, metric)
     return (best(gains, k) if k > 0 else gains.where("gain >= 0")).select("instance_id", "label_id", F.lit(1.0).alias("value"))
 
 
 def initial(eta: DataFrame, k: int, init: str | DataFrame, seed: int) -> DataFrame:
+    """The first prediction: top, random (k labels of each row, one if k is 0), greedy (none), or the one given."""
     if isinstance(init, DataFrame):
         return init
-    if init == "top":
-        return predict(eta, k, th=0.5)
-    from labelweave.operators.select import random_at_k
-
-    return random_at_k(eta, max(1, k), seed)
-
-
-def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, slices: int = 10, max_iters: int = 5, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, maximize: bool = True) -> tuple[DataFrame, list[float]]:
-    """(y_pred, utilities): sweeps over hash slices until the expected metric improves by less than tolerance."""
-    spark = eta.sparkSession
-    folder = Scratch(spark).root
-    n, m = instances.count(), labels.count()
-    y_true = eta.select("instance_id", "label_id", F.col("eta").alias("value"))
-    part = F.pmod(F.xxhash64("instance_id", F.lit(seed)), F.lit(slices))
-    now, utilities = initial(eta, k, init, seed), []
-    goal = metric if maximize else _Negative(metric)
-    for sweep in range(max_iters + 1):
-        path = f"{folder}/{sweep}"
-        now.withColumn("part", part).write.parquet(path)
-        now = spark.read.parquet(path)
-        conf = confusion(y_true, now.drop("part"), instances, labels).collect()  # a row for each label
-        counts = {r.label_id: [r[e] for e in ENTRIES] for r in conf}
-        utilities.append(metric.value(*(np.array([counts[j] for j in sorted(counts)]).T / n)))
-        if sweep == max_iters or sweep and (utilities[-1] - utilities[-2]) * (1 if maximize else -1) < tolerance:
-            break
-        done = []
+    if init == "greedy":
+        return eta.select("instance_id", "label_id", F.lit(1.0).alias("value")).limit(0)
+    if init == "random":
+        return random_at_k(eta, max(1, k), seed)
+    if init != "top":
+        raise ValueError("init has to be top, random, greedy or a table")
+    return predict(eta, k, th=0.5)
+
+
+def _sweeps(eta: DataFrame, names: np.ndarray, k: int, sums: tuple, gains: Callable, known: Callable, utility: Callable, *, slices: int, max_iters: int, tolerance: float, init: str | DataFrame, seed: int, maximize: bool) -> tuple[DataFrame, list[float]]:
+    """(y_pred, utilities): sweeps over hash slices until the utility improves by less than tolerance.
+
+    The table is written once and then slice by slice. `sums` are expressions of exploded cells whose totals
+    by label are the state, kept apart for each slice, so no total drifts; `known` turns a state into arrays
+    by label, `gains` reads them, `utility` values a state. A step is one pass over its slice.
+    """
+    m, scratch = len(names), Scratch(eta.sparkSession)
+    part = F.pmod(F.xxhash64("instance_id", F.lit(seed)), F.lit(slices)).cast("int")
+    table = scratch.save(packed(eta, names, c=initial(eta, k, init, seed)).withColumn("part", part), by=("part",))
+    flat = lambda df, *by: df.select(*by, F.inline("cells"))
+    state = {s: np.zeros((len(sums), m)) for s in range(slices)} | label_sums(flat(table, "part"), m, *sums, by="part")
+    rows = {s: 0 for s in range(slices)} | {r.part: r["count"] for r in table.groupBy("part").count().collect()}
+    seen, now = (set() if isinstance(init, str) and init == "greedy" else set(range(slices))), {s: table.where(F.col("part") == s).drop("part") for s in range(slices)}
+    total = lambda: (sum((state[s] for s in seen), np.zeros((len(sums), m))), max(1, sum(rows[s] for s in seen)))
+    utilities, sign = [], 1 if maximize else -1
+    if seen:
+        utilities.append(utility(*total()))
+    for _ in range(max_iters):
         for s in range(slices):
-            own, before = eta.where(part == s), now.where(F.col("part") == s).drop("part")
-            table = spark.createDataFrame([(int(j), *map(float, c)) for j, c in counts.items()], "label_id int, tp double, fp double, fn double, tn double")
-            target = f"{folder}/{sweep}-{s}"
-            slice_step(own, before, table, n, m, goal, k).write.parquet(target)
-            after = spark.read.parquet(target)
-            for y, sign in ((before, -1), (after, 1)):
-                for r in own.join(y, ["instance_id", "label_id"]).groupBy("label_id").agg(F.sum(F.col("eta") * F.col("value")).alias("t"), F.sum(F.col("value")).alias("p")).collect():
-                    c = counts[r.label_id]
-                    c[0], c[1], c[2], c[3] = c[0] + sign * r.t, c[1] + sign * (r.p - r.t), c[2] - sign * r.t, c[3] - sign * (r.p - r.t)
-            done.append(target)
-        now = spark.read.parquet(*done)
-    return now.select("instance_id", "label_id", "value"), utilities
+            if not rows[s]:
+                seen.add(s)
+                continue
+            inside = float(s in seen)
+            c, n = total()
+            n += 0 if inside else rows[s]
+            step = with_labels(now[s], **known(c))
+            picked = F.transform(chosen(lambda x: sign * gains(x, inside, n), k), lambda x: x["at"])  # noqa: B023
+            fresh = step.select("instance_id", "cells", picked.alias("picked")).select("instance_id", F.transform("cells", lambda x: x.withField("c", F.array_contains("picked", x["at"]).cast("double"))).alias("cells"))
+            now[s] = scratch.save(fresh)
+            state[s] = label_sums(flat(now[s]), m, *sums).get(0, state[s] * 0)
+            seen.add(s)
+        utilities.append(utility(*total()))
+        if len(utilities) > 1 and sign * (utilities[-1] - utilities[-2]) < tolerance:
+            break
+    both = functools.reduce(DataFrame.unionByName, [now[s] for s in range(slices)])
+    return both.select("instance_id", F.inline(F.filter("cells", lambda x: x["c"] > 0))).select("instance_id", "label_id", F.col("c").alias("value")), utilities
+
 
+def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, maximize: bool = True) -> tuple[DataFrame, list[float]]:
+    """(y_pred, utilities): the expected metric, slice by slice; with init greedy a slice sees only those before it in the first sweep."""
+    names, missing = label_ids(labels), instances.join(eta.select("instance_id").distinct(), "instance_id", "left_anti").count()
+    m = len(names)
 
-class _Negative:
-    def __init__(self, metric: Metric):
-        self.mix, self.k, self._psi = metric.mix, metric.k, metric.psi
+    def entries(c: np.ndarray, n: float) -> list[np.ndarray]:
+        tp, p, e = c
+        return [tp, p - tp, e - tp, n - p - e + tp]
 
-    def psi(self, *c):
-        return -self._psi(*c)
+    def gains(x: Column, inside: float, n: int) -> Column:
+        e, c, at = x["eta"], x["c"] * inside, x["at"]
+        total = lambda name: F.get(name, at)
+        tp, p, t = total("tp") - e * c, total("p") - c, total("e") - e * inside
+        rest = [F.greatest(F.lit(0.0), v) for v in (tp, p - tp, t - tp, (n + missing - 1) - p - t + tp)]
+        return gain(metric, *rest, e, float(n + missing), m, x["label_id"])
 
+    return _sweeps(
+        eta, names, k, (F.col("eta") * F.col("c"), F.col("c"), F.col("eta")), gains, lambda c: dict(zip(("tp", "p", "e"), c, strict=True)),
+        lambda c, n: metric.value(*(x / (n + missing) for x in entries(c, n + missing)), names),
+        slices=slices, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed, maximize=maximize,
+    )
 
-def exact(eta: DataFrame, labels: DataFrame, metric: Metric, k: int, *, max_iters: int = 20, tolerance: float = 1e-6, greedy: bool = False, seed: int = 0) -> DataFrame:
-    """y_pred by the sequential algorithm, in one task; memory is the packed scores. For sets of bounded size; see minibatch for others."""
-    names = sorted(r.label_id for r in labels.select("label_id").collect())
-    packed = eta.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("label_id", "eta"))).alias("cells"))
+
+def coverage(eta: DataFrame, labels: DataFrame, k: int, *, alpha: float = 1.0, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """(y_pred, utilities) for alpha * (1 - mean over labels of prod (1 - eta * chosen)) + (1 - alpha) * expected precision at k.
+
+    The chance that no row hits a label is kept as a sum of logarithms; a score of 1 counts as 1 - 1e-12.
+    """
+    if k <= 0:
+        raise ValueError("k has to be positive")
+    names = label_ids(labels)
+    m, miss = len(names), lambda e: F.log1p(-F.least(e, F.lit(1 - 1e-12)))
+
+    def gains(x: Column, inside: float, n: int) -> Column:
+        others = F.get("log_fail", x["at"]) - F.when(x["c"] > 0, miss(x["eta"])).otherwise(0.0) * inside
+        return alpha / m * x["eta"] * F.exp(others) + (1 - alpha) * x["eta"] / float(n * k)
+
+    return _sweeps(
+        eta, names, k, (F.when(F.col("c") > 0, miss(F.col("eta"))).otherwise(0.0), F.col("eta") * F.col("c")), gains, lambda c: {"log_fail": c[0]},
+        lambda c, n: coverage_utility(c[0], c[1], n, k, alpha), slices=slices, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed, maximize=True,
+    )
+
+
+def coverage_utility(log_fail: np.ndarray, tp: np.ndarray, n: int, k: int, alpha: float = 1.0) -> float:
+    """alpha * (share of labels expected to be hit) + (1 - alpha) * expected precision at k."""
+    return float(alpha * (1 - np.exp(log_fail).mean()) + (1 - alpha) * tp.sum() / (n * k))
+
+
+def exact(eta: DataFrame, labels: DataFrame, metric: Metric, k: int, *, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, most_cells: int = 20_000_000) -> DataFrame:
+    """y_pred by the sequential algorithm, row after row in one task; for sets of at most `most_cells` scores. See minibatch for others."""
+    if (cells := eta.count()) > most_cells:
+        raise ValueError(f"{cells} scores are too many for one task; use minibatch")
+    names, greedy = label_ids(labels).tolist(), isinstance(init, str) and init == "greedy"
+    rows = packed(eta, np.array(names), c=initial(eta, k, init, seed))
 
     def run(t: pa.Table) -> pa.Table:
-        place = {j: i for i, j in enumerate(names)}
         order = np.argsort(t["instance_id"].to_numpy())
-        rows = [t["cells"][int(i)].as_py() for i in order]
-        index = [np.array([place[c["label_id"]] for c in r]) for r in rows]
-        score = [np.array([c["eta"] for c in r]) for r in rows]
-        n, m = len(rows), len(names)
-        total = np.zeros(m)
+        t = t.take(pa.array(order))
+        cells = t["cells"].combine_chunks()
+        cut = cells.offsets.to_numpy()[1:-1] - cells.offsets[0].as_py()
+        index, score, start = (np.split(cells.flatten().field(x).to_numpy(zero_copy_only=False), cut) for x in ("at", "eta", "c"))
+        n, m = len(index), len(names)
+        total, ids = np.zeros(m), np.array(names)
         for i, e in zip(index, score, strict=True):
-            total[i] += e
+            total[i] += 0 if greedy else e
         top = lambda g: np.sort(np.lexsort((np.arange(len(g)), -g))[:k]) if k else np.flatnonzero(g >= 0)
-        chosen = [np.zeros(0, np.int64) if greedy else top(e if k else e - 0.5) for e in score]
-        rng, last = np.random.default_rng(seed), -np.inf
-        for _ in range(max_iters):
+        chosen = [np.flatnonzero(c > 0) for c in start]
+        rng, last, seen = np.random.default_rng(seed), -np.inf, 0 if greedy else n
+        for sweep in range(max_iters):
             tp, p = np.zeros(m), np.zeros(m)
             for i, e, c in zip(index, score, chosen, strict=True):
                 tp[i[c]] += e[c]
                 p[i[c]] += 1
             for r in rng.permutation(n):
                 i, e, c = index[r], score[r], chosen[r]
+                if greedy and not sweep:  # only rows before this one count
+                    total[i] += e
+                    seen += 1
                 tp[i[c]] -= e[c]
                 p[i[c]] -= 1
                 t0, f0 = np.maximum(tp[i], 0), np.maximum(p[i] - tp[i], 0)
                 fn0 = np.maximum(total[i] - e - t0, 0)
-                tn0 = np.maximum(n - 1 - t0 - f0 - fn0, 0)
-                g = metric.psi(*(x / n for x in (t0 + e, f0 + 1 - e, fn0, tn0))) - metric.psi(*(x / n for x in (t0, f0, fn0 + e, tn0 + 1 - e)))
+                tn0 = np.maximum(seen - 1 - t0 - f0 - fn0, 0)
+                g = metric.at(*(x / seen for x in (t0 + e, f0 + 1 - e, fn0, tn0)), ids[i]) - metric.at(*(x / seen for x in (t0, f0, fn0 + e, tn0 + 1 - e)), ids[i])
                 if metric.mix != 1:
-                    g = metric.mix / m * g + (1 - metric.mix) * e / n / metric.k
+                    g = metric.mix / m * g + (1 - metric.mix) * e / seen / metric.k
                 chosen[r] = c = top(g)
                 tp[i[c]] += e[c]
                 p[i[c]] += 1
-            value = metric.value(tp / n, (p - tp) / n, (total - tp) / n, (n - p - total + tp) / n)
+            value = metric.value(tp / n, (p - tp) / n, (total - tp) / n, (n - p - total + tp) / n, ids)
             if value - last < tolerance:
                 break
             last = value
-        ids = t["instance_id"].to_numpy()[order]
-        out = [(int(ids[r]), names[index[r][j]]) for r in range(n) for j in chosen[r]]
+        own = t["instance_id"].to_numpy()
+        out = [(int(own[r]), names[index[r][j]]) for r in range(n) for j in chosen[r]]
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([1.0] * len(out))], names=["instance_id", "label_id", "value"])
 
-    return packed.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "instance_id bigint, label_id int, value double")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "instance_id bigint, label_id int, value double")
 
 
-def coverage_step(eta: DataFrame, y_pred: DataFrame, n: int, m: int, k: int, alpha: float = 1.0) -> DataFrame:
-    """One frozen step for coverage: gains are alpha / m * eta * (chance that no other row hits the label) + (1 - alpha) * eta / (n k).
+def coverage_gains(eta: DataFrame, y_pred: DataFrame, n: int, m: int, k: int, alpha: float = 1.0) -> DataFrame:
+    """eta with gains for coverage: alpha / m * eta * (chance that no other row hits the label) + (1 - alpha) * eta / (n k).
 
     The chance is a product over rows, kept as a sum of logarithms so that each row's own factor can be
     taken off; a score of 1 counts as 1 - 1e-12.
@@ -147,6 +209,9 @@ def coverage_step(eta: DataFrame, y_pred: DataFrame, n: int, m: int, k: int, alp
     miss = F.log1p(-F.least(F.col("eta"), F.lit(1 - 1e-12)))
     rows = eta.join(y_pred.withColumnRenamed("value", "chosen"), ["instance_id", "label_id"], "left").withColumn("own", F.when(F.col("chosen") > 0, miss).otherwise(0.0))
     fail = rows.groupBy("label_id").agg(F.sum("own").alias("log_fail"))
-    gains = rows.join(F.broadcast(fail), "label_id").withColumn("gain", alpha / m * F.col("eta") * F.exp(F.col("log_fail") - F.col("own")) + (1 - alpha) * F.col("eta") / float(n * k))
-    return best(gains, k).select("instance_id", "label_id", F.lit(1.0).alias("value"))
+    return rows.join(F.broadcast(fail), "label_id").withColumn("gain", alpha / m * F.col("eta") * F.exp(F.col("log_fail") - F.col("own")) + (1 - alpha) * F.col("eta") / float(n * k))
+
 
+def coverage_step(eta: DataFrame, y_pred: DataFrame, n: int, m: int, k: int, alpha: float = 1.0) -> DataFrame:
+    """One step of all rows for coverage, each against the rest."""
+    return best(coverage_gains(eta, y_pred, n, m, k, alpha), k).select("instance_id", "label_id", F.lit(1.0).alias("value"))

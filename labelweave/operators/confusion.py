@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -75,9 +76,45 @@ class ConfusionMatrix:
         return self.df.exceptAll(other.df).isEmpty() and other.df.exceptAll(self.df).isEmpty()
 
 
-def log_product(cells: DataFrame, by: str, value: Column) -> DataFrame:
-    """(by, log_product): logarithm of the product of 1 - value over each group; a value of 1 counts as 1 - 1e-12."""
-    return cells.groupBy(by).agg(F.sum(F.log1p(-F.least(value, F.lit(1 - 1e-12)))).alias("log_product"))
+def log_product(cells: DataFrame, by: str, value: Column, *, miss: bool = True) -> DataFrame:
+    """(by, log_product): logarithm of the product over each group of 1 - value, or of value if miss is false; a factor of 0 counts as 1e-12."""
+    factor = F.log1p(-F.least(value, F.lit(1 - 1e-12))) if miss else F.log(F.greatest(value, F.lit(1e-12)))
+    return cells.groupBy(by).agg(F.sum(factor).alias("log_product"))
+
+
+def product(cells: DataFrame, by: str, value: Column, *, miss: bool = True) -> DataFrame:
+    """(by, product): the product of 1 - value, or of value, over each group."""
+    return cells.groupBy(by).agg(F.product(1 - value if miss else value).alias("product"))
+
+
+def constant(cells: DataFrame, value: float) -> DataFrame:
+    """The same cells with one value: zeros or ones like a matrix."""
+    return cells.select("instance_id", "label_id", F.lit(float(value)).alias("value"))
+
+
+def nonzero(cells: DataFrame, column: str = "value") -> DataFrame:
+    return cells.where(F.col(column) != 0)
+
+
+def one_hot(classes: DataFrame, column: str = "class_id") -> DataFrame:
+    """(instance_id, label_id, value) of rows with one class each; a null class gives no label."""
+    return classes.where(F.col(column).isNotNull()).select("instance_id", F.col(column).cast("int").alias("label_id"), F.lit(1.0).alias("value"))
+
+
+def aligned(*labels: DataFrame) -> DataFrame:
+    """The label dimension that matrices of different widths share: every label of any of them."""
+    return functools.reduce(DataFrame.unionByName, [x.select("label_id") for x in labels]).distinct()
+
+
+def beside(first: DataFrame, second: DataFrame, offset: int) -> DataFrame:
+    """Columns of both matrices for the same instances; labels of the second are numbered from `offset` on."""
+    return first.unionByName(second.withColumn("label_id", (F.col("label_id") + offset).cast("int")))
+
+
+def mean_positive_labels(y: DataFrame, instances: DataFrame) -> DataFrame:
+    """One row with `value`: labels of an instance on average, those without any included."""
+    n = instances.agg(F.count("*").cast("double").alias("n"))
+    return y.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("s")).crossJoin(n).select((F.col("s") / F.col("n")).alias("value"))
 
 
 def stack(first: DataFrame, second: DataFrame, offset: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Population-level optimisation by Frank-Wolfe steps over linear classifiers.
 
-Each iteration is two distributed queries over a fixed table of scores and labels (choose labels by the
-current weights, count the confusion matrix); only 4 numbers for each label come to the driver, where
-the gradient and the line search are vector arithmetic.
+Each iteration is one distributed query over a fixed table of scores and labels (choose labels by the
+current weights, sum up hits by label); only two numbers for each label come to the driver, where the
+gradient and the line search are vector arithmetic.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelweave.functions.metrics import Metric
-from labelweave.operators.confusion import ENTRIES, confusion
+from labelweave.functions.metrics import Combined, Metric
+from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
 from labelweave.operators.select import best, predict
+from labelweave.shared import Scratch
 
 
 @dataclass
@@ -52,6 +53,19 @@ class RandomizedClassifier:
         u = (F.pmod(F.xxhash64("instance_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)) if draw is None else draw
         return predict_randomized(eta, self.weights(spark), self.mixture(spark), self.k, u)
 
+    def last(self, eta: DataFrame) -> DataFrame:
+        """Labels by the classifier that was found last."""
+        return self._fixed(eta, self.a[-1], self.b[-1])
+
+    def averaged(self, eta: DataFrame) -> DataFrame:
+        """Labels by one classifier with the mean weights, each classifier's by its probability."""
+        p = self.p / self.p.sum()
+        return self._fixed(eta, p @ self.a, p @ self.b)
+
+    def _fixed(self, eta: DataFrame, a: np.ndarray, b: np.ndarray) -> DataFrame:
+        weights = eta.sparkSession.createDataFrame([(int(j), float(x), float(y)) for j, x, y in zip(self.labels, a, b, strict=True)], "label_id int, a double, b double")
+        return predict(eta, self.k, th=0.0, weights=F.broadcast(weights))  # a row for each label
+
     def expected(self, eta: DataFrame) -> DataFrame:
         """(instance_id, label_id, value): the probability with which each label is chosen."""
         return expected_predictions(eta, self.weights(eta.sparkSession), self.mixture(eta.sparkSession), self.k)
@@ -73,35 +87,51 @@ def expected_predictions(eta: DataFrame, weights: DataFrame, mixture: DataFrame,
     return picked.join(F.broadcast(mixture.select("classifier_id", "p")), "classifier_id").groupBy("instance_id", "label_id").agg(F.sum("p").alias("value"))
 
 
-def best_alpha(metric: Metric, c: np.ndarray, new: np.ndarray, *, maximize: bool = True, algorithm: str = "uniform", step: float = 1e-3, tolerance: float = 1e-3) -> float:
+def alpha_values(metric: Metric | Combined, c: np.ndarray, new: np.ndarray, alphas: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The metric at each mixture (1 - alpha) c + alpha new of two confusion matrices."""
+    return np.array([metric.value(*((1 - x) * c + x * new), label=label) for x in alphas])
+
+
+def best_alpha(metric: Metric | Combined, c: np.ndarray, new: np.ndarray, *, maximize: bool = True, algorithm: str = "uniform", step: float = 1e-3, tolerance: float = 1e-3, label: np.ndarray | None = None) -> float:
     """The step towards new in [0, 1) with the best value: a grid (the first of equals), or a ternary search."""
-    value = lambda alpha: (1 if maximize else -1) * metric.value(*((1 - alpha) * c + alpha * new))
+    value = lambda alphas: (1 if maximize else -1) * alpha_values(metric, c, new, alphas, label)
     if algorithm == "uniform":
         grid = np.arange(0, 1, step)
-        return float(grid[int(np.argmax([value(x) for x in grid]))])
+        return float(grid[int(np.argmax(value(grid)))])
+    if algorithm != "ternary":
+        raise ValueError("algorithm has to be uniform or ternary")
     low, high = 0.0, 1.0
     while high - low > tolerance:
         a, b = low + (high - low) / 3, high - (high - low) / 3
-        low, high = (a, high) if value(a) < value(b) else (low, b)
+        left, right = value(np.array([a, b]))
+        low, high = (a, high) if left < right else (low, b)
     return (low + high) / 2
 
 
-def find_classifier(y_true: DataFrame, eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, max_iters: int = 25, init: str | tuple[np.ndarray, np.ndarray] = "top", maximize: bool = True, tolerance: float = 1e-6, alpha_tolerance: float = 1e-3, algorithm: str = "uniform", step: float = 1e-3, seed: int = 0) -> RandomizedClassifier:
+def linear_weights(metric: Metric | Combined, c: np.ndarray, *, maximize: bool = True, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the linear classifier a * eta + b that follows the metric's gradient at the confusion matrix c."""
+    g, sign = metric.gradient(*c, label=label), 1 if maximize else -1
+    return sign * (g[0] - g[1] - g[2] + g[3]), sign * (g[1] - g[3])
+
+
+def find_classifier(y_true: DataFrame, eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric | Combined, k: int, *, max_iters: int = 100, init: str | tuple[np.ndarray, np.ndarray] = "top", maximize: bool = True, tolerance: float = 1e-6, alpha_tolerance: float = 1e-3, algorithm: str = "uniform", step: float = 1e-3, seed: int = 0) -> RandomizedClassifier:
     """A randomized classifier whose expected confusion matrix is (nearly) optimal for the metric.
 
-    init: top, random, prior, or a pair (a, b). Stops when a step or an improvement is too small.
+    init: top, random, prior, or a pair (a, b). Stops when a step or an improvement is too small. Scores and
+    labels are written once, a row for each instance; an iteration is one pass over them, without a shuffle
+    but for sums by label.
     """
-    spark = eta.sparkSession
-    names = np.array([r.label_id for r in labels.select("label_id").orderBy("label_id").collect()])  # a row for each label
-    place, n = {int(j): i for i, j in enumerate(names)}, instances.count()
+    scratch, names, n = Scratch(eta.sparkSession), label_ids(labels), instances.count()
+    rows = scratch.save(packed(eta, names, y=y_true))
+    place, positive = {int(j): i for i, j in enumerate(names)}, np.zeros(len(names))
+    for r in y_true.groupBy("label_id").agg(F.sum("value").alias("s")).collect():  # a row for each label
+        if r.label_id in place:
+            positive[place[r.label_id]] = r.s / n
 
     def count(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        weights = spark.createDataFrame([(int(j), float(x), float(y)) for j, x, y in zip(names, a, b, strict=True)], "label_id int, a double, b double")
-        found = confusion(y_true, predict(eta, k, th=0.0, weights=F.broadcast(weights)), instances, labels, normalize=True).collect()
-        out = np.zeros((4, len(names)))
-        for r in found:
-            out[:, place[r.label_id]] = [r[e] for e in ENTRIES]
-        return out
+        picked = chosen(lambda x: F.get("a", x["at"]) * x["eta"] + F.get("b", x["at"]), k)
+        hit, all_ = label_sums(with_labels(rows, a=a, b=b).select(F.inline(picked)), len(names), F.col("y"), F.lit(1.0)).get(0, np.zeros((2, len(names)))) / n
+        return np.array([hit, all_ - hit, positive - hit, 1 - positive - all_ + hit])
 
     m = len(names)
     if init == "top":
@@ -116,18 +146,30 @@ def find_classifier(y_true: DataFrame, eta: DataFrame, instances: DataFrame, lab
         a, b = (np.asarray(x, dtype=float) for x in init)
     kept_a, kept_b, p = [a], [b], [1.0]
     c = count(a, b)
-    history = [{"utility": metric.value(*c), "alpha": 1.0}]
+    history, sign = [{"utility": metric.value(*c, label=names), "alpha": 1.0}], 1 if maximize else -1
     for _ in range(max_iters):
-        g = metric.gradient(*c)
-        sign = 1 if maximize else -1
-        a, b = sign * (g[0] - g[1] - g[2] + g[3]), sign * (g[1] - g[3])
+        a, b = linear_weights(metric, c, maximize=maximize, label=names)
         new = count(a, b)
-        alpha = best_alpha(metric, c, new, maximize=maximize, algorithm=algorithm, step=step)
+        alpha = best_alpha(metric, c, new, maximize=maximize, algorithm=algorithm, step=step, label=names)
         mixed = (1 - alpha) * c + alpha * new
-        gain = sign * (metric.value(*mixed) - history[-1]["utility"])
+        gain = sign * (metric.value(*mixed, label=names) - history[-1]["utility"])
         if alpha < alpha_tolerance or gain < tolerance:
             break
         c, p = mixed, [x * (1 - alpha) for x in p] + [alpha]
         kept_a.append(a), kept_b.append(b)
-        history.append({"utility": metric.value(*c), "alpha": alpha})
+        history.append({"utility": metric.value(*c, label=names), "alpha": alpha})
+    scratch.drop()
     return RandomizedClassifier(k, names, np.array(kept_a), np.array(kept_b), np.array(p), history)
+
+
+def systematic_sample(cells: DataFrame, k: int, seed: int = 0, start: Column | None = None) -> DataFrame:
+    """(instance_id, label_id, value): k labels of each instance, each with its probability `value`, drawn by one uniform start.
+
+    The probabilities of an instance sum to k. They are laid end to end in the order of a hash, and a label is
+    taken if its stretch holds start, start + 1, ... (start in [0, 1) for each instance).
+    """
+    u = (F.pmod(F.xxhash64("instance_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)) if start is None else start
+    order = Window.partitionBy("instance_id").orderBy(F.xxhash64("instance_id", "label_id", F.lit(seed + 1)), "label_id")
+    laid = cells.withColumn("_end", F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_u", u)
+    ends = laid.withColumn("_before", F.coalesce(F.lag("_end").over(order), F.lit(0.0)))
+    return ends.where(F.ceil(F.round(F.col("_end") - F.col("_u"), 12)) > F.ceil(F.round(F.col("_before") - F.col("_u"), 12))).select("instance_id", "label_id", F.lit(1.0).alias("value"))

@@ -100,18 +100,42 @@ def exactly_k(y: DataFrame, instances: DataFrame, k: int) -> DataFrame:
     return full.agg(F.bool_and(F.coalesce("ok", F.lit(True))).alias("binary"), F.bool_and(F.coalesce("s", F.lit(0.0)) == k).alias("at_k"))
 
 
-def tune_thresholds(grid: DataFrame) -> DataFrame:
-    """(label_id, th, f1): for each label the threshold with the best F1 over grid (label_id, eta, y).
+def first_k(cells: DataFrame, k: int) -> DataFrame:
+    """The k smallest labels of each instance."""
+    return best(cells.withColumn("_gain", -F.col("label_id")), k, by="_gain").select("instance_id", "label_id", F.lit(1.0).alias("value"))
 
-    A running sum over scores from the largest on gives the counts at every cut; a cut stands half-way to
-    the next smaller score, after the last score 1e-6 below it. Ties go to the larger score.
+
+def sampled(eta: DataFrame, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """(instance_id, label_id): labels drawn with their probability eta; draw is uniform on [0, 1), by default from a hash."""
+    u = (F.pmod(F.xxhash64("instance_id", "label_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)) if draw is None else draw
+    return eta.where(F.col("eta") >= u).select("instance_id", "label_id")
+
+
+def argmax_accuracy(grid: DataFrame) -> DataFrame:
+    """One row with `value`: the share of instances whose label with the largest score is right."""
+    return best(grid, 1, by="eta").agg(F.avg(F.col("y").cast("double")).alias("value"))
+
+
+def tune_thresholds(grid: DataFrame, metric: str = "f1", *, buckets: int = 1024) -> DataFrame:
+    """(label_id, th, value): for each label the threshold with the best F1 or min(tp, tn) over grid (label_id, eta, y).
+
+    Running sums over scores from the largest on give the counts at every cut; a cut stands half-way to the
+    next smaller score, after the last score 1e-6 below it. Ties go to the larger score. Scores fall into
+    `buckets` ranges of width 1 / buckets; sums run over ranges first and within each range then, so no task
+    sorts all scores of a label.
     """
-    down = Window.partitionBy("label_id").orderBy(F.desc("eta"))
-    at = grid.groupBy("label_id", "eta").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
-    run = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("y").over(Window.partitionBy("label_id"))
-    cuts = at.select("label_id", "eta", F.lead("eta").over(down).alias("next"), F.sum("y").over(run).alias("tp"), F.sum("n").over(run).alias("predicted"), total.alias("positive"))
-    f1 = 2.0 * F.col("tp") / (F.col("predicted") + F.col("positive"))
-    cuts = cuts.select("label_id", "eta", F.round(f1, 12).alias("f1"), F.when(F.col("next").isNull(), F.col("eta") - 1e-6).otherwise((F.col("eta") + F.col("next")) / 2).alias("th"))
-    top = cuts.groupBy("label_id").agg(F.max_by(F.struct("th", "f1"), F.struct("f1", "eta")).alias("top"))
-    return top.select("label_id", "top.th", "top.f1")
+    at = grid.groupBy("label_id", "eta").agg(F.sum("y").alias("y"), F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("eta") * buckets))
+    ranges = at.groupBy("label_id", "bucket").agg(F.sum("y").alias("y"), F.sum("n").alias("n"), F.max("eta").alias("top"))
+    down = Window.partitionBy("label_id").orderBy(F.desc("bucket"))
+    before, every = down.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("label_id")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ranges = ranges.select("label_id", "bucket", zero(F.sum("y").over(before)).alias("y_before"), zero(F.sum("n").over(before)).alias("n_before"), F.lead("top").over(down).alias("below"), F.sum("y").over(every).alias("positive"), F.sum("n").over(every).alias("all"))
+    within = Window.partitionBy("label_id", "bucket").orderBy(F.desc("eta"))
+    run = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = at.select("label_id", "bucket", "eta", F.lead("eta").over(within).alias("next"), F.sum("y").over(run).alias("y"), F.sum("n").over(run).alias("n")).join(ranges, ["label_id", "bucket"])
+    tp, predicted, positive = F.col("y") + F.col("y_before"), F.col("n") + F.col("n_before"), F.col("positive")
+    value = {"f1": 2.0 * tp / (predicted + positive), "min_tp_tn": F.least(tp, F.col("all") - predicted - positive + tp).cast("double")}[metric]
+    next_ = F.coalesce("next", "below")
+    cuts = cuts.select("label_id", "eta", F.round(value, 12).alias("value"), F.when(next_.isNull(), F.col("eta") - 1e-6).otherwise((F.col("eta") + next_) / 2).alias("th"))
+    top = cuts.groupBy("label_id").agg(F.max_by(F.struct("th", "value"), F.struct("value", "eta")).alias("top"))
+    return top.select("label_id", "top.th", "top.value")

@@ -6,16 +6,19 @@ arithmetic hash of both, 0.3 higher for brands that the order has.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.functions import metrics as M
-from labelweave.operators import block_coordinate, confusion, frank_wolfe, labels, select
+from labelweave.operators import block_coordinate, confusion, frank_wolfe, labels, named, select
+from labelweave.operators import packed as packing
 from labelweave.sources import text as sources
 from labelweave.streaming import online
 
@@ -218,36 +221,41 @@ query("random_at_k", PICK.format(gain="((instance_id * 7919 + label_id * 1548586
 query("at_k_check", "SELECT true AS binary, bool_and(s = 3) AS at_k FROM (SELECT instance_id, sum(p) AS s FROM cells GROUP BY instance_id)")(lambda b: select.exactly_k(b.pred, b.instances, K))
 query("prune_topk_threshold", "SELECT instance_id, label_id, round(eta, 9) AS eta FROM ranked WHERE eta >= CAST(0.6 AS DOUBLE) OR rk <= 2")(lambda b: rounded(select.prune(b.eta, 0.6, 2)))
 query("top_label_restrict", "SELECT instance_id, label_id FROM y_true WHERE label_id IN (SELECT label_id FROM priors ORDER BY prior DESC, label_id LIMIT 10)")(lambda b: labels.restrict(b.y_true, labels.most_frequent(b.priors, 0.4)).select("instance_id", "label_id"))
-query("sampled_labels", "SELECT instance_id, label_id FROM grid WHERE eta >= CAST((instance_id * 31 + label_id * 977) % 1009 AS DOUBLE) / 1009")(lambda b: b.eta.where(F.col("eta") >= ((F.col("instance_id") * 31 + F.col("label_id") * 977) % 1009).cast("double") / 1009).select("instance_id", "label_id"))
-query("argmax_accuracy", "SELECT round(avg(CAST(y AS DOUBLE)), 9) AS value FROM ranked WHERE rk = 1")(lambda b: rounded(select.best(b.grid.withColumn("gain", F.col("eta")), 1).agg(F.avg(F.col("y").cast("double")).alias("value"))))
+query("sampled_labels", "SELECT instance_id, label_id FROM grid WHERE eta >= CAST((instance_id * 31 + label_id * 977) % 1009 AS DOUBLE) / 1009")(lambda b: select.sampled(b.eta, draw=((F.col("instance_id") * 31 + F.col("label_id") * 977) % 1009).cast("double") / 1009))
+query("argmax_accuracy", "SELECT round(avg(CAST(y AS DOUBLE)), 9) AS value FROM ranked WHERE rk = 1")(lambda b: rounded(select.argmax_accuracy(b.grid)))
 
 
 @query("log_loss", "SELECT round(avg(-(y * ln(greatest(least(eta, CAST(0.999999 AS DOUBLE)), CAST(0.000001 AS DOUBLE))) + (1 - y) * ln(1 - greatest(least(eta, CAST(0.999999 AS DOUBLE)), CAST(0.000001 AS DOUBLE))))), 8) AS value FROM grid")
 def _(b):
-    p = F.greatest(F.least(F.col("eta"), F.lit(0.999999)), F.lit(0.000001))
-    return rounded(b.grid.agg(F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))).alias("value")), 8)
+    return rounded(M.log_loss(b.grid), 8)
 
 
-query("sigmoid_scores", "SELECT instance_id, label_id, round(1 / (1 + exp(-eta)), 9) AS value FROM grid")(lambda b: b.eta.select("instance_id", "label_id", F.round(1 / (1 + F.exp(-F.col("eta"))), 9).alias("value")))
-query("mean_positive_labels", "SELECT round(avg(c), 9) AS value FROM (SELECT instance_id, CAST(sum(y) AS DOUBLE) AS c FROM grid GROUP BY instance_id)")(lambda b: rounded(b.grid.groupBy("instance_id").agg(F.sum("y").cast("double").alias("c")).agg(F.avg("c").alias("value"))))
+query("sigmoid_scores", "SELECT instance_id, label_id, round(1 / (1 + exp(-eta)), 9) AS value FROM grid")(lambda b: b.eta.select("instance_id", "label_id", F.round(M.sigmoid(F.col("eta")), 9).alias("value")))
+query("mean_positive_labels", "SELECT round(avg(c), 9) AS value FROM (SELECT instance_id, CAST(sum(y) AS DOUBLE) AS c FROM grid GROUP BY instance_id)")(lambda b: rounded(confusion.mean_positive_labels(b.y_true, b.instances)))
 query("label_remap", "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS label_id FROM (SELECT DISTINCT p_brand AS label FROM part UNION SELECT DISTINCT p_type FROM part)", "")(lambda b: labels.label_map(b.table("part").select(F.col("p_brand").alias("label")), b.table("part").select(F.col("p_type").alias("label"))))
 query("packed_rows", "SELECT instance_id, count(*) AS n, string_agg(CAST(label_id AS VARCHAR), ',' ORDER BY label_id) AS labels FROM y_true GROUP BY instance_id")(lambda b: sources.pack(b.y_true).select("instance_id", F.size("cells").cast("bigint").alias("n"), F.array_join(F.transform("cells", lambda c: c["label_id"].cast("string")), ",").alias("labels")))
 query("dense_topk", "SELECT instance_id, label_id, round(eta, 6) AS eta FROM (SELECT vec_id AS instance_id, CAST(i - 1 AS INT) AS label_id, CAST(embedding[i] AS DOUBLE) AS eta, row_number() OVER (PARTITION BY vec_id ORDER BY embedding[i] DESC, i) AS r FROM embeddings, range(1, 65) t(i)) WHERE r <= 3", "")(lambda b: rounded(sources.from_dense(b.table("embeddings").select(F.col("vec_id").alias("instance_id"), F.col("embedding").cast("array<double>").alias("e")), "e", K), 6))
 query("threshold_tuning_f1", """, scores AS (SELECT label_id, eta, sum(y) AS y, count(*) AS c FROM grid GROUP BY label_id, eta),
 run AS (SELECT label_id, eta, lead(eta) OVER w AS nxt, sum(y) OVER (w ROWS UNBOUNDED PRECEDING) AS tp, sum(c) OVER (w ROWS UNBOUNDED PRECEDING) AS pp, sum(y) OVER (PARTITION BY label_id) AS pos FROM scores WINDOW w AS (PARTITION BY label_id ORDER BY eta DESC)),
 f AS (SELECT label_id, eta, round(CAST(2 AS DOUBLE) * tp / (pp + pos), 12) AS f1, CASE WHEN nxt IS NULL THEN eta - CAST(1e-6 AS DOUBLE) ELSE (eta + nxt) / 2 END AS th FROM run)
-SELECT label_id, round(th, 9) AS th, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY f1 DESC, eta DESC) AS r FROM f) WHERE r = 1""")(lambda b: rounded(select.tune_thresholds(b.grid)))
+SELECT label_id, round(th, 9) AS th, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY f1 DESC, eta DESC) AS r FROM f) WHERE r = 1""")(lambda b: rounded(select.tune_thresholds(b.grid)).withColumnRenamed("value", "f1"))
 
 # Frank-Wolfe and randomized classifiers
 _GRAD_F1 = f""", g AS (SELECT label_id, 2 * (fp + fn + {EPS}) / pow(2 * tp + fp + fn + {EPS}, 2) / m AS gt, -2 * tp / pow(2 * tp + fp + fn + {EPS}, 2) / m AS gf FROM rates, size),
 w AS (SELECT label_id, gt - 2 * gf AS a, gf AS b FROM g)"""
 
 
-def _fw_weights(b: Base) -> DataFrame:
-    """The linear classifier at the gradient of macro F1, as columns."""
-    m, d = b.labels.count(), 2 * F.col("tp") + F.col("fp") + F.col("fn") + M.EPSILON
-    gt, gf = 2 * (F.col("fp") + F.col("fn") + M.EPSILON) / F.pow(d, 2) / m, -2 * F.col("tp") / F.pow(d, 2) / m
-    return b.rates.select("label_id", (gt - 2 * gf).alias("a"), gf.alias("b"))
+def _arrays(b: Base) -> tuple[list[int], np.ndarray]:
+    """Labels and the normalized confusion matrix as arrays: a row for each label."""
+    rows = b.rates.orderBy("label_id").collect()
+    return [r.label_id for r in rows], np.array([[r[e] for r in rows] for e in confusion.ENTRIES])
+
+
+def _fw_weights(b: Base, metric: M.Metric | M.Combined | None = None) -> DataFrame:
+    """The linear classifier at the gradient."""
+    names, c = _arrays(b)
+    weights = frank_wolfe.linear_weights(metric or M.Metric("f1"), c)
+    return b.spark.createDataFrame([(j, float(x), float(y)) for j, x, y in zip(names, *weights, strict=True)], "label_id int, a double, b double")
 
 
 query("fw_gradient", _GRAD_F1 + " SELECT label_id, round(a, 6) AS a, round(b, 6) AS b FROM w")(lambda b: rounded(_fw_weights(b), 6))
@@ -260,11 +268,9 @@ query("fw_step", _GRAD_F1 + " SELECT label_id, CAST(sum(y) AS DOUBLE) AS tp, CAS
 mix AS (SELECT i, label_id, (1 - i / CAST(100 AS DOUBLE)) * r.tp + i / CAST(100 AS DOUBLE) * c1.tp AS tp, (1 - i / CAST(100 AS DOUBLE)) * r.fp + i / CAST(100 AS DOUBLE) * c1.fp AS fp, (1 - i / CAST(100 AS DOUBLE)) * r.fn + i / CAST(100 AS DOUBLE) * c1.fn AS fn FROM rates r JOIN c1 USING (label_id), range(100) t(i))
 SELECT i AS step, round(avg(2 * tp / (2 * tp + fp + fn + CAST(1e-9 AS DOUBLE))), 9) AS value FROM mix GROUP BY i""")
 def _(b):
-    one = confusion.confusion(b.y_true, select.predict(b.eta, 1), b.instances, b.labels, normalize=True)
-    pair = b.rates.join(one.select("label_id", *[F.col(c).alias(f"new_{c}") for c in confusion.ENTRIES]), "label_id")
-    steps = pair.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint")))).withColumn("alpha", F.col("step") / 100.0)
-    mixed = steps.select("step", *[((1 - F.col("alpha")) * F.col(c) + F.col("alpha") * F.col(f"new_{c}")).alias(c) for c in confusion.ENTRIES])
-    return rounded(mixed.groupBy("step").agg(F.avg(M.f1(*[F.col(c) for c in confusion.ENTRIES])).alias("value")))
+    one = confusion.confusion(b.y_true, select.predict(b.eta, 1), b.instances, b.labels, normalize=True).orderBy("label_id").collect()
+    values = frank_wolfe.alpha_values(M.Metric("f1"), _arrays(b)[1], np.array([[r[e] for r in one] for e in confusion.ENTRIES]), np.arange(100) / 100)
+    return rounded(b.spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "step bigint, value double"))
 
 
 _MIXTURE = [(0, 0.5, 0.0, 0.5), (1, 0.25, 0.5, 0.75), (2, 0.25, 0.75, 1.0)]
@@ -306,14 +312,13 @@ def _bc_sql(name: str, gain: str = "up - down") -> str:
     return _BC_SQL.format(gain=gain, up=up, down=down) + "SELECT count(*) AS cells, round(sum(gain), 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY gain DESC, label_id) AS r FROM gains) WHERE r <= 3"
 
 
+def _best_gains(gains: DataFrame) -> DataFrame:
+    return select.best(gains.withColumn("gain", F.round("gain", 12)), K).agg(F.count("*").alias("cells"), F.round(F.sum("gain"), 6).alias("gain"))
+
+
 def _bc(b: Base, metric: M.Metric) -> DataFrame:
-    y = b.eta.select("instance_id", "label_id", F.col("eta").alias("value"))
-    conf = confusion.confusion(y, b.pred, b.instances, b.labels)
-    rows = b.eta.join(b.pred.withColumnRenamed("value", "c"), ["instance_id", "label_id"], "left").withColumn("c", F.coalesce("c", F.lit(0.0))).join(F.broadcast(conf), "label_id")
-    e, c, n, m = F.col("eta"), F.col("c"), b.instances.count(), b.labels.count()
-    own = {"tp": e * c, "fp": (1 - e) * c, "fn": e * (1 - c), "tn": (1 - e) * (1 - c)}
-    gains = rows.withColumn("gain", F.round(block_coordinate.gain(metric, *[F.greatest(F.lit(0.0), F.col(x) - own[x]) for x in confusion.ENTRIES], e, F.lit(float(n)), m), 12))
-    return select.best(gains, K).agg(F.count("*").alias("cells"), F.round(F.sum("gain"), 6).alias("gain"))
+    conf = confusion.confusion(b.eta.withColumnRenamed("eta", "value"), b.pred, b.instances, b.labels)
+    return _best_gains(block_coordinate.slice_gains(b.eta, b.pred, conf, b.instances.count(), b.labels.count(), metric))
 
 
 for _name in ("precision", "recall", "f1", "jaccard", "balanced_accuracy", "gmean", "hmean"):
@@ -325,16 +330,11 @@ query("coverage_step", ", lf AS (SELECT label_id, sum(CASE WHEN p = 1 THEN ln(1
 
 
 def _coverage(b: Base) -> DataFrame:
-    n, m = b.instances.count(), b.labels.count()
-    miss = F.log1p(-F.col("eta"))
-    rows = b.eta.join(b.pred.withColumnRenamed("value", "c"), ["instance_id", "label_id"], "left").withColumn("own", F.when(F.col("c") > 0, miss).otherwise(0.0))
-    fail = rows.groupBy("label_id").agg(F.sum("own").alias("s"))
-    gains = rows.join(F.broadcast(fail), "label_id").withColumn("gain", F.round(0.5 / m * F.col("eta") * F.exp(F.col("s") - F.col("own")) + 0.5 * F.col("eta") / float(n * K), 12))
-    return select.best(gains, K).agg(F.count("*").alias("cells"), F.round(F.sum("gain"), 6).alias("gain"))
+    return _best_gains(block_coordinate.coverage_gains(b.eta, b.pred, b.instances.count(), b.labels.count(), K, 0.5))
 
 
 # online and reports
-query("ofo_thresholds", "SELECT label_id, round(tp / (2 * tp + fp + fn), 9) AS th FROM conf")(lambda b: b.conf().select("label_id", F.round(F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 9).alias("th")))
+query("ofo_thresholds", "SELECT label_id, round(tp / (2 * tp + fp + fn), 9) AS th FROM conf")(lambda b: b.conf().select("label_id", F.round(online.f_thresholds(F.col("tp"), F.col("fp"), F.col("fn")), 9).alias("th")))
 query("prequential_history", ", blocks AS (SELECT CAST(floor(instance_id / CAST(100 AS DOUBLE)) AS BIGINT) AS position, sum(y * p) AS h, sum(p) AS c FROM cells GROUP BY 1) SELECT position, CAST(sum(h) OVER (ORDER BY position) AS DOUBLE) AS hits, round(CAST(sum(h) OVER (ORDER BY position) AS DOUBLE) / sum(c) OVER (ORDER BY position), 9) AS precision FROM blocks")(
     lambda b: rounded(online.prequential(b.pred.join(b.y_true.withColumnRenamed("value", "y"), ["instance_id", "label_id"], "left").select("instance_id", F.coalesce("y", F.lit(0.0)).alias("hit"), "value", F.lit(1).alias("n"))))
 )
@@ -345,13 +345,7 @@ query("event_labels", "SELECT event_type, count(*) AS n, round(CAST(count(*) AS
 def _(b):
     hit = b.pred.join(b.y_true.select("instance_id", "label_id", F.lit(1.0).alias("t")), ["instance_id", "label_id"], "left")
     cells = b.eta.join(hit.select("instance_id", "label_id", F.coalesce("t", F.lit(0.0)).alias("v")), ["instance_id", "label_id"], "left")
-    return summarize(cells.groupBy((F.col("instance_id") % 5).alias("seed"), (F.col("label_id") % 4).alias("method")).agg(F.avg(F.coalesce("v", F.lit(0.0))).alias("v")))
-
-
-def summarize(results: DataFrame) -> DataFrame:
-    """Mean, deviation, standard error and rank of each method over seeds."""
-    stats = rounded(results.groupBy("method").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), (F.stddev_pop("v") / F.sqrt(F.count("*"))).alias("stderr")))
-    return stats.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("mean"))))
+    return M.summarize(cells.groupBy((F.col("instance_id") % 5).alias("seed"), (F.col("label_id") % 4).alias("method")).agg(F.avg(F.coalesce("v", F.lit(0.0))).alias("v")))
 
 
 R_SQL = f"((tp + {EPS}) / (tp + fn + {EPS}))"
@@ -371,13 +365,112 @@ def _stacked(b: Base) -> DataFrame:
     return confusion.stack(train, test, 1_000_000).groupBy("label_id").agg(F.count("*").alias("n"), F.sum("instance_id").alias("ids"))
 
 
-# iterated algorithms: no SQL
-query("fw_full_f1")(lambda b: frank_wolfe.find_classifier(b.y_true, b.eta, b.instances, b.labels, M.Metric("f1"), K, max_iters=3).weights(b.spark))
-query("bc_minibatch_f1")(lambda b: block_coordinate.minibatch(b.eta, b.instances, b.labels, M.Metric("f1"), K, slices=4, max_iters=1)[0])
-query("bc_exact_f1")(lambda b: block_coordinate.exact(b.eta, b.labels, M.Metric("f1"), K, max_iters=2))
+# gradients of every objective, against differences of the metric itself
+def _fill(sql: str, **by: str) -> str:
+    """The expression with other expressions in place of tp, fp, fn and tn."""
+    return re.sub(r"\b(tp|fp|fn|tn)\b", lambda m: by.get(m[0], m[0]), sql)
+
+
+def _slopes(psi: str, table: str) -> str:
+    """The classifier (label_id, a, b) by central differences of psi at the rows of table."""
+    h = "CAST(1e-6 AS DOUBLE)"
+    d = {x: f"(({_fill(psi, **{x: f'({x} + {h})'})}) - ({_fill(psi, **{x: f'({x} - {h})'})})) / (2 * {h})" for x in confusion.ENTRIES}
+    return f"SELECT {{key}} {d['tp']} AS d1, {d['fp']} AS d2, {d['fn']} AS d3, {d['tn']} AS d4 FROM {table}"
+
+
+for _name in named.MACRO:
+    _from = _slopes(PSI_SQL[_name], "rates").format(key="label_id,")
+    _once = _slopes(PSI_SQL[_name], "sums").format(key="")
+    query(f"fw_gradient_macro_{_name}", f", g AS ({_from}) SELECT label_id, round((d1 - d2 - d3 + d4) / m, 4) AS a, round((d2 - d4) / m, 4) AS b FROM g, size")(lambda b, name=_name: rounded(_fw_weights(b, named.objective(f"macro_{name}", K)), 4))
+    query(f"fw_gradient_micro_{_name}", f", g AS ({_once}) SELECT label_id, round(d1 - d2 - d3 + d4, 4) AS a, round(d2 - d4, 4) AS b FROM labels, g")(lambda b, name=_name: rounded(_fw_weights(b, named.objective(f"micro_{name}", K)), 4))
+    query(f"fw_gradient_mixed_{_name}", f", g AS ({_from}) SELECT label_id, round(CAST(0.3 AS DOUBLE) * (d1 - d2 - d3 + d4) / m + CAST(0.7 AS DOUBLE) / 3, 4) AS a, round(CAST(0.3 AS DOUBLE) * (d2 - d4) / m, 4) AS b FROM g, size")(lambda b, name=_name: rounded(_fw_weights(b, named.objective(f"{named.MIXED}{name}", K, 0.3)), 4))
+_from = _slopes(f"CAST(0.7 AS DOUBLE) * ({PSI_SQL['recall']}) + CAST(0.3 AS DOUBLE) * ({PSI_SQL['precision']})", "rates").format(key="label_id,")
+query("fw_gradient_macro_recall_macro_precision", f", g AS ({_from}) SELECT label_id, round(d1 - d2 - d3 + d4, 4) AS a, round(d2 - d4, 4) AS b FROM g")(lambda b: rounded(_fw_weights(b, named.objective("mixed_macro_recall_macro_precision", K, 0.3)), 4))
+
+
+def _fw_sql() -> str:
+    """Two Frank-Wolfe iterations for macro F1 from given weights: gradient, best labels, line search over thousandths, mixture."""
+    at = f"pow(2 * tp + fp + fn + {EPS}, 2) / m"
+    out = ", w0 AS (SELECT label_id, CAST(1 AS DOUBLE) + CAST((label_id * 3) % 7 AS DOUBLE) / 7 AS a, CAST(0 AS DOUBLE) AS b FROM labels)"
+    for i in (0, 1, 2):
+        out += f""", w{i} AS (SELECT label_id, 2 * (fp + fn + {EPS}) / {at} + 4 * tp / {at} AS a, -2 * tp / {at} AS b FROM c{i - 1}, size)""" if i else ""
+        out += f""",
+{'s' if i else 'c'}{i} AS (SELECT label_id, CAST(sum(CASE WHEN r <= 3 THEN y ELSE 0 END) AS DOUBLE) / max(n) AS tp, CAST(sum(CASE WHEN r <= 3 THEN 1 - y ELSE 0 END) AS DOUBLE) / max(n) AS fp, CAST(sum(CASE WHEN r > 3 THEN y ELSE 0 END) AS DOUBLE) / max(n) AS fn FROM (SELECT grid.*, row_number() OVER (PARTITION BY instance_id ORDER BY a * eta + b DESC, label_id) AS r FROM grid JOIN w{i} USING (label_id)), size GROUP BY label_id)"""
+        out += f""",
+m{i} AS (SELECT i / CAST(1000 AS DOUBLE) AS x, o.label_id, (1 - i / CAST(1000 AS DOUBLE)) * o.tp + i / CAST(1000 AS DOUBLE) * s.tp AS tp, (1 - i / CAST(1000 AS DOUBLE)) * o.fp + i / CAST(1000 AS DOUBLE) * s.fp AS fp, (1 - i / CAST(1000 AS DOUBLE)) * o.fn + i / CAST(1000 AS DOUBLE) * s.fn AS fn FROM c{i - 1} o JOIN s{i} s USING (label_id), range(1000) t(i)),
+x{i} AS (SELECT x FROM m{i} GROUP BY x ORDER BY avg(2 * tp / (2 * tp + fp + fn + {EPS})) DESC, x LIMIT 1),
+c{i} AS (SELECT label_id, tp, fp, fn FROM m{i} JOIN x{i} USING (x))""" if i else ""
+    p1, p2 = "(SELECT x FROM x1)", "(SELECT x FROM x2)"
+    each = [("0, label_id, a, b", f"(1 - {p1}) * (1 - {p2})", "w0"), ("1, label_id, a, b", f"{p1} * (1 - {p2})", "w1"), ("2, label_id, a, b", p2, "w2")]
+    return out + " SELECT CAST(i AS INT) AS classifier_id, label_id, round(a, 6) AS a, round(b, 6) AS b, round(p, 6) AS p FROM (" + " UNION ALL ".join(f"SELECT {x.replace(',', ' AS i,', 1)}, {p} AS p FROM {t}" for x, p, t in each) + ")"
+
+
+@query("fw_two_iterations", _fw_sql())
+def _(b):
+    return rounded(_two_iterations(b, "uniform", 2), 6)
+
+
+def _two_iterations(b: Base, algorithm: str, most: int) -> DataFrame:
+    names = packing.label_ids(b.labels)
+    init = 1 + (names * 3) % 7 / 7, np.zeros(len(names))
+    found = frank_wolfe.find_classifier(b.y_true, b.eta, b.instances, b.labels, M.Metric("f1"), K, max_iters=most, init=init, tolerance=-1.0, alpha_tolerance=-1.0, algorithm=algorithm)
+    return found.weights(b.spark).join(found.mixture(b.spark).select("classifier_id", "p"), "classifier_id")
+
+
+@query("fw_ternary_search", _fw_sql().split(",\nm2 AS")[0].split(", w2 AS")[0] + " SELECT round(x, 2) AS p FROM x1")
+def _(b):
+    """The mixture's share of the second classifier, by ternary search; the SQL tries a thousand steps."""
+    return _two_iterations(b, "ternary", 1).where("classifier_id = 1").select(F.round("p", 2).alias("p")).distinct()
+
+
+# block-coordinate search whose outcome is known: precision at k gives the k largest scores, from any start
+for _init in ("top", "random", "greedy"):
+    query(f"bc_instance_precision_{_init}", PICK.format(gain="eta", source="grid"))(lambda b, init=_init: named.BLOCK_COORDINATE["instance_precision"](b.eta, b.instances, b.labels, K, slices=4, init=init)[0])
+query("bc_user_metric_step", _bc_sql("f1"))(lambda b: _bc(b, M.Metric(lambda tp, fp, fn, tn: 2 * tp / (2 * tp + fp + fn + M.EPSILON))))
+query("bc_metric_per_label_step", f"{_BC_SQL.format(gain='up - down', up='CASE WHEN label_id % 2 = 0 THEN (tp + eta) / n / ((tp + eta) / n + fn / n + ' + EPS + ') ELSE (tp + eta) / n / ((tp + eta) / n + (fp + 1 - eta) / n + ' + EPS + ') END', down='CASE WHEN label_id % 2 = 0 THEN tp / n / (tp / n + (fn + eta) / n + ' + EPS + ') ELSE tp / n / (tp / n + fp / n + ' + EPS + ') END')} SELECT count(*) AS cells, round(sum(gain), 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY gain DESC, label_id) AS r FROM gains) WHERE r <= 3")(
+    lambda b: _bc(b, M.Metric({r.label_id: M.recall if r.label_id % 2 == 0 else M.precision for r in b.labels.collect()}))
+)
+query("coverage_utility", ", lf AS (SELECT label_id, sum(CASE WHEN p = 1 THEN ln(1 - eta) ELSE 0 END) AS s, sum(eta * p) AS t FROM cells GROUP BY label_id) SELECT round(CAST(0.5 AS DOUBLE) * (1 - avg(exp(s))) + CAST(0.5 AS DOUBLE) * sum(t) / max(n * 3), 9) AS value FROM lf, size")(
+    lambda b: rounded(b.spark.createDataFrame([(block_coordinate.coverage(b.eta, b.labels, K, alpha=0.5, slices=2, max_iters=0)[1][0],)], "value double"))
+)
+
+# thresholds, products and small pieces
+query("threshold_tuning_min_tp_tn", """, scores AS (SELECT label_id, eta, sum(y) AS y, count(*) AS c FROM grid GROUP BY label_id, eta),
+run AS (SELECT label_id, eta, lead(eta) OVER w AS nxt, sum(y) OVER (w ROWS UNBOUNDED PRECEDING) AS tp, sum(c) OVER (w ROWS UNBOUNDED PRECEDING) AS pp, sum(y) OVER (PARTITION BY label_id) AS pos, sum(c) OVER (PARTITION BY label_id) AS n FROM scores WINDOW w AS (PARTITION BY label_id ORDER BY eta DESC)),
+f AS (SELECT label_id, eta, CAST(least(tp, n - pp - pos + tp) AS DOUBLE) AS v, CASE WHEN nxt IS NULL THEN eta - CAST(1e-6 AS DOUBLE) ELSE (eta + nxt) / 2 END AS th FROM run)
+SELECT label_id, round(th, 9) AS th, v AS value FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY v DESC, eta DESC) AS r FROM f) WHERE r = 1""")(lambda b: rounded(select.tune_thresholds(b.grid, "min_tp_tn")))
+query("log_product_hits_label", "SELECT label_id, round(sum(ln(eta * (1 - eta / 2))), 6) AS log_product FROM grid GROUP BY label_id")(lambda b: rounded(confusion.log_product(b.eta, "label_id", F.col("eta") * (1 - F.col("eta") / 2), miss=False), 6))
+query("product_instance", "SELECT instance_id, round(product(1 - eta * p), 9) AS product FROM cells GROUP BY instance_id")(lambda b: rounded(confusion.product(_chosen(b), "instance_id", F.col("eta") * F.col("p"))))
+query("product_hits_instance", "SELECT instance_id, round(product(eta * (1 - eta / 2)), 12) AS product FROM grid GROUP BY instance_id")(lambda b: rounded(confusion.product(b.eta, "instance_id", F.col("eta") * (1 - F.col("eta") / 2), miss=False), 12))
+query("first_k_labels", "SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY label_id) AS r FROM y_true) WHERE r <= 2")(lambda b: select.first_k(b.y_true, 2))
+query("one_hot_classes", "SELECT o_orderkey AS instance_id, CAST(o_custkey % 7 AS INT) AS label_id, CAST(1 AS DOUBLE) AS value FROM orders", "")(lambda b: confusion.one_hot(b.table("orders").select(F.col("o_orderkey").alias("instance_id"), (F.col("o_custkey") % 7).alias("class_id"))))
+query("eliminate_zeros", "SELECT instance_id, label_id, CAST(y AS DOUBLE) AS value FROM grid WHERE y <> 0")(lambda b: confusion.nonzero(b.grid.select("instance_id", "label_id", F.col("y").cast("double").alias("value"))))
+query("ones_like", "SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM y_true")(lambda b: confusion.constant(b.y_true, 1))
+query("aligned_labels", "SELECT label_id FROM (SELECT label_id FROM labels UNION SELECT label_id + 20 FROM labels)")(lambda b: confusion.aligned(b.labels, b.labels.select((F.col("label_id") + 20).alias("label_id"))))
+query("feature_hstack", "SELECT instance_id, CAST(label_id AS INT) AS label_id, CAST(1 AS DOUBLE) AS value FROM y_true UNION ALL SELECT instance_id, CAST(label_id + 100 AS INT), CAST(1 AS DOUBLE) FROM (SELECT * FROM ranked WHERE rk <= 3)")(lambda b: confusion.beside(b.y_true.select("instance_id", "label_id", "value"), b.pred, 100))
+query("systematic_sample_sizes", "SELECT instance_id, CAST(3 AS BIGINT) AS n FROM instances")(lambda b: frank_wolfe.systematic_sample(b.eta.withColumn("all", F.sum("eta").over(Window.partitionBy("instance_id"))).select("instance_id", "label_id", (K * F.col("eta") / F.col("all")).alias("value")), K).groupBy("instance_id").agg(F.count("*").alias("n")))
+_T = "(tp / n)", "greatest((tp + fp) / n, CAST(1e-9 AS DOUBLE))", "greatest((tp + fn) / n, CAST(1e-9 AS DOUBLE))"
+for _name, _sql in {"precision": f"{_T[0]} / {_T[1]}", "recall": f"{_T[0]} / {_T[2]}", "fbeta": f"2 * {_T[0]} / ({_T[1]} + {_T[2]})", "abandonment": "CASE WHEN tp > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END", "balanced_accuracy": f"({_T[0]} / {_T[2]} + (1 - {_T[1]} - {_T[2]} + {_T[0]}) / greatest(1 - {_T[2]}, CAST(1e-9 AS DOUBLE))) / 2"}.items():
+    query(f"of_sums_{_name}", f"SELECT label_id, round({_sql}, 9) AS value FROM conf, size")(lambda b, name=_name: rounded(b.rates.select("label_id", M.of_sums(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"), name).alias("value"))))
+for _name, _sql in {"last": "SELECT label_id, CAST(1 AS DOUBLE) + CAST((label_id * 3) % 7 AS DOUBLE) / 7 AS a, CAST(0 AS DOUBLE) AS b FROM labels", "averaged": "SELECT label_id, CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * (1 + CAST((label_id * 3) % 7 AS DOUBLE) / 7) AS a, CAST(0 AS DOUBLE) AS b FROM labels"}.items():
+    query(f"{_name}_classifier", f", w AS ({_sql}) " + PICK.format(gain="round(a * eta + b, 9)", source="(SELECT * FROM grid JOIN w USING (label_id))"))(lambda b, name=_name: getattr(_two_classifiers(b), name)(b.eta))
+
+
+def _two_classifiers(b: Base) -> frank_wolfe.RandomizedClassifier:
+    names = packing.label_ids(b.labels)
+    a = np.array([np.ones(len(names)), 1 + (names * 3) % 7 / 7])
+    return frank_wolfe.RandomizedClassifier(K, names, a, np.zeros_like(a), np.array([0.25, 0.75]))
+
+
+# iterated algorithms, to their tolerances: no SQL
+query("fw_full_f1")(lambda b: frank_wolfe.find_classifier(b.y_true, b.eta, b.instances, b.labels, M.Metric("f1"), K).weights(b.spark))
+query("bc_minibatch_f1")(lambda b: block_coordinate.minibatch(b.eta, b.instances, b.labels, M.Metric("f1"), K)[0])
+query("bc_exact_f1")(lambda b: block_coordinate.exact(b.eta, b.labels, M.Metric("f1"), K))
+query("bc_coverage")(lambda b: block_coordinate.coverage(b.eta, b.labels, K, alpha=0.5)[0])
 for _name in ("default", "greedy", "gradient"):
     query(f"online_{_name}")(lambda b, kind=_name: online.replay(b.grid, b.labels, kind, M.Metric("f1"), K))
-query("online_retuned_thresholds")(lambda b: online.replay_retuned(b.grid, b.labels, "thresholds", M.Metric("f1"), 0, first=500, growth=3.0))
+query("online_retuned_thresholds")(lambda b: online.replay_retuned(b.grid, b.labels, "thresholds", M.Metric("f1"), 0))
+query("online_retuned_frank_wolfe")(lambda b: online.replay_retuned(b.grid, b.labels, "frank_wolfe", M.Metric("f1"), K))
 query("online_thresholds")(lambda b: online.replay(b.grid, b.labels, "thresholds", M.Metric("f1"), 0))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,27 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def labels_from_arrays(rows: DataFrame, labels: str = "labels") -> DataFrame:
+    """(instance_id, label_id, value) of rows with an array of labels; empty and null arrays give no labels."""
+    return rows.select("instance_id", F.explode(labels).cast("int").alias("label_id"), F.lit(1.0).alias("value")).dropDuplicates(["instance_id", "label_id"])
+
+
+def read_libsvm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Labels (instance_id, label_id, value) and features (instance_id, feature_id, value) of lines `l1,l2 f:v f:v`; comments after # are left out."""
+    lines = _numbered(spark, path, False).select("instance_id", F.trim(F.regexp_replace("line", "#.*", "")).alias("line")).where("line <> ''")
+    words = F.split("line", r"\s+")
+    first = F.when(words[0].contains(":"), F.array().cast("array<string>")).otherwise(F.split(words[0], ","))
+    y = lines.select("instance_id", F.explode(first).alias("label")).where("label <> ''")
+    cells = lines.select("instance_id", F.explode(F.filter(words, lambda w: w.contains(":"))).alias("cell"))
+    pair = F.split("cell", ":")
+    return y.select("instance_id", F.col("label").cast("double").cast("int").alias("label_id"), F.lit(1.0).alias("value")), cells.select("instance_id", pair[0].cast("int").alias("feature_id"), pair[1].cast("double").alias("value"))
+
+
+def load_or_create(spark: SparkSession, path: str, create: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; if there is none yet, what `create` gives is written there first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        create().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -11,11 +11,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.functions.metrics import Metric
+from labelweave.operators.block_coordinate import gain as gain_of
+from labelweave.operators.confusion import ENTRIES
+from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
 
 
 @dataclass
@@ -34,6 +37,10 @@ class Learner:
     regularize: float = 1e-6
     n: int = 0
     c: np.ndarray = field(default=None)
+    names: np.ndarray | None = None
+
+    def labels_at(self, index: np.ndarray) -> np.ndarray | None:
+        return None if self.names is None else self.names[index]
 
     def __post_init__(self):
         if self.c is None:
@@ -46,15 +53,15 @@ class Learner:
             n, c = self.n + 1, self.c[:, index]
             up = [c[0] + eta, c[1] + 1 - eta, c[2], c[3]]
             down = [c[0], c[1], c[2] + eta, c[3] + 1 - eta]
-            g = self.metric.psi(*(x / n for x in up)) - self.metric.psi(*(x / n for x in down))
+            g = self.metric.at(*(x / n for x in up), self.labels_at(index)) - self.metric.at(*(x / n for x in down), self.labels_at(index))
+            if self.metric.mix != 1:
+                g = self.metric.mix / self.m * g + (1 - self.metric.mix) * eta / n / self.metric.k
         elif self.kind == "gradient":
-            d = self.metric.gradient(*(self.c / max(1, self.n)))
+            d = self.metric.gradient(*(self.c / max(1, self.n)), label=self.names)
             a, b = (d[0] - d[1] - d[2] + d[3])[index], (d[1] - d[3])[index]
             g = a * eta + b
         elif self.kind == "thresholds":
-            hit, all_ = self.c[0], 2 * self.c[0] + self.c[1] + self.c[2]
-            th = (hit / all_)[index] if self.metric.average == "macro" else hit.sum() / all_.sum()
-            g = eta - th
+            g = eta - f_thresholds(*self.c[:3], average=self.metric.average)[index]
         else:
             raise ValueError(self.kind)
         return np.lexsort((index, -g))[: self.k] if self.k else np.flatnonzero(g >= 0)
@@ -69,17 +76,48 @@ class Learner:
             self.c[row, index] += part
 
 
+def f_thresholds(tp, fp, fn, average: str = "macro"):
+    """The thresholds that online F-measure optimization has reached: half of each label's F1, or of all labels' together.
+
+    For columns tp, fp and fn of one label a column, for arrays an array.
+    """
+    if isinstance(tp, Column):
+        return tp / (2 * tp + fp + fn)
+    hit, all_ = tp, 2 * tp + fp + fn
+    return hit / all_ if average == "macro" else np.full(len(hit), hit.sum() / all_.sum())
+
+
+#: Learners by name: kind, and whether they take a number of labels k or thresholds.
+KINDS = {"default": "default", "greedy": "greedy", "omma": "gradient", "ofo": "thresholds"}
+
+
+def learn_online(name: str, rows: DataFrame, labels: DataFrame, k: int, *, alpha: float = 0.5, etu: bool = False, **options) -> DataFrame:
+    """Predictions of the learner `method_objective`, such as omma_macro_f1, greedy_macro_recall, ofo_micro_f1, frank_wolfe_macro_f1, thresholds_macro_f1 or default.
+
+    With etu the scores stand for the labels, so the learner optimizes expected utility and sees no label.
+    """
+    from labelweave.operators.named import objective
+
+    rows = rows.withColumn("y", F.col("eta")) if etu else rows
+    method = next(x for x in ("frank_wolfe", "thresholds", *KINDS) if name == x or name.startswith(f"{x}_"))
+    metric = objective(name.removeprefix(method).lstrip("_") or "macro_f1", max(1, k), alpha)
+    if method in ("frank_wolfe", "thresholds"):
+        return replay_retuned(rows, labels, method, metric, k, **options)
+    return replay(rows, labels, KINDS[method], metric, k, **options)
+
+
 def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, order: str = "instance_id") -> DataFrame:
     """(instance_id, label_id, value): predictions of a learner over rows (instance_id, label_id, eta, y, ...) in arrival order.
 
-    Strict order needs one task; the table is streamed through it, with the state alone in memory.
+    Strict order needs one task; the table is streamed through it, with the state alone in memory. `start`
+    is the form that scales: weights are frozen within a micro-batch.
     """
-    names = sorted(r.label_id for r in labels.select("label_id").collect())
+    names = label_ids(labels).tolist()
     packed = rows.groupBy(order, "instance_id").agg(F.sort_array(F.collect_list(F.struct("label_id", "eta", "y"))).alias("cells"))
     ordered = packed.repartitionByRange(1, order).sortWithinPartitions(order, "instance_id").select("instance_id", "cells")
 
     def run(batches):
-        learner, place = Learner(kind, metric, k, len(names)), {j: i for i, j in enumerate(names)}
+        learner, place = Learner(kind, metric, k, len(names), names=np.array(names)), {j: i for i, j in enumerate(names)}
         for batch in batches:
             out = []
             for i, cells in zip(batch.column("instance_id").to_pylist(), batch.column("cells").to_pylist(), strict=True):
@@ -92,46 +130,66 @@ def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int
     return ordered.mapInArrow(run, "instance_id bigint, label_id int, value double")
 
 
-def start(stream: DataFrame, labels: DataFrame, metric: Metric, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run a learner of kind `gradient` over a stream of cells (instance_id, label_id, eta, y); sink gets each batch's predictions."""
-    from labelweave.operators.select import predict
+def start(stream: DataFrame, labels: DataFrame, metric: Metric, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, *, kind: str = "gradient"):
+    """Run a learner over a stream of cells (instance_id, label_id, eta, y); sink gets each batch's predictions. Returns the query and the learner.
+
+    What the learner knows is frozen within a micro-batch and updated after it, so a batch is worked on in
+    parallel; only sums by label come to the driver. All kinds of Learner can be run.
+    """
+    names = label_ids(labels)
+    state = Learner(kind, metric, k, len(names), names=names)
+
+    def gain(x: Column) -> Column:
+        e, at = x["eta"], x["at"]
+        if kind == "default":
+            return e if k else e - 0.5
+        if kind == "thresholds":
+            return e - F.get("th", at)
+        if kind == "gradient":
+            return F.get("a", at) * e + F.get("b", at)
+        own = [F.get(c, at) for c in ENTRIES]
+        return gain_of(metric, *own, e, float(state.n + 1), len(names), x["label_id"])
 
-    names = sorted(r.label_id for r in labels.select("label_id").collect())
-    state = Learner("gradient", metric, k, len(names))
-    place = {j: i for i, j in enumerate(names)}
+    def known() -> dict[str, np.ndarray]:
+        if kind == "thresholds":
+            return {"th": f_thresholds(*state.c[:3], average=metric.average)}
+        if kind == "gradient":
+            d = metric.gradient(*(state.c / max(1, state.n)), label=names)
+            return {"a": d[0] - d[1] - d[2] + d[3], "b": d[1] - d[3]}
+        return dict(zip(ENTRIES, state.c, strict=True))
 
     def batch(cells: DataFrame, number: int) -> None:
-        spark = cells.sparkSession
-        d = metric.gradient(*(state.c / max(1, state.n)))
-        a, b = d[0] - d[1] - d[2] + d[3], d[1] - d[3]
-        weights = spark.createDataFrame([(int(j), float(a[i]), float(b[i])) for j, i in place.items()], "label_id int, a double, b double")
-        found = predict(cells.select("instance_id", "label_id", "eta"), k, weights=F.broadcast(weights)).persist()
-        sink(found, number)
-        both = cells.join(found, ["instance_id", "label_id"], "left").withColumn("p", F.coalesce("value", F.lit(0.0)))
-        n = cells.select("instance_id").distinct().count()
+        y = cells.select("instance_id", "label_id", F.col("y").cast("double").alias("value"))
+        rows = with_labels(packed(cells.select("instance_id", "label_id", "eta"), names, y=y), **known())
+        rows = rows.select("instance_id", "cells", chosen(gain, k).alias("picked")).persist()
+        sink(rows.select("instance_id", F.inline("picked")).select("instance_id", "label_id", F.lit(1.0).alias("value")), number)
+        n, none = rows.count(), np.zeros((2, len(names)))
+        hit, p = label_sums(rows.select(F.inline("picked")), len(names), F.col("y"), F.lit(1.0)).get(0, none)
+        positive = label_sums(rows.select(F.inline("cells")), len(names), F.col("y")).get(0, none)[0]
         state.n += n
-        state.c[3] += n
-        for r in both.groupBy("label_id").agg(F.sum(F.col("y") * F.col("p")).alias("tp"), F.sum("p").alias("p"), F.sum("y").alias("y")).collect():
-            part = np.array([r.tp, r.p - r.tp, r.y - r.tp, 0.0])
-            part[3] = -part[:3].sum()
-            state.c[:, place[r.label_id]] += part
-        found.unpersist()
+        state.c += np.array([hit, p - hit, positive - hit, n - p - positive + hit])
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), state
 
 
-def prequential(rows: DataFrame, by: str = "instance_id", every: int = 100) -> DataFrame:
+def prequential(rows: DataFrame, by: str = "instance_id", every: int = 100, wide: int = 1000) -> DataFrame:
     """(position, hits, precision): running share of right predictions (rows with `hit` and `n`) after each `every` rows.
 
-    Rows are counted in blocks first and only blocks are ordered, so the window runs over 1 / every of them.
+    Rows are summed in blocks first, and blocks in groups of `wide`; sums run over groups, and over the
+    blocks of each group apart.
     """
-    blocks = rows.groupBy(F.floor(F.col(by) / every).alias("block")).agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
-    run = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = blocks.select("block", F.sum("hit").over(run).alias("hits"), F.sum("n").over(run).alias("n"))
-    return total.select(F.col("block").alias("position"), "hits", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).alias("precision"))
+    blocks = rows.groupBy(F.floor(F.col(by) / every).alias("block")).agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).withColumn("group", F.floor(F.col("block") / wide))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # 1 / (every * wide) of the rows
+    groups = blocks.groupBy("group").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+    groups = groups.select("group", F.coalesce(F.sum("hit").over(before), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
+    run = Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = blocks.select("group", "block", F.sum("hit").over(run).alias("hits"), F.sum("n").over(run).alias("n")).join(groups, "group")
+    hits, n = F.col("hits") + F.col("hits_before"), F.col("n") + F.col("n_before")
+    return total.select(F.col("block").alias("position"), hits.alias("hits"), F.when(n > 0, hits / n).alias("precision"))
 
 
-def replay_retuned(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, first: int = 100, growth: float = 1.5) -> DataFrame:
+def replay_retuned(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, first: int = 100, growth: float = 1.5, max_iters: int = 25) -> DataFrame:
     """Predictions by parameters that are learned again on all earlier rows each time their number has grown by `growth`.
 
     kind: thresholds (a threshold for each label, at first 0.5) or frank_wolfe (a randomized classifier, at
@@ -146,12 +204,12 @@ def replay_retuned(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric
         block, past = rows.where((F.col("instance_id") >= start) & (F.col("instance_id") < stop)), rows.where(F.col("instance_id") < start)
         eta = block.select("instance_id", "label_id", "eta")
         if kind == "thresholds":
-            found = select.predict(eta, 0, th=0.5) if start == low else select.predict(eta, 0, th=select.tune_thresholds(past))
+            found = select.predict(eta, 0, th=0.5) if start == low else select.predict(eta, 0, th=select.tune_thresholds(past, metric.name if metric.name == "min_tp_tn" else "f1"))
         elif start == low:
             found = select.predict(eta, k, th=0.5)
         else:
             y = past.where("y > 0").select("instance_id", "label_id", F.col("y").cast("double").alias("value"))
-            found = frank_wolfe.find_classifier(y, past.select("instance_id", "label_id", "eta"), past.select("instance_id").distinct(), labels, metric, k, max_iters=5).predict(eta)
+            found = frank_wolfe.find_classifier(y, past.select("instance_id", "label_id", "eta"), past.select("instance_id").distinct(), labels, metric, k, max_iters=max_iters).predict(eta)
         out = found if out is None else out.unionByName(found)
         start, size = stop, size * growth
     return out if out is not None else rows.select("instance_id", "label_id", F.lit(1.0).alias("value"))

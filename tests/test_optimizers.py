@@ -29,7 +29,7 @@ def test_block_coordinate_beats_top_k(data):
     grid, inst, lab = data
     eta, metric = grid.select("instance_id", "label_id", "eta"), M.Metric("f1")
     start = expected(grid, select.top_k(eta, 2), inst, lab, metric)
-    pred, history = B.minibatch(eta, inst, lab, metric, 2, slices=6, max_iters=2)
+    pred, history = B.minibatch(eta, inst, lab, metric, 2, slices=6)
     assert history == sorted(history) and history[0] == pytest.approx(start)
     one = expected(grid, B.exact(eta, lab, metric, 2), inst, lab, metric)
     two = expected(grid, pred, inst, lab, metric)

@@ -6,12 +6,14 @@ from labelweave.llm.lines import LEAST_WORDS, dedup_lines, increasing, op5_line_
 def plain(docs, least=LEAST_WORDS):
     """{doc_id: text} by the definition: every pair of documents, every run of lines that both hold; nothing of the operator's own is used."""
     rows = {i: [(at, line.strip(), len(line.split())) for at, line in enumerate((t or "").split("\n")) if line.strip()] for i, t in docs.items()}
-    out = {}
+    out, held = {}, {i: {x[1] for x in own} for i, own in rows.items()}
     for i in sorted(docs):
         gone, own = set(), rows[i]
         for j in sorted(docs):
             if j >= i:
                 break
+            if held[i].isdisjoint(held[j]):
+                continue
             places = {}
             for q, x in enumerate(rows[j]):
                 places.setdefault(x[1], []).append(q)

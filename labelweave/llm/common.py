@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelweave.shared import Scratch, shared_dir
 
-__all__ = ["Scratch", "held", "ragged", "shared_dir", "slices", "table", "tokenizer_path"]
+__all__ = ["Scratch", "held", "ragged", "shared_dir", "slices", "small", "table", "tokenizer_path"]
 T = TypeVar("T")
 
 
@@ -49,6 +50,15 @@ def held(name: str, make: Callable[[], T]) -> T:
     return _held[name]
 
 
+#: Rows of a few numbers that are sent to all executors at once, at most.
+SMALL_ROWS = 200_000
+
+
+def small(saved: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most SMALL_ROWS of them; a larger one is left to be shuffled."""
+    return F.broadcast(saved) if saved.count() <= SMALL_ROWS else saved
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose texts have about `most` bytes; a longer text stands alone, whole."""
     if not batch.num_rows:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import Scratch, held, slices, table
+from labelweave.llm.common import Scratch, held, slices, small, table
 from labelweave.llm.components import components
 
 SEED = 42
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(of, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def similar(edges: DataFrame, rows: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, scale: Scale, similarity: float) -> DataFrame:
+def similar(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, scale: Scale, similarity: float) -> DataFrame:
     """The edges whose texts have at least `similarity`: shared distinct shingles over all distinct shingles of both.
 
     Each fingerprint stands for the text with the smallest (id, version) that has it; only texts of
@@ -239,8 +239,8 @@ def similar(edges: DataFrame, rows: DataFrame, docs: DataFrame, *, id_col: str,
     """
     words = scale.columns
     ends = edges.select(*[F.col(f"a{k}").alias(c) for k, c in enumerate(words)]).unionByName(edges.select(*[F.col(f"b{k}").alias(c) for k, c in enumerate(words)])).distinct()
-    at = rows.join(ends, words, "left_semi").groupBy(*words).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "version")).alias("at"))
-    at = at.select(*words, F.col("at.id").alias("_id"), F.col("at.version").alias("_version"))
+    at = rows.join(small(scratch.save(ends)), words, "left_semi").groupBy(*words).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "version")).alias("at"))
+    at = small(scratch.save(at.select(*words, F.col("at.id").alias("_id"), F.col("at.version").alias("_version"))))
     own = docs.select(F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
     texts = own.join(at, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_version"))).groupBy(*words).agg(F.min("text").alias("text"))
     side = lambda s: texts.select(*[F.col(c).alias(f"{s}{k}") for k, c in enumerate(words)], F.col("text").alias(f"{s}_text"))
@@ -271,7 +271,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col, scale=scale))
     reps = rows.select(*words).distinct()
     edges = scratch.save(links(reps, scale).distinct())
-    edges = similar(edges, rows, docs, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
+    edges = similar(edges, rows, docs, scratch, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
     name = lambda s: F.concat(*[F.lpad(F.hex(f"{s}{k}"), 16, "0") for k in range(scale.words)])
     found = scratch.save(components(edges.select(name("a").alias("a"), name("b").alias("b")), Scratch(spark)))
     named = rows.withColumn("node", name("f")).join(found, "node", "left").select("id", "version", F.coalesce("component", "node").alias("component"))
@@ -282,7 +282,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     goes = scratch.save(named.join(first, "component").where(place != F.col("stays")).select(F.col("id").alias("_id"), F.col("version").alias("_version")))
     own = docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)])
     of = lambda c: F.col(f"own_{docs.columns.index(c)}")
-    kept = own.withColumn("_hash", F.xxhash64(of(text_col))).join(goes, of(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_version")), "left_anti")
+    kept = own.withColumn("_hash", F.xxhash64(of(text_col))).join(small(goes), of(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_version")), "left_anti")
     if not named.where("n > 1").isEmpty():  # rows that share id and text
         kept = kept.dropDuplicates([f"own_{docs.columns.index(id_col)}", "_hash"])
     return kept.select(*[of(c).alias(c) for c in docs.columns])

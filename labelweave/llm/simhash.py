@@ -165,7 +165,7 @@ def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.nd
     return a[chosen], b[chosen]
 
 
-def links(reps: DataFrame, scale: Scale, *, block: int = BLOCK) -> DataFrame:
+def links(reps: DataFrame, scale: Scale, scratch: Scratch, *, block: int = BLOCK) -> DataFrame:
     """Edges (a0, ..., b0, ...) between distinct fingerprints (f0, ...), enough to connect what the distance links.
 
     Buckets of more than about `block` fingerprints are dealt out as pairs of blocks, so no task compares
@@ -175,6 +175,7 @@ def links(reps: DataFrame, scale: Scale, *, block: int = BLOCK) -> DataFrame:
     keyed = lambda df: df.select(F.explode(variants(scale)).alias("key"), *words)
     probe = keyed(reps.where(F.pmod(F.xxhash64(*words, F.lit(1)), F.lit(PROBE)) == 0)).groupBy("key").count()
     large = probe.where(F.col("count") * PROBE > block).select("key", F.ceil(F.col("count") * PROBE / block).cast("int").alias("blocks"))
+    large = small(scratch.save(large))
     own = F.pmod(f, F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = keyed(reps).join(large, "key", "left").select("key", *words, F.coalesce(own, F.lit(-1)).alias("own"), other.alias("other"))
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col).select("id", F.col("f0").alias("fp")))
     reps = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"))
-    edges = links(reps.select(F.col("fp").alias("f0")), FINE, block=block).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
+    edges = links(reps.select(F.col("fp").alias("f0")), FINE, scratch, block=block).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
     found = components(edges, Scratch(docs.sparkSession))
     linked = scratch.save(reps.join(found, reps.fp == found.node).select("fp", "component", reps.node))
     least = linked.groupBy("component").agg(F.min("node").alias("least"))
@@ -270,7 +271,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     scratch, words = Scratch(spark), scale.columns
     rows = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col, scale=scale))
     reps = rows.select(*words).distinct()
-    edges = scratch.save(links(reps, scale).distinct())
+    edges = scratch.save(links(reps, scale, scratch).distinct())
     edges = similar(edges, rows, docs, scratch, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
     name = lambda s: F.concat(*[F.lpad(F.hex(f"{s}{k}"), 16, "0") for k in range(scale.words)])
     found = scratch.save(components(edges.select(name("a").alias("a"), name("b").alias("b")), Scratch(spark)))

@@ -73,7 +73,7 @@ def test_links_span_all_pairs_with_any_block(spark):
     want = plain_components(fps)
     reps = spark.createDataFrame([(f,) for f in fps], "f0 bigint")
     for block in (5, 50, 10_000):
-        edges = [(x.a0, x.b0) for x in links(reps, FINE, block=block).collect()]
+        edges = [(x.a0, x.b0) for x in links(reps, FINE, Scratch(spark), block=block).collect()]
         assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 3 or want[a] == want[b] for a, b in edges)
         found = {x.node: x.component for x in components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
         assert {f: found.get(f, f) for f in fps} == want

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+import sys
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -35,17 +37,24 @@ def tokenizer_path(name: str) -> str:
 _held: dict[str, object] = {}
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; allocators keep it otherwise, and workers are reused."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def held(name: str, make: Callable[[], T]) -> T:
     """What `make` gives, kept from task to task in this Python worker for one operator at a time.
 
-    When another operator asks for its own, the former's memory is let go and given back, so a reused
-    worker never holds the remembered words of several stages.
+    When another operator asks for its own, the former's memory is let go, so a reused worker never holds
+    the remembered words of several stages. Every task that asks gives back what earlier tasks have freed.
     """
     if name not in _held:
-        if _held:
-            _held.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+        _held.clear()
+    give_back()
+    if name not in _held:
         _held[name] = make()
     return _held[name]
 

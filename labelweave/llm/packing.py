@@ -8,6 +8,7 @@ documents.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,14 @@ class CachedEncoder:
     #: Control characters that Arrow takes for white space and the tokenizer does not.
     ODD = "[\x1c-\x1f]"
 
-    def __init__(self, path: str, cache: int = 1_100_000, longest: int = 48):
+    def __init__(self, path: str, cache: int = 800_000, longest: int = 48):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side; threads in each would only need memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.longest = Tokenizer.from_file(path), cache, longest
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.start, self.length, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
 
     def forget(self) -> None:
         keep = np.flatnonzero(self.seen[: len(self.known)] > 1)

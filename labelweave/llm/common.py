@@ -37,12 +37,14 @@ def tokenizer_path(name: str) -> str:
 _held: dict[str, object] = {}
 
 
+_trim: Callable[[int], int] | None = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
 def give_back() -> None:
     """Return what this process has freed to the system; allocators keep it otherwise, and workers are reused."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
-        trim(0)
+    if _trim:
+        _trim(0)
 
 
 def held(name: str, make: Callable[[], T]) -> T:
@@ -53,6 +55,7 @@ def held(name: str, make: Callable[[], T]) -> T:
     """
     if name not in _held:
         _held.clear()
+    gc.collect()
     give_back()
     if name not in _held:
         _held[name] = make()
@@ -69,7 +72,7 @@ def small(saved: DataFrame) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces whose texts have about `most` bytes; a longer text stands alone, whole."""
+    """The batch in pieces whose texts have about `most` bytes; a longer text stands alone, whole. What the work on a piece has freed goes back to the system."""
     if not batch.num_rows:
         return
     length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -77,6 +80,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
         yield batch.slice(start, stop - start)
+        give_back()
         start, done = stop, int(ends[stop - 1])
 
 

@@ -22,6 +22,8 @@ from labelweave.llm.common import held, ragged, slices, table, tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 MAX_LENGTH = 4096
+#: Chunks that a worker remembers, at about 250 bytes each.
+REMEMBERED = 800_000
 
 
 class CachedEncoder:
@@ -36,7 +38,7 @@ class CachedEncoder:
     #: Control characters that Arrow takes for white space and the tokenizer does not.
     ODD = "[\x1c-\x1f]"
 
-    def __init__(self, path: str, cache: int = 800_000, longest: int = 48):
+    def __init__(self, path: str, cache: int = REMEMBERED, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side; threads in each would only need memory
         from tokenizers import Tokenizer
 
@@ -113,11 +115,12 @@ def piece_lengths(n: int, max_length: int) -> list[int]:
     return [max_length] * (n // max_length) + [1 << b for b in range(max_length.bit_length() - 2, -1, -1) if n % max_length >> b & 1]
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH, end_id: int = END_ID, vocabulary: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: id, start, length, bucket (log2 of length), ids, doc_tokens, sequence_id, offset.
 
     `ids` holds the piece's ids as little-endian unsigned 32-bit integers; `vocabulary` is the path of a
-    tokenizer file (on every node). A null text counts as empty and gives one piece with `end_id` alone;
+    tokenizer file (on every node); `remembered` bounds a worker's memory of chunks, at the price of time
+    where it is small, and changes no result. A null text counts as empty and gives one piece with `end_id` alone;
     rows with equal or null ids are packed each for itself; an empty table gives no rows; columns other
     than the two named are not read. `sequence_id` is unique, and `offset` is 0 as a sequence holds one piece.
     """
@@ -126,7 +129,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held(f"packing {path}", lambda: CachedEncoder(path))
+        encode = held(f"packing {path} {remembered}", lambda: CachedEncoder(path, remembered))
         for batch in (part for whole in batches for part in slices(whole, "text")):
             flat, counts = encode(pc.fill_null(batch.column("text"), ""))
             ends = np.cumsum(counts)

@@ -420,8 +420,9 @@ def decode(coded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vo
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(path).model
         for batch in (part for whole in batches for part in slices(whole, "ids", 16 << 20)):
-            texts = [None if x is None else decode_ids(encoder(path).model, np.frombuffer(x, "<u4").astype(np.int64)) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else decode_ids(model, np.frombuffer(x, "<u4").astype(np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     kind = coded.schema[id_col].dataType.simpleString()

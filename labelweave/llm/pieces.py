@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.llm.common import held, ragged, slices, table, tokenizer_path
+from labelweave.llm.merges import Merges
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -111,26 +112,26 @@ class Model:
             raise ValueError("two pieces have one hash")
 
     def _merges(self) -> None:
-        """Rank of each piece's merge (-1: a character), its two parts, and all pairs that merge."""
+        """The pairs that merge, and which pieces come out when their own characters are merged."""
         n = len(self.text)
-        self.rank, self.left, self.right, self.reached = np.full(n, -1), np.full(n, -1), np.full(n, -1), np.zeros(n, bool)
+        self.merges, self.reached = Merges(n), np.zeros(n, bool)
         long = sorted((t for t in self.id if len(t) > 1 and t.strip(SPACE)), key=lambda t: (-self.score[self.id[t]], self.id[t]))
         self.ties = len({self.score[self.id[t]] for t in long}) < len(long) or any(c not in self.id for t in self.id for c in t)
         for r, t in enumerate(long):
-            self.rank[self.id[t]] = r
+            self.merges.rank[self.id[t]] = r
         pairs = {}
         for t in long:
             last: list[tuple[str, str]] = []
             self.reached[self.id[t]] = self.merge(t, last) == [t]
             if self.reached[self.id[t]]:
-                self.left[self.id[t]], self.right[self.id[t]] = (self.id[x] for x in last[-1])
+                self.merges.left[self.id[t]], self.merges.right[self.id[t]] = (self.id[x] for x in last[-1])
             for cut in range(1, len(t)):
                 if t[:cut] in self.id and t[cut:] in self.id:
-                    pairs[self.id[t[:cut]] * n + self.id[t[cut:]]] = self.rank[self.id[t]]
+                    pairs[self.id[t[:cut]] * n + self.id[t[cut:]]] = self.merges.rank[self.id[t]]
         for t, i in self.id.items():
             self.reached[i] |= len(t) == 1
-        self.pairs = np.array(sorted(pairs))
-        self.pair_rank = np.array([pairs[p] for p in self.pairs.tolist()])
+        self.merges.pairs = np.array(sorted(pairs))
+        self.merges.pair_rank = np.array([pairs[p] for p in self.merges.pairs.tolist()])
 
     def _surfaces(self) -> None:
         surface = []
@@ -168,23 +169,7 @@ class Model:
 
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b stay apart when their characters are merged; ids below 0 are unknown characters."""
-        n, ok = len(self.text), np.ones(len(a), bool)
-        left, right = a.copy(), b.copy()
-        live = np.flatnonzero((a >= 0) & (b >= 0))
-        limit = np.full(len(a), np.iinfo(np.int64).max)
-        while len(live):
-            key = left[live] * n + right[live]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            clash = (self.pairs[at] == key) & (self.pair_rank[at] < limit[live])
-            ok[live[clash]] = False
-            live = live[~clash]
-            ra, rb = self.rank[left[live]], self.rank[right[live]]
-            live, ra, rb = live[more := (ra >= 0) | (rb >= 0)], ra[more], rb[more]
-            undo = ra > rb
-            x, y = live[undo], live[~undo]
-            limit[x], left[x] = ra[undo], self.right[left[x]]
-            limit[y], right[y] = rb[~undo] + 1, self.left[right[y]]
-        return ok
+        return self.merges.apart(a, b)
 
     def _viterbi(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids for rows of equally many code points: flat ids (an unknown character c as -1 - c) and their number in each row."""

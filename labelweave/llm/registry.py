@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelweave.llm import ann, chat, forest, lines, packing, pieces, secrets, simhash, toxicity, urls
+from labelweave.llm import ann, chat, forest, lines, packing, pieces, secrets, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op6_chat": chat.op6_chat,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_packing": packing.op10_packing,
+    "op11_token_counts": tokens.op11_token_counts,
 }
 
 _LINKED = """

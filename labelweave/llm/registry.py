@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelweave.llm import ann, chat, forest, lines, packing, pieces, secrets, simhash, tokens, toxicity, urls
+from labelweave.llm import ann, chat, codes, forest, lines, packing, pieces, secrets, simhash, tokens, toxicity, urls, whitening
 
 QUERIES = {
     "op6_chat": chat.op6_chat,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_packing": packing.op10_packing,
     "op11_token_counts": tokens.op11_token_counts,
+    "op12_vector_codes": codes.op12_vector_codes,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 _LINKED = """
@@ -33,4 +35,4 @@ FROM embeddings JOIN least ON vec_id = least.a LEFT JOIN degree ON vec_id = degr
 """
 
 #: The others need a tokenizer, a trained model, a hash or a search that SQL lacks; tests compare them with brute force.
-ORACLE_SQL: dict[str, str] = {"op4_forest": _LINKED}
+ORACLE_SQL: dict[str, str] = {"op4_forest": _LINKED, "op12_vector_codes": codes.codebook_sql()}

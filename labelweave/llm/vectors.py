@@ -1,4 +1,4 @@
-"""What the two operators on embeddings share."""
+"""What the operators on embeddings share."""
 
 from __future__ import annotations
 
@@ -48,3 +48,14 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row of a with the same row of b; a function of the two vectors alone, whatever stands beside them."""
     a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
     return np.clip((a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1)), -1.0, 1.0)
+
+
+def complete(vector: Column) -> Column:
+    """True for vectors without gaps: not null, without null or non-finite components. Zeros and empty vectors are complete."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.coalesce(F.forall(vector, finite), F.lit(False))
+
+
+def steps(column: pa.Array, scale: float, shift: int, most: int) -> np.ndarray:
+    """floor(scale * x) + shift for the components of list rows of equal lengths, as int64; beyond `most` either way it stays at `most`."""
+    return np.clip(np.floor(matrix(column) * scale), -float(most), float(most)).astype(np.int64) + shift

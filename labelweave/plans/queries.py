@@ -20,7 +20,10 @@ from labelweave.functions import metrics as M
 from labelweave.operators import block_coordinate, confusion, frank_wolfe, labels, named, select
 from labelweave.operators import packed as packing
 from labelweave.sources import text as sources
-from labelweave.streaming import online
+from labelweave.shared import Scratch
+from labelweave.streaming import history, online
+from labelweave.streaming.by_label import replay_by_label
+from labelweave.streaming.state import LearnerStore, batches_to
 
 K = 3
 
@@ -462,16 +465,64 @@ def _two_classifiers(b: Base) -> frank_wolfe.RandomizedClassifier:
     return frank_wolfe.RandomizedClassifier(K, names, a, np.zeros_like(a), np.array([0.25, 0.75]))
 
 
+# online learners whose rows SQL can follow one by one, and metrics over time
+query("online_default", PICK.format(gain="eta", source="grid"))(lambda b: online.replay(b.grid, b.labels, "default", M.Metric("f1"), K))
+_RECURSIVE = BASE_SQL.replace("WITH labels", "WITH RECURSIVE labels", 1)
+_REPLAY = """, arrived AS MATERIALIZED (SELECT instance_id, label_id, eta, CAST(y AS DOUBLE) AS y, dense_rank() OVER (ORDER BY instance_id) AS pos FROM grid),
+run AS (SELECT label_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS instance_id, CAST(0 AS DOUBLE) AS value, CAST(1e-6 AS DOUBLE) AS tp, CAST(1e-6 AS DOUBLE) AS fp, CAST(1e-6 AS DOUBLE) AS fn FROM labels
+UNION ALL SELECT a.label_id, a.pos, a.instance_id, CASE WHEN {rule} THEN CAST(1 AS DOUBLE) ELSE 0 END AS p, tp + a.y * p, fp + (1 - a.y) * p, fn + a.y * (1 - p) FROM run JOIN arrived a ON a.label_id = run.label_id AND a.pos = run.pos + 1)
+SELECT instance_id, label_id, value FROM run WHERE value = 1"""
+query("online_thresholds", _REPLAY.format(rule="a.eta >= tp / (2 * tp + fp + fn)"), _RECURSIVE)(lambda b: replay_by_label(b.grid, "thresholds", M.Metric("f1")))
+_N = "greatest(1, run.pos)"
+_D = f"pow(2 * tp / {_N} + fp / {_N} + fn / {_N} + {EPS}, 2)"
+query("online_gradient_by_label", _REPLAY.format(rule=f"(2 * (fp / {_N} + fn / {_N} + {EPS}) / {_D} + 4 * (tp / {_N}) / {_D}) * a.eta - 2 * (tp / {_N}) / {_D} >= 0"), _RECURSIVE)(lambda b: replay_by_label(b.grid, "gradient", M.Metric("f1")))
+
+
+def _two_batches_sql() -> str:
+    out = ", k0 AS (SELECT label_id, CAST(1e-6 AS DOUBLE) AS tp, CAST(1e-6 AS DOUBLE) AS fp, CAST(1e-6 AS DOUBLE) AS fn FROM labels)"
+    for i in (0, 1):
+        d = f"pow(2 * tp + fp + fn + {EPS}, 2) / m"
+        out += f""",
+v{i} AS (SELECT label_id, 2 * (fp + fn + {EPS}) / ({d}) + 4 * tp / ({d}) AS a, -2 * tp / ({d}) AS b FROM k{i}, size),
+q{i} AS (SELECT instance_id, label_id, y, CASE WHEN r <= 3 THEN 1 ELSE 0 END AS p FROM (SELECT grid.*, row_number() OVER (PARTITION BY instance_id ORDER BY a * eta + b DESC, label_id) AS r FROM grid JOIN v{i} USING (label_id) WHERE instance_id % 2 = {i}))"""
+        if not i:
+            out += """,
+k1 AS (SELECT label_id, (CAST(1e-6 AS DOUBLE) + sum(y * p)) / count(*) AS tp, (CAST(1e-6 AS DOUBLE) + sum((1 - y) * p)) / count(*) AS fp, (CAST(1e-6 AS DOUBLE) + sum(y * (1 - p))) / count(*) AS fn FROM q0 GROUP BY label_id)"""
+    return out + " SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM (SELECT * FROM q0 UNION ALL SELECT * FROM q1) WHERE p = 1"
+
+
+@query("online_two_batches", _two_batches_sql())
+def _(b):
+    """Two frozen batches by two learners, of which the second knows what the first has stored; the second batch comes twice."""
+    out, store = f"{Scratch(b.spark).root}/out", LearnerStore(b.spark, f"{Scratch(b.spark).root}/learner")
+    for number in (0, 1, 1):
+        online.BatchLearner(b.labels, M.Metric("f1"), K, store=store).step(b.grid.where(F.col("instance_id") % 2 == number), number, batches_to(out))
+    return b.spark.read.parquet(out).select("instance_id", "label_id", "value")
+
+
+def _both(b: Base) -> DataFrame:
+    """Labels and predictions side by side."""
+    y, p = b.y_true.withColumnRenamed("value", "y"), b.pred.withColumnRenamed("value", "p")
+    return y.join(p, ["instance_id", "label_id"], "full").select("instance_id", "label_id", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("p", F.lit(0.0)).alias("p"))
+
+
+_HISTORY = """, part_sums AS (SELECT CAST(floor(instance_id / CAST(100 AS DOUBLE)) AS BIGINT) AS position, label_id, sum(y * p) AS tp, sum((1 - y) * p) AS fp, sum(y * (1 - p)) AS fn, count(*) AS n FROM cells GROUP BY 1, 2),
+so_far AS (SELECT position, label_id, CAST(sum(tp) OVER w AS DOUBLE) / sum(n) OVER w AS tp, CAST(sum(fp) OVER w AS DOUBLE) / sum(n) OVER w AS fp, CAST(sum(fn) OVER w AS DOUBLE) / sum(n) OVER w AS fn, sum(n) OVER w AS n FROM part_sums WINDOW w AS (PARTITION BY label_id ORDER BY position)),
+rates_so_far AS (SELECT *, 1 - tp - fp - fn AS tn FROM so_far) """
+for _name in ("f1", "balanced_accuracy"):
+    query(f"prequential_macro_{_name}", _HISTORY + f"SELECT position, CAST(max(n) AS BIGINT) AS n, round(avg({PSI_SQL[_name]}), 9) AS value FROM rates_so_far GROUP BY position")(
+        lambda b, name=_name: rounded(history.prequential_metric(_both(b), b.labels, M.Metric(name), instances=b.instances, wide=7))
+    )
+
 # iterated algorithms, to their tolerances: no SQL
 query("fw_full_f1")(lambda b: frank_wolfe.find_classifier(b.y_true, b.eta, b.instances, b.labels, M.Metric("f1"), K).weights(b.spark))
 query("bc_minibatch_f1")(lambda b: block_coordinate.minibatch(b.eta, b.instances, b.labels, M.Metric("f1"), K)[0])
 query("bc_exact_f1")(lambda b: block_coordinate.exact(b.eta, b.labels, M.Metric("f1"), K))
 query("bc_coverage")(lambda b: block_coordinate.coverage(b.eta, b.labels, K, alpha=0.5)[0])
-for _name in ("default", "greedy", "gradient"):
+for _name in ("greedy", "gradient"):
     query(f"online_{_name}")(lambda b, kind=_name: online.replay(b.grid, b.labels, kind, M.Metric("f1"), K))
 query("online_retuned_thresholds")(lambda b: online.replay_retuned(b.grid, b.labels, "thresholds", M.Metric("f1"), 0))
 query("online_retuned_frank_wolfe")(lambda b: online.replay_retuned(b.grid, b.labels, "frank_wolfe", M.Metric("f1"), K))
-query("online_thresholds")(lambda b: online.replay(b.grid, b.labels, "thresholds", M.Metric("f1"), 0))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,8 @@
 """Online learners: predict, see the label, update. Exact replay by one ordered state, and micro-batches.
 
-`replay` runs a learner over rows in arrival order with state of 4 numbers for each label; `start` is
-its streaming form, where weights are frozen within a micro-batch and updated after it.
+`replay` runs a learner over rows in arrival order with state of 4 numbers for each label (`by_label` is its
+form for labels side by side); `start` is its streaming form, where weights are frozen within a micro-batch
+and updated after it, and what is known is kept with the stream's checkpoint.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from labelweave.functions.metrics import Metric
 from labelweave.operators.block_coordinate import gain as gain_of
 from labelweave.operators.confusion import ENTRIES
 from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
+from labelweave.operators.select import predict
+from labelweave.streaming.by_label import replay_by_label
+from labelweave.streaming.state import LearnerStore
 
 
 @dataclass
@@ -103,15 +107,20 @@ def learn_online(name: str, rows: DataFrame, labels: DataFrame, k: int, *, alpha
     metric = objective(name.removeprefix(method).lstrip("_") or "macro_f1", max(1, k), alpha)
     if method in ("frank_wolfe", "thresholds"):
         return replay_retuned(rows, labels, method, metric, k, **options)
+    if not k and getattr(metric, "average", "") == "macro" and metric.mix == 1:
+        return replay_by_label(rows, KINDS[method], metric, **options)
     return replay(rows, labels, KINDS[method], metric, k, **options)
 
 
 def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, order: str = "instance_id") -> DataFrame:
     """(instance_id, label_id, value): predictions of a learner over rows (instance_id, label_id, eta, y, ...) in arrival order.
 
-    Strict order needs one task; the table is streamed through it, with the state alone in memory. `start`
-    is the form that scales: weights are frozen within a micro-batch.
+    Learners that choose k labels weigh a row's labels against each other, so their strict order needs one task;
+    the table is streamed through it, with the state alone in memory. `replay_by_label` has no such task, and
+    `start` freezes weights within a micro-batch. A learner without state (default) needs no order at all.
     """
+    if kind == "default":
+        return predict(rows.select("instance_id", F.col("label_id").cast("int").alias("label_id"), "eta"), k, th=0.5)
     names = label_ids(labels).tolist()
     packed = rows.groupBy(order, "instance_id").agg(F.sort_array(F.collect_list(F.struct("label_id", "eta", "y"))).alias("cells"))
     ordered = packed.repartitionByRange(1, order).sortWithinPartitions(order, "instance_id").select("instance_id", "cells")
@@ -130,47 +139,77 @@ def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int
     return ordered.mapInArrow(run, "instance_id bigint, label_id int, value double")
 
 
-def start(stream: DataFrame, labels: DataFrame, metric: Metric, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, *, kind: str = "gradient"):
-    """Run a learner over a stream of cells (instance_id, label_id, eta, y); sink gets each batch's predictions. Returns the query and the learner.
+class BatchLearner:
+    """A learner whose weights are frozen within a batch of cells (instance_id, label_id, eta, y) and updated after it.
 
-    What the learner knows is frozen within a micro-batch and updated after it, so a batch is worked on in
-    parallel; only sums by label come to the driver. All kinds of Learner can be run.
+    A batch is worked on in parallel, and only sums by label come to the driver. With a store the state of each
+    batch outlives the process: a new learner goes on where the last one stopped, and a batch that comes again
+    is answered from the state before it.
     """
-    names = label_ids(labels)
-    state = Learner(kind, metric, k, len(names), names=names)
 
-    def gain(x: Column) -> Column:
+    def __init__(self, labels: DataFrame, metric: Metric, k: int, *, kind: str = "gradient", store: LearnerStore | None = None):
+        self.names, self.store, self.version = label_ids(labels), store, -1
+        self.kind, self.metric, self.k = kind, metric, k
+        self.state = Learner(kind, metric, k, len(self.names), names=self.names)
+
+    def _restore(self, number: int) -> None:
+        """The state before batch `number`; labels that the stored one lacks begin anew."""
+        if self.store is None or self.version == number - 1 >= 0:
+            return
+        found = self.store.before(number)
+        self.state = Learner(self.kind, self.metric, self.k, len(self.names), names=self.names)
+        if found:
+            _, self.state.n, old = found
+            new = [self.state.regularize] * 3 + [self.state.n + self.state.regularize]
+            self.state.c = np.array([old.get(int(j), new) for j in self.names], float).reshape(-1, 4).T
+
+    def _gain(self, x: Column) -> Column:
         e, at = x["eta"], x["at"]
-        if kind == "default":
-            return e if k else e - 0.5
-        if kind == "thresholds":
+        if self.kind == "default":
+            return e if self.k else e - 0.5
+        if self.kind == "thresholds":
             return e - F.get("th", at)
-        if kind == "gradient":
+        if self.kind == "gradient":
             return F.get("a", at) * e + F.get("b", at)
         own = [F.get(c, at) for c in ENTRIES]
-        return gain_of(metric, *own, e, float(state.n + 1), len(names), x["label_id"])
+        return gain_of(self.metric, *own, e, float(self.state.n + 1), len(self.names), x["label_id"])
 
-    def known() -> dict[str, np.ndarray]:
-        if kind == "thresholds":
-            return {"th": f_thresholds(*state.c[:3], average=metric.average)}
-        if kind == "gradient":
-            d = metric.gradient(*(state.c / max(1, state.n)), label=names)
+    def _known(self) -> dict[str, np.ndarray]:
+        if self.kind == "thresholds":
+            return {"th": f_thresholds(*self.state.c[:3], average=self.metric.average)}
+        if self.kind == "gradient":
+            d = self.metric.gradient(*(self.state.c / max(1, self.state.n)), label=self.names)
             return {"a": d[0] - d[1] - d[2] + d[3], "b": d[1] - d[3]}
-        return dict(zip(ENTRIES, state.c, strict=True))
+        return dict(zip(ENTRIES, self.state.c, strict=True))
 
-    def batch(cells: DataFrame, number: int) -> None:
+    def step(self, cells: DataFrame, number: int, sink: Callable[[DataFrame, int], None]) -> None:
+        """Predictions of one batch go to the sink, which has to replace what an earlier try has left; then the state is saved."""
+        self._restore(number)
         y = cells.select("instance_id", "label_id", F.col("y").cast("double").alias("value"))
-        rows = with_labels(packed(cells.select("instance_id", "label_id", "eta"), names, y=y), **known())
-        rows = rows.select("instance_id", "cells", chosen(gain, k).alias("picked")).persist()
+        rows = with_labels(packed(cells.select("instance_id", "label_id", "eta"), self.names, y=y), **self._known())
+        rows = rows.select("instance_id", "cells", chosen(self._gain, self.k).alias("picked")).persist()
         sink(rows.select("instance_id", F.inline("picked")).select("instance_id", "label_id", F.lit(1.0).alias("value")), number)
-        n, none = rows.count(), np.zeros((2, len(names)))
-        hit, p = label_sums(rows.select(F.inline("picked")), len(names), F.col("y"), F.lit(1.0)).get(0, none)
-        positive = label_sums(rows.select(F.inline("cells")), len(names), F.col("y")).get(0, none)[0]
-        state.n += n
-        state.c += np.array([hit, p - hit, positive - hit, n - p - positive + hit])
+        n, none, m = rows.count(), np.zeros((2, len(self.names))), len(self.names)
+        hit, p = label_sums(rows.select(F.inline("picked")), m, F.col("y"), F.lit(1.0)).get(0, none)
+        positive = label_sums(rows.select(F.inline("cells")), m, F.col("y")).get(0, none)[0]
         rows.unpersist()
+        self.state.n += n
+        self.state.c = self.state.c + np.array([hit, p - hit, positive - hit, n - p - positive + hit])
+        self.version = number
+        if self.store is not None:
+            self.store.save(number, self.state.n, self.names, self.state.c)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), state
+
+def start(stream: DataFrame, labels: DataFrame, metric: Metric, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, *, kind: str = "gradient"):
+    """Run a learner over a stream of cells (instance_id, label_id, eta, y); sink gets each batch's predictions. Returns the query and the learner.
+
+    The learner's states are kept in the folder `learner` of the checkpoint, so a query that starts again on it
+    goes on with all that was learned. A batch may come twice after a crash; with a sink that replaces by batch
+    number (`state.batches_to`) every row is there once. All kinds of Learner can be run.
+    """
+    learner = BatchLearner(labels, metric, k, kind=kind, store=LearnerStore(stream.sparkSession, f"{checkpoint}/learner"))
+    writer = stream.writeStream.foreachBatch(lambda cells, number: learner.step(cells, number, sink))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), learner
 
 
 def prequential(rows: DataFrame, by: str = "instance_id", every: int = 100, wide: int = 1000) -> DataFrame:

@@ -64,9 +64,9 @@ def test_stream_of_one_batch_uses_the_start_weights(spark, cells, tmp_path):
     df.coalesce(1).write.parquet(source)
     seen = []
     stream = spark.readStream.schema(df.schema).parquet(source)
-    query, state = online.start(stream, labels, M.Metric("f1"), 2, lambda d, n: seen.append(d.count()), os.path.join(tmp_path, "state"))
+    query, learner = online.start(stream, labels, M.Metric("f1"), 2, lambda d, n: seen.append(d.count()), os.path.join(tmp_path, "state"))
     query.awaitTermination()
-    assert seen == [400] and state.n == 200 and np.allclose(state.c.sum(axis=0), 200, atol=1e-4)
+    assert seen == [400] and learner.state.n == 200 and np.allclose(learner.state.c.sum(axis=0), 200, atol=1e-4)
 
 
 def test_retuned_predictions_and_results(spark, cells, tmp_path):

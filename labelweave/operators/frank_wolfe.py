@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from labelweave.functions.metrics import Combined, Metric
 from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
-from labelweave.operators.select import best, predict
+from labelweave.operators.select import predict
 from labelweave.shared import Scratch
 
 
@@ -71,20 +71,47 @@ class RandomizedClassifier:
         return expected_predictions(eta, self.weights(eta.sparkSession), self.mixture(eta.sparkSession), self.k)
 
 
+def _side_by_side(eta: DataFrame, weights: DataFrame, mixture: DataFrame) -> tuple[DataFrame, int, list]:
+    """(rows, m, mixture's rows): packed rows with all classifiers' weights in two arrays, those of a classifier after another's.
+
+    Weights come from the driver, where a classifier is made, and are sent once: classifiers x labels numbers.
+    """
+    names, parts = label_ids(weights.select("label_id").distinct()), mixture.orderBy("classifier_id").collect()
+    m, place = len(names), {r.classifier_id: i for i, r in enumerate(parts)}
+    a, b = np.full((len(parts), m), np.nan), np.full((len(parts), m), np.nan)
+    at = {int(j): i for i, j in enumerate(names)}
+    for r in weights.select("classifier_id", "label_id", "a", "b").collect():
+        if r.classifier_id in place:
+            a[place[r.classifier_id], at[r.label_id]], b[place[r.classifier_id], at[r.label_id]] = r.a, r.b
+    if np.isnan(a).any() or np.isnan(b).any():
+        raise ValueError("each classifier needs the weights of all labels")
+    return with_labels(packed(eta, names), a=a.ravel(), b=b.ravel()), m, parts
+
+
+def _gain(x: Column, classifier: Column, m: int) -> Column:
+    at = classifier * m + x["at"]
+    return F.get("a", at) * x["eta"] + F.get("b", at)
+
+
 def predict_randomized(eta: DataFrame, weights: DataFrame, mixture: DataFrame, k: int, draw: Column) -> DataFrame:
-    drawn = eta.withColumn("u", draw)
-    hit = (F.col("u") >= F.col("cum_lo")) & (F.col("u") < F.col("cum_hi"))
-    chosen = drawn.join(F.broadcast(mixture.select("classifier_id", "cum_lo", "cum_hi")), hit)  # a row for each iteration
-    gains = chosen.join(weights, ["classifier_id", "label_id"]).withColumn("gain", F.col("a") * F.col("eta") + F.col("b"))
-    picked = best(gains, k) if k > 0 else gains.where("gain >= 0")
+    """Labels by the classifier in whose stretch [cum_lo, cum_hi) an instance's draw lies; none where it lies in no stretch."""
+    rows, m, parts = _side_by_side(eta, weights, mixture)
+    hit = F.array(*[(F.col("u") >= float(r.cum_lo)) & (F.col("u") < float(r.cum_hi)) for r in parts]) if parts else F.array().cast("array<boolean>")
+    drawn = rows.withColumn("u", draw).withColumn("classifier", (F.array_position(hit, True) - 1).cast("int")).where("classifier >= 0")
+    picked = drawn.select("instance_id", F.inline(chosen(lambda x: _gain(x, F.col("classifier"), m), k)))
     return picked.select("instance_id", "label_id", F.lit(1.0).alias("value"))
 
 
 def expected_predictions(eta: DataFrame, weights: DataFrame, mixture: DataFrame, k: int) -> DataFrame:
-    gains = eta.join(weights, "label_id").withColumn("gain", F.col("a") * F.col("eta") + F.col("b"))
-    rank = F.row_number().over(Window.partitionBy("classifier_id", "instance_id").orderBy(F.desc("gain"), "label_id"))
-    picked = gains.withColumn("rank", rank).where(F.col("rank") <= k) if k > 0 else gains.where("gain >= 0")
-    return picked.join(F.broadcast(mixture.select("classifier_id", "p")), "classifier_id").groupBy("instance_id", "label_id").agg(F.sum("p").alias("value"))
+    """(instance_id, label_id, value): the sum of the probabilities of those classifiers that choose a label."""
+    rows, m, parts = _side_by_side(eta, weights, mixture)
+    each = F.array(*[F.lit(i) for i in range(len(parts))]).cast("array<int>")
+    p = F.array(*[F.lit(float(r.p)) for r in parts]).cast("array<double>")
+    picked = F.transform(each, lambda c: F.transform(chosen(lambda x: _gain(x, c, m), k), lambda x: x["at"]))
+    rows = rows.select("instance_id", "cells", picked.alias("picked"))
+    share = lambda x: F.aggregate(each, F.lit(0.0), lambda s, c: s + F.when(F.array_contains(F.get("picked", c), x["at"]), F.get(p, c)).otherwise(0.0))
+    cells = F.filter(F.transform("cells", lambda x: F.struct(x["label_id"].alias("label_id"), share(x).alias("value"))), lambda x: x["value"] > 0)
+    return rows.select("instance_id", F.inline(cells))
 
 
 def alpha_values(metric: Metric | Combined, c: np.ndarray, new: np.ndarray, alphas: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from labelweave.operators.packed import label_ids
+
 
 def weighted(eta: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """eta with gain = a * eta + b; weights (label_id, a, b) is a row for each label. Absent weights are 1 and 0."""
@@ -87,6 +91,36 @@ def random_at_k(cells: DataFrame, k: int, seed: int = 0, draw: Column | None = N
     return best(drawn, k, by="draw").select("instance_id", "label_id", F.lit(1.0).alias("value"))
 
 
+def random_subset(m: Column | int, k: int, draw: Callable[[Column], Column]) -> Column:
+    """k different numbers of 0 .. m - 1 as an array, all m if k is larger; each set is equally likely if draws are uniform.
+
+    draw(j) gives a whole number of at least 0 for each j. For j from m - k on, its rest by j + 1 is taken, or j
+    itself if that rest is taken already; a row costs k draws, whatever m is.
+    """
+    m = F.lit(m).cast("int") if isinstance(m, int) else m.cast("int")
+
+    def add(taken: Column, j: Column) -> Column:
+        t = F.pmod(draw(j), (j + 1).cast("bigint")).cast("int")
+        return F.array_append(taken, F.when(F.array_contains(taken, t), j).otherwise(t))
+
+    steps = F.when(m > 0, F.sequence(F.greatest(m - k, F.lit(0)), m - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps if k > 0 else F.array().cast("array<int>"), F.array().cast("array<int>"), add)
+
+
+def random_labels(instances: DataFrame, labels: DataFrame | int, k: int, seed: int = 0, draw: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(instance_id, label_id, value): k different labels of all for each instance, uniformly, without a row for each cell.
+
+    labels is a table, or a number m for the labels 0 .. m - 1. By default draws are a hash of instance_id, the step and the seed.
+    """
+    draw = draw or (lambda j: F.abs(F.xxhash64("instance_id", j, F.lit(seed)) % F.lit(1 << 62)))
+    m = labels if isinstance(labels, int) else labels.count()
+    picked = instances.select("instance_id", F.explode(random_subset(m, k, draw)).alias("at"))
+    if isinstance(labels, int):
+        return picked.select("instance_id", F.col("at").alias("label_id"), F.lit(1.0).alias("value"))
+    names = labels.sparkSession.createDataFrame([(i, int(j)) for i, j in enumerate(label_ids(labels))], "at int, label_id int")
+    return picked.join(F.broadcast(names), "at").select("instance_id", "label_id", F.lit(1.0).alias("value"))  # a row for each label
+
+
 def prune(cells: DataFrame, threshold: float, k: int) -> DataFrame:
     """Cells of at least the threshold, and each instance's k largest in any case."""
     rank = F.row_number().over(Window.partitionBy("instance_id").orderBy(F.desc("eta"), "label_id"))

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from labelweave.functions import metrics as M
 from labelweave.operators import block_coordinate, confusion, frank_wolfe, labels, named, select
 from labelweave.operators import packed as packing
+from labelweave.sources import arrays
 from labelweave.sources import text as sources
 from labelweave.shared import Scratch
 from labelweave.streaming import history, online
@@ -514,6 +515,32 @@ for _name in ("f1", "balanced_accuracy"):
         lambda b, name=_name: rounded(history.prequential_metric(_both(b), b.labels, M.Metric(name), instances=b.instances, wide=7))
     )
 
+# labels drawn without a grid, and array files
+_DRAW = "(instance_id * 7919 + x[1] * 15485863 + 12345) % 2147483647 % (x[1] + 1)"
+query("random_labels", f""", drawn AS (SELECT instance_id, unnest(list_reduce(list_transform(range(CAST(m AS BIGINT) - 3, CAST(m AS BIGINT)), lambda j: [j]), lambda taken, x: list_append(taken, CASE WHEN list_contains(taken, {_DRAW}) THEN x[1] ELSE {_DRAW} END), CAST([] AS BIGINT[]))) AS place FROM instances, size),
+places AS (SELECT label_id, row_number() OVER (ORDER BY label_id) - 1 AS place FROM labels)
+SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM drawn JOIN places USING (place)""")(
+    lambda b: select.random_labels(b.instances, b.labels, K, draw=lambda j: (F.col("instance_id") * 7919 + j.cast("bigint") * 15485863 + 12345) % 2147483647)
+)
+
+
+@query("npz_round_trip", "SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM y_true")
+def _(b):
+    """The labels as files of compressed sparse rows, and read from them."""
+    path = f"{Scratch(b.spark).root}/cells"
+    arrays.write_npz(b.y_true, path, b.instances.agg(F.max("instance_id")).first()[0] + 1, b.labels.agg(F.max("label_id")).first()[0] + 1, block_rows=4096)
+    return b.spark.read.format("npz").load(path)
+
+
+@query("npy_topk", "SELECT instance_id, label_id, round(eta, 6) AS eta FROM (SELECT vec_id AS instance_id, CAST(i - 1 AS INT) AS label_id, CAST(embedding[i] AS DOUBLE) AS eta, row_number() OVER (PARTITION BY vec_id ORDER BY embedding[i] DESC, i) AS r FROM embeddings, range(1, 65) t(i)) WHERE r <= 3", "")
+def _(b):
+    """Dense scores as npy files, and the largest of each row read from them."""
+    path, rows = f"{Scratch(b.spark).root}/rows", b.table("embeddings").select(F.col("vec_id").alias("instance_id"), F.col("embedding").alias("values"))
+    arrays.write_npy(rows, path, rows.count(), block_rows=200)
+    cells = sources.from_dense(b.spark.read.format("npy").load(path), "values", K)
+    return rounded(cells.select("instance_id", "label_id", F.col("eta").cast("double").alias("eta")), 6)
+
+
 # iterated algorithms, to their tolerances: no SQL
 query("fw_full_f1")(lambda b: frank_wolfe.find_classifier(b.y_true, b.eta, b.instances, b.labels, M.Metric("f1"), K).weights(b.spark))
 query("bc_minibatch_f1")(lambda b: block_coordinate.minibatch(b.eta, b.instances, b.labels, M.Metric("f1"), K)[0])

@@ -86,7 +86,7 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def labels_from_arrays(rows: DataFrame, labels: str = "labels") -> DataFrame:
     """(instance_id, label_id, value) of rows with an array of labels; empty and null arrays give no labels."""
-    return rows.select("instance_id", F.explode(labels).cast("int").alias("label_id"), F.lit(1.0).alias("value")).dropDuplicates(["instance_id", "label_id"])
+    return rows.select("instance_id", F.explode(F.col(labels).cast("array<int>")).alias("label_id"), F.lit(1.0).alias("value")).dropDuplicates(["instance_id", "label_id"])
 
 
 def read_libsvm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

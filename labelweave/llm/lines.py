@@ -1,13 +1,17 @@
 """Line dedup by pairwise alignment.
 
 A document loses every run of consecutive lines with enough words that an earlier document holds as
-consecutive lines too. Pairs of documents are found through hashes of the shortest runs of lines with
-enough words: each such run of a later document proposes the earliest holder, so a line that a third of
-all documents share proposes one partner for each of them and not all pairs. A pair is aligned by
-patience diff over the lines that both hold (lines that are unique in both are anchors, the longest
-increasing sequence of anchors stays, stretches between anchors are aligned in turn, and matches extend
-over equal neighbours); common blocks of the alignment are deleted from the later document. A block that
-stands in another order there is not part of the alignment; it goes in a last step, by its runs.
+consecutive lines too. Overlapping documents are found through hashes of lines (where lines are short, of
+the shortest runs of lines with enough words). A rare hash, of which few documents are holders, pairs each
+of them with every earlier one. A common one pairs each later holder with the first holder alone, which is
+enough, as that one holds these very lines; so a line that a third of all documents share proposes one
+partner for each of them and not all pairs.
+
+A pair is aligned by patience diff over the lines that both hold: lines that are unique in both are anchors,
+the longest increasing sequence of anchors stays, stretches between anchors are aligned in turn, and matches
+extend over equal neighbours. Common blocks of the alignment go from the later document. What is left is
+aligned again: runs that the earlier document holds in another place are cut into stretches within which both
+documents have the same order, and each stretch is aligned for itself.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from labelweave.llm.common import Scratch, held, slices, table
 
 #: Words that a block has at least. Shorter ones are common phrases.
 LEAST_WORDS = 5
+#: Documents that hold a rare hash, at most; more only adds pairs, and results don't depend on it.
+RARE = 4
 
 
 def line_rows(text: str) -> list[tuple[int, bytes, int]]:
@@ -143,28 +149,53 @@ def blocks(shared: list[dict], least_words: int) -> list[int]:
                 gone.update(p for p, _ in block)
             block = []
         block.append((i, j))
-    if len(gone) < len(own):  # blocks in another order
-
-        def spans(places: list[int], codes: list[int]) -> list[tuple[int, int]]:
-            cut = [0, *(p for p in range(1, len(places)) if places[p] != places[p - 1] + 1), len(places)]
-            return [(s + a, s + b) for s, e in zip(cut, cut[1:]) for a, b in runs([shared[c]["words"] for c in codes[s:e]], least_words)]
-
-        codes = [x[1] for x in other]
-        there = {tuple(codes[a : b + 1]) for a, b in spans([x[0] for x in other], codes)}
-        codes = [x[1] for x in own]
-        for a, b in spans([x[0] for x in own], codes):
-            if tuple(codes[a : b + 1]) in there:
-                gone.update(range(a, b + 1))
+    if len(gone) < len(own):
+        for spans in moved(shared, own, other, gone, least_words):
+            for k, _ in patience(list(range(len(spans))), [k for k, _ in sorted(enumerate(spans), key=lambda x: x[1][0])]):
+                for a, b in spans[k][1]:
+                    gone.update(range(a, b + 1))
     return sorted(own[p][2] for p in gone)
 
 
+def moved(shared: list[dict], own: list[tuple], other: list[tuple], gone: set[int], least_words: int) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
+    """Stretches of what is left, of the distinct shortest runs with a line that has not gone and that the other document holds.
+
+    A run comes as its first place there and all its spans (first, last) here; within a stretch the places there increase.
+    """
+
+    def spans(places: list[int], codes: list[int]) -> list[tuple[int, int]]:
+        cut = [0, *(p for p in range(1, len(places)) if places[p] != places[p - 1] + 1), len(places)]
+        return [(s + a, s + b) for s, e in zip(cut, cut[1:]) for a, b in runs([shared[c]["words"] for c in codes[s:e]], least_words)]
+
+    codes, there = [x[1] for x in other], {}
+    for a, b in spans([x[0] for x in other], codes):
+        there.setdefault(tuple(codes[a : b + 1]), a)
+    codes, left = [x[1] for x in own], {}
+    for a, b in spans([x[0] for x in own], codes):
+        if (key := tuple(codes[a : b + 1])) in there and not gone.issuperset(range(a, b + 1)):
+            left.setdefault(key, []).append((a, b))
+    stretch: list[tuple[int, list[tuple[int, int]]]] = []
+    for key, here in left.items():
+        if stretch and there[key] < stretch[-1][0]:
+            yield stretch
+            stretch = []
+        stretch.append((there[key], here))
+    if stretch:
+        yield stretch
+
+
 def removals(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc, version, gone): for documents that lose lines, whether each line goes, up to the last that does."""
     least_words = max(1, least_words)
     rows = scratch.save(keyed_lines(single_texts(docs, id_col, text_col, scratch), least_words))
     spans = rows.where("run").select("doc", "version", "k1", "k2")
-    first = spans.groupBy("k1", "k2").agg(F.min(F.struct("doc", "version")).alias("tried"), F.max("doc").alias("latest")).where("latest > tried.doc").select("k1", "k2", "tried")
-    pairs = spans.join(scratch.save(first), ["k1", "k2"]).where("doc > tried.doc").select("doc", "version", F.col("tried.doc").alias("there"), F.col("tried.version").alias("at_version")).distinct()
+    first = spans.groupBy("k1", "k2").agg(F.min(F.struct("doc", "version")).alias("tried"), F.max("doc").alias("latest"), F.count("*").alias("holders")).where("latest > tried.doc").select("k1", "k2", "tried", "holders")
+    held_ = scratch.save(spans.join(scratch.save(first), ["k1", "k2"]))
+    common = held_.where(F.col("holders") > RARE).select("doc", "version", F.col("tried").alias("to"))
+    holder = F.struct("doc", "version")
+    rare = held_.where(F.col("holders") <= RARE).groupBy("k1", "k2").agg(F.collect_list(holder).alias("own"))  # at most RARE holders
+    rare = rare.select("own", F.explode("own").alias("to")).select(F.explode("own").alias("later"), "to").select("later.doc", "later.version", "to")
+    pairs = common.unionByName(rare).where("doc > to.doc").select("doc", "version", F.col("to.doc").alias("there"), F.col("to.version").alias("at_version")).distinct()
     own = rows.where("not run")
     there = own.select(F.col("doc").alias("there"), F.col("version").alias("at_version"), "k1", "k2", F.col("at").alias("places"))
     both = own.join(scratch.save(pairs), ["doc", "version"]).join(there, ["there", "at_version", "k1", "k2"])

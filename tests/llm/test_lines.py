@@ -1,5 +1,6 @@
 import random
 
+from labelweave.llm import lines
 from labelweave.llm.lines import LEAST_WORDS, dedup_lines, increasing, op5_line_dedup, patience
 
 
@@ -95,3 +96,50 @@ def test_edge_cases(spark):
     assert texts == sorted([(1, a), (1, a), (2, None), (3, ""), (0, a), (4, ""), (4, ""), (4, "new text of six words here"), (5, ""), (6, long), (7, "tail"), (8, "five\nsix")], key=str)
     assert sorted(x.doc_id or 0 for x in dedup_lines(docs, drop_emptied=True).collect()) == [0, 1, 1, 2, 3, 4, 6, 7, 8]
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def shared_lines(a, b):
+    """What `blocks` takes, of two documents as lists of (line, words)."""
+    both = {x for x, _ in a} & {x for x, _ in b}
+    words = dict(a)
+    at = lambda d, x: [n for n, y in enumerate(d) if y[0] == x]
+    return [{"at": at(a, x), "there": at(b, x), "lines": at(a, x), "words": words[x]} for x in sorted(both)]
+
+
+def test_alignment_decides(monkeypatch):
+    """All pairs of random documents against the definition; without the alignment nothing goes."""
+    rng = random.Random(9)
+    size = {x: 1 + x % 4 for x in range(12)}
+    cases = []
+    for _ in range(3000):
+        a, b = ([(x, size[x]) for x in (rng.randrange(12) for _ in range(rng.randint(0, 16)))] for _ in "ab")
+        text = lambda d: "\n".join(" ".join([f"w{x}"] * n) for x, n in d)
+        gone = lines.blocks(shared_lines(a, b), 5)
+        want = plain({1: text(b), 2: text(a)})[2]
+        assert "\n".join(line for k, line in enumerate(text(a).split("\n")) if k not in gone) == want
+        cases.append((a, b, gone))
+    assert sum(bool(c[2]) for c in cases) > 300
+    monkeypatch.setattr(lines, "patience", lambda a, b: [])
+    assert not any(lines.blocks(shared_lines(a, b), 5) for a, b, _ in cases)
+
+
+def test_long_documents_in_another_order():
+    """Ten thousand blocks, of which none keeps its place, take no more than a pass each."""
+    n = 10_000
+    a, b = [(x, 5) for x in range(n)], [(x, 5) for x in reversed(range(n))]
+    assert lines.blocks(shared_lines_of_distinct(a, b), 5) == list(range(n))
+
+
+def shared_lines_of_distinct(a, b):
+    place = {x: n for n, (x, _) in enumerate(b)}
+    return [{"at": [n], "there": [place[x]], "lines": [n], "words": w} for n, (x, w) in enumerate(a)]
+
+
+def test_rare_and_common_lines_give_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    pool = [f"line number {k} with enough words" for k in range(40)] + [f"short {k}" for k in range(10)]
+    docs = {i: "\n".join(rng.choice(pool[: 5 + i % 45]) for _ in range(rng.randint(0, 12))) for i in range(80)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    for rare in (1, 3, 1000):
+        monkeypatch.setattr(lines, "RARE", rare)
+        assert {x.doc_id: x.text for x in dedup_lines(df).collect()} == plain(docs)

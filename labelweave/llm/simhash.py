@@ -7,13 +7,16 @@ bucket is verified by the distance of the whole fingerprints. A bucket returns a
 links, nearest links first, and not all pairs.
 
 Two scales are in use. FINE has 64 bits in two segments of 32 and links up to three differing bits, for
-which no link is missed. WIDE has 128 bits in six segments of 21 and links up to 28 differing bits, which
-is what texts with a similarity of 0.8 have; there a candidate is found with a probability (about 0.6 at
-0.8, 0.8 at 0.85, 0.9 at 0.9, 1 at 1) and links are verified by the shingles themselves.
+which no link is missed. WIDE has 128 bits in eight segments of 16 and links up to 30 differing bits, which
+is what texts with a similarity of 0.8 have; there a candidate is found with a probability (over 0.9 at a
+similarity of 0.8, 0.97 at 0.85, 1 at 1) and links are verified by the shingles themselves. A link of a
+forest that fails does not stand for the links that it left out: where one fails, all pairs between the
+groups that the verified links have made are looked at.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,7 +52,7 @@ class Scale:
 
 
 FINE = Scale(3, 1, 2, 32, 3)
-WIDE = Scale(5, 2, 3, 21, 28)
+WIDE = Scale(5, 2, 4, 16, 30)
 SIMILARITY = 0.8
 
 
@@ -131,11 +134,12 @@ def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.ndarray, scale: Scale, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of links that span all links within runs of equal `group`; f: fingerprints, a row for each.
 
     A pair counts only in the first bucket that it shares, and between sides only if they differ (side 0
-    and 1 are two blocks of a large bucket, 2 a whole one).
+    and 1 are two blocks of a large bucket, 2 a whole one). With labels, all links between different labels
+    come out and none within one.
     """
     n, u = len(group), f.astype(np.uint64)
     own, bit, left, right, far = keys >> 38, (keys >> 32 & 63).astype(np.uint64), [], [], []
@@ -146,6 +150,8 @@ def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.nd
         if not len(at):
             break
         pair = at[(side[at] == 2) | (side[at] != side[at + shift])]
+        if label is not None:
+            pair = pair[label[pair] != label[pair + shift]]
         x = u[pair] ^ u[pair + shift]
         d = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
         pair, x, d = pair[d <= scale.distance], x[d <= scale.distance], d[d <= scale.distance]
@@ -161,27 +167,29 @@ def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.nd
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
+    if label is not None:
+        return a, b
     chosen = forest(a, b, np.concatenate(far), n)
     return a[chosen], b[chosen]
 
 
-def links(reps: DataFrame, scale: Scale, scratch: Scratch, *, block: int = BLOCK) -> DataFrame:
+def links(reps: DataFrame, scale: Scale, scratch: Scratch, *, block: int = BLOCK, label: str | None = None) -> DataFrame:
     """Edges (a0, ..., b0, ...) between distinct fingerprints (f0, ...), enough to connect what the distance links.
 
-    Buckets of more than about `block` fingerprints are dealt out as pairs of blocks, so no task compares
+    With a column `label`, all edges between fingerprints of different labels. Buckets of more than about `block` fingerprints are dealt out as pairs of blocks, so no task compares
     more than two blocks at once.
     """
-    words, f = scale.columns, F.xxhash64(*scale.columns)
-    keyed = lambda df: df.select(F.explode(variants(scale)).alias("key"), *words)
+    words, f, more = scale.columns, F.xxhash64(*scale.columns), [label] if label else []
+    keyed = lambda df: df.select(F.explode(variants(scale)).alias("key"), *words, *more)
     probe = keyed(reps.where(F.pmod(F.xxhash64(*words, F.lit(1)), F.lit(PROBE)) == 0)).groupBy("key").count()
     large = probe.where(F.col("count") * PROBE > block).select("key", F.ceil(F.col("count") * PROBE / block).cast("int").alias("blocks"))
     large = small(scratch.save(large))
     own = F.pmod(f, F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = keyed(reps).join(large, "key", "left").select("key", *words, F.coalesce(own, F.lit(-1)).alias("own"), other.alias("other"))
+    dealt = keyed(reps).join(large, "key", "left").select("key", *words, *more, F.coalesce(own, F.lit(-1)).alias("own"), other.alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     low, high = F.least("own", "other").cast("bigint") + 1, F.greatest("own", "other").cast("bigint") + 1
-    dealt = dealt.select("key", (F.shiftleft(low, 32) + F.shiftleft(high, 2) + side).alias("deal"), *words)
+    dealt = dealt.select("key", (F.shiftleft(low, 32) + F.shiftleft(high, 2) + side).alias("deal"), *words, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -206,7 +214,8 @@ def links(reps: DataFrame, scale: Scale, scratch: Scratch, *, block: int = BLOCK
         t, group = t.filter(pa.array(several)), group[several]
         if len(t):
             f = np.stack([t[c].to_numpy() for c in words], axis=1)
-            a, b = bucket_links(group, t["key"].to_numpy(), f, t["deal"].to_numpy() & 3, scale)
+            of = t[label].combine_chunks().dictionary_encode().indices.to_numpy() if label else None
+            a, b = bucket_links(group, t["key"].to_numpy(), f, t["deal"].to_numpy() & 3, scale, of)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(f[x, k])) for x in (a, b) for k in range(scale.words)], names=[f"{s}{k}" for s in "ab" for k in range(scale.words)])
 
     pair = F.shiftright("deal", 2)
@@ -259,6 +268,13 @@ def similar(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch
     return kept.mapInArrow(run, ", ".join(f"{c} bigint" for c in edges.columns))
 
 
+def ordered(edges: DataFrame, scale: Scale) -> DataFrame:
+    """Each edge once, with the smaller fingerprint as its a."""
+    a, b = ([f"{s}{k}" for k in range(scale.words)] for s in "ab")
+    swap = F.struct(*a) > F.struct(*b)
+    return edges.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in zip(a, b, strict=True)], *[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in zip(a, b, strict=True)]).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, scale: Scale = WIDE) -> DataFrame:
     """The rows of docs, with all their columns, without near duplicates of rows that stay.
 
@@ -271,10 +287,21 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     scratch, words = Scratch(spark), scale.columns
     rows = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col, scale=scale))
     reps = rows.select(*words).distinct()
-    edges = scratch.save(links(reps, scale, scratch).distinct())
-    edges = similar(edges, rows, docs, scratch, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
+    verified = functools.partial(similar, rows=rows, docs=docs, scratch=scratch, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
+    edges = scratch.save(ordered(links(reps, scale, scratch), scale))
+    kept = scratch.save(verified(edges))
     name = lambda s: F.concat(*[F.lpad(F.hex(f"{s}{k}"), 16, "0") for k in range(scale.words)])
-    found = scratch.save(components(edges.select(name("a").alias("a"), name("b").alias("b")), Scratch(spark)))
+    named_edges = lambda df: df.select(name("a").alias("a"), name("b").alias("b"))
+    found = scratch.save(components(named_edges(kept), Scratch(spark)))
+    failed = scratch.save(edges.join(kept, edges.columns, "left_anti"))
+    if not failed.isEmpty():
+        reach = components(named_edges(edges), Scratch(spark)).select("node", F.col("component").alias("reach"))
+        touched = named_edges(failed).join(reach, F.col("a") == F.col("node")).select("reach").distinct()
+        again = reps.withColumn("node", name("f")).join(reach, "node").join(touched, "reach", "left_semi").join(found, "node", "left")
+        again = scratch.save(again.select(*words, F.coalesce("component", "node").alias("label")))
+        others = ordered(links(again, scale, scratch, label="label"), scale).join(failed, edges.columns, "left_anti")
+        more = verified(scratch.save(others))
+        found = scratch.save(components(named_edges(kept.unionByName(more)), Scratch(spark)))
     named = rows.withColumn("node", name("f")).join(found, "node", "left").select("id", "version", F.coalesce("component", "node").alias("component"))
     named = scratch.save(named.groupBy("id", "version", "component").agg(F.count("*").alias("n")))
     # of a group's rows the first by id and version; min() is summed up before the shuffle, so a large group is no burden

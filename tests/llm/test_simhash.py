@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from labelweave.llm import simhash
 from labelweave.llm.common import Scratch
 from labelweave.llm.components import components
 from labelweave.llm.simhash import FINE, WIDE, drop_near_duplicates, fingerprint, links, near_duplicates, op9_simhash
@@ -164,3 +167,54 @@ def test_wide_scale_on_a_table(spark):
     assert {i for i in texts if group[i] == i} <= kept
     assert len(want - kept) >= 0.9 * len(want) > 0
     assert fingerprint(b"", WIDE) == [0, 0]
+
+
+def with_similarity(rng, words, least, most):
+    """Words of which single ones are replaced until the five-word shingles' similarity is between least and most; None if it falls below."""
+    a, out = shingle_set(words), list(words)
+    for at in rng.sample(range(len(words)), len(words)):
+        out[at] = f"new{rng.randrange(10**9)}"
+        b = shingle_set(out)
+        s = len(a & b) / len(a | b)
+        if s <= most:
+            return (" ".join(out), s) if s >= least else (None, s)
+    return None, 0.0
+
+
+def shingle_set(words):
+    return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def test_recall_by_band_of_similarity(spark):
+    rng, rows, band = random.Random(12), [], {}
+    for least, most in ((0.8, 0.82), (0.82, 0.85), (0.85, 0.9), (0.9, 0.99), (0.7, 0.79)):
+        n = 0
+        while n < 150:
+            words = [f"w{rng.randrange(50_000)}" for _ in range(rng.randint(100, 500))]
+            text, _ = with_similarity(rng, words, least, most)
+            if text:
+                k = 2 * len(band)
+                rows += [(k, " ".join(words)), (k + 1, text)]
+                band[k + 1], n = least, n + 1
+    kept = {r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()}
+    assert all(k - 1 in kept for k in band)
+    recall = {b: sum(k not in kept for k in band if band[k] == b) / 150 for b in sorted(set(band.values()))}
+    print(recall)
+    assert recall[0.7] == 0 and all(recall[b] >= 0.9 for b in recall if b != 0.7), recall
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_a_link_that_fails_does_not_hide_another(spark, monkeypatch, block):
+    """Three fingerprints in a row, of which the outer two are near duplicates and the middle one is none of either."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(200)]
+    far, (near, s) = [f"v{k}" for k in range(200)], with_similarity(rng, words, 0.85, 0.95)
+    texts = {1: " ".join(words), 2: " ".join(far), 3: near, 4: " ".join(far) + " end"}
+    prints = {1: (0, 0), 2: (0b1111111111, 0), 3: (0b111111111111, 0), 4: (0b1111111111 | 1 << 40, 0)}
+    signed = spark.createDataFrame([(i, *f) for i, f in prints.items()], "id bigint, f0 bigint, f1 bigint")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    made = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version")).join(signed, "id")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: made)
+    plain_links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: plain_links(*a, **k | {"block": block}))
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [1, 2]

@@ -1,8 +1,8 @@
 """Test-set optimisation by block-coordinate steps: each row's labels are chosen anew against the rest.
 
-`minibatch` is the distributed form: rows fall into hash slices, one slice at a time is chosen against
-the confusion matrix without each row's own contribution, and only sums for each label return. `exact`
-visits row after row in one task, for sets that fit there. Slices are not run side by side, since
+`minibatch` is the distributed form: rows fall into hash slices, other ones in each sweep, one slice at a
+time is chosen against the confusion matrix without each row's own contribution, and only sums for each
+label return. `exact` visits row after row in one task, for sets that fit there. Slices are not run side by side, since
 blocks that chase the same labels overshoot.
 """
 
@@ -61,47 +61,65 @@ def initial(eta: DataFrame, k: int, init: str | DataFrame, seed: int) -> DataFra
     return predict(eta, k, th=0.5)
 
 
-def _sweeps(eta: DataFrame, names: np.ndarray, k: int, sums: tuple, gains: Callable, known: Callable, utility: Callable, *, slices: int, max_iters: int, tolerance: float, init: str | DataFrame, seed: int, maximize: bool) -> tuple[DataFrame, list[float]]:
-    """(y_pred, utilities): sweeps over hash slices until the utility improves by less than tolerance.
+def dealt(seed: int, slices: int) -> Callable[[int], Column]:
+    """The slice of each instance in a sweep: a hash that is another one in each sweep, so that rows meet in new company."""
+    return lambda sweep: F.pmod(F.xxhash64("instance_id", F.lit(seed), F.lit(sweep)), F.lit(slices)).cast("int")
 
-    The table is written once and then slice by slice. `sums` are expressions of exploded cells whose totals
-    by label are the state, kept apart for each slice, so no total drifts; `known` turns a state into arrays
-    by label, `gains` reads them, `utility` values a state. A step is one pass over its slice.
+
+def _sweeps(eta: DataFrame, names: np.ndarray, k: int, sums: tuple, gains: Callable, known: Callable, utility: Callable, *, slices: int, max_iters: int, tolerance: float, init: str | DataFrame, seed: int, maximize: bool, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
+    """(y_pred, utilities): sweeps over slices, dealt anew in each, until the utility improves by less than tolerance.
+
+    `sums` are expressions of exploded cells whose totals by label are the state, so no total drifts; `known`
+    turns a state into arrays by label, `gains` reads them, `utility` values a state. A step is one pass over
+    its slice: the rows are written with their new labels, in folders for the slices of the next sweep, and
+    their sums are kept apart for these, so that the next sweep takes the slices as they lie and knows what
+    each holds. A sweep's input is deleted when the sweep is done.
     """
-    m, scratch = len(names), Scratch(eta.sparkSession)
-    part = F.pmod(F.xxhash64("instance_id", F.lit(seed)), F.lit(slices)).cast("int")
-    table = scratch.save(packed(eta, names, c=initial(eta, k, init, seed)).withColumn("part", part), by=("part",))
+    m, scratch, deal = len(names), Scratch(eta.sparkSession), deal or dealt(seed, slices)
     flat = lambda df, *by: df.select(*by, F.inline("cells"))
-    state = {s: np.zeros((len(sums), m)) for s in range(slices)} | label_sums(flat(table, "part"), m, *sums, by="part")
-    rows = {s: 0 for s in range(slices)} | {r.part: r["count"] for r in table.groupBy("part").count().collect()}
-    seen, now = (set() if isinstance(init, str) and init == "greedy" else set(range(slices))), {s: table.where(F.col("part") == s).drop("part") for s in range(slices)}
-    total = lambda: (sum((state[s] for s in seen), np.zeros((len(sums), m))), max(1, sum(rows[s] for s in seen)))
+    nothing = lambda: {s: np.zeros((len(sums), m)) for s in range(slices)}
+    first = scratch.save(packed(eta, names, c=initial(eta, k, init, seed)).withColumn("part", deal(0)), by=("part",))
+    tables = [first]
+    state = nothing() | label_sums(flat(first, "part"), m, *sums, by="part")
+    rows = {s: 0 for s in range(slices)} | {r.part: r["count"] for r in first.groupBy("part").count().collect()}
+    everyone, seen = sum(rows.values()), not (isinstance(init, str) and init == "greedy")
     utilities, sign = [], 1 if maximize else -1
     if seen:
-        utilities.append(utility(*total()))
-    for _ in range(max_iters):
+        utilities.append(utility(sum(state.values()), max(1, everyone)))
+    for sweep in range(max_iters):
+        fresh_tables, fresh_state, fresh_rows, done = [], nothing(), {s: 0 for s in range(slices)}, 0
         for s in range(slices):
             if not rows[s]:
-                seen.add(s)
                 continue
-            inside = float(s in seen)
-            c, n = total()
-            n += 0 if inside else rows[s]
-            step = with_labels(now[s], **known(c))
-            picked = F.transform(chosen(lambda x: sign * gains(x, inside, n), k), lambda x: x["at"])  # noqa: B023
+            now = functools.reduce(DataFrame.unionByName, [t.where(F.col("part") == s).drop("part") for t in tables])
+            c = sum(fresh_state.values()) + (sum(state[q] for q in range(s, slices)) if seen else 0)
+            n = everyone if seen else done + rows[s]
+            step = with_labels(now, **known(c))
+            picked = F.transform(chosen(lambda x: sign * gains(x, float(seen), n), k), lambda x: x["at"])  # noqa: B023
             fresh = step.select("instance_id", "cells", picked.alias("picked")).select("instance_id", F.transform("cells", lambda x: x.withField("c", F.array_contains("picked", x["at"]).cast("double"))).alias("cells"))
-            now[s] = scratch.save(fresh)
-            state[s] = label_sums(flat(now[s]), m, *sums).get(0, state[s] * 0)
-            seen.add(s)
-        utilities.append(utility(*total()))
+            written = scratch.save(fresh.withColumn("part", deal(sweep + 1)), by=("part",))
+            fresh_tables.append(written)
+            for q, own in label_sums(flat(written, "part"), m, *sums, by="part").items():
+                fresh_state[q] = fresh_state[q] + own
+            for r in written.groupBy("part").count().collect():  # a row for each slice
+                fresh_rows[r.part] += r["count"]
+            done += rows[s]
+        if fresh_tables:
+            tables, state, rows = fresh_tables, fresh_state, fresh_rows
+            scratch.drop(keep=len(tables))
+        seen = True
+        utilities.append(utility(sum(state.values()), max(1, everyone)))
         if len(utilities) > 1 and sign * (utilities[-1] - utilities[-2]) < tolerance:
             break
-    both = functools.reduce(DataFrame.unionByName, [now[s] for s in range(slices)])
+    both = functools.reduce(DataFrame.unionByName, tables)
     return both.select("instance_id", F.inline(F.filter("cells", lambda x: x["c"] > 0))).select("instance_id", "label_id", F.col("c").alias("value")), utilities
 
 
-def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, maximize: bool = True) -> tuple[DataFrame, list[float]]:
-    """(y_pred, utilities): the expected metric, slice by slice; with init greedy a slice sees only those before it in the first sweep."""
+def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, maximize: bool = True, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
+    """(y_pred, utilities): the expected metric, slice by slice; with init greedy a slice sees only those before it in the first sweep.
+
+    `deal` gives the slice (0 to slices - 1) of an instance in each sweep, by default a hash with the seed and the sweep.
+    """
     names, missing = label_ids(labels), instances.join(eta.select("instance_id").distinct(), "instance_id", "left_anti").count()
     m = len(names)
 
@@ -119,11 +137,11 @@ def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: M
     return _sweeps(
         eta, names, k, (F.col("eta") * F.col("c"), F.col("c"), F.col("eta")), gains, lambda c: dict(zip(("tp", "p", "e"), c, strict=True)),
         lambda c, n: metric.value(*(x / (n + missing) for x in entries(c, n + missing)), names),
-        slices=slices, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed, maximize=maximize,
+        slices=slices, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed, maximize=maximize, deal=deal,
     )
 
 
-def coverage(eta: DataFrame, labels: DataFrame, k: int, *, alpha: float = 1.0, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0) -> tuple[DataFrame, list[float]]:
+def coverage(eta: DataFrame, labels: DataFrame, k: int, *, alpha: float = 1.0, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
     """(y_pred, utilities) for alpha * (1 - mean over labels of prod (1 - eta * chosen)) + (1 - alpha) * expected precision at k.
 
     The chance that no row hits a label is kept as a sum of logarithms; a score of 1 counts as 1 - 1e-12.
@@ -139,7 +157,7 @@ def coverage(eta: DataFrame, labels: DataFrame, k: int, *, alpha: float = 1.0, s
 
     return _sweeps(
         eta, names, k, (F.when(F.col("c") > 0, miss(F.col("eta"))).otherwise(0.0), F.col("eta") * F.col("c")), gains, lambda c: {"log_fail": c[0]},
-        lambda c, n: coverage_utility(c[0], c[1], n, k, alpha), slices=slices, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed, maximize=True,
+        lambda c, n: coverage_utility(c[0], c[1], n, k, alpha), slices=slices, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed, maximize=True, deal=deal,
     )
 
 
@@ -149,9 +167,9 @@ def coverage_utility(log_fail: np.ndarray, tp: np.ndarray, n: int, k: int, alpha
 
 
 def exact(eta: DataFrame, labels: DataFrame, metric: Metric, k: int, *, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, most_cells: int = 20_000_000) -> DataFrame:
-    """y_pred by the sequential algorithm, row after row in one task; for sets of at most `most_cells` scores. See minibatch for others."""
-    if (cells := eta.count()) > most_cells:
-        raise ValueError(f"{cells} scores are too many for one task; use minibatch")
+    """y_pred by the sequential algorithm, row after row in one task, for sets of at most `most_cells` scores; larger ones go slice by slice."""
+    if eta.count() > most_cells:
+        return minibatch(eta, eta.select("instance_id").distinct(), labels, metric, k, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed)[0]
     names, greedy = label_ids(labels).tolist(), isinstance(init, str) and init == "greedy"
     rows = packed(eta, np.array(names), c=initial(eta, k, init, seed))
 

@@ -515,6 +515,32 @@ for _name in ("f1", "balanced_accuracy"):
         lambda b, name=_name: rounded(history.prequential_metric(_both(b), b.labels, M.Metric(name), instances=b.instances, wide=7))
     )
 
+# block-coordinate loops for coupled objectives, unrolled: two slices, dealt anew in the second sweep
+def _deal(sweep: int):
+    return (F.pmod(F.col("instance_id") * (7919 + sweep) + sweep, F.lit(101)) % 2).cast("int")
+
+
+def _sweeps_sql(known: str, gain: str) -> str:
+    out = ", x0 AS MATERIALIZED (SELECT instance_id, label_id, eta, p AS c FROM cells)"
+    for i in range(4):
+        inside = f"(instance_id * {7919 + i // 2} + {i // 2}) % 101 % 2 = {i % 2}"
+        out += f""",
+t{i} AS MATERIALIZED (SELECT label_id, {known} FROM x{i} GROUP BY label_id),
+x{i + 1} AS MATERIALIZED (SELECT instance_id, label_id, eta, CASE WHEN r <= 3 THEN 1 ELSE 0 END AS c FROM (SELECT instance_id, label_id, eta, row_number() OVER (PARTITION BY instance_id ORDER BY {gain} DESC, label_id) AS r
+  FROM (SELECT instance_id, label_id, eta, c, n, m, {_REST} FROM x{i} JOIN t{i} USING (label_id), size WHERE {inside})) UNION ALL SELECT * FROM x{i} WHERE NOT ({inside}))"""
+    return out + " SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM x4 WHERE c = 1"
+
+
+_REST = "greatest(0, st - eta * c) AS tp, greatest(0, (sp - c) - (st - eta * c)) AS fp, greatest(0, (se - eta) - (st - eta * c)) AS fn, greatest(0, (n - 1) - (sp - c) - (se - eta) + (st - eta * c)) AS tn"
+_F1 = lambda tp, fp, fn: f"2 * ({tp}) / n / (2 * ({tp}) / n + ({fp}) / n + ({fn}) / n + {EPS})"
+query("bc_two_sweeps_f1", _sweeps_sql("sum(eta * c) AS st, CAST(sum(c) AS DOUBLE) AS sp, sum(eta) AS se", f"({_F1('tp + eta', 'fp + 1 - eta', 'fn')}) - ({_F1('tp', 'fp', 'fn + eta')})"))(
+    lambda b: block_coordinate.minibatch(b.eta, b.instances, b.labels, M.Metric("f1"), K, slices=2, max_iters=2, tolerance=-1.0, deal=_deal)[0]
+)
+_REST = "sf - CASE WHEN c = 1 THEN ln(1 - eta) ELSE 0 END AS others"
+query("bc_two_sweeps_coverage", _sweeps_sql("sum(CASE WHEN c = 1 THEN ln(1 - eta) ELSE 0 END) AS sf", "(CAST(0.5 AS DOUBLE) / m * eta * exp(others) + CAST(0.5 AS DOUBLE) * eta / (n * 3))"))(
+    lambda b: block_coordinate.coverage(b.eta, b.labels, K, alpha=0.5, slices=2, max_iters=2, tolerance=-1.0, deal=_deal)[0]
+)
+
 # labels drawn without a grid, and array files
 _DRAW = "(instance_id * 7919 + x[1] * 15485863 + 12345) % 2147483647 % (x[1] + 1)"
 query("random_labels", f""", drawn AS (SELECT instance_id, unnest(list_reduce(list_transform(range(CAST(m AS BIGINT) - 3, CAST(m AS BIGINT)), lambda j: [j]), lambda taken, x: list_append(taken, CASE WHEN list_contains(taken, {_DRAW}) THEN x[1] ELSE {_DRAW} END), CAST([] AS BIGINT[]))) AS place FROM instances, size),

@@ -74,3 +74,35 @@ def test_coverage_step_against_the_formula(data):
     gain = 0.7 / 8 * x * fail / np.where(chosen, 1 - x, 1.0) + 0.3 * x / (300 * 1)
     found = {r.instance_id: r.label_id for r in B.coverage_step(eta, select.top_k(eta, 1), 300, 8, 1, alpha=0.7).collect()}
     assert [found[i] for i in range(300)] == gain.argmax(axis=1).tolist()
+
+
+def test_slices_are_dealt_anew_and_old_ones_deleted(data, spark):
+    import os
+
+    from labelweave.shared import shared_dir
+
+    grid, inst, lab = data
+    eta = grid.select("instance_id", "label_id", "eta")
+    deal = B.dealt(3, 5)
+    places = inst.select(deal(0).alias("a"), deal(1).alias("b")).collect()
+    assert {r.a for r in places} == {r.b for r in places} == set(range(5)) and 0.1 < np.mean([r.a == r.b for r in places]) < 0.3
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    metric = M.Metric("f1")
+    pred, history = B.minibatch(eta, inst, lab, metric, 2, slices=5, seed=3, max_iters=6, tolerance=-1.0)
+    assert len(history) == 7 and history == sorted(history) and history[-1] > history[0]
+    assert expected(grid, pred, inst, lab, metric) == pytest.approx(history[-1], abs=1e-9)
+    (own,) = set(os.listdir(folder)) - before
+    assert len(os.listdir(os.path.join(folder, own))) == 5  # the last sweep's slices alone
+    other, _ = B.minibatch(eta, inst, lab, metric, 2, slices=5, seed=4, max_iters=1, tolerance=-1.0)
+    first, _ = B.minibatch(eta, inst, lab, metric, 2, slices=5, seed=3, max_iters=1, tolerance=-1.0)
+    assert not other.select("instance_id", "label_id").exceptAll(first.select("instance_id", "label_id")).isEmpty()
+
+
+def test_greedy_start_and_large_sets(data):
+    grid, inst, lab = data
+    eta, metric = grid.select("instance_id", "label_id", "eta"), M.Metric("f1")
+    pred, history = B.minibatch(eta, inst, lab, metric, 2, slices=4, init="greedy", max_iters=3, tolerance=-1.0)
+    assert history == sorted(history) and expected(grid, pred, inst, lab, metric) == pytest.approx(history[-1], abs=1e-9)
+    sliced = B.exact(eta, lab, metric, 2, most_cells=100)  # too many for one task
+    assert expected(grid, sliced, inst, lab, metric) == pytest.approx(history[-1], abs=0.01)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.functions import metrics as M
-from labelweave.operators import block_coordinate, confusion, frank_wolfe, labels, named, select
+from labelweave.functions import sql as table_functions
+from labelweave.operators import block_coordinate, confusion, frank_wolfe, labels, named, runs, select
 from labelweave.operators import packed as packing
 from labelweave.sources import arrays
 from labelweave.sources import text as sources
@@ -541,6 +542,35 @@ query("bc_two_sweeps_coverage", _sweeps_sql("sum(CASE WHEN c = 1 THEN ln(1 - eta
     lambda b: block_coordinate.coverage(b.eta, b.labels, K, alpha=0.5, slices=2, max_iters=2, tolerance=-1.0, deal=_deal)[0]
 )
 
+# twelve runs at once: four seeds of noise, three numbers of labels
+_RUNS_SQL = f""", seeds AS (SELECT CAST(s AS INT) AS seed FROM range(4) t(s)),
+noisy AS (SELECT seed, instance_id, label_id, y, row_number() OVER (PARTITION BY seed, instance_id ORDER BY eta + CAST((instance_id * (31 + seed) + label_id * 977) % 1009 AS DOUBLE) / 1009 DESC, label_id) AS r FROM grid, seeds),
+run_rates AS (SELECT seed, k, label_id, CAST(sum(CASE WHEN r <= k THEN y ELSE 0 END) AS DOUBLE) / count(*) AS tp, CAST(sum(CASE WHEN r <= k THEN 1 - y ELSE 0 END) AS DOUBLE) / count(*) AS fp, CAST(sum(CASE WHEN r > k THEN y ELSE 0 END) AS DOUBLE) / count(*) AS fn, CAST(sum(CASE WHEN r > k THEN 1 - y ELSE 0 END) AS DOUBLE) / count(*) AS tn FROM noisy, (VALUES (1), (2), (3)) ks(k) GROUP BY ALL),
+run_values AS (SELECT seed, k, 'f1' AS metric, avg({PSI_SQL['f1']}) AS v FROM run_rates GROUP BY seed, k UNION ALL SELECT seed, k, 'balanced_accuracy', avg({PSI_SQL['balanced_accuracy']}) FROM run_rates GROUP BY seed, k UNION ALL SELECT seed, k, 'recall', avg({PSI_SQL['recall']}) FROM run_rates GROUP BY seed, k),
+run_stats AS (SELECT metric, CAST(k AS VARCHAR) AS method, count(*) AS runs, round(avg(v), 8) AS mean, round(stddev_pop(v), 8) AS std, round(stddev_pop(v) / sqrt(count(*)), 8) AS stderr FROM run_values GROUP BY metric, k)
+SELECT *, CAST(dense_rank() OVER (PARTITION BY metric ORDER BY mean DESC) AS INT) AS rank FROM run_stats"""
+
+
+@query("many_runs", _RUNS_SQL)
+def _(b):
+    noise = lambda seed: lambda c: c["eta"] + ((F.col("instance_id") * (31 + seed) + c["label_id"] * 977) % 1009).cast("double") / 1009
+    predicted = runs.top_k_runs(b.eta, {f"seed{s}": noise(s) for s in range(4)}, [1, 2, 3])
+    values = runs.metrics_by_run(runs.confusion_by_run(b.y_true, predicted, b.instances, b.labels), {x: M.Metric(x) for x in ("f1", "balanced_accuracy", "recall")})
+    return runs.summary(values, F.substring_index("run", "/", -1), 8)
+
+
+# labels chosen from SQL
+def _sql(b: Base, text: str) -> DataFrame:
+    table_functions.register(b.spark)
+    b.eta.createOrReplaceTempView("labelweave_scores")
+    return b.spark.sql(text)
+
+
+query("sql_top_labels", PICK.format(gain="(1 - eta)", source="grid"))(lambda b: _sql(b, "SELECT * FROM top_labels(TABLE(SELECT *, 'unread' AS more FROM labelweave_scores), k => 3, gain => '1 - eta')"))
+query("sql_labels_from", "SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM grid WHERE eta >= CAST(0.6 AS DOUBLE) + CAST(label_id % 5 AS DOUBLE) / 50")(
+    lambda b: _sql(b, "SELECT * FROM labels_from(TABLE(SELECT * FROM labelweave_scores), threshold => 'CAST(0.6 AS DOUBLE) + CAST(label_id % 5 AS DOUBLE) / 50')")
+)
+
 # labels drawn without a grid, and array files
 _DRAW = "(instance_id * 7919 + x[1] * 15485863 + 12345) % 2147483647 % (x[1] + 1)"
 query("random_labels", f""", drawn AS (SELECT instance_id, unnest(list_reduce(list_transform(range(CAST(m AS BIGINT) - 3, CAST(m AS BIGINT)), lambda j: [j]), lambda taken, x: list_append(taken, CASE WHEN list_contains(taken, {_DRAW}) THEN x[1] ELSE {_DRAW} END), CAST([] AS BIGINT[]))) AS place FROM instances, size),

@@ -7,6 +7,7 @@ gradient and the line search are vector arithmetic.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,11 @@ from labelweave.shared import Scratch
 
 @dataclass
 class RandomizedClassifier:
-    """Linear classifiers (rows of a and b, one column for each label of `labels`) and their probabilities p."""
+    """Linear classifiers (rows of a and b, one column for each label of `labels`) and their probabilities p.
+
+    confusion is the mixture's expected matrix (tp, fp, fn and tn by label, as shares) over the n rows that it was
+    found on; `extend` goes on from there.
+    """
 
     k: int
     labels: np.ndarray
@@ -30,6 +35,8 @@ class RandomizedClassifier:
     b: np.ndarray
     p: np.ndarray
     history: list[dict] = field(default_factory=list)
+    n: int = 0
+    confusion: np.ndarray | None = None
 
     def __post_init__(self):
         if self.a.shape != self.b.shape or len(self.a) != len(self.p) or self.a.shape[1] != len(self.labels):
@@ -150,15 +157,7 @@ def find_classifier(y_true: DataFrame, eta: DataFrame, instances: DataFrame, lab
     """
     scratch, names, n = Scratch(eta.sparkSession), label_ids(labels), instances.count()
     rows = scratch.save(packed(eta, names, y=y_true))
-    place, positive = {int(j): i for i, j in enumerate(names)}, np.zeros(len(names))
-    for r in y_true.groupBy("label_id").agg(F.sum("value").alias("s")).collect():  # a row for each label
-        if r.label_id in place:
-            positive[place[r.label_id]] = r.s / n
-
-    def count(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        picked = chosen(lambda x: F.get("a", x["at"]) * x["eta"] + F.get("b", x["at"]), k)
-        hit, all_ = label_sums(with_labels(rows, a=a, b=b).select(F.inline(picked)), len(names), F.col("y"), F.lit(1.0)).get(0, np.zeros((2, len(names)))) / n
-        return np.array([hit, all_ - hit, positive - hit, 1 - positive - all_ + hit])
+    count = _counter(rows, y_true, names, n, k)
 
     m = len(names)
     if init == "top":
@@ -171,9 +170,33 @@ def find_classifier(y_true: DataFrame, eta: DataFrame, instances: DataFrame, lab
         a, b = 1 / (c0[0] + c0[2] + 0.1 / n), np.zeros(m)
     else:
         a, b = (np.asarray(x, dtype=float) for x in init)
-    kept_a, kept_b, p = [a], [b], [1.0]
     c = count(a, b)
-    history, sign = [{"utility": metric.value(*c, label=names), "alpha": 1.0}], 1 if maximize else -1
+    found = RandomizedClassifier(k, names, a[None], b[None], np.ones(1), [{"utility": metric.value(*c, label=names), "alpha": 1.0}], n, c)
+    found = _climb(found, count, metric, max_iters=max_iters, maximize=maximize, tolerance=tolerance, alpha_tolerance=alpha_tolerance, algorithm=algorithm, step=step)
+    scratch.drop()
+    return found
+
+
+def _counter(rows: DataFrame, y_true: DataFrame, names: np.ndarray, n: int, k: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives a linear classifier's confusion matrix, as shares of n rows, by one pass over packed rows."""
+    place, positive = {int(j): i for i, j in enumerate(names)}, np.zeros(len(names))
+    for r in y_true.groupBy("label_id").agg(F.sum("value").alias("s")).collect():  # a row for each label
+        if r.label_id in place:
+            positive[place[r.label_id]] = r.s / n
+
+    def count(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        picked = chosen(lambda x: F.get("a", x["at"]) * x["eta"] + F.get("b", x["at"]), k)
+        hit, all_ = label_sums(with_labels(rows, a=a, b=b).select(F.inline(picked)), len(names), F.col("y"), F.lit(1.0)).get(0, np.zeros((2, len(names)))) / n
+        return np.array([hit, all_ - hit, positive - hit, 1 - positive - all_ + hit])
+
+    count.positive = positive
+    return count
+
+
+def _climb(found: RandomizedClassifier, count: Callable[[np.ndarray, np.ndarray], np.ndarray], metric: Metric | Combined, *, max_iters: int, maximize: bool, tolerance: float, alpha_tolerance: float, algorithm: str, step: float) -> RandomizedClassifier:
+    """Frank-Wolfe steps from a mixture and its confusion matrix, until a step or an improvement is too small."""
+    names, c, sign = found.labels, found.confusion, 1 if maximize else -1
+    kept_a, kept_b, p, history = list(found.a), list(found.b), list(found.p / found.p.sum()), list(found.history)
     for _ in range(max_iters):
         a, b = linear_weights(metric, c, maximize=maximize, label=names)
         new = count(a, b)
@@ -185,8 +208,34 @@ def find_classifier(y_true: DataFrame, eta: DataFrame, instances: DataFrame, lab
         c, p = mixed, [x * (1 - alpha) for x in p] + [alpha]
         kept_a.append(a), kept_b.append(b)
         history.append({"utility": metric.value(*c, label=names), "alpha": alpha})
+    return RandomizedClassifier(found.k, names, np.array(kept_a), np.array(kept_b), np.array(p), history, found.n, c)
+
+
+def extend(found: RandomizedClassifier, y_true: DataFrame, eta: DataFrame, instances: DataFrame, metric: Metric | Combined, *, max_iters: int = 100, maximize: bool = True, tolerance: float = 1e-6, alpha_tolerance: float = 1e-3, algorithm: str = "uniform", step: float = 1e-3, least: float = 1e-4) -> RandomizedClassifier:
+    """The mixture carried on over new rows alone; the rows that it was found on are not read again.
+
+    Its expected confusion matrix on the new rows is added to the carried one, weighted by numbers of rows, and
+    Frank-Wolfe steps go on from there, with the new rows as the sample on which further classifiers are counted.
+    Classifiers whose probability has fallen below `least` are left out. Without new rows nothing changes.
+    """
+    n, names, k = instances.count(), found.labels, found.k
+    if not n:
+        return found
+    m, keep, scratch = len(names), found.p >= least * found.p.max(), Scratch(eta.sparkSession)
+    a, b, p = found.a[keep], found.b[keep], found.p[keep] / found.p[keep].sum()
+    rows = scratch.save(packed(eta, names, y=y_true))
+    count = _counter(rows, y_true, names, n, k)
+    shares = F.array(*[F.lit(float(x)) for x in p])
+    each = F.array(*[F.lit(i) for i in range(len(p))])
+    picks = F.transform(each, lambda c: F.transform(chosen(lambda x: _gain(x, c, m), k), lambda x: F.struct(x["at"].alias("at"), (x["y"] * F.get(shares, c)).alias("hit"), F.get(shares, c).alias("p"))))
+    cells = with_labels(rows, a=a.ravel(), b=b.ravel()).select(F.inline(F.flatten(picks)))
+    hit, all_ = label_sums(cells, m, F.col("hit"), F.col("p")).get(0, np.zeros((2, m))) / n
+    new = np.array([hit, all_ - hit, count.positive - hit, 1 - count.positive - all_ + hit])
+    c = (found.n * found.confusion + n * new) / (found.n + n)
+    start = RandomizedClassifier(k, names, a, b, p, [{"utility": metric.value(*c, label=names), "alpha": 1.0}], found.n + n, c)
+    out = _climb(start, count, metric, max_iters=max_iters, maximize=maximize, tolerance=tolerance, alpha_tolerance=alpha_tolerance, algorithm=algorithm, step=step)
     scratch.drop()
-    return RandomizedClassifier(k, names, np.array(kept_a), np.array(kept_b), np.array(p), history)
+    return out
 
 
 def systematic_sample(cells: DataFrame, k: int, seed: int = 0, start: Column | None = None) -> DataFrame:

@@ -605,7 +605,7 @@ query("bc_coverage")(lambda b: block_coordinate.coverage(b.eta, b.labels, K, alp
 for _name in ("greedy", "gradient"):
     query(f"online_{_name}")(lambda b, kind=_name: online.replay(b.grid, b.labels, kind, M.Metric("f1"), K))
 query("online_retuned_thresholds")(lambda b: online.replay_retuned(b.grid, b.labels, "thresholds", M.Metric("f1"), 0))
-query("online_retuned_frank_wolfe")(lambda b: online.replay_retuned(b.grid, b.labels, "frank_wolfe", M.Metric("f1"), K))
+query("online_retuned_frank_wolfe")(lambda b: online.replay_retuned(b.grid, b.labels, "frank_wolfe", M.Metric("f1"), K, first=5000))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -228,27 +228,39 @@ def prequential(rows: DataFrame, by: str = "instance_id", every: int = 100, wide
     return total.select(F.col("block").alias("position"), hits.alias("hits"), F.when(n > 0, hits / n).alias("precision"))
 
 
-def replay_retuned(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, first: int = 100, growth: float = 1.5, max_iters: int = 25) -> DataFrame:
-    """Predictions by parameters that are learned again on all earlier rows each time their number has grown by `growth`.
+#: Growth of the number of rows after which a learner learns again.
+GROWTH = {"thresholds": 1.5, "frank_wolfe": 1.1}
 
-    kind: thresholds (a threshold for each label, at first 0.5) or frank_wolfe (a randomized classifier, at
-    first top k). Arrival order is instance_id. The loop runs once for each period, a logarithm of the rows.
+
+def replay_retuned(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, first: int = 100, growth: float | None = None, max_iters: int = 25, afresh: bool = False) -> DataFrame:
+    """Predictions by parameters that are learned again each time the number of earlier rows has grown by `growth`.
+
+    kind: thresholds (a threshold for each label on all earlier rows, at first 0.5) or frank_wolfe (a randomized
+    classifier, at first top k, carried on over the rows of the last period alone; with `afresh` it is found on all
+    earlier rows each time). Arrival order is instance_id. The loop runs once for each period, a logarithm of the rows.
     """
     from labelweave.operators import frank_wolfe, select
 
     low, high = rows.agg(F.min("instance_id"), F.max("instance_id")).first()
-    out, start, size = None, low, first
+    out, start, size, before, found = None, low, first, low, None
+    growth = growth or GROWTH[kind]
     while low is not None and start <= high:
         stop = max(start + 1, low + int(size))
         block, past = rows.where((F.col("instance_id") >= start) & (F.col("instance_id") < stop)), rows.where(F.col("instance_id") < start)
         eta = block.select("instance_id", "label_id", "eta")
         if kind == "thresholds":
-            found = select.predict(eta, 0, th=0.5) if start == low else select.predict(eta, 0, th=select.tune_thresholds(past, metric.name if metric.name == "min_tp_tn" else "f1"))
+            own = select.predict(eta, 0, th=0.5) if start == low else select.predict(eta, 0, th=select.tune_thresholds(past, metric.name if metric.name == "min_tp_tn" else "f1"))
         elif start == low:
-            found = select.predict(eta, k, th=0.5)
+            own = select.predict(eta, k, th=0.5)
         else:
-            y = past.where("y > 0").select("instance_id", "label_id", F.col("y").cast("double").alias("value"))
-            found = frank_wolfe.find_classifier(y, past.select("instance_id", "label_id", "eta"), past.select("instance_id").distinct(), labels, metric, k, max_iters=max_iters).predict(eta)
-        out = found if out is None else out.unionByName(found)
-        start, size = stop, size * growth
+            seen = past if afresh else past.where(F.col("instance_id") >= before)
+            y = seen.where("y > 0").select("instance_id", "label_id", F.col("y").cast("double").alias("value"))
+            data = y, seen.select("instance_id", "label_id", "eta"), seen.select("instance_id").distinct()
+            if found is None or afresh:
+                found = frank_wolfe.find_classifier(*data, labels, metric, k, max_iters=max_iters)
+            else:
+                found = frank_wolfe.extend(found, *data, metric, max_iters=max_iters)
+            own = found.predict(eta)
+        out = own if out is None else out.unionByName(own)
+        before, start, size = start, stop, size * growth
     return out if out is not None else rows.select("instance_id", "label_id", F.lit(1.0).alias("value"))

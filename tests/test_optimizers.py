@@ -106,3 +106,31 @@ def test_greedy_start_and_large_sets(data):
     assert history == sorted(history) and expected(grid, pred, inst, lab, metric) == pytest.approx(history[-1], abs=1e-9)
     sliced = B.exact(eta, lab, metric, 2, most_cells=100)  # too many for one task
     assert expected(grid, sliced, inst, lab, metric) == pytest.approx(history[-1], abs=0.01)
+
+
+def mixture_value(found, grid, inst, lab, metric):
+    """The metric at the expected confusion matrix of a randomized classifier over labels that are known."""
+    y = grid.where("y = 1").selectExpr("instance_id", "label_id", "1D as value")
+    c = C.confusion(y, found.expected(grid.select("instance_id", "label_id", "eta")), inst, lab, normalize=True).orderBy("label_id").toPandas()
+    return np.array([c[e].to_numpy() for e in C.ENTRIES]), metric.value(*(c[e].to_numpy() for e in C.ENTRIES))
+
+
+def test_a_mixture_carried_on_over_new_rows(data):
+    """Only new rows are read, sums stay exact, and the outcome is as good as one that is found afresh."""
+    grid, inst, lab = data
+    metric = M.Metric("f1")
+
+    def part(low, high):
+        own = grid.where((grid.instance_id >= low) & (grid.instance_id < high))
+        return own.where("y = 1").selectExpr("instance_id", "label_id", "1D as value"), own.select("instance_id", "label_id", "eta"), own.select("instance_id").distinct()
+
+    found = frank_wolfe.find_classifier(*part(0, 100), lab, metric, 2, max_iters=6)
+    fixed = frank_wolfe.extend(found, *part(100, 300), metric, max_iters=0, least=0.0)
+    exact, value = mixture_value(found, grid, inst, lab, metric)
+    assert fixed.n == 300 and np.allclose(fixed.confusion, exact) and fixed.history[0]["utility"] == pytest.approx(value)
+    for low in (100, 200):
+        before, found = found, frank_wolfe.extend(found, *part(low, low + 100), metric, max_iters=6)
+        assert found.n == low + 100 and found.p.sum() == pytest.approx(1) and len(found.p) <= len(before.p) + 6
+    afresh = frank_wolfe.find_classifier(*part(0, 300), lab, metric, 2, max_iters=12)
+    assert mixture_value(found, grid, inst, lab, metric)[1] >= mixture_value(afresh, grid, inst, lab, metric)[1] - 0.01
+    assert frank_wolfe.extend(found, *part(900, 901), metric) is found

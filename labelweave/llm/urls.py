@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import Scratch, table
+from labelweave.llm.common import Scratch, small, table
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,8 @@ FOLDS = 5
 SHRINK = 20.0
 #: Suffixes of a host that statistics are kept of: its last label, and its last two.
 LEVELS = (1, 2)
+#: Rows among which a suffix's statistics are spread where suffixes are too many to be sent to all executors.
+SALTS = 16
 FEATURES = ("length", "host_length", "depth", "host_depth", "digit_ratio", "entropy", "parameters", "query_length", "hyphens", *(f"suffix_{x}_{level}" for level in LEVELS for x in ("rate", "weight")))
 
 
@@ -80,19 +82,22 @@ def lexical(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """Trees and suffix statistics (s, fold, n, b: labelled and blocked URLs of a suffix in each fold); without trees every verdict is `constant`."""
+    """Trees and suffix statistics (s, fold, n, b: labelled and blocked URLs of a suffix in each fold); without trees every verdict is `constant`.
+
+    totals has a written table (s, n, b) for each level, over all folds.
+    """
 
     trees: GBTClassificationModel | None
     suffixes: DataFrame | None
     rate: float
     constant: str = "allow"
+    totals: tuple[DataFrame, ...] = ()
 
     def features(self, df: DataFrame, *, out_of_fold: bool = False) -> DataFrame:
         """Add the vector of features. With out_of_fold, a suffix's statistics leave out the fold of the row itself, so no label tells of itself."""
         df = lexical(df).withColumn("_fold", fold(F.col("url")))
-        total = self.suffixes.groupBy("s").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"))
-        for level in LEVELS:
-            df = df.withColumn("_s", suffix(F.col("host"), level)).join(total.withColumnRenamed("s", "_s"), "_s", "left")
+        for level, totals in zip(LEVELS, self.totals, strict=True):
+            df = beside(df.withColumn("_s", suffix(F.col("host"), level)), totals)
             n, b = F.coalesce("_n", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))
             if out_of_fold:
                 mine = self.suffixes.select(F.col("s").alias("_s"), F.col("fold").alias("_fold"), F.col("n").alias("_mine"), F.col("b").alias("_blocked"))
@@ -108,6 +113,19 @@ class Filter:
         return self.trees.transform(self.features(df)).withColumn("guess", F.when(F.col("prediction") == 1, "block").otherwise("allow"))
 
 
+def beside(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """df with _n and _b of its suffix _s, null where it has none.
+
+    Last labels, of which one is half of all hosts, are few and go to all executors, as does any table that is
+    small; rows of a suffix in a larger one are spread over salts.
+    """
+    found = totals.select(F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("b").alias("_b"))
+    if (light := small(found)) is not found:
+        return df.join(light, "_s", "left")
+    salted = found.withColumn("_salt", F.explode(F.array([F.lit(k) for k in range(SALTS)])))
+    return df.withColumn("_salt", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, ["_s", "_salt"], "left").drop("_salt")
+
+
 def fold(url: Column) -> Column:
     return F.pmod(F.xxhash64(url, F.lit(2)), F.lit(FOLDS)).cast("int")
 
@@ -134,6 +152,7 @@ def train(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, url_col: str = "
         return Filter(None, None, 0.0, "block" if n and blocked else "allow")
     chosen = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)) + 1
     found = Filter(None, counts, blocked / n)
+    found.totals = tuple(scratch.save(counts.where(F.size(F.split("s", r"\.")) <= level).groupBy("s").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))) for level in LEVELS)
     data = scratch.save(found.features(rows.where(chosen).dropDuplicates(["url"]), out_of_fold=True).select("features", "label"))
     found.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=5, cacheNodeIds=False).fit(data)
     return found

@@ -62,3 +62,47 @@ def test_query(spark, small):
     found = op8_urls(spark, small).collect()
     assert len(found) == spark.read.parquet(f"{small}/pages.parquet").count()
     assert all(r.rule is None or r.verdict == next(x.verdict for x in RULES if x.name == r.rule) for r in found)
+
+
+def by_hand(url):
+    """Host, path and rule by definition, character by character."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url[url.index("://") + 3 :]
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    rest = rest[cut:]
+    path = rest[: min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+    best = None
+    for verdict, h, p in (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")):
+        labels, own = host.split("."), h.split(".")
+        if labels[-len(own) :] == own and path[: len(p)] == p and (best is None or len(h + p) > len(best[0])):
+            best = h + p, verdict
+    return host, path, best
+
+
+def test_query_against_the_definition(spark):
+    sf = "/root/testdata/sf0.01"
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
+    found = op8_urls(spark, sf).collect()
+    assert sorted(r.page_id for r in found) == sorted(urls)
+    for r in found:
+        host, path, rule = by_hand(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule and rule[0]) and r.verdict in ("allow", "block")
+        assert rule is None or r.verdict == rule[1]
+    assert {r.rule for r in found} >= {"net/", None} and {r.verdict for r in found if r.rule is None} == {"allow", "block"}
+
+
+def test_suffixes_sent_to_all_or_salted(spark, monkeypatch):
+    """Half of all hosts end alike; where statistics are too many to be sent, they are spread over salts, with the same features."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    found = train(pages)
+    rows = labelled(pages, RULES, "url").dropDuplicates(["url"])
+    plan = found.features(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    vectors = lambda: {r.url: r.features.toArray().tolist() for r in found.features(rows).collect()}
+    sent = vectors()
+    monkeypatch.setattr("labelweave.llm.urls.small", lambda saved: saved)
+    assert vectors() == sent and len(sent) > 100
+    level = [c for c in found.totals[0].select("s").collect()]
+    assert all("." not in r.s for r in level)

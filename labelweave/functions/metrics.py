@@ -168,9 +168,9 @@ class Metric:
             return self.psi(tp, fp, fn, tn)
         if isinstance(tp, Column):
             out = None
-            for j, f in self.name.items():
-                value = f(tp, fp, fn, tn)
-                out = F.when(label == j, value) if out is None else out.when(label == j, value)
+            for f in dict.fromkeys(self.name.values()):  # a branch for each metric, whatever the number of labels
+                own, value = label.isin([j for j, g in self.name.items() if g is f]), f(tp, fp, fn, tn)
+                out = F.when(own, value) if out is None else out.when(own, value)
             return out
         c, label = [np.broadcast_to(np.asarray(x, dtype=float), np.shape(label)) for x in (tp, fp, fn, tn)], np.asarray(label)
         out = np.full(label.shape, np.nan)

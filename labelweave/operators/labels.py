@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from labelweave.operators.places import placed
 
 
 def label_counts(y: DataFrame, labels: DataFrame) -> DataFrame:
@@ -49,9 +50,8 @@ def rare_by_weight(weights: DataFrame, percentile: float = 0.5, column: str = "i
 
 def most_frequent(priors: DataFrame, share: float) -> DataFrame:
     """The int(share * m) labels with the largest priors, ties to smaller labels."""
-    m = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc("prior"), "label_id"))
-    return priors.select("label_id", rank.alias("rank"), m.alias("m")).where(F.col("rank") <= F.floor(F.col("m") * share)).select("label_id")
+    most = int(priors.count() * share)
+    return placed(priors.select("label_id", "prior"), F.desc("prior"), F.asc("label_id")).where(F.col("pos") < most).select("label_id")
 
 
 def restrict(y: DataFrame, labels: DataFrame) -> DataFrame:
@@ -63,4 +63,4 @@ def label_map(*columns: DataFrame) -> DataFrame:
     union = columns[0].select("label")
     for c in columns[1:]:
         union = union.unionByName(c.select("label"))
-    return union.distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("label_id"))
+    return placed(union.distinct(), "label").select("label", F.col("pos").cast("int").alias("label_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.metrics import Metric
-from labelweave.shared import Scratch
+from labelweave.operators.places import placed
 
 #: Rows of a label that are decided at once.
 BLOCK = 4096
@@ -28,16 +28,10 @@ def arrival(rows: DataFrame, order: str = "instance_id") -> DataFrame:
 
     Instances are sorted over all partitions and written; only the partitions' sizes are counted on the driver.
     """
-    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     keys = list(dict.fromkeys((order, "instance_id")))
     others = [c for c in rows.columns if c not in keys]
     packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("cells"))
-    saved = scratch.save(packed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id()))
-    part, within = F.shiftright("place", 33).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted((r.part, r["count"]) for r in saved.groupBy(part.alias("part")).count().collect())  # a row for each partition
-    starts = spark.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "part int, before bigint")
-    placed = saved.withColumn("part", part).join(F.broadcast(starts), "part")
-    return placed.select(*keys, (within + F.col("before")).alias("pos"), F.inline("cells"))
+    return placed(packed, *keys).select(*keys, "pos", F.inline("cells"))
 
 
 class Rule:

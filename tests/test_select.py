@@ -71,3 +71,21 @@ def test_plans_have_one_shuffle_of_cells(spark, mixture):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
     with pytest.raises(ValueError):
         frank_wolfe.expected_predictions(eta, found.weights(spark).where("label_id <> 5 or classifier_id > 0"), found.mixture(spark), 2)
+
+
+def test_places_without_a_window(spark):
+    from labelweave.operators.labels import label_map, most_frequent
+    from labelweave.operators.places import placed
+
+    rng = np.random.default_rng(9)
+    rows = [(int(v), i, float(v % 7)) for i, v in enumerate(rng.permutation(500))]
+    df = spark.createDataFrame(rows, "v bigint, i int, prior double").repartition(6)
+    assert {r.v: r.pos for r in placed(df, "v").collect()} == {v: v for v, _, _ in rows}
+    down = placed(df, F.desc("prior"), F.asc("v"), name="at")
+    assert [r.v for r in down.orderBy("at").collect()] == [v for _, v in sorted((-p, v) for v, _, p in rows)]
+    assert "Window" not in down._jdf.queryExecution().optimizedPlan().toString() and placed(df.limit(0), "v").count() == 0
+    top = most_frequent(df.select(F.col("v").cast("int").alias("label_id"), "prior"), 0.1)
+    assert sorted(r.label_id for r in top.collect()) == sorted(v for _, v in sorted((-p, v) for v, _, p in rows)[:50])
+    names = label_map(df.select(F.format_string("n%03d", "v").alias("label")), df.select(F.lit("a").alias("label")))
+    assert names.dtypes == [("label", "string"), ("label_id", "int")]
+    assert {r.label: r.label_id for r in names.collect()} == {"a": 0} | {f"n{v:03d}": v + 1 for v, _, _ in rows}

@@ -32,6 +32,10 @@ from labelweave.llm.components import components
 SEED = 42
 #: Fingerprints of a bucket that are compared at once; larger buckets are compared block against block.
 BLOCK = 2048
+#: Links of buckets that are held at once before they are cut down to a forest.
+MOST_PAIRS = 300_000
+#: Texts of one side that are compared at once where candidates' groups are large, and members of small groups that go together.
+TEXTS = 256
 #: Large buckets are found from one fingerprint in so many; this deals work out and does not change results.
 PROBE = 16
 
@@ -143,7 +147,7 @@ def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.nd
     """
     n, u = len(group), f.astype(np.uint64)
     own, bit, left, right, far = keys >> 38, (keys >> 32 & 63).astype(np.uint64), [], [], []
-    at, shift = np.arange(n), 1
+    at, shift, waiting = np.arange(n), 1, 0
     while True:
         at = at[at + shift < n]
         at = at[group[at] == group[at + shift]]
@@ -162,7 +166,12 @@ def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.nd
                 first &= (own[pair] <= k) | (np.bitwise_count(y) > 1)
                 mine = own[pair] == k
                 first[mine] &= (y[mine] == np.uint64(1) << bit[pair[mine]]) | ((y[mine] == 0) & (bit[pair[mine]] == 0))
-            left.append(pair[first]), right.append(pair[first] + shift), far.append(d[first])
+            left.append(pair[first].astype(np.int32)), right.append((pair[first] + shift).astype(np.int32)), far.append(d[first].astype(np.int16))
+            waiting += len(left[-1])
+            if label is None and waiting > MOST_PAIRS:  # a forest of some links and the others spans what all of them do
+                a, b, d = (np.concatenate(x) for x in (left, right, far))
+                chosen = forest(a, b, d, n)
+                left, right, far, waiting = [a[chosen]], [b[chosen]], [d[chosen]], 0
         shift += 1
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -241,31 +250,46 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(of, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def similar(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, scale: Scale, similarity: float) -> DataFrame:
+def similar(edges: DataFrame, reach: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, scale: Scale, similarity: float, block: int = TEXTS) -> DataFrame:
     """The edges whose texts have at least `similarity`: shared distinct shingles over all distinct shingles of both.
 
-    Each fingerprint stands for the text with the smallest (id, version) that has it; only texts of
-    fingerprints with an edge are read again.
+    reach (f0, ..., reach) tells which fingerprints edges connect. Each fingerprint stands for the text with the
+    smallest (id, version) that has it; only texts of fingerprints with an edge are read again. Small groups are
+    compared several at once; a large one is cut into blocks of about `block` texts, and a task has the edges
+    between two blocks and the texts of these, so a text is copied for each block and not for each edge.
     """
     words = scale.columns
-    ends = edges.select(*[F.col(f"a{k}").alias(c) for k, c in enumerate(words)]).unionByName(edges.select(*[F.col(f"b{k}").alias(c) for k, c in enumerate(words)])).distinct()
-    at = rows.join(small(scratch.save(ends)), words, "left_semi").groupBy(*words).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "version")).alias("at"))
+    sizes = scratch.save(reach.groupBy("reach").agg(F.count("*").alias("n")))
+    together = sizes.where(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0
+    alone = F.col("n") <= block
+    place = scratch.save(reach.join(sizes, "reach").select(*words, F.when(alone, F.pmod(F.xxhash64("reach"), F.lit(together // (2 * block) + 1))).otherwise(F.xxhash64("reach")).alias("g"), F.when(alone, -1).otherwise(F.pmod(F.xxhash64(*words, F.lit(7)), F.ceil(F.col("n") / block))).cast("int").alias("block"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    at = rows.join(small(place.select(*words)), words, "left_semi").groupBy(*words).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "version")).alias("at"))
     at = small(scratch.save(at.select(*words, F.col("at.id").alias("_id"), F.col("at.version").alias("_version"))))
     own = docs.select(F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
     texts = own.join(at, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_version"))).groupBy(*words).agg(F.min("text").alias("text"))
-    side = lambda s: texts.select(*[F.col(c).alias(f"{s}{k}") for k, c in enumerate(words)], F.col("text").alias(f"{s}_text"))
+    others = F.explode(F.when(F.col("block") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = texts.join(small(place), words).select("g", "block", *words, "text", others.alias("other"))
+    texts = texts.select("g", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *words, "text")
+    side = lambda s: small(place).select(*[F.col(c).alias(f"{s}{k}") for k, c in enumerate(words)], F.col("g").alias(f"{s}g"), F.col("block").alias(f"{s}_block"))
     both = edges.join(side("a"), [f"a{k}" for k in range(scale.words)]).join(side("b"), [f"b{k}" for k in range(scale.words)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(*(batch.column(f"{s}_text").cast(pa.binary()) for s in "ab"), strict=True):
-                a, b = (set(shingles(t.as_py() or b"", scale.shingle)) for t in (x, y))
-                keep.append(len(a & b) >= similarity * len(a | b) if a or b else True)
-            yield batch.drop_columns(["a_text", "b_text"]).filter(pa.array(keep, pa.bool_()))
-
-    kept = both.select(*edges.columns, "a_text", "b_text")
-    return kept.mapInArrow(run, ", ".join(f"{c} bigint" for c in edges.columns))
+    both = both.select(F.col("ag").alias("g"), F.least("a_block", "b_block").alias("low"), F.greatest("a_block", "b_block").alias("high"), *edges.columns)
+
+    def run(own: pa.Table, texts: pa.Table) -> pa.Table:
+        if not len(own) or not len(texts):
+            return own.select(edges_columns).slice(0, 0)
+        place = {key: i for i, key in enumerate(zip(*(texts[c].to_pylist() for c in words), strict=True))}
+        digest = xxhash.xxh3_64_intdigest
+        sets = [np.unique(np.array([digest(x) for x in shingles(t.as_py() or b"", scale.shingle)], np.uint64)) for t in texts["text"].cast(pa.binary())]
+        a, b = ([place[key] for key in zip(*(own[f"{s}{k}"].to_pylist() for k in range(len(words))), strict=True)] for s in "ab")
+        keep = []
+        for x, y in zip(a, b, strict=True):
+            low, high = sorted((len(sets[x]), len(sets[y])))
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True)) if low >= similarity * high else 0
+            keep.append(common >= similarity * (low + high - common))
+        return own.select(edges_columns).filter(pa.array(keep, pa.bool_()))
+
+    edges_columns, key = edges.columns, ["g", "low", "high"]
+    return both.groupBy(*key).cogroup(texts.groupBy(*key)).applyInArrow(run, ", ".join(f"{c} bigint" for c in edges.columns))
 
 
 def ordered(edges: DataFrame, scale: Scale) -> DataFrame:
@@ -287,21 +311,23 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     scratch, words = Scratch(spark), scale.columns
     rows = scratch.save(fingerprints(docs, id_col=id_col, text_col=text_col, scale=scale))
     reps = rows.select(*words).distinct()
-    verified = functools.partial(similar, rows=rows, docs=docs, scratch=scratch, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
-    edges = scratch.save(ordered(links(reps, scale, scratch), scale))
-    kept = scratch.save(verified(edges))
     name = lambda s: F.concat(*[F.lpad(F.hex(f"{s}{k}"), 16, "0") for k in range(scale.words)])
     named_edges = lambda df: df.select(name("a").alias("a"), name("b").alias("b"))
+    edges = scratch.save(ordered(links(reps, scale, scratch), scale))
+    reach = components(named_edges(edges), Scratch(spark)).select("node", F.col("component").alias("reach"))
+    reach = scratch.save(reps.withColumn("node", name("f")).join(reach, "node"))
+    verified = functools.partial(similar, rows=rows, docs=docs, scratch=scratch, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
+    kept = scratch.save(verified(edges, reach.select(*words, "reach")))
     found = scratch.save(components(named_edges(kept), Scratch(spark)))
     failed = scratch.save(edges.join(kept, edges.columns, "left_anti"))
     if not failed.isEmpty():
-        reach = components(named_edges(edges), Scratch(spark)).select("node", F.col("component").alias("reach"))
-        touched = named_edges(failed).join(reach, F.col("a") == F.col("node")).select("reach").distinct()
-        again = reps.withColumn("node", name("f")).join(reach, "node").join(touched, "reach", "left_semi").join(found, "node", "left")
-        again = scratch.save(again.select(*words, F.coalesce("component", "node").alias("label")))
-        others = ordered(links(again, scale, scratch, label="label"), scale).join(failed, edges.columns, "left_anti")
-        more = verified(scratch.save(others))
-        found = scratch.save(components(named_edges(kept.unionByName(more)), Scratch(spark)))
+        touched = small(scratch.save(failed.select(*[F.col(f"a{k}").alias(c) for k, c in enumerate(words)]).join(reach, words).select("reach").distinct()))
+        again = reach.join(touched, "reach", "left_semi").join(found, "node", "left")
+        again = scratch.save(again.select(*words, F.coalesce("component", "node").alias("label"), "reach"))
+        others = scratch.save(ordered(links(again.drop("reach"), scale, scratch, label="label"), scale).join(failed, edges.columns, "left_anti"))
+        more = scratch.save(verified(others, again.select(*words, "reach")))
+        if not more.isEmpty():
+            found = scratch.save(components(named_edges(kept.unionByName(more)), Scratch(spark)))
     named = rows.withColumn("node", name("f")).join(found, "node", "left").select("id", "version", F.coalesce("component", "node").alias("component"))
     named = scratch.save(named.groupBy("id", "version", "component").agg(F.count("*").alias("n")))
     # of a group's rows the first by id and version; min() is summed up before the shuffle, so a large group is no burden

@@ -238,14 +238,15 @@ def extend(found: RandomizedClassifier, y_true: DataFrame, eta: DataFrame, insta
     return out
 
 
-def systematic_sample(cells: DataFrame, k: int, seed: int = 0, start: Column | None = None) -> DataFrame:
+def systematic_sample(cells: DataFrame, k: int, seed: int = 0, start: Column | None = None, order: Column | None = None) -> DataFrame:
     """(instance_id, label_id, value): k labels of each instance, each with its probability `value`, drawn by one uniform start.
 
     The probabilities of an instance sum to k. They are laid end to end in the order of a hash, and a label is
-    taken if its stretch holds start, start + 1, ... (start in [0, 1) for each instance).
+    taken if its stretch holds start, start + 1, ... (start in [0, 1) for each instance). `order` is a column that takes
+    the hash's place; ties go to smaller labels.
     """
     u = (F.pmod(F.xxhash64("instance_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)) if start is None else start
-    order = Window.partitionBy("instance_id").orderBy(F.xxhash64("instance_id", "label_id", F.lit(seed + 1)), "label_id")
+    order = Window.partitionBy("instance_id").orderBy(F.xxhash64("instance_id", "label_id", F.lit(seed + 1)) if order is None else order, "label_id")
     laid = cells.withColumn("_end", F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_u", u)
     ends = laid.withColumn("_before", F.coalesce(F.lag("_end").over(order), F.lit(0.0)))
     return ends.where(F.ceil(F.round(F.col("_end") - F.col("_u"), 12)) > F.ceil(F.round(F.col("_before") - F.col("_u"), 12))).select("instance_id", "label_id", F.lit(1.0).alias("value"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelweave.functions.metrics import averaged, recall
+from labelweave.operators.confusion import confusion
 from labelweave.operators.places import placed
+from labelweave.operators.select import top_k
 
 
 def label_counts(y: DataFrame, labels: DataFrame) -> DataFrame:
@@ -58,6 +62,18 @@ def restrict(y: DataFrame, labels: DataFrame) -> DataFrame:
     return y.join(labels.select("label_id"), "label_id", "left_semi")
 
 
+def tail_metric(y_true: DataFrame, y_pred: DataFrame, instances: DataFrame, labels: DataFrame, weights: DataFrame, psi: Callable, *, percentile: float = 0.5, column: str = "inverse_propensity", **options) -> DataFrame:
+    """One row with `value`: the mean over instances of a binary metric on each one's counts, where only labels with a weight of
+    at least the percentile of all weights count as true; predictions are as they are."""
+    tail = restrict(y_true, rare_by_weight(weights, percentile, column))
+    return averaged(confusion(tail, y_pred, instances, labels, by="instance_id"), psi, **options)
+
+
+def tail_recall_at_k(y_true: DataFrame, eta: DataFrame, instances: DataFrame, labels: DataFrame, weights: DataFrame, k: int, *, percentile: float = 0.5) -> DataFrame:
+    """One row with `value`: mean recall of the tail's labels by each instance's k largest scores."""
+    return tail_metric(y_true, top_k(eta, k), instances, labels, weights, recall, percentile=percentile)
+
+
 def label_map(*columns: DataFrame) -> DataFrame:
     """(label, label_id): distinct strings of all tables in order, numbered from 0."""
     union = columns[0].select("label")

@@ -200,6 +200,10 @@ query("tail_recall", _TAIL.format(mask=_BY_PRIOR) + f"SELECT round(avg(tp / (tp
 query("tail_abandonment", _TAIL.format(mask=_BY_PRIOR) + "SELECT round(avg(CASE WHEN tp > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS value FROM tail")(lambda b: rounded(M.hits(_tail_conf(b, labels.rare_by_prior(b.priors)))))
 query("tail_recall_by_weight", _TAIL.format(mask=_BY_WEIGHT) + f"SELECT round(avg(tp / (tp + fn + {EPS})), 9) AS value FROM tail")(lambda b: rounded(M.averaged(_tail_conf(b, labels.rare_by_weight(labels.inverse_propensities(b.y_true, b.labels, b.instances))), M.recall)))
 
+query("tail_recall_at_2", ", tail AS (SELECT c.instance_id, CAST(sum(CASE WHEN rk <= 2 THEN c.y ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN rk > 2 THEN c.y ELSE 0 END) AS DOUBLE) AS fn FROM ranked c WHERE c.label_id IN (SELECT label_id FROM " + _BY_WEIGHT + f") GROUP BY c.instance_id) SELECT round(avg(tp / (tp + fn + {EPS})), 9) AS value FROM tail")(
+    lambda b: rounded(labels.tail_recall_at_k(b.y_true, b.eta, b.instances, b.labels, labels.inverse_propensities(b.y_true, b.labels, b.instances), 2))
+)
+
 # choosing labels
 PICK = "SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY {gain} DESC, label_id) AS r FROM {source}) WHERE r <= 3"
 _AB = "CAST(0.5 AS DOUBLE) + CAST((label_id * 37) % 25 AS DOUBLE) / 25", "CAST((label_id * 11) % 25 AS DOUBLE) / 50"
@@ -223,7 +227,7 @@ query("ps_precision", PICK.format(gain="(w * eta)", source="(SELECT * FROM grid
 query("instance_precision_opt", PICK.format(gain="eta", source="grid"))(lambda b: select.for_instance_precision(b.eta, K))
 query("sparse_topk_short_rows", PICK.format(gain="eta", source="(SELECT * FROM grid WHERE eta >= CAST(0.62 AS DOUBLE))"))(lambda b: select.top_k(b.eta.where(F.col("eta") >= 0.62), K))
 query("random_at_k", PICK.format(gain="((instance_id * 7919 + label_id * 15485863) % 10007)", source="grid"))(lambda b: select.random_at_k(b.eta, K, draw=(F.col("instance_id") * 7919 + F.col("label_id").cast("bigint") * 15485863) % 10007))
-query("at_k_check", "SELECT true AS binary, bool_and(s = 3) AS at_k FROM (SELECT instance_id, sum(p) AS s FROM cells GROUP BY instance_id)")(lambda b: select.exactly_k(b.pred, b.instances, K))
+query("at_k_check", "SELECT bool_and(b) AS binary, bool_and(s = 3) AS at_k FROM (SELECT instance_id, sum(p) AS s, bool_and(p IN (0, 1)) AS b FROM cells GROUP BY instance_id)")(lambda b: select.exactly_k(b.pred, b.instances, K))
 query("prune_topk_threshold", "SELECT instance_id, label_id, round(eta, 9) AS eta FROM ranked WHERE eta >= CAST(0.6 AS DOUBLE) OR rk <= 2")(lambda b: rounded(select.prune(b.eta, 0.6, 2)))
 query("top_label_restrict", "SELECT instance_id, label_id FROM y_true WHERE label_id IN (SELECT label_id FROM priors ORDER BY prior DESC, label_id LIMIT 10)")(lambda b: labels.restrict(b.y_true, labels.most_frequent(b.priors, 0.4)).select("instance_id", "label_id"))
 query("sampled_labels", "SELECT instance_id, label_id FROM grid WHERE eta >= CAST((instance_id * 31 + label_id * 977) % 1009 AS DOUBLE) / 1009")(lambda b: select.sampled(b.eta, draw=((F.col("instance_id") * 31 + F.col("label_id") * 977) % 1009).cast("double") / 1009))
@@ -453,6 +457,12 @@ query("eliminate_zeros", "SELECT instance_id, label_id, CAST(y AS DOUBLE) AS val
 query("ones_like", "SELECT instance_id, label_id, CAST(1 AS DOUBLE) AS value FROM y_true")(lambda b: confusion.constant(b.y_true, 1))
 query("aligned_labels", "SELECT label_id FROM (SELECT label_id FROM labels UNION SELECT label_id + 20 FROM labels)")(lambda b: confusion.aligned(b.labels, b.labels.select((F.col("label_id") + 20).alias("label_id"))))
 query("feature_hstack", "SELECT instance_id, CAST(label_id AS INT) AS label_id, CAST(1 AS DOUBLE) AS value FROM y_true UNION ALL SELECT instance_id, CAST(label_id + 100 AS INT), CAST(1 AS DOUBLE) FROM (SELECT * FROM ranked WHERE rk <= 3)")(lambda b: confusion.beside(b.y_true.select("instance_id", "label_id", "value"), b.pred, 100))
+query("systematic_sample", """, shares AS (SELECT instance_id, label_id, 3 * eta / sum(eta) OVER (PARTITION BY instance_id) AS v, CAST((instance_id * 7919) % 10007 AS DOUBLE) / 10007 AS u, (instance_id * 31 + label_id * 977) % 1009 AS o FROM grid),
+laid AS (SELECT *, sum(v) OVER (PARTITION BY instance_id ORDER BY o, label_id ROWS UNBOUNDED PRECEDING) AS stop FROM shares),
+ends AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY instance_id ORDER BY o, label_id), 0) AS start FROM laid)
+SELECT label_id, count(*) AS n, CAST(sum(instance_id) AS BIGINT) AS ids FROM ends WHERE ceil(round(stop - u, 12)) > ceil(round(start - u, 12)) GROUP BY label_id""")(
+    lambda b: frank_wolfe.systematic_sample(b.eta.withColumn("all", F.sum("eta").over(Window.partitionBy("instance_id"))).select("instance_id", "label_id", (K * F.col("eta") / F.col("all")).alias("value")), K, start=(F.col("instance_id") * 7919 % 10007).cast("double") / 10007, order=(F.col("instance_id") * 31 + F.col("label_id") * 977) % 1009).groupBy("label_id").agg(F.count("*").alias("n"), F.sum("instance_id").alias("ids"))
+)
 query("systematic_sample_sizes", "SELECT instance_id, CAST(3 AS BIGINT) AS n FROM instances")(lambda b: frank_wolfe.systematic_sample(b.eta.withColumn("all", F.sum("eta").over(Window.partitionBy("instance_id"))).select("instance_id", "label_id", (K * F.col("eta") / F.col("all")).alias("value")), K).groupBy("instance_id").agg(F.count("*").alias("n")))
 _T = "(tp / n)", "greatest((tp + fp) / n, CAST(1e-9 AS DOUBLE))", "greatest((tp + fn) / n, CAST(1e-9 AS DOUBLE))"
 for _name, _sql in {"precision": f"{_T[0]} / {_T[1]}", "recall": f"{_T[0]} / {_T[2]}", "fbeta": f"2 * {_T[0]} / ({_T[1]} + {_T[2]})", "abandonment": "CASE WHEN tp > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END", "balanced_accuracy": f"({_T[0]} / {_T[2]} + (1 - {_T[1]} - {_T[2]} + {_T[0]}) / greatest(1 - {_T[2]}, CAST(1e-9 AS DOUBLE))) / 2"}.items():

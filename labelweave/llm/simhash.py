@@ -11,12 +11,11 @@ which no link is missed. WIDE has 128 bits in eight segments of 16 and links up
 is what texts with a similarity of 0.8 have; there a candidate is found with a probability (over 0.9 at a
 similarity of 0.8, 0.97 at 0.85, 1 at 1) and links are verified by the shingles themselves. A link of a
 forest that fails does not stand for the links that it left out: where one fails, all pairs between the
-groups that the verified links have made are looked at.
+groups that the verified links have made are looked at, in blocks and where the texts lie.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,12 +137,11 @@ def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.ndarray, scale: Scale, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of links that span all links within runs of equal `group`; f: fingerprints, a row for each.
 
     A pair counts only in the first bucket that it shares, and between sides only if they differ (side 0
-    and 1 are two blocks of a large bucket, 2 a whole one). With labels, all links between different labels
-    come out and none within one.
+    and 1 are two blocks of a large bucket, 2 a whole one).
     """
     n, u = len(group), f.astype(np.uint64)
     own, bit, left, right, far = keys >> 38, (keys >> 32 & 63).astype(np.uint64), [], [], []
@@ -154,8 +152,6 @@ def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.nd
         if not len(at):
             break
         pair = at[(side[at] == 2) | (side[at] != side[at + shift])]
-        if label is not None:
-            pair = pair[label[pair] != label[pair + shift]]
         x = u[pair] ^ u[pair + shift]
         d = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
         pair, x, d = pair[d <= scale.distance], x[d <= scale.distance], d[d <= scale.distance]
@@ -168,7 +164,7 @@ def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.nd
                 first[mine] &= (y[mine] == np.uint64(1) << bit[pair[mine]]) | ((y[mine] == 0) & (bit[pair[mine]] == 0))
             left.append(pair[first].astype(np.int32)), right.append((pair[first] + shift).astype(np.int32)), far.append(d[first].astype(np.int16))
             waiting += len(left[-1])
-            if label is None and waiting > MOST_PAIRS:  # a forest of some links and the others spans what all of them do
+            if waiting > MOST_PAIRS:  # a forest of some links and the others spans what all of them do
                 a, b, d = (np.concatenate(x) for x in (left, right, far))
                 chosen = forest(a, b, d, n)
                 left, right, far, waiting = [a[chosen]], [b[chosen]], [d[chosen]], 0
@@ -176,29 +172,27 @@ def bucket_links(group: np.ndarray, keys: np.ndarray, f: np.ndarray, side: np.nd
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
-    if label is not None:
-        return a, b
     chosen = forest(a, b, np.concatenate(far), n)
     return a[chosen], b[chosen]
 
 
-def links(reps: DataFrame, scale: Scale, scratch: Scratch, *, block: int = BLOCK, label: str | None = None) -> DataFrame:
+def links(reps: DataFrame, scale: Scale, scratch: Scratch, *, block: int = BLOCK) -> DataFrame:
     """Edges (a0, ..., b0, ...) between distinct fingerprints (f0, ...), enough to connect what the distance links.
 
-    With a column `label`, all edges between fingerprints of different labels. Buckets of more than about `block` fingerprints are dealt out as pairs of blocks, so no task compares
+    Buckets of more than about `block` fingerprints are dealt out as pairs of blocks, so no task compares
     more than two blocks at once.
     """
-    words, f, more = scale.columns, F.xxhash64(*scale.columns), [label] if label else []
-    keyed = lambda df: df.select(F.explode(variants(scale)).alias("key"), *words, *more)
+    words, f = scale.columns, F.xxhash64(*scale.columns)
+    keyed = lambda df: df.select(F.explode(variants(scale)).alias("key"), *words)
     probe = keyed(reps.where(F.pmod(F.xxhash64(*words, F.lit(1)), F.lit(PROBE)) == 0)).groupBy("key").count()
     large = probe.where(F.col("count") * PROBE > block).select("key", F.ceil(F.col("count") * PROBE / block).cast("int").alias("blocks"))
     large = small(scratch.save(large))
     own = F.pmod(f, F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = keyed(reps).join(large, "key", "left").select("key", *words, *more, F.coalesce(own, F.lit(-1)).alias("own"), other.alias("other"))
+    dealt = keyed(reps).join(large, "key", "left").select("key", *words, F.coalesce(own, F.lit(-1)).alias("own"), other.alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     low, high = F.least("own", "other").cast("bigint") + 1, F.greatest("own", "other").cast("bigint") + 1
-    dealt = dealt.select("key", (F.shiftleft(low, 32) + F.shiftleft(high, 2) + side).alias("deal"), *words, *more)
+    dealt = dealt.select("key", (F.shiftleft(low, 32) + F.shiftleft(high, 2) + side).alias("deal"), *words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -223,8 +217,7 @@ def links(reps: DataFrame, scale: Scale, scratch: Scratch, *, block: int = BLOCK
         t, group = t.filter(pa.array(several)), group[several]
         if len(t):
             f = np.stack([t[c].to_numpy() for c in words], axis=1)
-            of = t[label].combine_chunks().dictionary_encode().indices.to_numpy() if label else None
-            a, b = bucket_links(group, t["key"].to_numpy(), f, t["deal"].to_numpy() & 3, scale, of)
+            a, b = bucket_links(group, t["key"].to_numpy(), f, t["deal"].to_numpy() & 3, scale)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(f[x, k])) for x in (a, b) for k in range(scale.words)], names=[f"{s}{k}" for s in "ab" for k in range(scale.words)])
 
     pair = F.shiftright("deal", 2)
@@ -250,46 +243,110 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(of, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def similar(edges: DataFrame, reach: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, scale: Scale, similarity: float, block: int = TEXTS) -> DataFrame:
-    """The edges whose texts have at least `similarity`: shared distinct shingles over all distinct shingles of both.
+def in_blocks(reach: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, scale: Scale, block: int = TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(place, texts) of the fingerprints of reach (f0, ..., reach and others), which tells what edges connect.
 
-    reach (f0, ..., reach) tells which fingerprints edges connect. Each fingerprint stands for the text with the
-    smallest (id, version) that has it; only texts of fingerprints with an edge are read again. Small groups are
-    compared several at once; a large one is cut into blocks of about `block` texts, and a task has the edges
-    between two blocks and the texts of these, so a text is copied for each block and not for each edge.
+    place adds g and block to reach: small groups go together under one g in block -1, a large one has its own g and
+    blocks of about `block` fingerprints. texts has a row (g, low, high, f0, ..., text) for each fingerprint in each
+    pair of blocks that holds its own, so a text is copied once for each block of its group. Each fingerprint stands
+    for the text with the smallest (id, version) that has it; other texts are not shuffled.
     """
     words = scale.columns
     sizes = scratch.save(reach.groupBy("reach").agg(F.count("*").alias("n")))
     together = sizes.where(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0
     alone = F.col("n") <= block
-    place = scratch.save(reach.join(sizes, "reach").select(*words, F.when(alone, F.pmod(F.xxhash64("reach"), F.lit(together // (2 * block) + 1))).otherwise(F.xxhash64("reach")).alias("g"), F.when(alone, -1).otherwise(F.pmod(F.xxhash64(*words, F.lit(7)), F.ceil(F.col("n") / block))).cast("int").alias("block"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    g = F.when(alone, F.pmod(F.xxhash64("reach"), F.lit(together // (2 * block) + 1))).otherwise(F.xxhash64("reach"))
+    cut = F.when(alone, -1).otherwise(F.pmod(F.xxhash64(*words, F.lit(7)), F.ceil(F.col("n") / block))).cast("int")
+    place = scratch.save(reach.join(sizes, "reach").select(*reach.columns, g.alias("g"), cut.alias("block"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     at = rows.join(small(place.select(*words)), words, "left_semi").groupBy(*words).agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "version")).alias("at"))
     at = small(scratch.save(at.select(*words, F.col("at.id").alias("_id"), F.col("at.version").alias("_version"))))
     own = docs.select(F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
     texts = own.join(at, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_version"))).groupBy(*words).agg(F.min("text").alias("text"))
     others = F.explode(F.when(F.col("block") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.join(small(place), words).select("g", "block", *words, "text", others.alias("other"))
-    texts = texts.select("g", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *words, "text")
+    texts = texts.join(small(place), words).select("*", others.alias("other"))
+    return place, texts.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def shingle_sets(texts: pa.ChunkedArray, scale: Scale) -> list[np.ndarray]:
+    digest = xxhash.xxh3_64_intdigest
+    return [np.unique(np.array([digest(x) for x in shingles(t.as_py() or b"", scale.shingle)], np.uint64)) for t in texts.cast(pa.binary())]
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets share at least `similarity` of what either has; empty sets are alike."""
+    low, high = sorted((len(a), len(b)))
+    common = len(np.intersect1d(a, b, assume_unique=True)) if low >= similarity * high else 0
+    return common >= similarity * (low + high - common)
+
+
+def similar(edges: DataFrame, reach: DataFrame, *, rows: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, scale: Scale, similarity: float) -> DataFrame:
+    """The edges whose texts have at least `similarity`: shared distinct shingles over all distinct shingles of both.
+
+    reach (f0, ..., reach) tells which fingerprints the edges connect. A task has the edges between two blocks of a
+    group, or those of several small groups, and the texts of these.
+    """
+    words = scale.columns
+    place, texts = in_blocks(reach, rows, docs, scratch, id_col=id_col, text_col=text_col, scale=scale)
     side = lambda s: small(place).select(*[F.col(c).alias(f"{s}{k}") for k, c in enumerate(words)], F.col("g").alias(f"{s}g"), F.col("block").alias(f"{s}_block"))
     both = edges.join(side("a"), [f"a{k}" for k in range(scale.words)]).join(side("b"), [f"b{k}" for k in range(scale.words)])
     both = both.select(F.col("ag").alias("g"), F.least("a_block", "b_block").alias("low"), F.greatest("a_block", "b_block").alias("high"), *edges.columns)
 
     def run(own: pa.Table, texts: pa.Table) -> pa.Table:
         if not len(own) or not len(texts):
-            return own.select(edges_columns).slice(0, 0)
+            return own.select(columns).slice(0, 0)
         place = {key: i for i, key in enumerate(zip(*(texts[c].to_pylist() for c in words), strict=True))}
-        digest = xxhash.xxh3_64_intdigest
-        sets = [np.unique(np.array([digest(x) for x in shingles(t.as_py() or b"", scale.shingle)], np.uint64)) for t in texts["text"].cast(pa.binary())]
+        sets = shingle_sets(texts["text"], scale)
         a, b = ([place[key] for key in zip(*(own[f"{s}{k}"].to_pylist() for k in range(len(words))), strict=True)] for s in "ab")
-        keep = []
-        for x, y in zip(a, b, strict=True):
-            low, high = sorted((len(sets[x]), len(sets[y])))
-            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True)) if low >= similarity * high else 0
-            keep.append(common >= similarity * (low + high - common))
-        return own.select(edges_columns).filter(pa.array(keep, pa.bool_()))
+        return own.select(columns).filter(pa.array([alike(sets[x], sets[y], similarity) for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    columns, key = edges.columns, ["g", "low", "high"]
+    return both.groupBy(*key).cogroup(texts.select(*key, *words, "text").groupBy(*key)).applyInArrow(run, ", ".join(f"{c} bigint" for c in columns))
 
-    edges_columns, key = edges.columns, ["g", "low", "high"]
-    return both.groupBy(*key).cogroup(texts.groupBy(*key)).applyInArrow(run, ", ".join(f"{c} bigint" for c in edges.columns))
+
+def similar_between(labelled: DataFrame, *, rows: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, scale: Scale, similarity: float) -> DataFrame:
+    """Edges (a0, ..., b0, ...) that connect different labels of labelled (f0, ..., reach, label) within a reach, as far as texts of at least `similarity` do.
+
+    All pairs within the scale's distance are looked at where their texts lie, two blocks of a group at a time, nearest
+    first; a pair that those before have connected is left out, and only what connects comes out, so that a group of n
+    gives n edges for each pair of blocks at most, and not n * n.
+    """
+    words = scale.columns
+    _, texts = in_blocks(labelled, rows, docs, scratch, id_col=id_col, text_col=text_col, scale=scale)
+
+    def run(t: pa.Table) -> pa.Table:
+        f = np.stack([t[c].to_numpy() for c in words], axis=1).astype(np.uint64)
+        group, label = (t[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("reach", "label"))
+        block, sets, root, out = t["block"].to_numpy(), shingle_sets(t["text"], scale), list(range(len(t))), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        first, second, far, two_blocks = [], [], [], block.min() != block.max()
+        for i in range(len(t) - 1):
+            rest = np.arange(i + 1, len(t))
+            rest = rest[(group[rest] == group[i]) & (label[rest] != label[i])]
+            if two_blocks:
+                rest = rest[block[rest] != block[i]]
+            d = np.bitwise_count(f[rest] ^ f[i]).sum(axis=1, dtype=np.int64)
+            rest, d = rest[d <= scale.distance], d[d <= scale.distance]
+            first.append(np.full(len(rest), i)), second.append(rest), far.append(d)
+        if first and len(far := np.concatenate(far)):
+            first, second = np.concatenate(first), np.concatenate(second)
+            for k in np.argsort(far, kind="stable").tolist():
+                i, j = int(first[k]), int(second[k])
+                x, y = find(int(label[i])), find(int(label[j]))
+                if x != y and alike(sets[i], sets[j], similarity):
+                    root[max(x, y)] = min(x, y)
+                    out.append((i, j))
+        a, b = np.array([x for x, _ in out], np.int64), np.array([y for _, y in out], np.int64)
+        signed = f.astype(np.int64)
+        return pa.table([pa.array(np.ascontiguousarray(signed[x, k])) for x in (a, b) for k in range(scale.words)], names=columns)
+
+    columns = [f"{s}{k}" for s in "ab" for k in range(scale.words)]
+    return texts.groupBy("g", "low", "high").applyInArrow(run, ", ".join(f"{c} bigint" for c in columns))
 
 
 def ordered(edges: DataFrame, scale: Scale) -> DataFrame:
@@ -316,16 +373,15 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     edges = scratch.save(ordered(links(reps, scale, scratch), scale))
     reach = components(named_edges(edges), Scratch(spark)).select("node", F.col("component").alias("reach"))
     reach = scratch.save(reps.withColumn("node", name("f")).join(reach, "node"))
-    verified = functools.partial(similar, rows=rows, docs=docs, scratch=scratch, id_col=id_col, text_col=text_col, scale=scale, similarity=similarity)
-    kept = scratch.save(verified(edges, reach.select(*words, "reach")))
+    options = {"rows": rows, "docs": docs, "scratch": scratch, "id_col": id_col, "text_col": text_col, "scale": scale, "similarity": similarity}
+    kept = scratch.save(similar(edges, reach.select(*words, "reach"), **options))
     found = scratch.save(components(named_edges(kept), Scratch(spark)))
     failed = scratch.save(edges.join(kept, edges.columns, "left_anti"))
     if not failed.isEmpty():
         touched = small(scratch.save(failed.select(*[F.col(f"a{k}").alias(c) for k, c in enumerate(words)]).join(reach, words).select("reach").distinct()))
         again = reach.join(touched, "reach", "left_semi").join(found, "node", "left")
-        again = scratch.save(again.select(*words, F.coalesce("component", "node").alias("label"), "reach"))
-        others = scratch.save(ordered(links(again.drop("reach"), scale, scratch, label="label"), scale).join(failed, edges.columns, "left_anti"))
-        more = scratch.save(verified(others, again.select(*words, "reach")))
+        again = scratch.save(again.select(*words, "reach", F.coalesce("component", "node").alias("label")))
+        more = scratch.save(similar_between(again, **options))
         if not more.isEmpty():
             found = scratch.save(components(named_edges(kept.unionByName(more)), Scratch(spark)))
     named = rows.withColumn("node", name("f")).join(found, "node", "left").select("id", "version", F.coalesce("component", "node").alias("component"))

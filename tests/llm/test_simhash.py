@@ -215,6 +215,6 @@ def test_a_link_that_fails_does_not_hide_another(spark, monkeypatch, block):
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     made = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version")).join(signed, "id")
     monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: made)
-    plain_links = simhash.links
-    monkeypatch.setattr(simhash, "links", lambda *a, **k: plain_links(*a, **k | {"block": block}))
+    plain_blocks = simhash.in_blocks
+    monkeypatch.setattr(simhash, "in_blocks", lambda *a, **k: plain_blocks(*a, **k | {"block": block}))
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [1, 2]

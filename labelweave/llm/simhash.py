@@ -32,7 +32,7 @@ SEED = 42
 #: Fingerprints of a bucket that are compared at once; larger buckets are compared block against block.
 BLOCK = 2048
 #: Links of buckets that are held at once before they are cut down to a forest.
-MOST_PAIRS = 300_000
+MOST_PAIRS = 2_000_000
 #: Texts of one side that are compared at once where candidates' groups are large, and members of small groups that go together.
 TEXTS = 256
 #: Large buckets are found from one fingerprint in so many; this deals work out and does not change results.

@@ -9,7 +9,7 @@ blocks that chase the same labels overshoot.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.metrics import Metric
+from labelweave.operators.batches import as_lists, first, largest, lists, totals
 from labelweave.operators.confusion import ENTRIES
-from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
+from labelweave.operators.packed import cells_in_rows, label_ids, packed
 from labelweave.operators.select import best, predict, random_at_k
 from labelweave.shared import Scratch
 
@@ -66,24 +67,73 @@ def dealt(seed: int, slices: int) -> Callable[[int], Column]:
     return lambda sweep: F.pmod(F.xxhash64("instance_id", F.lit(seed), F.lit(sweep)), F.lit(slices)).cast("int")
 
 
-def _sweeps(eta: DataFrame, names: np.ndarray, k: int, sums: tuple, gains: Callable, known: Callable, utility: Callable, *, slices: int, max_iters: int, tolerance: float, init: str | DataFrame, seed: int, maximize: bool, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
+def start_rows(eta: DataFrame, names: np.ndarray, k: int, init: str | DataFrame = "top", seed: int = 0) -> DataFrame:
+    """(instance_id, at, eta, c): packed rows as lists, with each label's place in names and the first prediction."""
+    kind = f"instance_id {eta.schema['instance_id'].dataType.simpleString()}, at array<int>, eta array<double>, c array<boolean>"
+    first_of = {"top": lambda e, size, more: largest(e if k > 0 else e - 0.5, size, k), "greedy": lambda e, size, more: np.zeros(len(e), bool), "random": lambda e, size, more: first(~more, size, max(1, k)), "given": lambda e, size, more: more > 0}
+    if isinstance(init, DataFrame):
+        own = eta.select("instance_id", F.inline("cells")) if "cells" in eta.columns else eta
+        rows, init, more = packed(own, names, c=init), "given", F.transform("cells", lambda x: x["c"])
+    else:
+        if init not in first_of:
+            raise ValueError("init has to be top, random, greedy or a table")
+        rows, more = cells_in_rows(eta), F.transform("cells", lambda x: F.xxhash64("instance_id", x["label_id"], F.lit(seed)) if init == "random" else F.lit(0).cast("bigint"))
+    rows = rows.select("instance_id", F.transform("cells", lambda x: x["label_id"]).alias("label"), F.transform("cells", lambda x: x["eta"].cast("double")).alias("eta"), *([more.alias("more")] if init in ("random", "given") else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, label, e, *more = lists(batch, *batch.schema.names[1:])
+            more, at = more[0] if more else e, np.searchsorted(names, label)
+            known = names[np.minimum(at, len(names) - 1)] == label if len(names) else np.zeros(len(at), bool)
+            if not known.all():
+                size = np.bincount(np.repeat(np.arange(len(size)), size)[known], minlength=len(size))
+                at, e, more = at[known], e[known], more[known]
+                batch, size = batch.filter(pa.array(size > 0)), size[size > 0]
+            c = first_of[init](e, size, more)
+            yield pa.RecordBatch.from_arrays([batch.column("instance_id"), as_lists(size, at.astype(np.int32)), as_lists(size, e), as_lists(size, c)], names=["instance_id", "at", "eta", "c"])
+
+    return rows.mapInArrow(run, kind)
+
+
+def picked(rows: DataFrame, names: np.ndarray) -> DataFrame:
+    """(instance_id, label_id, value): the chosen cells of rows (instance_id, at, eta, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, at, c = lists(batch, "at", "c")
+            own = np.repeat(np.arange(len(size)), size)[c]
+            yield pa.RecordBatch.from_arrays([batch.column("instance_id").take(pa.array(own)), pa.array(names[at[c]].astype(np.int32)), pa.array(np.ones(len(own)))], names=["instance_id", "label_id", "value"])
+
+    return rows.select("instance_id", "at", "c").mapInArrow(run, f"instance_id {rows.schema['instance_id'].dataType.simpleString()}, label_id int, value double")
+
+
+def _chooser(gains: Callable, k: int, sign: int, inside: float, n: int, known: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One step over rows (instance_id, at, eta, c): each row's labels anew, at sums by label `known`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, at, e, c = lists(batch, "at", "eta", "c")
+            fresh = largest(sign * gains(at, e, c * inside, inside, n, known), size, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], as_lists(size, fresh)], names=["instance_id", "at", "eta", "c"])
+
+    return run
+
+
+def _sweeps(scratch: Scratch, start: DataFrame, names: np.ndarray, k: int, count: int, sums: Callable, gains: Callable, utility: Callable, *, slices: int, max_iters: int, tolerance: float, seen: bool, deal: Callable[[int], Column], maximize: bool) -> tuple[DataFrame, list[float]]:
     """(y_pred, utilities): sweeps over slices, dealt anew in each, until the utility improves by less than tolerance.
 
-    `sums` are expressions of exploded cells whose totals by label are the state, so no total drifts; `known`
-    turns a state into arrays by label, `gains` reads them, `utility` values a state. A step is one pass over
-    its slice: the rows are written with their new labels, in folders for the slices of the next sweep, and
-    their sums are kept apart for these, so that the next sweep takes the slices as they lie and knows what
-    each holds. A sweep's input is deleted when the sweep is done.
+    `start` are written rows with the part of the first sweep. `sums` gives `count` values of each cell whose totals
+    by label are the state, so no total drifts; `gains` reads the state, `utility` values it. A step is one pass over
+    its slice, in which batches of rows are arrays: the rows are written with their new labels, in folders for the
+    slices of the next sweep, and their sums are kept apart for these, so that the next sweep takes the slices as they
+    lie and knows what each holds. A sweep's input is deleted when the sweep is done.
     """
-    m, scratch, deal = len(names), Scratch(eta.sparkSession), deal or dealt(seed, slices)
-    flat = lambda df, *by: df.select(*by, F.inline("cells"))
-    nothing = lambda: {s: np.zeros((len(sums), m)) for s in range(slices)}
-    first = scratch.save(packed(eta, names, c=initial(eta, k, init, seed)).withColumn("part", deal(0)), by=("part",))
-    tables = [first]
-    state = nothing() | label_sums(flat(first, "part"), m, *sums, by="part")
-    rows = {s: 0 for s in range(slices)} | {r.part: r["count"] for r in first.groupBy("part").count().collect()}
-    everyone, seen = sum(rows.values()), not (isinstance(init, str) and init == "greedy")
-    utilities, sign = [], 1 if maximize else -1
+    m = len(names)
+    nothing = lambda: {s: np.zeros((count, m)) for s in range(slices)}
+    measured = lambda df: totals(df.select("part", "at", "eta", "c"), m, count, lambda batch: (lambda size, at, e, c: (at, *sums(e, c)))(*lists(batch, "at", "eta", "c")), by="part")
+    tables, found = [start], measured(start)
+    state, rows = nothing() | {s: c for s, (_, c) in found.items()}, {s: 0 for s in range(slices)} | {s: n for s, (n, _) in found.items()}
+    everyone, utilities, sign = sum(rows.values()), [], 1 if maximize else -1
     if seen:
         utilities.append(utility(sum(state.values()), max(1, everyone)))
     for sweep in range(max_iters):
@@ -93,16 +143,11 @@ def _sweeps(eta: DataFrame, names: np.ndarray, k: int, sums: tuple, gains: Calla
                 continue
             now = functools.reduce(DataFrame.unionByName, [t.where(F.col("part") == s).drop("part") for t in tables])
             c = sum(fresh_state.values()) + (sum(state[q] for q in range(s, slices)) if seen else 0)
-            n = everyone if seen else done + rows[s]
-            step = with_labels(now, **known(c))
-            picked = F.transform(chosen(lambda x: sign * gains(x, float(seen), n), k), lambda x: x["at"])  # noqa: B023
-            fresh = step.select("instance_id", "cells", picked.alias("picked")).select("instance_id", F.transform("cells", lambda x: x.withField("c", F.array_contains("picked", x["at"]).cast("double"))).alias("cells"))
+            fresh = now.mapInArrow(_chooser(gains, k, sign, float(seen), everyone if seen else done + rows[s], c), now.schema)
             written = scratch.save(fresh.withColumn("part", deal(sweep + 1)), by=("part",))
             fresh_tables.append(written)
-            for q, own in label_sums(flat(written, "part"), m, *sums, by="part").items():
-                fresh_state[q] = fresh_state[q] + own
-            for r in written.groupBy("part").count().collect():  # a row for each slice
-                fresh_rows[r.part] += r["count"]
+            for q, (n, own) in measured(written).items():
+                fresh_state[q], fresh_rows[q] = fresh_state[q] + own, fresh_rows[q] + n
             done += rows[s]
         if fresh_tables:
             tables, state, rows = fresh_tables, fresh_state, fresh_rows
@@ -111,36 +156,47 @@ def _sweeps(eta: DataFrame, names: np.ndarray, k: int, sums: tuple, gains: Calla
         utilities.append(utility(sum(state.values()), max(1, everyone)))
         if len(utilities) > 1 and sign * (utilities[-1] - utilities[-2]) < tolerance:
             break
-    both = functools.reduce(DataFrame.unionByName, tables)
-    return both.select("instance_id", F.inline(F.filter("cells", lambda x: x["c"] > 0))).select("instance_id", "label_id", F.col("c").alias("value")), utilities
+    return picked(functools.reduce(DataFrame.unionByName, tables), names), utilities
 
 
-def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, maximize: bool = True, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
-    """(y_pred, utilities): the expected metric, slice by slice; with init greedy a slice sees only those before it in the first sweep.
+def _entries(c: np.ndarray, n: float) -> list[np.ndarray]:
+    """tp, fp, fn and tn from sums of eta * c, c and eta over n rows."""
+    tp, p, e = c
+    return [tp, p - tp, e - tp, n - p - e + tp]
 
-    `deal` gives the slice (0 to slices - 1) of an instance in each sweep, by default a hash with the seed and the sweep.
-    """
-    names, missing = label_ids(labels), instances.join(eta.select("instance_id").distinct(), "instance_id", "left_anti").count()
+
+def expected_gains(metric: Metric, names: np.ndarray, missing: int = 0) -> Callable[..., np.ndarray]:
+    """The gain of each cell (at, eta, c) at sums of eta * c, c and eta over n rows, those rows' own part taken off where they are inside."""
     m = len(names)
 
-    def entries(c: np.ndarray, n: float) -> list[np.ndarray]:
-        tp, p, e = c
-        return [tp, p - tp, e - tp, n - p - e + tp]
+    def gains(at: np.ndarray, e: np.ndarray, c: np.ndarray, inside: float, n: int, known: np.ndarray) -> np.ndarray:
+        tp, p, t = known[0][at] - e * c, known[1][at] - c, known[2][at] - e * inside
+        rest = [np.maximum(0.0, v) for v in (tp, p - tp, t - tp, (n + missing - 1) - p - t + tp)]
+        return gain(metric, *rest, e, float(n + missing), m, names[at])
+
+    return gains
 
-    def gains(x: Column, inside: float, n: int) -> Column:
-        e, c, at = x["eta"], x["c"] * inside, x["at"]
-        total = lambda name: F.get(name, at)
-        tp, p, t = total("tp") - e * c, total("p") - c, total("e") - e * inside
-        rest = [F.greatest(F.lit(0.0), v) for v in (tp, p - tp, t - tp, (n + missing - 1) - p - t + tp)]
-        return gain(metric, *rest, e, float(n + missing), m, x["label_id"])
 
+def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, maximize: bool = True, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
+    """(y_pred, utilities): the expected metric, slice by slice; with init greedy a slice sees only those before it in the first sweep.
+
+    eta is a table of cells or of packed rows (`packed.cells_in_rows`). `deal` gives the slice (0 to slices - 1) of an
+    instance in each sweep, by default a hash with the seed and the sweep.
+    """
+    names, deal, scratch = label_ids(labels), deal or dealt(seed, slices), Scratch(eta.sparkSession)
+    start = scratch.save(start_rows(eta, names, k, init, seed).withColumn("part", deal(0)), by=("part",))
+    missing = instances.join(start.select("instance_id"), "instance_id", "left_anti").count()
     return _sweeps(
-        eta, names, k, (F.col("eta") * F.col("c"), F.col("c"), F.col("eta")), gains, lambda c: dict(zip(("tp", "p", "e"), c, strict=True)),
-        lambda c, n: metric.value(*(x / (n + missing) for x in entries(c, n + missing)), names),
-        slices=slices, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed, maximize=maximize, deal=deal,
+        scratch, start, names, k, 3, lambda e, c: (e * c, c.astype(float), e), expected_gains(metric, names, missing),
+        lambda c, n: metric.value(*(x / (n + missing) for x in _entries(c, n + missing)), names),
+        slices=slices, max_iters=max_iters, tolerance=tolerance, seen=not (isinstance(init, str) and init == "greedy"), deal=deal, maximize=maximize,
     )
 
 
+def _log_miss(e: np.ndarray) -> np.ndarray:
+    return np.log1p(-np.minimum(e, 1 - 1e-12))
+
+
 def coverage(eta: DataFrame, labels: DataFrame, k: int, *, alpha: float = 1.0, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
     """(y_pred, utilities) for alpha * (1 - mean over labels of prod (1 - eta * chosen)) + (1 - alpha) * expected precision at k.
 
@@ -148,16 +204,17 @@ def coverage(eta: DataFrame, labels: DataFrame, k: int, *, alpha: float = 1.0, s
     """
     if k <= 0:
         raise ValueError("k has to be positive")
-    names = label_ids(labels)
-    m, miss = len(names), lambda e: F.log1p(-F.least(e, F.lit(1 - 1e-12)))
+    names, deal, scratch = label_ids(labels), deal or dealt(seed, slices), Scratch(eta.sparkSession)
+    m = len(names)
 
-    def gains(x: Column, inside: float, n: int) -> Column:
-        others = F.get("log_fail", x["at"]) - F.when(x["c"] > 0, miss(x["eta"])).otherwise(0.0) * inside
-        return alpha / m * x["eta"] * F.exp(others) + (1 - alpha) * x["eta"] / float(n * k)
+    def gains(at: np.ndarray, e: np.ndarray, c: np.ndarray, inside: float, n: int, known: np.ndarray) -> np.ndarray:
+        others = known[0][at] - np.where(c > 0, _log_miss(e), 0.0) * inside
+        return alpha / m * e * np.exp(others) + (1 - alpha) * e / float(n * k)
 
+    start = scratch.save(start_rows(eta, names, k, init, seed).withColumn("part", deal(0)), by=("part",))
     return _sweeps(
-        eta, names, k, (F.when(F.col("c") > 0, miss(F.col("eta"))).otherwise(0.0), F.col("eta") * F.col("c")), gains, lambda c: {"log_fail": c[0]},
-        lambda c, n: coverage_utility(c[0], c[1], n, k, alpha), slices=slices, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed, maximize=True, deal=deal,
+        scratch, start, names, k, 2, lambda e, c: (np.where(c, _log_miss(e), 0.0), e * c), gains, lambda c, n: coverage_utility(c[0], c[1], n, k, alpha),
+        slices=slices, max_iters=max_iters, tolerance=tolerance, seen=not (isinstance(init, str) and init == "greedy"), deal=deal, maximize=True,
     )
 
 

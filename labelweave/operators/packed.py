@@ -18,6 +18,14 @@ def label_ids(labels: DataFrame) -> np.ndarray:
     return np.array([r.label_id for r in labels.select("label_id").orderBy("label_id").collect()], dtype=np.int64)
 
 
+def cells_in_rows(eta: DataFrame) -> DataFrame:
+    """(instance_id, cells): scores with a row for each instance, cells (label_id, eta) in the order of labels; such rows stay as they are."""
+    if "cells" in eta.columns:
+        return eta
+    cells = F.struct("label_id", F.col("eta").cast("double").alias("eta"))
+    return eta.groupBy("instance_id").agg(F.sort_array(F.collect_list(cells)).alias("cells"))
+
+
 def packed(eta: DataFrame, names: np.ndarray, **more: DataFrame) -> DataFrame:
     """(instance_id, cells): cells is an array of (label_id, at, eta, ...) in the order of labels; at is the label's place in names.
 

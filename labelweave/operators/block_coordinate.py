@@ -177,6 +177,32 @@ def expected_gains(metric: Metric, names: np.ndarray, missing: int = 0) -> Calla
     return gains
 
 
+def row_sums(rows: DataFrame, m: int) -> tuple[int, np.ndarray]:
+    """(number of rows, sums of eta * c, c and eta by label) of rows (instance_id, at, eta, c)."""
+
+    def sums(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        _, at, e, c = lists(batch, "at", "eta", "c")
+        return at, e * c, c.astype(float), e
+
+    return totals(rows.select("at", "eta", "c"), m, 3, sums).get(0, (0, np.zeros((3, m))))
+
+
+def step_gains(rows: DataFrame, names: np.ndarray, metric: Metric, k: int) -> DataFrame:
+    """(instance_id, label_id, gain): the labels that one frozen step of all rows (`start_rows`) chooses, each row against the rest."""
+    n, known = row_sums(rows, len(names))
+    gains = expected_gains(metric, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, at, e, c = lists(batch, "at", "eta", "c")
+            g = gains(at, e, c * 1.0, 1.0, n, known)
+            own = largest(g, size, k)
+            row = np.repeat(np.arange(len(size)), size)[own]
+            yield pa.RecordBatch.from_arrays([batch.column("instance_id").take(pa.array(row)), pa.array(names[at[own]].astype(np.int32)), pa.array(g[own])], names=["instance_id", "label_id", "gain"])
+
+    return rows.mapInArrow(run, f"instance_id {rows.schema['instance_id'].dataType.simpleString()}, label_id int, gain double")
+
+
 def minibatch(eta: DataFrame, instances: DataFrame, labels: DataFrame, metric: Metric, k: int, *, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, maximize: bool = True, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
     """(y_pred, utilities): the expected metric, slice by slice; with init greedy a slice sees only those before it in the first sweep.
 

@@ -32,3 +32,20 @@ def test_packed_rows_are_searched_like_cells(spark, init):
     one, first = B.minibatch(eta, instances, labels, M.Metric("f1"), 2, **more)
     two, second = B.minibatch(cells_in_rows(eta), instances, labels, M.Metric("f1"), 2, **more)
     assert rows(one) == rows(two) and first == pytest.approx(second) and all(j < 6 for _, j, _ in rows(one))
+
+
+def test_a_frozen_step_is_the_step_over_cells(spark):
+    from labelweave.operators import confusion, select
+    from labelweave.operators.packed import label_ids
+
+    rng = np.random.default_rng(5)
+    cells = [(i, j, float(rng.random())) for i in range(70) for j in range(6)]
+    eta = spark.createDataFrame(cells, "instance_id bigint, label_id int, eta double")
+    labels, instances = spark.createDataFrame([(j,) for j in range(6)], "label_id int"), spark.range(70).withColumnRenamed("id", "instance_id")
+    metric, pred = M.Metric("hmean", mix=0.5, k=2), select.top_k(eta, 2)
+    conf = confusion.confusion(eta.withColumnRenamed("eta", "value"), pred, instances, labels)
+    want = select.best(B.slice_gains(eta, pred, conf, 70, 6, metric), 2)
+    names = label_ids(labels)
+    found = B.step_gains(B.start_rows(cells_in_rows(eta), names, 2), names, metric, 2)
+    rows = lambda df: {(r.instance_id, r.label_id): r.gain for r in df.collect()}
+    assert rows(found) == pytest.approx(rows(want))

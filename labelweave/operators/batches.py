@@ -72,3 +72,35 @@ def totals(rows: DataFrame, m: int, count: int, sums: Callable[[pa.RecordBatch],
             c[:, r["at"]] = [r[f"s{i}"] for i in range(count)]
         out[r["part"]] = n, c
     return out
+
+
+def sequential(size: np.ndarray, at: np.ndarray, state: np.ndarray, decide: Callable, effect: Callable, *, most: int = 2_000_000, block: int = 1024) -> np.ndarray:
+    """Decisions on rows one after another, where `state` [sums, m] before a row holds the effects of all rows before it.
+
+    decide(cells, c, row) gives the decisions on the cells of a slice at their labels' state c [sums, cells], effect(cells,
+    chosen) what they add to it [sums, cells]. Within a block all decisions are guessed, the state before each row follows
+    from them, and decisions are made anew until nothing changes; a pass makes at least one more row final, so the
+    outcome is the sequential one. `state` moves on to the last row. A block's rows times its labels are at most `most`.
+    """
+    ends, chosen, low = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(at), bool), 0
+    while low < len(size):
+        high = min(len(size), low + block)
+        while True:
+            cells = slice(ends[low], ends[high])
+            names, column = np.unique(at[cells], return_inverse=True)
+            if high - low == 1 or (high - low) * len(names) <= most:
+                break
+            high = low + (high - low) // 2
+        row = np.repeat(np.arange(high - low), size[low:high])
+        before, guess = np.repeat(state[:, None, names], high - low + 1, axis=1), None
+        while True:
+            fresh = decide(cells, before[:, row, column], row + low, size[low:high])
+            if guess is not None and (fresh == guess).all():
+                break
+            guess = fresh
+            steps = np.zeros((len(state), high - low + 1, len(names)))
+            steps[:, 0] = state[:, names]
+            steps[:, row + 1, column] = effect(cells, guess)
+            before = np.cumsum(steps, axis=1)
+        chosen[cells], state[:, names], low = guess, before[:, -1], high
+    return chosen

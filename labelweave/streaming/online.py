@@ -7,7 +7,8 @@ and updated after it, and what is known is kept with the stream's checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.functions.metrics import Metric
+from labelweave.operators.batches import largest, lists, sequential
 from labelweave.operators.block_coordinate import gain as gain_of
 from labelweave.operators.confusion import ENTRIES
 from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
 from labelweave.operators.select import predict
+from labelweave.shared import Scratch
 from labelweave.streaming.by_label import replay_by_label
 from labelweave.streaming.state import LearnerStore
 
@@ -112,31 +115,87 @@ def learn_online(name: str, rows: DataFrame, labels: DataFrame, k: int, *, alpha
     return replay(rows, labels, KINDS[method], metric, k, **options)
 
 
-def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, order: str = "instance_id") -> DataFrame:
+def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int, *, order: str = "instance_id", chunk: int = 250_000) -> DataFrame:
     """(instance_id, label_id, value): predictions of a learner over rows (instance_id, label_id, eta, y, ...) in arrival order.
 
-    Learners that choose k labels weigh a row's labels against each other, so their strict order needs one task;
-    the table is streamed through it, with the state alone in memory. `replay_by_label` has no such task, and
+    rows may be packed, with cells (label_id, eta, y). Learners that choose k labels weigh a row's labels against each
+    other, so their strict order needs one task at a time; rows are sorted in parallel and pass in chunks of about
+    `chunk` rows, a task for each, and what is known, a few numbers for each label, goes on to the next. Within a
+    task blocks of rows are decided at once (`batches.sequential`). `replay_by_label` has no such task, and
     `start` freezes weights within a micro-batch. A learner without state (default) needs no order at all.
     """
     if kind == "default":
+        rows = rows.select("instance_id", F.inline("cells")) if "cells" in rows.columns else rows
         return predict(rows.select("instance_id", F.col("label_id").cast("int").alias("label_id"), "eta"), k, th=0.5)
-    names = label_ids(labels).tolist()
-    packed = rows.groupBy(order, "instance_id").agg(F.sort_array(F.collect_list(F.struct("label_id", "eta", "y"))).alias("cells"))
-    ordered = packed.repartitionByRange(1, order).sortWithinPartitions(order, "instance_id").select("instance_id", "cells")
+    names, scratch = label_ids(labels), Scratch(rows.sparkSession)
+    keys = list(dict.fromkeys((order, "instance_id")))
+    if "cells" not in rows.columns:
+        rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("label_id", "eta", "y"))).alias("cells"))
+    field = lambda x, kind: F.transform("cells", lambda c: c[x].cast(kind)).alias(x)
+    flat = scratch.save(rows.select(*keys, field("label_id", "bigint"), field("eta", "double"), field("y", "double")))
+    parts = max(1, -(-flat.count() // chunk))
+    sorted_ = scratch.save(flat.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), by=("part",))
+    state, seen, done = np.array([[1e-6] * len(names)] * 3 + [[0.0] * len(names)]), 0, []
+    for part in range(parts):
+        own = sorted_.where(F.col("part") == part).drop("part").coalesce(1).sortWithinPartitions(*keys).select("instance_id", "label_id", "eta", "y")
+        found = scratch.save(own.mapInArrow(_replayer(kind, metric, k, names, state, seen), f"instance_id {rows.schema['instance_id'].dataType.simpleString()}, label_id int, value double, state array<double>, seen bigint"))
+        last = found.where("state is not null").select("state", "seen").collect()  # one row
+        if last:
+            state, seen = np.array(last[0].state).reshape(state.shape), last[0].seen
+        done.append(found)
+    return functools.reduce(DataFrame.unionByName, done).where("state is null").select("instance_id", "label_id", "value")
+
+
+def _replayer(kind: str, metric: Metric, k: int, names: np.ndarray, state: np.ndarray, seen: int) -> Callable:
+    """A learner's decisions on rows (instance_id, label_id, eta, y) in order, and a last row with what it knows then.
+
+    state is tp, fp, fn and what is taken off tn, for each label. Micro averages and combined metrics, where each label
+    depends on all others, go row by row.
+    """
+    apart, m = isinstance(metric, Metric) and (metric.average in ("macro", "sum") or kind == "greedy"), len(names)
 
-    def run(batches):
-        learner, place = Learner(kind, metric, k, len(names), names=np.array(names)), {j: i for i, j in enumerate(names)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, kind_of_id = state.copy(), seen, None
         for batch in batches:
-            out = []
-            for i, cells in zip(batch.column("instance_id").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                index = np.array([place[c["label_id"]] for c in cells])
-                chosen = learner.choose(index, np.array([c["eta"] for c in cells]))
-                learner.update(index, np.array([c["y"] for c in cells], float), chosen)
-                out += [(i, names[index[j]]) for j in chosen]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([1.0] * len(out))], names=["instance_id", "label_id", "value"])
-
-    return ordered.mapInArrow(run, "instance_id bigint, label_id int, value double")
+            size, label, eta, y = lists(batch, "label_id", "eta", "y")
+            at, row = np.searchsorted(names, label), np.repeat(np.arange(len(size)), size)
+
+            def decide(cells: slice, c: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:
+                e, pos, own = eta[cells], n + row, names[at[cells]]  # noqa: B023
+                counts = [c[0], c[1], c[2], 1e-6 + pos - c[3]]
+                if kind == "thresholds":
+                    g = e - f_thresholds(*counts[:3])
+                elif kind == "greedy":
+                    g = gain_of(metric, *counts, e, pos + 1, m, own)
+                else:
+                    d = metric.gradient(*(x / np.maximum(1, pos) for x in counts), label=own)
+                    if metric.average == "macro":  # the mean is over labels, not over these cells
+                        mixed = (1 - metric.mix) / metric.k if metric.mix != 1 else 0.0
+                        d = [(d[0] - mixed) * len(e) / m + mixed, *(x * len(e) / m for x in d[1:])]
+                    g = (d[0] - d[1] - d[2] + d[3]) * e + (d[1] - d[3])
+                return largest(g, size, k)
+
+            def effect(cells: slice, chosen: np.ndarray) -> np.ndarray:
+                t, p = y[cells], chosen.astype(float)  # noqa: B023
+                return np.stack([t * p, (1 - t) * p, t * (1 - p), 1 - (1 - t) * (1 - p)])
+
+            if apart:
+                chosen = sequential(size, at, now, decide, effect)
+            else:
+                chosen, cuts = np.zeros(len(at), bool), np.concatenate([[0], np.cumsum(size)])
+                learner = Learner(kind, metric, k, m, n=n, c=np.concatenate([now[:3], 1e-6 + n - now[3:]]), names=names)
+                for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                    own = learner.choose(at[low:high], eta[low:high])
+                    learner.update(at[low:high], y[low:high], own)
+                    chosen[low + own] = True
+                now = np.concatenate([learner.c[:3], 1e-6 + learner.n - learner.c[3:]])
+            n, kind_of_id, count = n + len(size), batch.column("instance_id").type, int(chosen.sum())
+            none = pa.nulls(count, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("instance_id").take(pa.array(row[chosen])), pa.array(label[chosen].astype(np.int32)), pa.array(np.ones(count)), none, pa.nulls(count, pa.int64())], names=["instance_id", "label_id", "value", "state", "seen"])
+        if kind_of_id is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind_of_id), pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64()), pa.array([now.ravel().tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["instance_id", "label_id", "value", "state", "seen"])
+
+    return run
 
 
 class BatchLearner:

@@ -49,3 +49,20 @@ def test_a_frozen_step_is_the_step_over_cells(spark):
     found = B.step_gains(B.start_rows(cells_in_rows(eta), names, 2), names, metric, 2)
     rows = lambda df: {(r.instance_id, r.label_id): r.gain for r in df.collect()}
     assert rows(found) == pytest.approx(rows(want))
+
+
+@pytest.mark.parametrize("kind,metric", [("greedy", M.Metric("hmean", mix=0.5, k=2)), ("gradient", M.Metric("f1")), ("gradient", M.Metric("f1", "micro"))])
+def test_replay_in_chunks_is_sequential(spark, kind, metric):
+    from labelweave.streaming import online
+
+    rng, want = np.random.default_rng(6), []
+    cells = [[(i, j, float(rng.random()), int(rng.random() < 0.4)) for j in range(7) if rng.random() < 0.8] for i in range(120)]
+    learner = online.Learner(kind, metric, 2, 7, names=np.arange(7))
+    for own in cells:
+        index, eta, y = (np.array([c[x] for c in own]) for x in (1, 2, 3))
+        chosen = learner.choose(index, eta)
+        learner.update(index, y, chosen)
+        want += [(own[0][0], int(index[j])) for j in chosen]
+    rows = spark.createDataFrame([c for own in cells for c in own], "instance_id bigint, label_id int, eta double, y int")
+    found = online.replay(rows, spark.range(7).selectExpr("cast(id as int) as label_id"), kind, metric, 2, chunk=50)
+    assert sorted((r.instance_id, r.label_id) for r in found.collect()) == sorted(want)

@@ -251,9 +251,10 @@ def coverage_utility(log_fail: np.ndarray, tp: np.ndarray, n: int, k: int, alpha
 
 def exact(eta: DataFrame, labels: DataFrame, metric: Metric, k: int, *, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, most_cells: int = 20_000_000) -> DataFrame:
     """y_pred by the sequential algorithm, row after row in one task, for sets of at most `most_cells` scores; larger ones go slice by slice."""
-    if eta.count() > most_cells:
+    if (eta.agg(F.sum(F.size("cells"))).first()[0] or 0 if "cells" in eta.columns else eta.count()) > most_cells:
         return minibatch(eta, eta.select("instance_id").distinct(), labels, metric, k, max_iters=max_iters, tolerance=tolerance, init=init, seed=seed)[0]
     names, greedy = label_ids(labels).tolist(), isinstance(init, str) and init == "greedy"
+    eta = eta.select("instance_id", F.inline("cells")) if "cells" in eta.columns else eta
     rows = packed(eta, np.array(names), c=initial(eta, k, init, seed))
 
     def run(t: pa.Table) -> pa.Table:

@@ -66,3 +66,12 @@ def test_replay_in_chunks_is_sequential(spark, kind, metric):
     rows = spark.createDataFrame([c for own in cells for c in own], "instance_id bigint, label_id int, eta double, y int")
     found = online.replay(rows, spark.range(7).selectExpr("cast(id as int) as label_id"), kind, metric, 2, chunk=50)
     assert sorted((r.instance_id, r.label_id) for r in found.collect()) == sorted(want)
+
+
+def test_exact_takes_packed_rows(spark):
+    cells = [(i, j, (i * 7 + j * 5) % 11 / 11) for i in range(30) for j in range(5)]
+    eta = cells_in_rows(spark.createDataFrame(cells, "instance_id bigint, label_id int, eta double"))
+    labels, rows = spark.createDataFrame([(j,) for j in range(5)], "label_id int"), lambda df: sorted((r.instance_id, r.label_id) for r in df.collect())
+    want = sorted((i, j) for i in range(30) for j in sorted(range(5), key=lambda j: (-((i * 7 + j * 5) % 11), j))[:2])
+    for most in (1000, 10):  # in one task, and in slices
+        assert rows(B.exact(eta, labels, M.Metric("f1", mix=0.0, k=2), 2, most_cells=most, max_iters=1)) == want

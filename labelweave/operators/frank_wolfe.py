@@ -7,15 +7,17 @@ gradient and the line search are vector arithmetic.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.functions.metrics import Combined, Metric
+from labelweave.operators.batches import largest, lists, placed, totals
 from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
 from labelweave.operators.select import predict
 from labelweave.shared import Scratch
@@ -238,6 +240,60 @@ def extend(found: RandomizedClassifier, y_true: DataFrame, eta: DataFrame, insta
     return out
 
 
+def carry_on(found: RandomizedClassifier | None, rows: DataFrame, names: np.ndarray, metric: Metric | Combined, k: int, *, max_iters: int, least: float = 1e-4) -> RandomizedClassifier | None:
+    """What `extend` finds, or without a mixture yet `find_classifier`, on stored rows of arrays (label_id, eta, y).
+
+    An iteration is one pass of arrays over the rows given, and the mixture's own matrix one more.
+    """
+    m = len(names)
+    if found is None:
+        a, b, p = np.ones((1, m)), np.full((1, m), -0.5), np.ones(1)
+    else:
+        keep = found.p >= least * found.p.max()
+        a, b, p = found.a[keep], found.b[keep], found.p[keep] / found.p[keep].sum()
+
+    def passed(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> tuple[int, np.ndarray]:
+        def sums(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            size, at, eta, y = placed(names, *lists(batch, "label_id", "eta", "y"))
+            share, y = np.zeros(len(at)), np.maximum(y, 0)
+            for w, x in enumerate(p):
+                share += x * largest(a[w][at] * eta + b[w][at], size, k)
+            return at, share * y, share, y
+
+        n, (hit, all_, positive) = totals(rows, m, 3, sums).get(0, (0, np.zeros((3, m))))
+        hit, all_, positive = (x / max(1, n) for x in (hit, all_, positive))
+        return n, np.array([hit, all_ - hit, positive - hit, 1 - positive - all_ + hit])
+
+    n, c = passed(a, b, p)
+    if not n:
+        return found
+    before = 0 if found is None else found.n
+    c = c if found is None else (before * found.confusion + n * c) / (before + n)
+    start = RandomizedClassifier(k, names, a, b, p, [{"utility": metric.value(*c, label=names), "alpha": 1.0}], before + n, c)
+    return _climb(start, lambda a, b: passed(a[None], b[None], np.ones(1))[1], metric, max_iters=max_iters, maximize=True, tolerance=1e-6, alpha_tolerance=1e-3, algorithm="uniform", step=1e-3)
+
+
+def drawn_labels(found: RandomizedClassifier | None, rows: DataFrame, names: np.ndarray, k: int) -> DataFrame:
+    """What `predict` gives, on rows of arrays (instance_id, u, label_id, eta) with u the draw; without a mixture top k, or scores of 0.5 and more."""
+    if found is not None:
+        a, b, high = found.a, found.b, np.append((np.cumsum(found.p) / found.p.sum())[:-1], 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, label, eta = lists(batch, "label_id", "eta")
+            if found is None:
+                gain = eta if k > 0 else eta - 0.5
+            else:
+                size, at, eta, label = placed(names, size, label, eta, label)
+                drawn = np.repeat(np.searchsorted(high, batch.column("u").to_numpy(), side="right"), size)
+                gain = a[drawn, at] * eta + b[drawn, at]
+            taken = largest(gain, size, k)
+            row = np.repeat(np.arange(len(size)), size)[taken]
+            yield pa.RecordBatch.from_arrays([batch.column("instance_id").take(pa.array(row)), pa.array(label[taken].astype(np.int32)), pa.array(np.ones(len(row)))], names=["instance_id", "label_id", "value"])
+
+    return rows.mapInArrow(run, f"instance_id {rows.schema['instance_id'].dataType.simpleString()}, label_id int, value double")
+
+
 def systematic_sample(cells: DataFrame, k: int, seed: int = 0, start: Column | None = None, order: Column | None = None) -> DataFrame:
     """(instance_id, label_id, value): k labels of each instance, each with its probability `value`, drawn by one uniform start.
 

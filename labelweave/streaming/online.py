@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.functions.metrics import Metric
-from labelweave.operators.batches import largest, lists, sequential
+from labelweave.operators.batches import as_arrays, largest, lists, sequential
 from labelweave.operators.block_coordinate import gain as gain_of
 from labelweave.operators.confusion import ENTRIES
 from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
@@ -129,10 +129,7 @@ def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int
         return predict(rows.select("instance_id", F.col("label_id").cast("int").alias("label_id"), "eta"), k, th=0.5)
     names, scratch = label_ids(labels), Scratch(rows.sparkSession)
     keys = list(dict.fromkeys((order, "instance_id")))
-    if "cells" not in rows.columns:
-        rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("label_id", "eta", "y"))).alias("cells"))
-    field = lambda x, kind: F.transform("cells", lambda c: c[x].cast(kind)).alias(x)
-    flat = scratch.save(rows.select(*keys, field("label_id", "bigint"), field("eta", "double"), field("y", "double")))
+    flat = scratch.save(cells_of(rows, *keys).select(*keys, *as_arrays("label_id", "eta", "y")))
     parts = max(1, -(-flat.count() // chunk))
     sorted_ = scratch.save(flat.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), by=("part",))
     state, seen, done = np.array([[1e-6] * len(names)] * 3 + [[0.0] * len(names)]), 0, []
@@ -146,6 +143,13 @@ def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int
     return functools.reduce(DataFrame.unionByName, done).where("state is null").select("instance_id", "label_id", "value")
 
 
+def cells_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows with cells (label_id, eta, y), which may be there already."""
+    if "cells" in rows.columns:
+        return rows
+    return rows.groupBy(*(keys or ("instance_id",))).agg(F.sort_array(F.collect_list(F.struct("label_id", "eta", "y"))).alias("cells"))
+
+
 def _replayer(kind: str, metric: Metric, k: int, names: np.ndarray, state: np.ndarray, seen: int) -> Callable:
     """A learner's decisions on rows (instance_id, label_id, eta, y) in order, and a last row with what it knows then.
 
@@ -297,29 +301,46 @@ def replay_retuned(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric
     kind: thresholds (a threshold for each label on all earlier rows, at first 0.5) or frank_wolfe (a randomized
     classifier, at first top k, carried on over the rows of the last period alone; with `afresh` it is found on all
     earlier rows each time). Arrival order is instance_id. The loop runs once for each period, a logarithm of the rows.
+    For frank_wolfe rows may be packed, with cells (label_id, eta, y).
     """
     from labelweave.operators import frank_wolfe, select
 
+    if kind == "frank_wolfe":
+        return _replay_frank_wolfe(rows, labels, metric, k, first=first, growth=growth or GROWTH[kind], max_iters=max_iters, afresh=afresh)
     low, high = rows.agg(F.min("instance_id"), F.max("instance_id")).first()
-    out, start, size, before, found = None, low, first, low, None
+    out, start, size = None, low, first
     growth = growth or GROWTH[kind]
     while low is not None and start <= high:
         stop = max(start + 1, low + int(size))
         block, past = rows.where((F.col("instance_id") >= start) & (F.col("instance_id") < stop)), rows.where(F.col("instance_id") < start)
         eta = block.select("instance_id", "label_id", "eta")
-        if kind == "thresholds":
-            own = select.predict(eta, 0, th=0.5) if start == low else select.predict(eta, 0, th=select.tune_thresholds(past, metric.name if metric.name == "min_tp_tn" else "f1"))
-        elif start == low:
-            own = select.predict(eta, k, th=0.5)
-        else:
-            seen = past if afresh else past.where(F.col("instance_id") >= before)
-            y = seen.where("y > 0").select("instance_id", "label_id", F.col("y").cast("double").alias("value"))
-            data = y, seen.select("instance_id", "label_id", "eta"), seen.select("instance_id").distinct()
-            if found is None or afresh:
-                found = frank_wolfe.find_classifier(*data, labels, metric, k, max_iters=max_iters)
-            else:
-                found = frank_wolfe.extend(found, *data, metric, max_iters=max_iters)
-            own = found.predict(eta)
+        own = select.predict(eta, 0, th=0.5) if start == low else select.predict(eta, 0, th=select.tune_thresholds(past, metric.name if metric.name == "min_tp_tn" else "f1"))
         out = own if out is None else out.unionByName(own)
-        before, start, size = start, stop, size * growth
+        start, size = stop, size * growth
     return out if out is not None else rows.select("instance_id", "label_id", F.lit(1.0).alias("value"))
+
+
+def _replay_frank_wolfe(rows: DataFrame, labels: DataFrame, metric: Metric, k: int, *, first: int, growth: float, max_iters: int, afresh: bool, chunk: int = 250_000) -> DataFrame:
+    """Rows are written once as arrays, in ranges of arrival, a folder for each period; a period's search reads the folders that it learns from."""
+    from labelweave.operators import frank_wolfe
+
+    names, scratch = label_ids(labels), Scratch(rows.sparkSession)
+    draw = F.pmod(F.xxhash64("instance_id", F.lit(0)), F.lit(1 << 30)) / float(1 << 30)
+    flat = scratch.save(cells_of(rows).select("instance_id", draw.alias("u"), *as_arrays("label_id", "eta", "y")))
+    low, high, n = flat.agg(F.min("instance_id"), F.max("instance_id"), F.count("*")).first()
+    starts, start, size = [], low, first
+    while low is not None and start <= high:
+        starts.append(start)
+        start, size = max(start + 1, low + int(size)), size * growth
+    edges = F.array(*[F.lit(x) for x in starts]).cast("array<bigint>")
+    period = F.size(F.filter(edges, lambda x: x <= F.col("instance_id"))) - 1
+    stored = scratch.save(flat.repartitionByRange(max(1, -(-n // chunk)), "instance_id").withColumn("period", period), by=("period",))
+    out, found = [], None
+    for i in range(len(starts)):
+        if i:
+            seen = stored.where(F.col("period") < i) if afresh else stored.where(F.col("period") == i - 1)
+            found = frank_wolfe.carry_on(None if afresh else found, seen.select("label_id", "eta", "y"), names, metric, k, max_iters=max_iters)
+        out.append(frank_wolfe.drawn_labels(found, stored.where(F.col("period") == i).select("instance_id", "u", "label_id", "eta"), names, k))
+    if not out:
+        out.append(frank_wolfe.drawn_labels(None, stored.select("instance_id", "u", "label_id", "eta"), names, k))
+    return functools.reduce(DataFrame.unionByName, out)

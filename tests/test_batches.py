@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelweave.functions import metrics as M
-from labelweave.operators import batches
+from labelweave.operators import batches, select
 from labelweave.operators import block_coordinate as B
 from labelweave.operators.packed import cells_in_rows
+from labelweave.streaming import online
 
 
 def test_largest_of_each_row():
@@ -75,3 +77,31 @@ def test_exact_takes_packed_rows(spark):
     want = sorted((i, j) for i in range(30) for j in sorted(range(5), key=lambda j: (-((i * 7 + j * 5) % 11), j))[:2])
     for most in (1000, 10):  # in one task, and in slices
         assert rows(B.exact(eta, labels, M.Metric("f1", mix=0.0, k=2), 2, most_cells=most, max_iters=1)) == want
+
+
+def test_retuned_frank_wolfe_takes_packed_rows_and_follows_the_table_form(spark):
+    """Periods that are searched in arrays give the labels of find_classifier, extend and predict on the cells."""
+    from labelweave.operators import frank_wolfe
+
+    rng = np.random.default_rng(5)
+    cells = [(i, j, round(float(rng.random()), 2), int(rng.random() < 0.4)) for i in range(10, 250) for j in range(6) if (i + j) % 9]
+    rows, labels, metric = spark.createDataFrame(cells, "instance_id bigint, label_id int, eta double, y int").cache(), spark.createDataFrame([(j,) for j in range(5)], "label_id int"), M.Metric("f1")
+    packed = rows.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("label_id", "eta", "y"))).alias("cells"))
+    found = [sorted((r.instance_id, r.label_id) for r in online.replay_retuned(x, labels, "frank_wolfe", metric, 2, first=60, growth=1.5, max_iters=4).collect()) for x in (packed, rows)]
+    mixture, want = None, []
+    for before, start, stop in ((0, 10, 70), (10, 70, 100), (70, 100, 145), (100, 145, 212), (145, 212, 400)):
+        own, seen = rows.where(F.col("instance_id").between(start, stop - 1)).select("instance_id", "label_id", "eta"), rows.where(F.col("instance_id").between(before, start - 1))
+        data = seen.where("y > 0").select("instance_id", "label_id", F.lit(1.0).alias("value")), seen.select("instance_id", "label_id", "eta"), seen.select("instance_id").distinct()
+        if start > 10:
+            mixture = frank_wolfe.extend(mixture, *data, metric, max_iters=4) if mixture else frank_wolfe.find_classifier(*data, labels, metric, 2, max_iters=4)
+        want += mixture.predict(own).collect() if mixture else select.predict(own, 2).collect()
+    assert found[0] == found[1] == sorted((r.instance_id, r.label_id) for r in want)
+
+
+def test_the_first_cells_in_few_passes():
+    rng = np.random.default_rng(6)
+    for key in (rng.integers(0, 4, 900).astype(float), np.where(rng.random(900) < 0.9, np.inf, 1.0), np.where(rng.random(900) < 0.2, np.nan, 1.0)):
+        order = np.argsort(key.reshape(90, 10), axis=1, kind="stable")[:, :3]
+        want = np.zeros((90, 10), bool)
+        np.put_along_axis(want, order, True, axis=1)
+        assert (batches.first(key, np.full(90, 10), 3) == want.ravel()).all()

@@ -255,7 +255,7 @@ def carry_on(found: RandomizedClassifier | None, rows: DataFrame, names: np.ndar
     def passed(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> tuple[int, np.ndarray]:
         def sums(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             size, at, eta, y = placed(names, *lists(batch, "label_id", "eta", "y"))
-            share, y = np.zeros(len(at)), np.maximum(y, 0)
+            share, y = np.zeros(len(at)), np.fmax(y, 0)
             for w, x in enumerate(p):
                 share += x * largest(a[w][at] * eta + b[w][at], size, k)
             return at, share * y, share, y

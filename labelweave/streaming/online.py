@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.functions.metrics import Metric
-from labelweave.operators.batches import as_arrays, largest, lists, sequential
+from labelweave.operators.batches import as_arrays, largest, lists, placed, sequential, totals
 from labelweave.operators.block_coordinate import gain as gain_of
 from labelweave.operators.confusion import ENTRIES
-from labelweave.operators.packed import chosen, label_ids, label_sums, packed, with_labels
+from labelweave.operators.packed import label_ids
 from labelweave.operators.select import predict
 from labelweave.shared import Scratch
 from labelweave.streaming.by_label import replay_by_label
@@ -205,9 +205,9 @@ def _replayer(kind: str, metric: Metric, k: int, names: np.ndarray, state: np.nd
 class BatchLearner:
     """A learner whose weights are frozen within a batch of cells (instance_id, label_id, eta, y) and updated after it.
 
-    A batch is worked on in parallel, and only sums by label come to the driver. With a store the state of each
-    batch outlives the process: a new learner goes on where the last one stopped, and a batch that comes again
-    is answered from the state before it.
+    A batch may come packed, with cells (label_id, eta, y). It is written once as arrays and worked on in parallel, and
+    only sums by label come to the driver. With a store the state of each batch outlives the process: a new learner
+    goes on where the last one stopped, and a batch that comes again is answered from the state before it.
     """
 
     def __init__(self, labels: DataFrame, metric: Metric, k: int, *, kind: str = "gradient", store: LearnerStore | None = None):
@@ -226,16 +226,24 @@ class BatchLearner:
             new = [self.state.regularize] * 3 + [self.state.n + self.state.regularize]
             self.state.c = np.array([old.get(int(j), new) for j in self.names], float).reshape(-1, 4).T
 
-    def _gain(self, x: Column) -> Column:
-        e, at = x["eta"], x["at"]
-        if self.kind == "default":
-            return e if self.k else e - 0.5
-        if self.kind == "thresholds":
-            return e - F.get("th", at)
-        if self.kind == "gradient":
-            return F.get("a", at) * e + F.get("b", at)
-        own = [F.get(c, at) for c in ENTRIES]
-        return gain_of(self.metric, *own, e, float(self.state.n + 1), len(self.names), x["label_id"])
+    def _picker(self) -> Callable:
+        """A function from a batch of arrays to (size, at, y, picked): its cells, and which are chosen by the weights as they stand."""
+        kind, metric, k, names, n, known = self.kind, self.metric, self.k, self.names, self.state.n, self._known()
+
+        def pick(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            size, at, eta, y = placed(names, *lists(batch, "label_id", "eta", "y"))
+            own = {x: v[at] for x, v in known.items()}
+            if kind == "default":
+                g = eta if k else eta - 0.5
+            elif kind == "thresholds":
+                g = eta - own["th"]
+            elif kind == "gradient":
+                g = own["a"] * eta + own["b"]
+            else:
+                g = gain_of(metric, *(own[c] for c in ENTRIES), eta, float(n + 1), len(names), names[at])
+            return size, at, np.nan_to_num(y), largest(g, size, k)
+
+        return pick
 
     def _known(self) -> dict[str, np.ndarray]:
         if self.kind == "thresholds":
@@ -246,16 +254,24 @@ class BatchLearner:
         return dict(zip(ENTRIES, self.state.c, strict=True))
 
     def step(self, cells: DataFrame, number: int, sink: Callable[[DataFrame, int], None]) -> None:
-        """Predictions of one batch go to the sink, which has to replace what an earlier try has left; then the state is saved."""
+        """Predictions of one batch go to the sink, which has to use them before it returns and to replace what an earlier try has left; then the state is saved."""
         self._restore(number)
-        y = cells.select("instance_id", "label_id", F.col("y").cast("double").alias("value"))
-        rows = with_labels(packed(cells.select("instance_id", "label_id", "eta"), self.names, y=y), **self._known())
-        rows = rows.select("instance_id", "cells", chosen(self._gain, self.k).alias("picked")).persist()
-        sink(rows.select("instance_id", F.inline("picked")).select("instance_id", "label_id", F.lit(1.0).alias("value")), number)
-        n, none, m = rows.count(), np.zeros((2, len(self.names))), len(self.names)
-        hit, p = label_sums(rows.select(F.inline("picked")), m, F.col("y"), F.lit(1.0)).get(0, none)
-        positive = label_sums(rows.select(F.inline("cells")), m, F.col("y")).get(0, none)[0]
-        rows.unpersist()
+        scratch, pick, names = Scratch(cells.sparkSession), self._picker(), self.names
+        rows = scratch.save(cells_of(cells).select("instance_id", *as_arrays("label_id", "eta", "y")))
+
+        def predictions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size, at, _, picked = pick(batch)
+                row = np.repeat(np.arange(len(size)), size)[picked]
+                yield pa.RecordBatch.from_arrays([batch.column("instance_id").take(pa.array(row)), pa.array(names[at[picked]].astype(np.int32)), pa.array(np.ones(len(row)))], names=["instance_id", "label_id", "value"])
+
+        def sums(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            _, at, y, picked = pick(batch)
+            return at, y * picked, picked.astype(float), y
+
+        sink(rows.mapInArrow(predictions, f"instance_id {rows.schema['instance_id'].dataType.simpleString()}, label_id int, value double"), number)
+        n, (hit, p, positive) = totals(rows, len(names), 3, sums).get(0, (0, np.zeros((3, len(names)))))
+        scratch.drop()
         self.state.n += n
         self.state.c = self.state.c + np.array([hit, p - hit, positive - hit, n - p - positive + hit])
         self.version = number

@@ -105,3 +105,30 @@ def test_the_first_cells_in_few_passes():
         want = np.zeros((90, 10), bool)
         np.put_along_axis(want, order, True, axis=1)
         assert (batches.first(key, np.full(90, 10), 3) == want.ravel()).all()
+
+
+@pytest.mark.parametrize("kind", ["default", "gradient", "thresholds", "greedy"])
+def test_a_batch_of_packed_rows_is_learned_like_cells(spark, kind):
+    rng = np.random.default_rng(7)
+    cells = [(i, j, round(float(rng.random()), 2), int(rng.random() < 0.4)) for i in range(80) for j in range(6) if rng.random() < 0.8]
+    rows, labels = spark.createDataFrame(cells, "instance_id bigint, label_id int, eta double, y int").cache(), spark.createDataFrame([(j,) for j in range(5)], "label_id int")
+    packed = rows.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("label_id", "eta", "y"))).alias("cells"))
+    seen, states = [], []
+    for data in (rows, packed):
+        learner, own = online.BatchLearner(labels, M.Metric("f1"), 2, kind=kind), []
+        for number in (0, 1):
+            learner.step(data.where(F.col("instance_id") % 2 == number), number, lambda d, n, own=own: own.extend(sorted((r.instance_id, r.label_id) for r in d.collect())))
+        seen.append(own), states.append(learner.state.c)
+    assert seen[0] == seen[1] and len(seen[0]) > 100 and (states[0] == states[1]).all() and learner.state.n == len({c[0] for c in cells})
+    one = online.Learner(kind, M.Metric("f1"), 2, 5, names=np.arange(5))  # both batches by frozen weights, row by row
+    for number in (0, 1):
+        later = online.Learner(kind, M.Metric("f1"), 2, 5, n=one.n, c=one.c.copy(), names=one.names)
+        for i in range(number, 80, 2):
+            own = [c for c in cells if c[0] == i and c[1] < 5]
+            index, eta, y = (np.array([c[x] for c in own], t) for x, t in ((1, int), (2, float), (3, float)))
+            picked = one.choose(index, eta) if len(own) else np.zeros(0, int)
+            assert sorted((i, int(j)) for j in index[picked]) == [x for x in seen[0] if x[0] == i]
+            if any(c[0] == i for c in cells):
+                later.update(index, y, picked)
+        one = later
+    assert np.allclose(one.c, states[0])

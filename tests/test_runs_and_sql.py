@@ -59,3 +59,16 @@ def test_table_functions(spark, data):
     for bad in ("top_labels(TABLE(SELECT * FROM scores_here), k => 0)", "top_labels(TABLE(SELECT * FROM scores_here), k => 1, label => 'nothing')"):
         with pytest.raises(Exception, match="k has to be|no column"):
             spark.sql(f"SELECT * FROM {bad}").collect()
+
+
+def test_table_functions_on_packed_rows(spark, data):
+    eta, *_ = data
+    sql.register(spark)
+    odd = eta.withColumn("eta", F.when(F.col("eta") == 0.5, F.lit(float("nan"))).when(F.col("eta") > 0.2, F.col("eta")))
+    odd.createOrReplaceTempView("cells_here")
+    odd.groupBy("instance_id").agg(F.collect_list(F.struct("label_id", "eta")).alias("cells")).createOrReplaceTempView("packed_here")
+    rows = lambda text: sorted((r.instance_id, r.label_id, r.value) for r in spark.sql(text).collect())
+    for text in ("top_labels(TABLE(SELECT *, 'x' AS more FROM {}), k => 2, gain => 'eta * (label_id % 3 - 1)')", "labels_from(TABLE(SELECT * FROM {}), threshold => 'label_id / 8D')"):
+        one, two = (rows(f"SELECT * FROM {text.format(x)}") for x in ("cells_here", "packed_here"))
+        assert one == two and one
+    assert [r[:2] for r in one] == sorted((r.instance_id, r.label_id) for r in odd.where("eta >= label_id / 8D").collect())

@@ -72,3 +72,53 @@ def test_memory_does_not_change_ids():
         a, b = small(pa.array(texts[at : at + 10])), large(pa.array(texts[at : at + 10]))
         assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
     assert len(small.known) < len(large.known)
+
+
+def test_a_word_is_encoded_once_whatever_marks_and_case_it_has():
+    import pyarrow as pa
+
+    from labelweave.llm.packing import CachedEncoder
+
+    names = [f"{a}{b}é" for a in ("thon", "inwh", "ertion", "Über") for b in ("Ly", "ble", "heit", "ing")]
+    texts = [f"{x}{m} ({x.upper()}{m}'s" for x in names for m in ("", ",", ".", "!!", "###", "***", ".***")]
+    encode = CachedEncoder(tokenizer_path("word_bpe_49k.json"))
+    flat, counts = encode(pa.array(texts))
+    want = [x.ids for x in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    assert len(encode.known) <= len(names) + 20
+
+
+@pytest.mark.parametrize("cache", [1, 1000])
+def test_odd_words_have_the_ids_of_the_whole_text(cache):
+    import random
+
+    import pyarrow as pa
+
+    from labelweave.llm.packing import CachedEncoder
+
+    rng, encode = random.Random(5), CachedEncoder(tokenizer_path("word_bpe_49k.json"), cache=cache)
+    parts = [*"aShtJW''' \t\n\x0c\x00\x1c\x1f<|>.,!_07éÉß×÷Ÿº²¼\x85\xa0\xad", "́", "̱", "̌", "İ", "ſ", "Σ", "日", "ﬁ", "٣", "　", "\U0001d400", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "'RE", "'ll", "'VE", "'S", "</w>"]
+    for _ in range(30):
+        some = rng.sample(parts, rng.choice([4, 12, len(parts)]))
+        texts = ["".join(rng.choices(some, k=rng.choice([0, 1, 2, 5, 30]))) for _ in range(60)]
+        flat, counts = encode(pa.array(["'", *texts, "s"]).slice(1, 60))
+        want = [x.ids for x in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_vocabulary_that_cuts_otherwise_gets_whole_chunks(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    from labelweave.llm.packing import CachedEncoder
+
+    form = json.loads(open(tokenizer_path("word_bpe_49k.json")).read())
+    form["normalizer"], form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = None, r"\S+"
+    (path := tmp_path / "other.json").write_text(json.dumps(form))
+    from tokenizers import Tokenizer
+
+    texts = ["It's HIGH time, isn't it? 42!", "\x1ca \x00 b\x00c", "", "w" * 100 + " x."]
+    flat, counts = CachedEncoder(str(path))(pa.array(texts))
+    want = [Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]

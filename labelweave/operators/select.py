@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.operators.packed import label_ids
+from labelweave.shared import Scratch
 
 
 def weighted(eta: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -160,16 +161,49 @@ def tune_thresholds(grid: DataFrame, metric: str = "f1", *, buckets: int = 1024)
     """
     at = grid.groupBy("label_id", "eta").agg(F.sum("y").alias("y"), F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("eta") * buckets))
     ranges = at.groupBy("label_id", "bucket").agg(F.sum("y").alias("y"), F.sum("n").alias("n"), F.max("eta").alias("top"))
-    down = Window.partitionBy("label_id").orderBy(F.desc("bucket"))
-    before, every = down.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("label_id")
+    return _best_cuts(at, _so_far(ranges, "label_id"), metric, "label_id")
+
+
+def tune_by_period(cells: DataFrame, periods: int, metric: str = "f1", *, buckets: int = 1024) -> DataFrame:
+    """(period, label_id, th, value): for periods 1 to periods - 1 what `tune_thresholds` gives on cells (period, label_id, eta, y) of all earlier periods.
+
+    Cells are counted by ranges of scores first. No cut within a range gives more than if all its positive cells came
+    first, and the cut at a range's end is one that there is; so few ranges are left in which a best cut may lie, and
+    only their cells are counted score by score. y is from 0 to 1. cells are read twice.
+    """
+    scratch = Scratch(cells.sparkSession)
+    keys, named = ("period", "label_id"), cells.where(F.col("period") < periods - 1).select(F.col("period").alias("since"), "label_id", "eta", "y", F.floor(F.col("eta") * buckets).alias("bucket"))
+    own = named.groupBy("since", "label_id", "bucket").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("y"), F.count("*").alias("n"), F.max("eta").alias("top"))
+    later = F.explode(F.sequence(F.col("since") + 1, F.lit(periods - 1))).alias("period")  # a row for each period, label and range
+    ranges = own.select(later, "label_id", "bucket", "y", "n", "top").groupBy(*keys, "bucket").agg(F.sum("y").alias("y"), F.sum("n").alias("n"), F.max("top").alias("top"))
+    tp, before = F.col("y_before") + F.col("y"), F.col("n_before")
+    ranges = _so_far(ranges, *keys, more=("y", "n")).withColumn("most", _cut_value(metric, tp, F.greatest(before + F.col("y"), F.lit(1)))).withColumn("reached", _cut_value(metric, tp, before + F.col("n")))
+    ranges = ranges.withColumn("best", F.max("reached").over(Window.partitionBy(*keys)))
+    # where nothing can be right, the largest score wins the tie
+    kept = scratch.save(ranges.where((F.col("most") >= F.col("best") - 1e-9) & ((F.col("most") > 0) | (before == 0))).drop("y", "n", "most", "reached", "best"))
+    at = named.join(kept.select(*keys, "bucket"), ["label_id", "bucket"]).where("since < period").groupBy(*keys, "bucket", "eta").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    return _best_cuts(at, kept, metric, *keys)
+
+
+def _so_far(ranges: DataFrame, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Ranges (keys, bucket, y, n, top) with the sums over larger scores, the next smaller score and the sums over all."""
+    down, every = Window.partitionBy(*keys).orderBy(F.desc("bucket")), Window.partitionBy(*keys)
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    ranges = ranges.select("label_id", "bucket", zero(F.sum("y").over(before)).alias("y_before"), zero(F.sum("n").over(before)).alias("n_before"), F.lead("top").over(down).alias("below"), F.sum("y").over(every).alias("positive"), F.sum("n").over(every).alias("all"))
-    within = Window.partitionBy("label_id", "bucket").orderBy(F.desc("eta"))
+    return ranges.select(*keys, "bucket", *more, zero(F.sum("y").over(before)).alias("y_before"), zero(F.sum("n").over(before)).alias("n_before"), F.lead("top").over(down).alias("below"), F.sum("y").over(every).alias("positive"), F.sum("n").over(every).alias("all"))
+
+
+def _cut_value(metric: str, tp: Column, predicted: Column) -> Column:
+    positive = F.col("positive")
+    return {"f1": 2.0 * tp / (predicted + positive), "min_tp_tn": F.least(tp, F.col("all") - predicted - positive + tp).cast("double")}[metric]
+
+
+def _best_cuts(at: DataFrame, ranges: DataFrame, metric: str, *keys: str) -> DataFrame:
+    """(keys, th, value): the best cuts among scores `at` (keys, bucket, eta, y, n) within the given ranges."""
+    within = Window.partitionBy(*keys, "bucket").orderBy(F.desc("eta"))
     run = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = at.select("label_id", "bucket", "eta", F.lead("eta").over(within).alias("next"), F.sum("y").over(run).alias("y"), F.sum("n").over(run).alias("n")).join(ranges, ["label_id", "bucket"])
-    tp, predicted, positive = F.col("y") + F.col("y_before"), F.col("n") + F.col("n_before"), F.col("positive")
-    value = {"f1": 2.0 * tp / (predicted + positive), "min_tp_tn": F.least(tp, F.col("all") - predicted - positive + tp).cast("double")}[metric]
-    next_ = F.coalesce("next", "below")
-    cuts = cuts.select("label_id", "eta", F.round(value, 12).alias("value"), F.when(next_.isNull(), F.col("eta") - 1e-6).otherwise((F.col("eta") + next_) / 2).alias("th"))
-    top = cuts.groupBy("label_id").agg(F.max_by(F.struct("th", "value"), F.struct("value", "eta")).alias("top"))
-    return top.select("label_id", "top.th", "top.value")
+    cuts = at.select(*keys, "bucket", "eta", F.lead("eta").over(within).alias("next"), F.sum("y").over(run).alias("y"), F.sum("n").over(run).alias("n")).join(ranges, [*keys, "bucket"])
+    value, next_ = _cut_value(metric, F.col("y") + F.col("y_before"), F.col("n") + F.col("n_before")), F.coalesce("next", "below")
+    cuts = cuts.select(*keys, "eta", F.round(value, 12).alias("value"), F.when(next_.isNull(), F.col("eta") - 1e-6).otherwise((F.col("eta") + next_) / 2).alias("th"))
+    top = cuts.groupBy(*keys).agg(F.max_by(F.struct("th", "value"), F.struct("value", "eta")).alias("top"))
+    return top.select(*keys, "top.th", "top.value")

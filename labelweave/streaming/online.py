@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelweave.functions.metrics import Metric
+from labelweave.operators import select
 from labelweave.operators.batches import as_arrays, largest, lists, placed, sequential, totals
 from labelweave.operators.block_coordinate import gain as gain_of
 from labelweave.operators.confusion import ENTRIES
 from labelweave.operators.packed import label_ids
-from labelweave.operators.select import predict
 from labelweave.shared import Scratch
 from labelweave.streaming.by_label import replay_by_label
 from labelweave.streaming.state import LearnerStore
@@ -126,7 +126,7 @@ def replay(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric, k: int
     """
     if kind == "default":
         rows = rows.select("instance_id", F.inline("cells")) if "cells" in rows.columns else rows
-        return predict(rows.select("instance_id", F.col("label_id").cast("int").alias("label_id"), "eta"), k, th=0.5)
+        return select.predict(rows.select("instance_id", F.col("label_id").cast("int").alias("label_id"), "eta"), k, th=0.5)
     names, scratch = label_ids(labels), Scratch(rows.sparkSession)
     keys = list(dict.fromkeys((order, "instance_id")))
     flat = scratch.save(cells_of(rows, *keys).select(*keys, *as_arrays("label_id", "eta", "y")))
@@ -316,24 +316,36 @@ def replay_retuned(rows: DataFrame, labels: DataFrame, kind: str, metric: Metric
 
     kind: thresholds (a threshold for each label on all earlier rows, at first 0.5) or frank_wolfe (a randomized
     classifier, at first top k, carried on over the rows of the last period alone; with `afresh` it is found on all
-    earlier rows each time). Arrival order is instance_id. The loop runs once for each period, a logarithm of the rows.
-    For frank_wolfe rows may be packed, with cells (label_id, eta, y).
+    earlier rows each time). Arrival order is instance_id. There are as many periods as a logarithm of the rows.
+    rows may be packed, with cells (label_id, eta, y).
     """
-    from labelweave.operators import frank_wolfe, select
-
-    if kind == "frank_wolfe":
-        return _replay_frank_wolfe(rows, labels, metric, k, first=first, growth=growth or GROWTH[kind], max_iters=max_iters, afresh=afresh)
-    low, high = rows.agg(F.min("instance_id"), F.max("instance_id")).first()
-    out, start, size = None, low, first
     growth = growth or GROWTH[kind]
+    if kind == "frank_wolfe":
+        return _replay_frank_wolfe(rows, labels, metric, k, first=first, growth=growth, max_iters=max_iters, afresh=afresh)
+    return _replay_thresholds(rows, metric.name if metric.name == "min_tp_tn" else "f1", first=first, growth=growth)
+
+
+def _starts(low: int | None, high: int | None, first: int, growth: float) -> list[int]:
+    """The first instance of each period."""
+    starts, start, size = [], low, first
     while low is not None and start <= high:
-        stop = max(start + 1, low + int(size))
-        block, past = rows.where((F.col("instance_id") >= start) & (F.col("instance_id") < stop)), rows.where(F.col("instance_id") < start)
-        eta = block.select("instance_id", "label_id", "eta")
-        own = select.predict(eta, 0, th=0.5) if start == low else select.predict(eta, 0, th=select.tune_thresholds(past, metric.name if metric.name == "min_tp_tn" else "f1"))
-        out = own if out is None else out.unionByName(own)
-        start, size = stop, size * growth
-    return out if out is not None else rows.select("instance_id", "label_id", F.lit(1.0).alias("value"))
+        starts.append(start)
+        start, size = max(start + 1, low + int(size)), size * growth
+    return starts
+
+
+def _replay_thresholds(rows: DataFrame, metric: str, *, first: int, growth: float) -> DataFrame:
+    """Rows are written once; the thresholds of all periods are found together, as they don't depend on decisions."""
+    scratch = Scratch(rows.sparkSession)
+    stored = scratch.save(rows.select("instance_id", "cells") if "cells" in rows.columns else rows.select("instance_id", "label_id", "eta", "y"))
+    starts = _starts(*stored.agg(F.min("instance_id"), F.max("instance_id")).first(), first, growth)
+    period = functools.reduce(Column.__add__, [(F.col("instance_id") >= x).cast("int") for x in starts[1:]], F.lit(0)).alias("period")
+    cells = stored.select("instance_id", period, *([F.inline("cells")] if "cells" in stored.columns else ["label_id", "eta", "y"]))
+    found = cells.withColumn("th", F.lit(0.5))
+    if len(starts) > 1:
+        th = scratch.save(select.tune_by_period(cells, len(starts), metric).select("period", "label_id", "th"))
+        found = cells.join(th, ["period", "label_id"], "left").withColumn("th", F.when(F.col("period") == 0, 0.5).otherwise(F.col("th")))
+    return found.where("eta >= th").select("instance_id", "label_id", F.lit(1.0).alias("value"))
 
 
 def _replay_frank_wolfe(rows: DataFrame, labels: DataFrame, metric: Metric, k: int, *, first: int, growth: float, max_iters: int, afresh: bool, chunk: int = 250_000) -> DataFrame:
@@ -344,10 +356,7 @@ def _replay_frank_wolfe(rows: DataFrame, labels: DataFrame, metric: Metric, k: i
     draw = F.pmod(F.xxhash64("instance_id", F.lit(0)), F.lit(1 << 30)) / float(1 << 30)
     flat = scratch.save(cells_of(rows).select("instance_id", draw.alias("u"), *as_arrays("label_id", "eta", "y")))
     low, high, n = flat.agg(F.min("instance_id"), F.max("instance_id"), F.count("*")).first()
-    starts, start, size = [], low, first
-    while low is not None and start <= high:
-        starts.append(start)
-        start, size = max(start + 1, low + int(size)), size * growth
+    starts = _starts(low, high, first, growth)
     edges = F.array(*[F.lit(x) for x in starts]).cast("array<bigint>")
     period = F.size(F.filter(edges, lambda x: x <= F.col("instance_id"))) - 1
     stored = scratch.save(flat.repartitionByRange(max(1, -(-n // chunk)), "instance_id").withColumn("period", period), by=("period",))

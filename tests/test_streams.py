@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelweave.functions import metrics as M
-from labelweave.operators import named
+from labelweave.operators import named, select
 from labelweave.streaming import history, online
 from labelweave.streaming.by_label import Rule, arrival, replay_by_label
 from labelweave.streaming.state import LearnerStore, batches_to
@@ -177,3 +177,38 @@ def test_history_of_nothing(spark, labels):
     assert history.prequential_metric(none, labels, M.Metric("f1")).count() == 0
     only = spark.createDataFrame([(5,)], "instance_id bigint")
     assert [tuple(r) for r in history.prequential_metric(none, labels, M.Metric("f1"), instances=only, every=1).select("position", "n", F.round("value", 6)).collect()] == [(5, 1, 0.0)]
+
+
+@pytest.mark.parametrize("metric", ["f1", "min_tp_tn"])
+def test_thresholds_of_all_periods_at_once(spark, labels, metric):
+    """Against a search on all earlier rows in each period; ties, a label that is never right, one that begins late."""
+    rng = np.random.default_rng(19)
+    eta = np.where(rng.random((400, 6)) < 0.5, rng.random((400, 6)), rng.integers(0, 9, (400, 6)) / 8)
+    cells = [(i + 7, j, float(eta[i, j]), int(j != 2 and rng.random() < eta[i, j])) for i in range(400) for j in range(6) if j != 4 or i > 200]
+    df = spark.createDataFrame(cells, SCHEMA)
+    starts = [7, 27, 37, 52, 74, 108, 158, 234, 348]
+    period = lambda i: sum(i >= x for x in starts) - 1
+    found = {(r.period, r.label_id): (r.th, r.value) for r in select.tune_by_period(spark.createDataFrame([(period(i), *c) for i, *c in cells], "period int, label_id int, eta double, y int"), 9, metric).collect()}
+    want, chosen = {}, {(i, j) for i, j, e, _ in cells if period(i) == 0 and e >= 0.5}
+    for p in range(1, 9):
+        own = {r.label_id: (r.th, r.value) for r in select.tune_thresholds(df.where(F.col("instance_id") < starts[p]), metric).collect()}
+        want |= {(p, j): x for j, x in own.items()}
+        chosen |= {(i, j) for i, j, e, _ in cells if period(i) == p and j in own and e >= own[j][0]}
+    assert found == want and (3, 4) not in want and want[8, 2][1] == 0
+    packed = online.cells_of(df)
+    for rows in (df, packed):
+        replayed = online.replay_retuned(rows, labels, "thresholds", M.Metric(metric), 0, first=20)
+        assert replayed._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1  # the rows are not put together anew in each period
+        assert sorted((r.instance_id, r.label_id) for r in replayed.collect()) == sorted(chosen)
+
+
+def test_few_scores_are_counted_one_by_one(spark, tmp_path):
+    """Where scores are continuous, few ranges of them can hold a best cut."""
+    rng = np.random.default_rng(23)
+    eta = rng.random(60_000)
+    df = spark.createDataFrame([(int(i >= 20_000) + int(i >= 40_000), 1, float(e), int(rng.random() < e)) for i, e in enumerate(eta)], "period int, label_id int, eta double, y int")
+    found = select.tune_by_period(df, 3)
+    from labelweave.shared import Scratch
+
+    kept = spark.read.parquet(Scratch.made[-1].kept[-1]).where("period = 2")
+    assert 0 < kept.count() < 200 and found.where("period = 2").first().value == select.tune_thresholds(df.where("period < 2")).first().value

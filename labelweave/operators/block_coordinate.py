@@ -190,8 +190,21 @@ def row_sums(rows: DataFrame, m: int) -> tuple[int, np.ndarray]:
 def step_gains(rows: DataFrame, names: np.ndarray, metric: Metric, k: int) -> DataFrame:
     """(instance_id, label_id, gain): the labels that one frozen step of all rows (`start_rows`) chooses, each row against the rest."""
     n, known = row_sums(rows, len(names))
-    gains = expected_gains(metric, names)
+    return _frozen_step(rows, names, expected_gains(metric, names), n, known, k)
 
+
+def coverage_step_gains(rows: DataFrame, names: np.ndarray, k: int, alpha: float = 1.0) -> DataFrame:
+    """(instance_id, label_id, gain): `step_gains` for coverage; the chance that no row hits a label is the only thing summed over rows."""
+
+    def sums(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        _, at, e, c = lists(batch, "at", "eta", "c")
+        return at, np.where(c, _log_miss(e), 0.0)
+
+    n, known = totals(rows.select("at", "eta", "c"), len(names), 1, sums).get(0, (0, np.zeros((1, len(names)))))
+    return _frozen_step(rows, names, _for_coverage(len(names), k, alpha), n, known, k)
+
+
+def _frozen_step(rows: DataFrame, names: np.ndarray, gains: Callable, n: int, known: np.ndarray, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, at, e, c = lists(batch, "at", "eta", "c")
@@ -223,6 +236,16 @@ def _log_miss(e: np.ndarray) -> np.ndarray:
     return np.log1p(-np.minimum(e, 1 - 1e-12))
 
 
+def _for_coverage(m: int, k: int, alpha: float) -> Callable[..., np.ndarray]:
+    """The gain of each cell (at, eta, c) for coverage of m labels, at sums of the chosen cells' log_miss."""
+
+    def gains(at: np.ndarray, e: np.ndarray, c: np.ndarray, inside: float, n: int, known: np.ndarray) -> np.ndarray:
+        others = known[0][at] - np.where(c > 0, _log_miss(e), 0.0) * inside
+        return alpha / m * e * np.exp(others) + (1 - alpha) * e / float(n * k)
+
+    return gains
+
+
 def coverage(eta: DataFrame, labels: DataFrame, k: int, *, alpha: float = 1.0, slices: int = 10, max_iters: int = 100, tolerance: float = 1e-6, init: str | DataFrame = "top", seed: int = 0, deal: Callable[[int], Column] | None = None) -> tuple[DataFrame, list[float]]:
     """(y_pred, utilities) for alpha * (1 - mean over labels of prod (1 - eta * chosen)) + (1 - alpha) * expected precision at k.
 
@@ -231,15 +254,9 @@ def coverage(eta: DataFrame, labels: DataFrame, k: int, *, alpha: float = 1.0, s
     if k <= 0:
         raise ValueError("k has to be positive")
     names, deal, scratch = label_ids(labels), deal or dealt(seed, slices), Scratch(eta.sparkSession)
-    m = len(names)
-
-    def gains(at: np.ndarray, e: np.ndarray, c: np.ndarray, inside: float, n: int, known: np.ndarray) -> np.ndarray:
-        others = known[0][at] - np.where(c > 0, _log_miss(e), 0.0) * inside
-        return alpha / m * e * np.exp(others) + (1 - alpha) * e / float(n * k)
-
     start = scratch.save(start_rows(eta, names, k, init, seed).withColumn("part", deal(0)), by=("part",))
     return _sweeps(
-        scratch, start, names, k, 2, lambda e, c: (np.where(c, _log_miss(e), 0.0), e * c), gains, lambda c, n: coverage_utility(c[0], c[1], n, k, alpha),
+        scratch, start, names, k, 2, lambda e, c: (np.where(c, _log_miss(e), 0.0), e * c), _for_coverage(len(names), k, alpha), lambda c, n: coverage_utility(c[0], c[1], n, k, alpha),
         slices=slices, max_iters=max_iters, tolerance=tolerance, seen=not (isinstance(init, str) and init == "greedy"), deal=deal, maximize=True,
     )
 

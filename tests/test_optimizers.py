@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelweave.functions import metrics as M
 from labelweave.operators import block_coordinate as B
@@ -76,6 +77,24 @@ def test_coverage_step_against_the_formula(data):
     assert [found[i] for i in range(300)] == gain.argmax(axis=1).tolist()
 
 
+def test_coverage_step_over_packed_rows(spark, small, data, tmp_path):
+    """The same labels and gains as from tables of cells, a score of 1 and a row of one label among them; the query shuffles no cells."""
+    grid, inst, lab = data
+    eta = grid.select("instance_id", "label_id", F.when((F.col("instance_id") == 7) & (F.col("label_id") == 2), 1.0).otherwise(F.col("eta")).alias("eta")).where("instance_id <> 9 or label_id = 4")
+    names = np.arange(8)
+    for k in (1, 2):
+        gains = B.coverage_gains(eta, select.top_k(eta, k), 300, 8, k, 0.7)
+        want = {(r.instance_id, r.label_id): r.gain for r in select.best(gains, k).collect()}
+        rows = B.start_rows(eta, names, k)
+        found = {(r.instance_id, r.label_id): r.gain for r in B.coverage_step_gains(rows, names, k, 0.7).collect()}
+        assert set(found) == set(want) and len(want) == 299 * k + 1 and all(found[x] == pytest.approx(want[x], abs=1e-12) for x in want)
+    assert B.coverage_step_gains(B.start_rows(eta.limit(0), names, 2), names, 2).count() == 0
+    from labelweave.plans.queries import queries
+
+    plan = queries()["coverage_step"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_slices_are_dealt_anew_and_old_ones_deleted(data, spark):
     import os
 

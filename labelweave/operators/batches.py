@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,26 @@ def as_lists(size: np.ndarray, cells: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(cells))
 
 
+def squeezed(*columns: np.ndarray | pa.Array) -> bytes:
+    """Columns as compressed bytes, for `unsqueezed`: numbers of which few are different are stored as these and codes."""
+
+    def coded(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        if isinstance(x, np.ndarray) and len(x) > 64:
+            found = pa.array(x).dictionary_encode()
+            kinds = len(found.dictionary)
+            if kinds <= 1 << 16 and 8 * kinds + 2 * len(x) < x.nbytes:
+                return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy().astype(np.uint8 if kinds <= 256 else np.uint16)
+        return (x,)
+
+    data = pickle.dumps([coded(x) for x in columns], protocol=5)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> list[np.ndarray | pa.Array]:
+    columns = pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+    return [x[0] if len(x) == 1 else x[0][x[1]] for x in columns]
+
+
 def first(key: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
     """Which cells have the k smallest keys of their row; earlier cells, that is smaller labels, win ties."""
     taken = np.zeros(len(key), bool)

@@ -4,11 +4,14 @@ import os
 import shutil
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelweave.functions import metrics as M
 from labelweave.operators import named, select
+from labelweave.operators.batches import squeezed, unsqueezed
+from labelweave.plans.queries import queries
 from labelweave.streaming import history, online
 from labelweave.streaming.by_label import Rule, arrival, replay_by_label
 from labelweave.streaming.state import LearnerStore, batches_to
@@ -212,3 +215,43 @@ def test_few_scores_are_counted_one_by_one(spark, tmp_path):
 
     kept = spark.read.parquet(Scratch.made[-1].kept[-1]).where("period = 2")
     assert 0 < kept.count() < 200 and found.where("period = 2").first().value == select.tune_thresholds(df.where("period < 2")).first().value
+
+
+@pytest.mark.parametrize("kind", ["gradient", "thresholds"])
+def test_columns_of_labels_in_pieces(spark, kind):
+    """Packed rows, with and without their places, lying in any order, identifiers that are no numbers; many small pieces."""
+    rows = cells_of(np.random.default_rng(29), 300, 6, 0.7)
+    want = sequential(rows, kind, M.Metric("f1"), 6)
+    packed = online.cells_of(spark.createDataFrame(rows, SCHEMA)).cache()
+    places = {i: k for k, i in enumerate(sorted({r[0] for r in rows}))}
+    place = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])[F.col("instance_id")].cast("bigint")
+    mixed = packed.withColumn("pos", place).repartition(3, F.xxhash64("instance_id"))
+    for df, held in ((packed, 50), (packed, 10_000), (mixed, 50), (mixed.orderBy("pos").coalesce(1), 1)):
+        found = replay_by_label(df, kind, M.Metric("f1"), partitions=2, block=16, held=held)
+        assert sorted((r.instance_id, r.label_id) for r in found.collect()) == want
+    texts = packed.withColumn("instance_id", F.format_string("%05d", "instance_id"))
+    assert sorted((int(r.instance_id), r.label_id) for r in replay_by_label(texts, kind, M.Metric("f1"), held=200).collect()) == want
+
+
+def test_columns_are_squeezed():
+    rng = np.random.default_rng(31)
+    few, y, gap, any_ = rng.integers(0, 20_000, 80_000) / 20_000, (rng.random(80_000) < 0.2).astype(float), np.ones(80_000, np.int64), rng.random(80_000)
+    few[3], ids = np.nan, pa.array([None, "a", "b"])
+    data = squeezed(few, y, gap)
+    assert len(data) < 5 * len(few) and len(squeezed(any_)) < 8 * len(any_)
+    for found, x in zip(unsqueezed(data) + unsqueezed(squeezed(any_, gap[:0])), (few, y, gap, any_, gap[:0]), strict=True):
+        assert found.dtype == x.dtype and np.array_equal(found, x, equal_nan=True)
+    assert unsqueezed(squeezed(ids, gap))[0].equals(ids)
+
+
+@pytest.mark.parametrize("name", ["online_gradient_by_label"])
+def test_cells_are_made_after_sorting(spark, small, name):
+    """What is sorted and written are the orders with their own labels, not a cell for each label."""
+    from labelweave.shared import Scratch
+
+    made = len(Scratch.made)
+    found = queries()[name](spark, small)
+    (written,) = [path for x in Scratch.made[made:] for path in x.kept]
+    table = spark.read.parquet(written)
+    assert table.columns == ["instance_id", "own", "_place"] and table.count() == spark.read.parquet(f"{small}/orders.parquet").count()
+    assert found.count()

@@ -180,7 +180,7 @@ def tune_by_period(cells: DataFrame, periods: int, metric: str = "f1", *, bucket
     ranges = _so_far(ranges, *keys, more=("y", "n")).withColumn("most", _cut_value(metric, tp, F.greatest(before + F.col("y"), F.lit(1)))).withColumn("reached", _cut_value(metric, tp, before + F.col("n")))
     ranges = ranges.withColumn("best", F.max("reached").over(Window.partitionBy(*keys)))
     # where nothing can be right, the largest score wins the tie
-    kept = scratch.save(ranges.where((F.col("most") >= F.col("best") - 1e-9) & ((F.col("most") > 0) | (before == 0))).drop("y", "n", "most", "reached", "best"))
+    kept = scratch.save(ranges.where((F.col("most") >= F.col("best") * (1 - 1e-9) - 1e-9) & ((F.col("most") > 0) | (before == 0))).drop("y", "n", "most", "reached", "best"))
     at = named.join(kept.select(*keys, "bucket"), ["label_id", "bucket"]).where("since < period").groupBy(*keys, "bucket", "eta").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
     return _best_cuts(at, kept, metric, *keys)
 
